@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, common, html_text, token_counts, token_output, url_filters
+from larkspur.llm import bpe, common, decontam, html_text, lm, ngram_join, quality_rules, token_counts, token_output, toxicity, url_filters
+
+
+def fold(doc_id: str, folds: int) -> Column:
+    """Which fold an id is in: the CRC32 of its text, modulo the number of folds."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +20,16 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, keep=["page_id"])
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = (fold("doc_id", 7) == 2).alias("held_out")
+    model = lm.train(docs.where(~F.coalesce(held_out, F.lit(False))))
+    scored = lm.score(docs, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = common.fresh_path(spark, "tokens")
@@ -23,6 +38,34 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = common.table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_contamination(docs, common.table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontam.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.judge(docs, common.table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, keep=["doc_id"])
@@ -77,5 +120,49 @@ FROM ruled
 """
 
 
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+bw AS (
+  SELECT item_id, least(len(w), 13) AS k, unnest(list_transform(range(1, (len(w) - least(len(w), 13) + 2)::BIGINT), lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS g
+  FROM b WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (
+  SELECT doc_id, k, unnest(range(1, (len(w) - k + 2)::BIGINT)) AS p, w FROM d, ks WHERE len(w) >= k),
+hits AS (
+  SELECT DISTINCT dw.doc_id, dw.p, dw.k, bw.item_id FROM dw JOIN bw ON bw.k = dw.k AND bw.g = array_to_string(dw.w[dw.p:dw.p + dw.k - 1], ' ')),
+n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT array_to_string(w, ' ') AS body, min(doc_id) AS copy_id, any_value(w) AS w FROM d GROUP BY 1),
+p AS (SELECT copy_id, len(w) AS n, generate_subscripts(w, 1) AS p, unnest(w) AS x FROM c),
+s AS (
+  SELECT copy_id, n, p, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS x
+  FROM p WINDOW o AS (PARTITION BY copy_id ORDER BY p)),
+g AS (SELECT DISTINCT copy_id, x FROM s WHERE p <= greatest(n - 4, 1)),
+e AS (SELECT copy_id, x, count(*) OVER (PARTITION BY copy_id) AS n FROM g),
+pairs AS (SELECT a.copy_id AS a, b.copy_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b USING (x) WHERE a.copy_id <> b.copy_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 10 * k >= 8 * (na + nb - k)),
+reach(a, b) AS (SELECT copy_id, copy_id FROM c UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+class AS (SELECT a AS copy_id, min(b) AS class_id FROM reach GROUP BY a),
+n AS (SELECT a AS copy_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT d.doc_id, class.class_id, c.copy_id, coalesce(n.n_links, 0)::BIGINT AS n_links
+FROM d JOIN c ON c.body = array_to_string(d.w, ' ') JOIN class USING (copy_id) LEFT JOIN n USING (copy_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL}
+    return {"op1_url_filters": OP1_SQL, "op5_decontamination": OP5_SQL, "op6_ngram_join": OP6_SQL}
