@@ -67,3 +67,12 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     The ids depend on the partitioning; they hold within one job over files.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df behind a one-row generator, which the optimiser moves no expression across.
+
+    Without it a later filter or projection may be merged into expressions with lambdas, and an
+    array that is made once would be made for each element.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

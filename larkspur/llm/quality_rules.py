@@ -48,6 +48,7 @@ def measure(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
         F.length(F.translate("body", "!?", "")).alias("no_marks"),
         F.length("body").alias("chars"),
     )
+    stats = common.settled(stats)
     window = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))
     windows = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), window))
     stats = stats.select(
@@ -59,17 +60,19 @@ def measure(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
         F.size(F.filter(w, lambda x: F.length(F.translate(x, SYMBOLS, "")) < F.length(x))).alias("symbol_words"),
         F.sort_array(windows).alias("sorted"),
     ).drop("words", "lines")
+    stats = common.settled(stats)
     s = F.col("sorted")
     twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) & (k > 0) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
     stats = stats.withColumn("places", F.sort_array(F.transform(twice, lambda x: x["p"]))).drop("sorted")
+    stats = common.settled(stats)
     p = F.col("places")
     covered = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
     stats = stats.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
     n_symbols = (F.col("chars") - F.col("no_symbols")).cast("long")
     chars, words = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
     lost = lambda c: (F.col("chars") - F.col(c)) / chars
-    return stats.select(
-        "row.*", "n_words", "word_chars", n_symbols.alias("n_symbols"), "n_dup_lines", "n_repeat_words",
+    stats = stats.select(
+        "row", "n_words", "word_chars", n_symbols.alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         F.log1p(F.col("n_words").cast("double")).alias("log_words"),
         (F.col("word_chars") / words).alias("word_length"),
         lost("no_symbols").alias("symbol_share"),
@@ -82,6 +85,8 @@ def measure(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
         (F.col("n_words") / F.greatest("n_lines", F.lit(1))).alias("line_words"),
         (F.col("symbol_words") / words).alias("symbol_word_share"),
     )
+    stats = common.settled(stats)
+    return stats.select("row.*", *(c for c in stats.columns if c != "row"))
 
 
 @dataclass(frozen=True)

@@ -17,7 +17,8 @@ checksum differs raises.
 shard per partition. Each task writes to a name of its own and renames it at its end, so
 repeated and speculative tasks leave whole shards. Ids come from the tokenizers library;
 texts are cut before spaces that follow a non-space character, which no
-pre-token spans, and each distinct piece is encoded once per `cache_pieces` kept.
+pre-token spans, and each distinct piece is encoded once while it is kept (about
+`cache_pieces` at a time).
 
 Null texts count as empty (an end id alone); null ids sort first; repeated ids all
 are written, ordered by text; an empty table gives no documents.
@@ -25,6 +26,7 @@ are written, ordered by text; an empty table gives no documents.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -35,6 +37,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 import xxhash
 import zstandard
 from pyarrow import fs as arrow_fs
@@ -52,9 +55,17 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x1
 SPACE_RUN = re.compile(r"\s ")
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 
+#: What the byte-level pre-tokeniser shows for each byte: printable Latin-1 as itself, the rest from U+0100 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
 
 class PieceEncoder:
-    """Ids of texts as bytes; distinct pieces are encoded once while they are kept."""
+    """Ids of texts as bytes; distinct pieces are encoded once while they are kept.
+
+    With a plain byte-level BPE file, texts are cut before spaces, then into pre-tokens,
+    and the library's model encodes each pre-token; with any other file, whole texts are encoded.
+    """
 
     def __init__(self, tokenizer_path: str, cache_pieces: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -63,7 +74,17 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache_pieces = cache_pieces
+        spec = json.loads(self.tokenizer.to_str())
+        before, model = spec["pre_tokenizer"] or {}, spec["model"]
+        self.plain = not (spec["normalizer"] or spec["post_processor"] or model.get("dropout")) and (
+            before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and model["type"] == "BPE"
+        )
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        if any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            self.plain = False
+        self.model, self.cache_pieces = self.tokenizer.model, cache_pieces
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.pieces_known: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
     @staticmethod
@@ -73,16 +94,38 @@ class PieceEncoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def pre_token(self, token: str) -> bytes:
+        if (ids := self.known.get(token)) is None:
+            shown = token.encode().decode("latin-1").translate(SHOWN)
+            ids = self.known[token] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return ids
+
+    def piece(self, piece: str) -> bytes:
+        if piece[:1] == " " and piece[1:].isalpha():
+            return self.pre_token(piece)
+        if any(s in piece for s in self.special):
+            return self.whole([piece])[0]
+        return b"".join([self.pre_token(t) for t in self.pattern.findall(piece)])
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
+        if not self.plain:
+            return self.whole(texts)
+        if len(self.pieces_known) > self.cache_pieces:
+            self.pieces_known = {}
         if len(self.known) > self.cache_pieces:
             self.known = {}
-        new = list({p for pieces in split for p in pieces if p not in self.known})
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([self.known[p] for p in pieces]) for pieces in split]
+        kept, out = self.pieces_known, []
+        for text in texts:
+            parts = []
+            for p in self.pieces(text):
+                if (ids := kept.get(p)) is None:
+                    ids = kept[p] = self.piece(p)
+                parts.append(ids)
+            out.append(b"".join(parts))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -185,7 +228,7 @@ def write_tokens(
     shards: int | None = None,
     frame_bytes: int = 1 << 18,
     level: int = 3,
-    cache_pieces: int = 300_000,
+    cache_pieces: int = 800_000,
 ) -> list[tuple[str, int, int]]:
     """Write df's texts below out_dir, a folder that all executors reach; returns
     (file, documents, tokens) of each shard in order of the ids."""
