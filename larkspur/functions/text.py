@@ -19,6 +19,11 @@ def first_truthy(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in columns), F.lit(""))
 
 
+def let(value: Column, f) -> Column:
+    """f of value, with value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import clean_text, first_truthy, match_text
+from larkspur.functions.text import clean_text, first_truthy, let, match_text
 
 # Words that token sets leave out.
 STOPWORDS = (
@@ -66,17 +66,17 @@ NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 
 def posted_pay(text: Column) -> Column:
     """struct(low, high) in lakh a year of a stated range, null if there is none that makes sense."""
-    t = F.lower(F.translate(clean_text(text), "−–—", "---"))
     mark = r"(?:₹|rs\.?|inr)"
     short = rf"{mark}?\s*({NUMBER})\s*(?:-|to)\s*{mark}?\s*({NUMBER})\s*(?:lpa|lakhs?)\b"
     long = rf"{mark}\s*([0-9,]{{6,}})\s*(?:-|to)\s*{mark}?\s*([0-9,]{{6,}})\s*(?:per\s+(?:annum|year)|p\.?a\.?)"
-    number = lambda p, k: F.try_to_number(F.nullif(F.replace(F.regexp_extract(t, p, k), F.lit(","), F.lit("")), F.lit("")), F.lit("999999999999.99"))
 
-    def sensible(p: str, scale: float) -> Column:
-        low, high = (number(p, k).cast("double") / scale for k in (1, 2))
-        return F.when((low >= 1) & (low <= high) & (high <= 200), F.struct(low.alias("low"), high.alias("high")))
+    def sensible(t: Column, p: str, scale: float) -> Column:
+        number = lambda k: F.replace(F.regexp_extract(t, p, k), F.lit(","), F.lit("")).try_cast("double") / scale
+        both = F.struct(number(1).alias("low"), number(2).alias("high"))
+        return let(both, lambda r: F.when((r["low"] >= 1) & (r["low"] <= r["high"]) & (r["high"] <= 200), r))
 
-    return F.coalesce(sensible(short, 1.0), sensible(long, 100_000.0))
+    lowered = F.lower(F.translate(clean_text(text), "−–—", "---"))
+    return let(lowered, lambda t: F.coalesce(sensible(t, short, 1.0), sensible(t, long, 100_000.0)))
 
 
 # What a title is worth if no pay is posted, in lakh a year; the first that fits.
@@ -98,14 +98,17 @@ def lakh(c: Column) -> Column:
 
 def pay_label(title: Column, text: Column, table: tuple = PAY_BY_TITLE, default: tuple[int, int] = PAY_DEFAULT) -> Column:
     """`Posted ₹a–b LPA` if a range is stated, else an estimate by the title."""
-    pay, t = posted_pay(text), match_text(title)
-    out = F.when(pay.isNotNull(), F.concat(F.lit("Posted ₹"), lakh(pay["low"]), F.lit("–"), lakh(pay["high"]), F.lit(" LPA")))
-    for terms, low, high in table:
-        fits = F.lit(False)
-        for term in terms:
-            fits = fits | F.contains(t, F.lit(term))
-        out = out.when(fits, f"Est. ₹{low}–{high} LPA")
-    return out.otherwise(f"Est. ₹{default[0]}–{default[1]} LPA")
+    posted = lambda pay: F.when(pay.isNotNull(), F.concat(F.lit("Posted ₹"), lakh(pay["low"]), F.lit("–"), lakh(pay["high"]), F.lit(" LPA")))
+
+    def estimate(t: Column) -> Column:
+        out = None
+        for terms, low, high in table:
+            label = F.lit(f"Est. ₹{low}–{high} LPA")
+            fits = F.exists(F.array(*map(F.lit, terms)), lambda x: F.contains(t, x))
+            out = F.when(fits, label) if out is None else out.when(fits, label)
+        return out.otherwise(f"Est. ₹{default[0]}–{default[1]} LPA")
+
+    return F.coalesce(let(posted_pay(text), posted), let(match_text(title), estimate))
 
 
 def is_stale(valid_through: Column, posted: Column, as_of: Column, days: int) -> Column:

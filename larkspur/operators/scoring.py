@@ -111,11 +111,20 @@ class Posting:
     description: Column
     department: Column
     priority: Column
+    place: Column  # whether the location gate is passed
+    senior: Column  # reasons of the seniority and of the experience rules, or null
+    experience: Column
+    base: Column  # results of the lanes before
+    expanded: Column
 
     @classmethod
-    def of(cls, prefix: str = "") -> Posting:
-        c = lambda n: F.coalesce(F.col(prefix + n), F.lit(""))
-        return cls(c("title"), c("location"), c("description"), c("department"), F.coalesce(F.col(prefix + "priority"), F.lit(3)))
+    def of(cls) -> Posting:
+        c = lambda n: F.coalesce(F.col(n), F.lit(""))
+        return cls(c("title"), c("location"), c("description"), c("department"), F.coalesce(F.col("priority"), F.lit(3)), *map(F.col, STEPS))
+
+
+#: Columns that are computed once, each from the ones before.
+STEPS = ("__place", "__senior", "__experience", "__base", "__expanded")
 
 
 def base_lane(p: Posting, s: Settings) -> Column:
@@ -124,11 +133,10 @@ def base_lane(p: Posting, s: Settings) -> Column:
     skills = hits(text, s.skills)
     context, early, first = any_hit(text, s.context), any_hit(text, s.early), p.priority >= 4
     total = 70 + points(F.size(skills), 5, 30) + F.when(context, 10).otherwise(0) + F.when(early, 10).otherwise(0) + F.when(first, 5).otherwise(0)
-    senior = P.seniority_reason(p.title, p.description, blocked=s.blocked, rejects=s.rejects)
     return (
-        F.when(~P.location_matches(p.location, s.locations), scored(0, NO_PLACE))
+        F.when(~p.place, scored(0, NO_PLACE))
         .when(~any_hit(title, s.strong_titles), scored(0, "title does not match a target data/AI/analytics role"))
-        .when(senior.isNotNull(), scored(0, senior))
+        .when(p.senior.isNotNull(), scored(0, p.senior))
         .otherwise(
             scored(
                 F.least(total, F.lit(100)), PLACE_REASON, F.concat(F.lit("role title: "), F.get(hits(title, s.strong_titles), F.lit(0))),
@@ -146,14 +154,12 @@ def expanded_lane(p: Posting, s: Settings) -> Column:
     domains = F.concat(hits(text, s.domains), named)
     skills, early = hits(text, s.tech_skills), F.get(hits(text, s.early_signals), F.lit(0))
     enough = (F.size(domains) > 0) & ((F.size(domains) >= 2) | (F.size(skills) >= 2) | early.isNotNull())
-    senior = P.seniority_reason(p.title, p.description, blocked=s.blocked, rejects=s.rejects)
     total = 60 + points(F.size(domains), 5, 15) + points(F.size(skills), 5, 20) + F.when(early.isNotNull(), 10).otherwise(0) + F.when(p.priority >= 4, 5).otherwise(0)
-    base = base_lane(p, s)
     return (
-        F.when(base["score"] > 0, base)
-        .when(~P.location_matches(p.location, s.locations), scored(0, NO_PLACE))
+        F.when(p.base["score"] > 0, p.base)
+        .when(~p.place, scored(0, NO_PLACE))
         .when(~P.is_generic_technical(p.title), scored(0, "title does not match a target or adjacent technical role"))
-        .when(senior.isNotNull(), scored(0, senior))
+        .when(p.senior.isNotNull(), scored(0, p.senior))
         .when(~enough, scored(0, "generic technical title lacks strong data/AI evidence"))
         .otherwise(
             scored(
@@ -165,14 +171,12 @@ def expanded_lane(p: Posting, s: Settings) -> Column:
 
 
 def production_lane(p: Posting, s: Settings) -> Column:
-    reason = P.experience_reason(p.title, p.description, blocked=s.blocked, rejects=s.rejects)
-    return F.when(reason.isNotNull(), scored(0, reason)).otherwise(expanded_lane(p, s))
+    return F.when(p.experience.isNotNull(), scored(0, p.experience)).otherwise(p.expanded)
 
 
 def precision_lane(p: Posting, s: Settings) -> Column:
     """production_lane for target titles; stricter gates for broad ones, whose score ends at 85 without a domain in the title."""
-    reason = P.experience_reason(p.title, p.description, blocked=s.blocked, rejects=s.rejects)
-    expanded, body = expanded_lane(p, s), match_text(p.description)
+    expanded, body = p.expanded, match_text(p.description)
     domains, skills = hits(body, BODY_DOMAINS), hits(body, CORE_SKILLS)
     stack = (F.size(skills) >= 3) & F.arrays_overlap(domains, F.array(*map(F.lit, CORE_DOMAINS)))
     adjacent = body.rlike(EARLY_ROLE) & (F.size(domains) >= 1) & (F.size(skills) >= 2)
@@ -181,7 +185,7 @@ def precision_lane(p: Posting, s: Settings) -> Column:
     )
     return (
         F.when(p.title.rlike(P.OTHER_CITY_TITLE), scored(0, "title requires a non-target city rather than Remote India"))
-        .when(reason.isNotNull(), scored(0, reason))
+        .when(p.experience.isNotNull(), scored(0, p.experience))
         .when(P.is_target_title(p.title, s.target_titles), expanded)
         .when(~P.is_generic_technical(p.title), scored(0, "title does not match a target or adjacent technical role"))
         .when(p.title.rlike(P.SUPPORT_TITLE), scored(0, "adjacent title belongs to support/general application engineering"))
@@ -194,7 +198,6 @@ def precision_lane(p: Posting, s: Settings) -> Column:
 
 def adjacent_lane(p: Posting, s: Settings) -> Column:
     """Platform and data roles next to the target ones, by whole phrases; ends at 95."""
-    reason = P.experience_reason(p.title, p.description, blocked=s.blocked, rejects=s.rejects)
     body = F.concat_ws(" ", F.nullif(p.department, F.lit("")), F.nullif(p.description, F.lit("")))
     normal = match_text(body)
     profile, data = hits(normal, PROFILE_SKILLS, phrase=True), hits(normal, DATA_SKILLS, phrase=True)
@@ -206,8 +209,8 @@ def adjacent_lane(p: Posting, s: Settings) -> Column:
     extra = F.when(early, 10).otherwise(0) + F.when(p.priority >= 4, 5).otherwise(0)
     last = (F.when(early, "early-career signal"), F.when(p.priority >= 4, "higher WLB priority company"))
     return (
-        F.when(~P.location_matches(p.location, s.locations), scored(0, NO_PLACE))
-        .when(reason.isNotNull(), scored(0, reason))
+        F.when(~p.place, scored(0, NO_PLACE))
+        .when(p.experience.isNotNull(), scored(0, p.experience))
         .when(p.title.rlike(P.NON_PROFILE_TITLE), scored(0, "role family does not overlap the resume target lanes"))
         .when(p.title.rlike(P.ADVISOR_TITLE), scored(0, "title indicates an experienced advisory level"))
         .when(P.in_opening(p.description, P.SENIOR_DESCRIPTION, 1600), scored(0, "description identifies an experienced/senior role"))
@@ -231,17 +234,30 @@ LANES = {"base": base_lane, "expanded": expanded_lane, "production": production_
 
 
 def score_postings(df: DataFrame, settings: Settings | None = None, lane: str = "cascade") -> DataFrame:
-    """df with score and reasons of a lane; the cascade takes the precision lane, else the adjacent one."""
+    """df(title, location, description, department, priority) with score and reasons of a lane; the
+    cascade takes the precision lane where it scores, else the adjacent one."""
     s, p = settings or Settings(), Posting.of()
+    steps = df.select(
+        "*",
+        P.location_matches(p.location, s.locations).alias("__place"),
+        P.seniority_reason(p.title, p.description, blocked=s.blocked, rejects=s.rejects).alias("__senior"),
+        P.experience_reason(p.title, p.description, blocked=s.blocked, rejects=s.rejects).alias("__experience"),
+    )
+    steps = once(once(once(steps).select("*", base_lane(p, s).alias("__base"))).select("*", expanded_lane(p, s).alias("__expanded")))
     if lane != "cascade":
-        return df.withColumn("lane", LANES[lane](p, s)).select(*df.columns, "lane.score", "lane.reasons")
-    both = df.select("*", precision_lane(p, s).alias("precise"), adjacent_lane(p, s).alias("adjacent"))
+        return once(steps.select("*", LANES[lane](p, s).alias("lane"))).select(*df.columns, "lane.score", "lane.reasons")
+    both = once(steps.select("*", precision_lane(p, s).alias("precise"), adjacent_lane(p, s).alias("adjacent")))
     degree = scored(0, "title requires a PhD/doctoral qualification not in the resume")
     chosen = F.when(F.col("title").rlike(P.DEGREE_TITLE), degree).when(F.col("precise.score") > 0, F.col("precise"))
     chosen = chosen.otherwise(F.when(F.size("adjacent.reasons") > 0, F.col("adjacent")).otherwise(F.col("precise")))
     return both.select(*df.columns, chosen.alias("lane")).select(*df.columns, "lane.score", "lane.reasons")
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df behind a one-row generator, across which the optimiser doesn't copy expressions: each is computed once."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def phrase_score(df: DataFrame, phrases: DataFrame, text: str, key: str) -> DataFrame:
     """(key, family, score): summed weights of phrases(family, phrase, weight) that a text has. `phrases` is a short list of terms."""
     listed = phrases.withColumn("phrase", tech_text(F.col("phrase"))).groupBy().agg(F.collect_list(F.struct("family", "phrase", "weight")).alias("listed"))
