@@ -30,6 +30,21 @@ def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(key, "r.*")
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with the place (from 1) of each row in the given order, numbered within sorted partitions.
+
+    Only the partitions' row counts go to the driver.
+    """
+    rows = checkpointed(df.orderBy(*order)).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__id"))
+    rows = rows.withColumn("__id", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts, starts, before = dict(rows.groupBy("__part").count().collect()), [], 0
+    for part in range(max(counts, default=-1) + 1):
+        starts.append(before)
+        before += counts.get(part, 0)
+    start = F.get(F.array(*map(F.lit, starts)).cast("array<long>"), F.col("__part")) if starts else F.lit(0)
+    return rows.withColumn(name, (start + F.col("__id") + 1).cast("long")).drop("__part", "__id")
+
+
 def greedy_dedupe(df: DataFrame, keys: str, order: str, max_rounds: int = 1000) -> DataFrame:
     """Rows that, taken in order, share no key with a row accepted before them.
 

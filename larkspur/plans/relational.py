@@ -1 +1,334 @@
-"""Queries."""
+"""Queries of dedupe, joins, set operations, aggregates and order."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from larkspur.functions.text import match_text
+from larkspur.operators import relational as R
+from larkspur.plans.base import Tables, query
+
+
+@query("d1_greedy_dedupe")
+def d1(t: Tables) -> DataFrame:
+    order = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount"))
+    rows = t.lineitem.withColumn("n", order)
+    rows = rows.select(
+        (F.col("l_orderkey") * 10000 + F.col("l_linenumber") * 1000 + F.col("n")).alias("ord"),
+        F.array(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("-"), F.month("l_shipdate").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))).alias("keys"),
+    )
+    return R.greedy_dedupe(rows, "keys", "ord").select("ord", F.array_join("keys", ",").alias("keys"))
+
+
+@query("d2_first_per_key", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def d2(t: Tables) -> DataFrame:
+    return R.first_per_key(t.documents, ["text"], ["doc_id"]).select("doc_id", "source")
+
+
+@query("d3_last_per_key", "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1")
+def d3(t: Tables) -> DataFrame:
+    return R.last_per_key(t.orders.select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
+
+
+@query(
+    "d4_merge_duplicates",
+    """WITH f AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS i FROM orders GROUP BY ALL)
+    SELECT o_custkey, (SELECT arg_min(o_orderstatus, o_orderkey) FROM orders o WHERE o.o_custkey = f.o_custkey) AS o_orderstatus, string_agg(o_orderpriority, ',' ORDER BY i) AS places FROM f GROUP BY 1""",
+)
+def d4(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus", F.array("o_orderpriority").alias("places"))
+    return R.merge_duplicates(rows, "o_custkey", "o_orderkey", ["places"]).select("o_custkey", "o_orderstatus", F.array_join("places", ",").alias("places"))
+
+
+@query(
+    "d5_merge_aliases",
+    """SELECT n_name, array_to_string(list_concat(['nation ' || n_nationkey], coalesce((SELECT list(DISTINCT s_name ORDER BY s_name) FROM supplier WHERE s_nationkey = n_nationkey), [])), ',') AS aliases FROM nation""",
+)
+def d5(t: Tables) -> DataFrame:
+    base = t.nation.select("n_nationkey", "n_name", F.array(F.concat(F.lit("nation "), F.col("n_nationkey").cast("string"))).alias("aliases"))
+    extra = t.supplier.select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_name").alias("aliases"))
+    return R.merge_aliases(base, extra, "n_nationkey", "aliases").select("n_name", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query(
+    "j1_anti_join_seen",
+    """WITH s AS (SELECT DISTINCT 'u' || user_id || props AS k FROM events WHERE ts < TIMESTAMP '2024-01-16' UNION SELECT DISTINCT 'e' || event_type || value FROM events WHERE ts < TIMESTAMP '2024-01-16')
+    SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND ('u' || user_id || props) NOT IN (SELECT k FROM s) AND ('e' || event_type || value) NOT IN (SELECT k FROM s)""",
+)
+def j1(t: Tables) -> DataFrame:
+    value = F.col("value").cast("string")
+    rows = t.events.select("event_id", "ts", F.array(F.concat(F.lit("u"), F.col("user_id").cast("string"), "props"), F.concat(F.lit("e"), "event_type", value)).alias("keys"))
+    cut = F.lit("2024-01-16").cast("timestamp")
+    seen = rows.where(F.col("ts") < cut).select(F.explode("keys").alias("key"))
+    return R.anti_join_seen(rows.where(F.col("ts") >= cut), seen, "keys", "event_id").select("event_id")
+
+
+@query(
+    "j2_overlay",
+    """SELECT coalesce(k.key, s.key) AS key, CASE WHEN s.key IS NOT NULL THEN s.bal ELSE k.bal END AS balance, coalesce(s.nation, k.nation) AS nation
+    FROM (SELECT 'n' || c_custkey AS key, round(c_acctbal, 2) AS bal, c_nationkey AS nation FROM customer) k
+    FULL JOIN (SELECT 'N' || (s_suppkey * 7) AS name, 'n' || (s_suppkey * 7) AS key, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE round(s_acctbal, 2) END AS bal, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS nation FROM supplier) s ON s.key = k.key""",
+)
+def j2(t: Tables) -> DataFrame:
+    base = t.customer.select(F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("key"), F.round("c_acctbal", 2).alias("balance"), F.col("c_nationkey").alias("nation"))
+    k = F.col("s_suppkey")
+    layer = t.supplier.select(
+        F.concat(F.lit("N"), (k * 7).cast("string")).alias("key"), F.when(k % 3 != 0, F.round("s_acctbal", 2)).alias("balance"), F.when(k % 2 == 0, F.col("s_nationkey")).alias("nation"),
+        F.when(k % 2 == 0, F.array(F.lit("balance"), F.lit("nation"))).otherwise(F.array(F.lit("balance"))).alias("present"),
+    )
+    return R.overlay(base, layer, key="key", present="present").withColumn("key", F.lower("key"))
+
+
+@query("j3_add_missing", "SELECT c_custkey AS key, 'customer' AS origin FROM customer UNION ALL SELECT s_suppkey * 50, 'supplier' FROM supplier WHERE s_suppkey * 50 NOT IN (SELECT c_custkey FROM customer)")
+def j3(t: Tables) -> DataFrame:
+    base = t.customer.select(F.col("c_custkey").alias("key"), F.lit("customer").alias("origin"))
+    return R.add_missing(base, t.supplier.select((F.col("s_suppkey") * 50).alias("key"), F.lit("supplier").alias("origin")), "key")
+
+
+def states(t: Tables) -> tuple[DataFrame, DataFrame]:
+    rows = t.events.groupBy("user_id", (F.col("ts") < F.lit("2024-01-10").cast("timestamp")).alias("old")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
+    return rows.where("old").drop("old"), rows.where(~F.col("old")).drop("old")
+
+
+STATES = "s AS (SELECT user_id, ts < TIMESTAMP '2024-01-10' AS old, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY ALL)"
+
+
+@query("j4_upsert", f"WITH {STATES} SELECT user_id, state FROM s WHERE NOT old UNION ALL SELECT user_id, state FROM s WHERE old AND user_id NOT IN (SELECT user_id FROM s WHERE NOT old)")
+def j4(t: Tables) -> DataFrame:
+    return R.upsert(*states(t), "user_id")
+
+
+@query("j5_merge_state", f"WITH {STATES} SELECT user_id, state FROM s WHERE old UNION ALL SELECT user_id, state FROM s WHERE NOT old AND user_id NOT IN (SELECT user_id FROM s WHERE old)")
+def j5(t: Tables) -> DataFrame:
+    return R.merge_state(*states(t), "user_id", prefer="old")
+
+
+@query(
+    "j6_containment_semi_join",
+    """WITH n AS (SELECT DISTINCT lower(s_name) AS b FROM supplier UNION SELECT 'bolt' UNION SELECT 'x' UNION SELECT 'the cold widget store')
+    SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM n WHERE contains(lower(p_name), b) OR contains(b, lower(p_name)))""",
+)
+def j6(t: Tables) -> DataFrame:
+    names = t.supplier.select("s_name").union(t.spark.createDataFrame([("Bolt",), ("X",), ("The Cold Widget Store",)], "s_name string"))
+    return R.containment_semi_join(t.part, names, "p_name", "s_name").select("p_partkey")
+
+
+@query(
+    "j7_enrich_with_budget",
+    """WITH w AS (SELECT doc_id, source, n_chars > 800 AS wanted, sum(CASE WHEN n_chars > 800 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)
+    SELECT doc_id, CASE WHEN wanted AND n <= 5 AND quality IS NOT NULL THEN 'q' || quality ELSE 'listed' END AS note FROM w LEFT JOIN labels USING (doc_id)""",
+)
+def j7(t: Tables) -> DataFrame:
+    listed = t.documents.select("doc_id", "source", "n_chars", F.lit("listed").alias("note"))
+    details = t.labels.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("note"))
+    return R.enrich_with_budget(listed, details, "doc_id", "source", "doc_id", 5, F.col("n_chars") > 800, ["note"]).select("doc_id", "note")
+
+
+@query("j8_validated", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE n_chars >= 200 AND quality = 1")
+def j8(t: Tables) -> DataFrame:
+    return t.documents.join(t.labels.where("quality = 1").select("doc_id"), "doc_id").where("n_chars >= 200").select("doc_id")
+
+
+@query("j9_canonical_name", "SELECT s_suppkey, CASE WHEN n_nationkey IS NULL THEN s_name ELSE n_name END AS canonical FROM supplier LEFT JOIN nation ON s_suppkey = n_nationkey * 2")
+def j9(t: Tables) -> DataFrame:
+    aliases = t.nation.select(F.format_string("SUPPLIER#%09d", F.col("n_nationkey") * 2).alias("alias"), F.col("n_name").alias("canonical"))
+    return R.with_canonical_name(t.supplier, aliases, "s_name").select("s_suppkey", "canonical")
+
+
+@query("j10_coverage", "SELECT c_custkey, c_custkey IN (SELECT s_suppkey FROM supplier) AS covered FROM customer")
+def j10(t: Tables) -> DataFrame:
+    labels = t.supplier.select(F.explode(F.array(F.concat(F.lit("customer "), F.format_string("%09d", "s_suppkey")), F.lit("other"))).alias("label"))
+    return R.coverage(t.customer, labels, "c_name", "label", match_text).select("c_custkey", "covered")
+
+
+@query("j11_deferred", "SELECT c_custkey, NOT (c_custkey % 3 = 0 AND c_custkey // 3 IN (SELECT s_suppkey FROM supplier)) AS enabled FROM customer")
+def j11(t: Tables) -> DataFrame:
+    deferred = t.supplier.select((F.col("s_suppkey") * 3).alias("c_custkey"), F.lit("deferred").alias("status"))
+    return t.customer.join(deferred, "c_custkey", "left").select("c_custkey", F.col("status").isNull().alias("enabled"))
+
+
+@query("j12_request_plan", 'SELECT r_name AS term, n_name AS place, "offset" FROM region, nation, (SELECT unnest(range(0, 60, 20)) AS "offset") WHERE n_regionkey = 1')
+def j12(t: Tables) -> DataFrame:
+    plan = R.request_plan(t.region.select(F.col("r_name").alias("term")), t.nation.where("n_regionkey = 1").select(F.col("n_name").alias("place")), 60, 20)
+    return plan.withColumn("offset", F.col("offset").cast("long"))
+
+
+@query("x1_union_in_order", "SELECT row_number() OVER (ORDER BY o, k) AS ord, name FROM (SELECT 0 AS o, r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT 1, n_nationkey, n_name FROM nation)")
+def x1(t: Tables) -> DataFrame:
+    both = t.region.select(F.lit(0).alias("source_ord"), F.col("r_regionkey").alias("item_ord"), F.col("r_name").alias("name"))
+    both = both.unionByName(t.nation.select(F.lit(1).alias("source_ord"), F.col("n_nationkey").alias("item_ord"), F.col("n_name").alias("name")))
+    return R.numbered(both, ["source_ord", "item_ord"], "ord").select("ord", "name")
+
+
+@query(
+    "x2_differences",
+    """SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL
+    SELECT doc_id + 1000000, 'unexpected' FROM labels WHERE toxic = 1""",
+)
+def x2(t: Tables) -> DataFrame:
+    actual = t.labels.select("doc_id").union(t.labels.where("toxic = 1").select(F.col("doc_id") + 1000000))
+    return R.differences(t.documents, actual, "doc_id")
+
+
+@query("x3_missing_parts", "SELECT i AS part FROM range(0, 400) r(i) WHERE i NOT IN (SELECT s_suppkey * 2 FROM supplier)")
+def x3(t: Tables) -> DataFrame:
+    return R.missing_parts(t.supplier.select((F.col("s_suppkey") * 2).alias("part")), "part", 400)
+
+
+@query("x4_unconfigured", "SELECT c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) AND c_custkey NOT IN (SELECT n_nationkey * 100 FROM nation) ORDER BY lower(c_name)")
+def x4(t: Tables) -> DataFrame:
+    known = t.supplier.select(F.format_string("customer#%09d", "s_suppkey").alias("low")).union(t.nation.select(F.format_string("customer#%09d", F.col("n_nationkey") * 100).alias("low")))
+    return t.customer.withColumn("low", F.lower("c_name")).join(known, "low", "left_anti").orderBy("low").select("c_name")
+
+
+@query("x5_union_distinct", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT n_name FROM nation")
+def x5(t: Tables) -> DataFrame:
+    names = t.nation.select(F.col("n_name").alias("name"))
+    return names.union(t.region.select("r_name")).union(names).distinct().orderBy("name")
+
+
+@query("a1_status_counts", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def a1(t: Tables) -> DataFrame:
+    return t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query(
+    "a2_effective_status",
+    """WITH e AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 'REDIRECT' ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'O' END AS resolved, o_orderpriority FROM orders)
+    SELECT coalesce(resolved, status) AS effective, count(*) AS n, count(*) FILTER (coalesce(resolved, status) IN ('O', 'F') AND o_orderpriority <> '5-LOW') AS promotable FROM e GROUP BY 1""",
+)
+def a2(t: Tables) -> DataFrame:
+    pending = F.col("o_orderstatus") == "P"
+    rows = t.orders.select(F.when(pending, "REDIRECT").otherwise(F.col("o_orderstatus")).alias("status"), F.when(pending & (F.col("o_orderkey") % 2 == 0), "O").alias("resolved"), "o_orderpriority")
+    rows = rows.withColumn("effective", F.coalesce("resolved", "status"))
+    return rows.groupBy("effective").agg(F.count("*").alias("n"), F.count_if(F.col("effective").isin("O", "F") & (F.col("o_orderpriority") != "5-LOW")).alias("promotable"))
+
+
+@query("a3_conditional_counts", "SELECT count(*) FILTER (o_orderstatus = 'O') AS working, count(*) FILTER (o_orderstatus = 'F') AS failed, count(*) FILTER (o_orderstatus = 'P') AS unresolved, count(*) FILTER (o_orderstatus = 'F') > 0 AS failing FROM orders")
+def a3(t: Tables) -> DataFrame:
+    status = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    return t.orders.agg(status("O").alias("working"), status("F").alias("failed"), status("P").alias("unresolved"), (status("F") > 0).alias("failing"))
+
+
+@query(
+    "a4_coverage_summary",
+    "SELECT count(*) AS configured, count(*) FILTER (n > 0) AS enabled, count(DISTINCT event_type) AS labels, count(*) FILTER (n > 10) AS nonempty, count(*) FILTER (errors > 0) AS failed FROM (SELECT user_id, min(event_type) AS event_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1)",
+)
+def a4(t: Tables) -> DataFrame:
+    each = t.events.groupBy("user_id").agg(F.min("event_type").alias("label"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return each.agg(F.count("*").alias("configured"), F.count_if(F.col("n") > 0).alias("enabled"), F.count_distinct("label").alias("labels"), F.count_if(F.col("n") > 10).alias("nonempty"), F.count_if(F.col("errors") > 0).alias("failed"))
+
+
+@query(
+    "a5_limited_list",
+    """WITH l AS (SELECT o_orderstatus, list(DISTINCT 'c' || (o_custkey % 40) ORDER BY 'c' || (o_custkey % 40)) AS l FROM orders GROUP BY 1)
+    SELECT o_orderstatus, array_to_string(l[1:15], ', ') || CASE WHEN len(l) > 15 THEN ' (+' || (len(l) - 15) || ' more)' ELSE '' END AS names FROM l""",
+)
+def a5(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string"))
+    return t.orders.groupBy("o_orderstatus").agg(R.limited_list(F.array_sort(F.collect_set(name)), 15).alias("names"))
+
+
+@query(
+    "a6_identity_conflicts",
+    """WITH r AS (SELECT 'b' || p_brand AS identity, 't' || p_type || (p_size // 10) AS name FROM part)
+    SELECT identity AS key, count(DISTINCT name) AS n, 'identity' AS kind FROM r GROUP BY 1 HAVING count(DISTINCT name) > 1 UNION ALL
+    SELECT name, count(DISTINCT identity), 'name' FROM r GROUP BY 1 HAVING count(DISTINCT identity) > 1""",
+)
+def a6(t: Tables) -> DataFrame:
+    rows = t.part.select(F.concat(F.lit("b"), "p_brand").alias("identity"), F.concat(F.lit("t"), "p_type", F.floor(F.col("p_size") / 10).cast("string")).alias("name"))
+    return R.identity_conflicts(rows, "identity", "name")
+
+
+@query("a7_duplicate_names", "SELECT lower(p_name) AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def a7(t: Tables) -> DataFrame:
+    return t.part.groupBy(F.lower("p_name").alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(
+    "a8_anchor_counts",
+    """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages)
+    SELECT page_id, count(DISTINCT h) AS links, least(count(DISTINCT h) FILTER (regexp_matches(h, '[aeiou]n')), 10) AS targets FROM a GROUP BY 1""",
+)
+def a8(t: Tables) -> DataFrame:
+    anchors = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
+    wanted = F.when(F.col("href").rlike("[aeiou]n"), F.col("href"))
+    return anchors.groupBy("page_id").agg(F.count_distinct("href").alias("links"), F.least(F.count_distinct(wanted), F.lit(10)).alias("targets"))
+
+
+@query(
+    "a9_multiset_difference",
+    """WITH s AS (SELECT l_orderkey % 100 AS g, l_returnflag || l_linestatus || l_quantity::INT AS sig, l_linenumber % 2 AS side FROM lineitem),
+    c AS (SELECT g, sig, count(*) FILTER (side = 0) AS o, count(*) FILTER (side = 1) AS c FROM s GROUP BY ALL)
+    SELECT g, sum(greatest(c - o, 0))::BIGINT AS changed FROM c GROUP BY 1 HAVING sum(greatest(c - o, 0)) > 0""",
+)
+def a9(t: Tables) -> DataFrame:
+    rows = t.lineitem.select((F.col("l_orderkey") % 100).alias("g"), F.concat("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").cast("string")).alias("sig"), "l_linenumber")
+    return R.multiset_difference(rows.where("l_linenumber % 2 = 0"), rows.where("l_linenumber % 2 = 1"), "g", "sig")
+
+
+@query("w1_limit_per_source", "SELECT doc_id, source, n FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 7")
+def w1(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", "source", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("n")).where("n <= 7")
+
+
+@query("w2_single_best", "SELECT conv_id, arg_min(turn, (-length(text), turn)) AS turn FROM conversations GROUP BY 1")
+def w2(t: Tables) -> DataFrame:
+    return R.first_per_key(t.conversations, ["conv_id"], [F.desc(F.length("text")), "turn"]).select("conv_id", "turn")
+
+
+@query(
+    "w3_change_detection",
+    """WITH r AS (SELECT user_id, date_trunc('day', ts) AS run, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY ALL)
+    SELECT user_id, run, failed, coalesce(failed <> lag(failed) OVER (PARTITION BY user_id ORDER BY run), true) AS changed FROM r""",
+)
+def w3(t: Tables) -> DataFrame:
+    runs = t.events.groupBy("user_id", F.date_trunc("day", "ts").alias("run")).agg(F.count_if(F.col("event_type") == "error").alias("failed"))
+    before = F.lag("failed").over(W.partitionBy("user_id").orderBy("run"))
+    return runs.withColumn("changed", F.coalesce(F.col("failed") != before, F.lit(True)))
+
+
+@query("o1_stable_sort", "SELECT row_number() OVER (ORDER BY quality DESC, toxic DESC, doc_id) AS place, doc_id FROM labels")
+def o1(t: Tables) -> DataFrame:
+    return R.numbered(t.labels, [F.desc("quality"), F.desc("toxic"), "doc_id"], "place").select("place", "doc_id")
+
+
+@query("o2_top_alerts", "SELECT doc_id, (SELECT greatest(count(*) - 15, 0) FROM documents) AS remaining FROM documents ORDER BY n_chars DESC, doc_id LIMIT 15")
+def o2(t: Tables) -> DataFrame:
+    rest = t.documents.agg(F.greatest(F.count("*") - 15, F.lit(0)).alias("remaining"))
+    return t.documents.orderBy(F.desc("n_chars"), "doc_id").limit(15).select("doc_id").join(F.broadcast(rest), F.lit(True))
+
+
+@query("o3_sort_by_name", "SELECT row_number() OVER (ORDER BY lower(p_name), p_partkey) AS place, p_partkey FROM part")
+def o3(t: Tables) -> DataFrame:
+    return R.numbered(t.part, [F.lower("p_name"), "p_partkey"], "place").select("place", "p_partkey")
+
+
+@query("o4_input_order", "SELECT event_id, event_id + 1 AS place FROM events")
+def o4(t: Tables) -> DataFrame:
+    shuffled = t.events.select("event_id", (F.col("event_id") + 1).alias("place")).repartition(16, "event_id")
+    return shuffled.orderBy("place")
+
+
+@query("o5_batch_slice", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey LIMIT 25 OFFSET 50")
+def o5(t: Tables) -> DataFrame:
+    return R.ordered_batch(t.part.select("p_partkey", "p_name"), [F.lower("p_name"), "p_partkey"], 2, 25)
+
+
+@query(
+    "o6_chunks",
+    """SELECT l_suppkey, ((n - 1) // 40)::INT AS chunk, string_agg(l_orderkey, ',' ORDER BY n) AS ids FROM (SELECT l_suppkey, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS n FROM lineitem) GROUP BY ALL""",
+)
+def o6(t: Tables) -> DataFrame:
+    chunks = R.in_chunks(t.lineitem, "l_suppkey", "l_orderkey", "l_orderkey", 40)
+    return chunks.select("l_suppkey", "chunk", F.array_join("values", ",").alias("ids"))
+
+
+@query("o7_reordered", "SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 2 END, o_orderpriority) AS items FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) GROUP BY 1")
+def o7(t: Tables) -> DataFrame:
+    items = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("items"))
+    return items.select("o_custkey", F.array_join(R.reordered(F.col("items"), ["5-LOW", "1-URGENT"]), ",").alias("items"))
+
+
