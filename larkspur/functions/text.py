@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 #: Named entities of running text that `clean_text` decodes; the ampersand comes last.
@@ -63,7 +64,7 @@ def slugify(c: Column, default: str = "job") -> Column:
     return F.coalesce(F.nullif(F.replace(match_text(c), F.lit(" "), F.lit("-")), F.lit("")), F.lit(default))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def compact_text(s: pd.Series) -> pd.Series:
     """Compatibility-decomposed text: ASCII letters and digits alone, in lower case."""
     plain = s.fillna("").map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower())

@@ -1 +1,161 @@
-"""Queries."""
+"""Queries of payload shapes and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from larkspur.plans.base import Tables, query
+from larkspur.sources import payloads as S
+from larkspur.sources import sinks as K
+
+
+def orders_payload(t: Tables, wrap: str | None = None) -> DataFrame:
+    """Each customer's orders as the JSON body of a feed."""
+    record = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.struct(F.col("o_orderstatus").alias("code")).alias("status"))
+    item = record if wrap is None else F.struct(record.alias(wrap))
+    lists = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(item)).alias("jobs"))
+    return lists.select("o_custkey", F.to_json(F.struct("jobs")).alias("body"))
+
+
+MAPPING = S.Mapping("$.jobs", {"title": ("$.title", "$.name"), "location": ("$.status.code",), "requisition_id": ("$.id",)})
+ORDER_ITEMS = "SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS item_ord, o_orderpriority AS title, o_orderstatus AS location, o_orderkey::VARCHAR AS requisition_id FROM orders"
+ITEM = ("o_custkey", "item_ord", "title", "location", "requisition_id")
+
+
+@query("s1_flat_items", ORDER_ITEMS)
+def s1(t: Tables) -> DataFrame:
+    return S.flat_items(orders_payload(t), MAPPING).select(*ITEM)
+
+
+@query("s2_wrapped_items", ORDER_ITEMS)
+def s2(t: Tables) -> DataFrame:
+    body = orders_payload(t, "data")
+    quoted = F.regexp_extract(F.to_json(F.struct("body")), r'^\{"body":(.*)\}$', 1)
+    body = body.select("o_custkey", F.when(F.col("o_custkey") % 2 == 0, quoted).otherwise(F.col("body")).alias("body"))
+    return S.flat_items(body, S.Mapping(MAPPING.items, MAPPING.fields, "$.data")).select(*ITEM)
+
+
+@query("s3_grouped_items", "SELECT o_custkey, o_orderkey::VARCHAR AS requisition_id, o_orderpriority AS department FROM orders")
+def s3(t: Tables) -> DataFrame:
+    record = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"))
+    groups = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.sort_array(F.collect_list(record)).alias("l"))
+    body = groups.groupBy("o_custkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "l")))).alias("body"))
+    return S.grouped_items(body, S.Mapping("$.none", MAPPING.fields)).select("o_custkey", "requisition_id", "department")
+
+
+@query("s4_graphql_items", "SELECT o_custkey, o_orderkey::VARCHAR AS requisition_id, false AS failed FROM orders WHERE o_custkey % 5 <> 0 UNION ALL SELECT DISTINCT o_custkey, NULL, true FROM orders WHERE o_custkey % 5 = 0")
+def s4(t: Tables) -> DataFrame:
+    errors = F.when(F.col("o_custkey") % 5 == 0, '[{"message": "denied"}]').otherwise("[]")
+    body = orders_payload(t).select("o_custkey", F.concat(F.lit('{"data": {"search": '), "body", F.lit('}, "errors": '), errors, F.lit("}")).alias("body"))
+    good, bad = S.graphql_items(body, S.Mapping("$.data.search.jobs", MAPPING.fields))
+    return good.select("o_custkey", "requisition_id", F.lit(False).alias("failed")).union(bad.select("o_custkey", F.lit(None).cast("string"), F.lit(True)))
+
+
+def posting_pages(t: Tables) -> DataFrame:
+    """Pages with structured postings: nested ones in every third, broken ones in every fifth."""
+    k = F.col("page_id")
+    one = F.concat(F.lit('{"@type": "JobPosting", "title": "t'), k.cast("string"), F.lit('"}'))
+    nested = F.concat(F.lit('{"@graph": [{"x": ['), one, F.lit(', {"@type": ["Thing", "jobposting"], "title": "second"}]}]}'))
+    body = F.when(k % 5 == 0, '{"@type": "JobPosting", ').when(k % 3 == 0, nested).otherwise(one)
+    return t.pages.select("page_id", "url", F.concat("html", F.lit('<script type="application/ld+json">'), body, F.lit("</script>")).alias("html"))
+
+
+@query(
+    "s5_json_ld",
+    "SELECT page_id, 0 AS item_ord, 't' || page_id AS title FROM pages WHERE page_id % 5 <> 0 UNION ALL SELECT page_id, 1, 'second' FROM pages WHERE page_id % 5 <> 0 AND page_id % 3 = 0",
+)
+def s5(t: Tables) -> DataFrame:
+    found = S.json_ld_postings(posting_pages(t).select("page_id", "html"))
+    return found.select("page_id", "item_ord", F.get_json_object("record", "$.title").alias("title"))
+
+
+@query("s5_json_ld_count", "SELECT page_id, len(regexp_extract_all(html, '(?i)\"@type\"\\s*:\\s*\"JobPosting\"'))::INT + 1 AS n FROM pages")
+def s5_count(t: Tables) -> DataFrame:
+    return posting_pages(t).select("page_id", S.json_ld_count(F.col("html")).alias("n"))
+
+
+@query("s6_embedded_state", "SELECT page_id, page_id::VARCHAR AS id FROM pages")
+def s6(t: Tables) -> DataFrame:
+    state = F.concat(F.lit('{"props": {"id": '), F.col("page_id").cast("string"), F.lit("}}"))
+    k = F.col("page_id") % 3
+    held = F.when(k == 0, F.concat(F.lit('<script id="__NEXT_DATA__">'), state, F.lit("</script>"))).when(k == 1, F.concat(F.lit('<script id="__NEXT_DATA__">'), F.replace(state, F.lit('"'), F.lit('\\"')), F.lit("</script>")))
+    held = held.otherwise(F.concat(F.lit('<script id="__NEXT_DATA__">'), F.replace(state, F.lit('"'), F.lit("&quot;")), F.lit("</script>")))
+    found = S.embedded_state(F.concat("html", held), r'(?s)<script id="__NEXT_DATA__">(.*?)</script>')
+    return t.pages.select("page_id", F.get_json_object(found, "$.props.id").alias("id"))
+
+
+@query(
+    "s7_anchors",
+    """WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS l FROM pages),
+    r AS (SELECT page_id, url, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS h, unnest(l) AS l FROM a)
+    SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || h AS url, arg_min(l, pos) AS title, min(pos)::INT AS item_ord FROM r WHERE trim(l) <> '' AND regexp_matches(h, '^/[a-m]') GROUP BY page_id, 2""",
+)
+def s7(t: Tables) -> DataFrame:
+    return S.cards(t.pages, r"^https?://[^/]+/[a-m]").select("page_id", "url", "title", "item_ord")
+
+
+@query("s8_table_rows", "SELECT n_nationkey, (s_pos - 1)::INT AS item_ord, s_name || ' | ' || s_suppkey AS cells FROM (SELECT n_nationkey, s_name, s_suppkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS s_pos FROM nation JOIN supplier ON s_nationkey = n_nationkey)")
+def s8(t: Tables) -> DataFrame:
+    row = F.concat(F.lit('<tr class="data-row"><td>'), "s_name", F.lit("</td><td><b>"), F.col("s_suppkey").cast("string"), F.lit("</b></td></tr>"))
+    rows = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("row")))).alias("l"))
+    html = F.concat(F.lit("<table><tr><th>Name</th></tr>"), F.array_join(F.transform("l", lambda x: x["row"]), "\n"), F.lit("</table>"))
+    found = S.table_rows(rows.select("n_nationkey", html.alias("html")), row_attribute="data-row")
+    return found.select("n_nationkey", "item_ord", F.array_join("cells", " | ").alias("cells"))
+
+
+@query("s9_sitemap", "SELECT s_nationkey, 'https://x.org/jobs/' || s_suppkey AS url FROM supplier")
+def s9(t: Tables) -> DataFrame:
+    loc = F.concat(F.lit("<url><loc> https://x.org/jobs/"), F.col("s_suppkey").cast("string"), F.lit("</loc></url>"))
+    body = t.supplier.groupBy("s_nationkey").agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("body"))
+    return S.sitemap_urls(body).select("s_nationkey", "url")
+
+
+@query("s9_feed_items", "SELECT s_nationkey, s_name AS title, 'https://x.org/' || s_suppkey AS link, '' AS location FROM supplier")
+def s9_feed(t: Tables) -> DataFrame:
+    item = F.concat(F.lit("<item><title><![CDATA["), "s_name", F.lit("]]></title><a:link>https://x.org/"), F.col("s_suppkey").cast("string"), F.lit("</a:link></item>"))
+    body = t.supplier.groupBy("s_nationkey").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body"))
+    return S.feed_items(body).select("s_nationkey", "title", "link", "location")
+
+
+@query("s10_union_under", "SELECT key AS url, min(source_ord)::INT AS source_ord, 'both' AS source FROM (SELECT c_custkey AS key, 0 AS source_ord FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey, 1 FROM supplier) GROUP BY 1")
+def s10(t: Tables) -> DataFrame:
+    a = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("url"), F.col("c_custkey").alias("item_ord"))
+    b = t.supplier.select(F.col("s_suppkey").alias("url"), F.col("s_suppkey").alias("item_ord"))
+    return S.union_under("both", a, b).select("url", "source_ord", "source")
+
+
+@query("s0_dispatch", "SELECT o_custkey, count(*) AS n, '' AS error FROM orders WHERE o_custkey % 4 <> 0 GROUP BY 1 UNION ALL SELECT DISTINCT o_custkey, 0, 'unsupported source: odd' FROM orders WHERE o_custkey % 4 = 0")
+def s0(t: Tables) -> DataFrame:
+    raw = orders_payload(t).withColumn("ats", F.when(F.col("o_custkey") % 4 == 0, "odd").when(F.col("o_custkey") % 4 == 1, "a").otherwise("b"))
+    rows, unknown = S.dispatch(raw, {"a": MAPPING, "b": MAPPING})
+    return rows.groupBy("o_custkey").agg(F.count("*").alias("n")).withColumn("error", F.lit("")).union(unknown.select("o_custkey", F.lit(0).cast("long"), "error"))
+
+
+@query(
+    "k3_summary",
+    "SELECT CASE WHEN o_orderstatus = 'O' THEN 'WORKING' ELSE o_orderstatus END AS status, count(*) AS n, coalesce(string_agg(DISTINCT 'c' || (o_custkey % 9), ',' ORDER BY 'c' || (o_custkey % 9)) FILTER (o_orderstatus <> 'O'), '') AS names FROM orders GROUP BY 1",
+)
+def k3(t: Tables) -> DataFrame:
+    rows = t.orders.select(F.when(F.col("o_orderstatus") == "O", "WORKING").otherwise(F.col("o_orderstatus")).alias("status"), F.concat(F.lit("c"), (F.col("o_custkey") % 9).cast("string")).alias("name"))
+    return K.summary(rows, "status", "name").withColumn("names", F.array_join("names", ","))
+
+
+@query("k4_alert_records", "SELECT p_partkey AS key, substr(p_name, 1, 250) AS title, p_size || '/100' AS score, 'a' || chr(10) || 'b' AS reasons, 'Est. ₹7–15 LPA' AS pay FROM part")
+def k4(t: Tables) -> DataFrame:
+    rows = t.part.select(
+        F.col("p_partkey").alias("key"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.lit("x").alias("location"), F.col("p_size").alias("score"),
+        F.array(F.lit("a"), F.lit("b")).alias("reasons"), F.lit("").alias("description"), F.lit("").alias("requisition_id"),
+    )
+    sent = K.alert_records(rows)
+    return sent.select("key", *(F.get_json_object("payload", f"$.{f}").alias(f) for f in ("title", "score", "reasons", "pay")))
+
+
+@query(
+    "k5_run_line",
+    "SELECT count(*) AS configured, count(DISTINCT e) AS labels, count(*) FILTER (f IS NULL) AS completed, count(*) FILTER (f IS NULL AND n = 0) AS zero, count(*) FILTER (f IS NOT NULL) AS failed FROM (SELECT user_id, min(event_type) AS e, count(*) FILTER (event_type = 'purchase') AS n, max(CASE WHEN event_type = 'error' AND value > 200 THEN 'x' END) AS f FROM events GROUP BY 1)",
+)
+def k5(t: Tables) -> DataFrame:
+    error = F.max(F.when((F.col("event_type") == "error") & (F.col("value") > 200), "x"))
+    each = t.events.groupBy("user_id").agg(F.min("event_type").alias("label"), F.count_if(F.col("event_type") == "purchase").alias("n"), error.alias("error"))
+    return K.run_line(each, "label", "n", "error")

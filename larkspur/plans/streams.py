@@ -1 +1,75 @@
-"""Queries."""
+"""Queries of the incremental operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from larkspur.operators import relational as R
+from larkspur.plans.base import Tables, query
+from larkspur.streaming import postings as P
+
+
+def event_rows(t: Tables) -> DataFrame:
+    keys = F.array(F.concat(F.lit("u"), F.col("user_id").cast("string"), "event_type", "props"))
+    return t.events.select("event_id", "ts", keys.alias("keys"))
+
+
+@query(
+    "t1_posting_stream",
+    "SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY ALL",
+)
+def t1(t: Tables) -> DataFrame:
+    """The table read as a stream, counted by day."""
+    import uuid
+
+    schema = t.events.schema
+    name = f"t1_{uuid.uuid4().hex}"
+    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    days = stream.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"))
+    run = days.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return t.spark.table(name)
+
+
+@query(
+    "t2_alert_once",
+    """WITH k AS (SELECT event_id, ts, 'u' || user_id || event_type || props AS key FROM events), f AS (SELECT key, min(event_id) AS event_id FROM k GROUP BY 1)
+    SELECT event_id FROM f""",
+)
+def t2(t: Tables) -> DataFrame:
+    """Two runs, split by time (so by id): the second delivers what the first didn't."""
+    rows = event_rows(t)
+    cut = F.lit("2024-01-16").cast("timestamp")
+    none = t.spark.createDataFrame([], "key string")
+    first = P.new_rows(rows.where(F.col("ts") < cut), none, "keys", "event_id")
+    second = P.new_rows(rows.where(F.col("ts") >= cut), first.select(F.explode("keys").alias("key")), "keys", "event_id")
+    return first.union(second).select("event_id")
+
+
+@query("t3_notices")
+def t3(t: Tables) -> DataFrame:
+    runs = t.events.groupBy(F.col("user_id").cast("string").alias("source"), F.unix_seconds(F.date_trunc("hour", "ts")).alias("run"))
+    return P.notices(runs.agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("event_type") == "error", "error"))), ",").alias("failed")))
+
+
+@query("t4_carry_over", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events) WHERE n > 5")
+def t4(t: Tables) -> DataFrame:
+    """What the first run's limit of five a source leaves is new for the next one."""
+    sent = R.in_chunks(t.events.withColumn("rank", F.struct(-F.col("value"), "event_id")), "user_id", "rank", "event_id", 5).where("chunk = 0")
+    return t.events.join(sent.select(F.explode("values").alias("event_id")), "event_id", "left_anti").select("user_id", "event_id")
+
+
+@query(
+    "t5_reconcile",
+    "WITH m AS (SELECT user_id, max(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), g AS (SELECT user_id, max(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT user_id, v FROM m UNION ALL SELECT user_id, v FROM g WHERE user_id NOT IN (SELECT user_id FROM m)",
+)
+def t5(t: Tables) -> DataFrame:
+    side = lambda k: t.events.where(F.col("event_id") % 2 == k).groupBy("user_id").agg(F.max("value").alias("v"))
+    return R.merge_state(side(0), side(1), "user_id", "old")
+
+
+@query("t6_fresh_events", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY")
+def t6(t: Tables) -> DataFrame:
+    as_of = F.lit("2024-01-20").cast("timestamp")
+    return t.events.where(F.col("ts") >= as_of - F.make_interval(days=F.lit(7))).select("event_id")
