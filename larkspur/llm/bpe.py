@@ -19,12 +19,10 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import public_tokenizers
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm import common
@@ -73,22 +71,14 @@ def encode(
     32-bit integers) and decoded (the bytes that these ids stand for)."""
     ranks_path = ranks_path or public_tokenizers.path(RANKS)
     pattern = pattern or public_tokenizers.PATTERN
-    outputs = ("n_tokens", "ids", "decoded")
-    kept = [c for c in (keep if keep is not None else df.columns) if c not in outputs]
-    taken = df.select(*kept, F.col(text).alias("__text"))
-    fields = [f for f in taken.schema.fields if f.name != "__text"]
-    schema = T.StructType(
-        [*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def compute():
         codec = encoding(ranks_path, pattern)
-        for batch in batches:
-            ids = [encode_text(codec, t or "", chunk_chars) for t in batch.pop("__text")]
-            batch["n_tokens"] = [len(x) for x in ids]
-            batch["ids"] = [x.tobytes() for x in ids]
-            batch["decoded"] = [codec.decode_bytes(x.tolist()) for x in ids]
-            yield batch
-
-    common.modest_batches(df.sparkSession)
-    return taken.mapInPandas(run, schema)
+
+        def run(texts: list[str | None]) -> dict[str, list]:
+            ids = [encode_text(codec, t or "", chunk_chars) for t in texts]
+            return {"n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids], "decoded": [codec.decode_bytes(x.tolist()) for x in ids]}
+
+        return run
+
+    return common.with_outputs(df, text, keep, {"n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.BinaryType()}, compute)

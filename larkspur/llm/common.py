@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -52,6 +56,29 @@ def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def with_outputs(df: DataFrame, text: str, keep: list[str] | None, outputs: dict[str, T.DataType], compute: Callable[[], Callable[[list], dict[str, list]]]) -> DataFrame:
+    """df's columns `keep` (all by default, but for those named like an output) with columns computed from its texts.
+
+    `compute()` is called once in a task and gives a function from the texts of a batch (nulls
+    as None) to the outputs. Kept columns pass through as Arrow arrays, untouched.
+    """
+    kept = [c for c in (keep if keep is not None else df.columns) if c not in outputs]
+    taken = df.select(*kept, F.col(text).alias("__text"))
+    fields = [f for f in taken.schema.fields if f.name != "__text"]
+    schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in outputs.items())])
+    arrow = {n: to_arrow_type(t) for n, t in outputs.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = compute()
+        for batch in batches:
+            found = made(batch.column(len(kept)).to_pylist())
+            columns = [batch.column(i) for i in range(len(kept))] + [pa.array(found[n], t) for n, t in arrow.items()]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    modest_batches(df.sparkSession)
+    return taken.mapInArrow(run, schema)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

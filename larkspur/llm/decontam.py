@@ -10,7 +10,7 @@ windows; beyond that both sides are shuffled by window.
 
 Null texts have no words; an item or document without words hits nothing; an
 empty table of either kind gives no hits; items with the same text all count;
-repeated rows of documents stay apart.
+repeated rows of documents stay apart; an input column with an output's name is replaced.
 """
 
 from __future__ import annotations

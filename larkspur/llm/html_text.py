@@ -15,17 +15,15 @@ paragraph between long ones stays.
 
 Null and empty pages give an empty text; unclosed elements end with their
 container; repeated rows each keep their row; an empty table gives an empty
-result; nothing is capped.
+result; an input column with an output's name is replaced; nothing is capped.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,14 +173,6 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
 def extract(df: DataFrame, html: str = "html", sigma: float = 1.0, share: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """df's columns `keep` (all but the page by default) with text and n_chars."""
     kept = [c for c in (keep if keep is not None else df.columns) if c not in ("text", "n_chars", html)]
-    taken = df.select(*kept, F.col(html).alias("__html"))
-    fields = [f for f in taken.schema.fields if f.name != "__html"]
-    schema = T.StructType([*fields, T.StructField("text", T.StringType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["text"] = [main_text(h, sigma, share) for h in batch.pop("__html")]
-            yield batch
-
-    common.modest_batches(df.sparkSession)
-    return taken.mapInPandas(run, schema).withColumn("n_chars", F.length("text").cast("long"))
+    compute = lambda: lambda pages: {"text": [main_text(h, sigma, share) for h in pages]}
+    found = common.with_outputs(df, html, kept, {"text": T.StringType()}, compute)
+    return found.withColumn("n_chars", F.length("text").cast("long"))

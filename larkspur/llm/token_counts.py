@@ -15,11 +15,9 @@ replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import regex
 import sentencepiece
@@ -89,25 +87,22 @@ def count_tokens(
 ) -> DataFrame:
     """df's columns `keep` (all by default) with n_bytes, n_tokens and over_limit (n_tokens > limit)."""
     model_path = model_path or public_tokenizers.path(MODEL)
-    outputs = ("n_bytes", "n_tokens", "over_limit")
-    kept = [c for c in (keep if keep is not None else df.columns) if c not in outputs]
-    body = F.coalesce(F.col(text), F.lit(""))
-    taken = df.select(*kept, F.octet_length(body).cast("long").alias("n_bytes"), body.alias("__text"))
-    fields = [f for f in taken.schema.fields if f.name != "__text"]
-    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept = [c for c in (keep if keep is not None else df.columns) if c not in ("n_bytes", "n_tokens", "over_limit")]
+
+    def compute():
         sp, chunkable = processor(model_path)
-        for batch in batches:
-            texts = batch.pop("__text").tolist()
+
+        def run(texts: list[str | None]) -> dict[str, list]:
+            texts = [t or "" for t in texts]
             counts = [0] * len(texts)
             short = [i for i, t in enumerate(texts) if not chunkable or len(t) <= chunk_chars]
             for i, ids in zip(short, sp.encode([texts[i] for i in short], num_threads=1), strict=True):
                 counts[i] = len(ids)
             for i in set(range(len(texts))).difference(short):
                 counts[i] = count_long(sp, texts[i], chunk_chars, overlap)
-            batch["n_tokens"] = counts
-            yield batch
+            return {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": counts}
+
+        return run
 
-    common.modest_batches(df.sparkSession)
-    return taken.mapInPandas(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    found = common.with_outputs(df, text, kept, {"n_bytes": T.LongType(), "n_tokens": T.LongType()}, compute)
+    return found.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -35,8 +35,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import xxhash
 import zstandard
@@ -239,7 +239,7 @@ def write_tokens(
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode = TaskContext.get().partitionId(), encoder(tokenizer_path, cache_pieces)
         fs, folder = opened(out_dir)
         fs.create_dir(folder, recursive=True)
@@ -247,17 +247,18 @@ def write_tokens(
         with fs.open_output_stream(mine) as sink:
             writer = ShardWriter(sink, frame_bytes, level)
             for batch in batches:
-                for i, ids in zip(batch["doc_id"].astype("Int64"), encode(batch["text"].tolist()), strict=True):
-                    writer.add(None if i is pd.NA else int(i), ids + tail)
+                for i, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
+                    writer.add(i, ids + tail)
             writer.finish()
         if writer.docs:
             fs.move(mine, final)
-            yield pd.DataFrame([(part, final, len(writer.docs), sum(d[2] for d in writer.docs))], columns=["part", "file", "docs", "tokens"])
+            yield pa.RecordBatch.from_pylist([{"part": part, "file": final, "docs": len(writer.docs), "tokens": sum(d[2] for d in writer.docs)}], shard_schema)
         else:
             fs.delete_file(mine)
 
+    shard_schema = pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
     common.modest_batches(spark)
-    found = rows.mapInPandas(run, "part int, file string, docs long, tokens long").collect()  # a row for each shard
+    found = rows.mapInArrow(run, "part int, file string, docs long, tokens long").collect()  # a row for each shard
     return [(r.file, r.docs, r.tokens) for r in sorted(found)]
 
 
@@ -271,10 +272,10 @@ def read_tokens(spark: SparkSession, out_dir: str, shards: list[tuple[str, int,
     if not listed:
         return spark.createDataFrame([], schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = opened(out_dir)
         for batch in batches:
-            for file, base in zip(batch["file"], batch["base"], strict=True):
+            for file, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 with fs.open_input_file(file) as source:
                     reader, rows, size = ShardReader(source), [], 0
                     wanted = None if doc_ids is None else np.flatnonzero(np.isin(reader.doc_id, doc_ids) & (reader.null == 0))
@@ -286,9 +287,11 @@ def read_tokens(spark: SparkSession, out_dir: str, shards: list[tuple[str, int,
                             rows, size = [], 0
                     yield frame(rows)
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids"])
-        return out.astype({"doc_id": "Int64", "start": "int64", "n_tokens": "int64"})
+    arrow = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]
+
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, arrow, strict=True)], [n for n, _ in arrow])
 
     files = spark.createDataFrame(listed, "file string, base long").repartition(len(listed))
-    return files.mapInPandas(run, schema)
+    return files.mapInArrow(run, schema)

@@ -18,7 +18,8 @@ scores cover whole texts of every row.
 
 Null and empty texts get the score of a text without matches; without labels
 of both kinds the given words and weights are used; repeated rows each keep
-their row; an empty table gives an empty result.
+their row; an empty table gives an empty result; an input column with an output's
+name is replaced.
 """
 
 from __future__ import annotations
@@ -267,15 +268,9 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 def score(documents: DataFrame, grammar: Grammar, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """documents' columns `keep` (all by default) with score and predicted (1 from 0.5)."""
     kept = [c for c in (keep if keep is not None else documents.columns) if c not in ("score", "predicted")]
-    taken = documents.select(*kept, F.col(text).alias("__text"))
-    fields = [f for f in taken.schema.fields if f.name != "__text"]
-    schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = [grammar.features(t) for t in batch.pop("__text")]
-            batch["score"] = grammar.score(np.array(x).reshape(len(x), 2 * len(PATHS)))
-            yield batch
+    def compute():
+        return lambda texts: {"score": grammar.score(np.array([grammar.features(t) for t in texts]).reshape(len(texts), 2 * len(PATHS)))}
 
-    common.modest_batches(documents.sparkSession)
-    return taken.mapInPandas(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    found = common.with_outputs(documents, text, kept, {"score": T.DoubleType()}, compute)
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

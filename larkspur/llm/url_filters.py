@@ -12,7 +12,8 @@ candidates alone. Rules without a literal token are candidates of every URL. The
 rule index is broadcast up to MAX_RULES rules; beyond that it is joined by a shuffle.
 
 Null URLs and URLs without `://` have an empty host and path and are allowed;
-repeated rows keep their row each; an empty table gives an empty result.
+repeated rows keep their row each; an empty table gives an empty result; an input column
+with an output's name is replaced.
 """
 
 from __future__ import annotations
