@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import has_phrase, let, tech_text
@@ -108,3 +108,11 @@ def skill_catalog(lines: Column) -> Column:
     parts = F.flatten(F.transform(lines, lambda x: F.split(F.substring_index(x, ":", -1), ",")))
     trimmed = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
     return let(F.struct(trimmed.alias("t"), F.transform(trimmed, tech_text).alias("f")), lambda r: F.filter(r["t"], lambda s, i: F.array_position(r["f"], tech_text(s)) == i + 1))
+
+
+def check_claims(claims: DataFrame, sources: DataFrame, max_length: int = 400) -> DataFrame:
+    """claims(doc_id, text, evidence, …) with `reject_reason` by sources(doc_id, idx, text), whose parts are joined in order."""
+    whole = sources.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda p: p["text"]), "\n").alias("__source"))
+    joined = claims.join(whole, "doc_id", "left")
+    reason = rejection(F.col("text"), F.col("evidence"), F.coalesce("__source", F.lit("")), max_length)
+    return joined.withColumn("reject_reason", reason).drop("__source")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import any_hit, clean_text, hits, match_text, tech_text
@@ -271,3 +272,10 @@ def phrase_score(df: DataFrame, phrases: DataFrame, text: str, key: str) -> Data
 def overlap(a: Column, b: Column) -> Column:
     """Tokens that both texts have."""
     return F.size(F.array_intersect(token_set(a), token_set(b)))
+
+
+def relevance_order(df: DataFrame, group: str, index: str, role: Column, skills: Column, shared: Column, most: int | None = None) -> DataFrame:
+    """df with `rank` of each group's rows: by role score, skill hits and shared tokens, most first, then by index; the first `most` if given."""
+    order = [role.desc(), skills.desc(), shared.desc(), F.col(index).asc()]
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    return ranked if most is None else ranked.where(F.col("rank") <= most)

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import has_phrase, hits, tech_text
 from larkspur.operators import predicates as P
 from larkspur.operators import scoring as S
 from larkspur.plans.base import Tables, query
 from larkspur.plans.predicates import EXPERIENCE, LOCATED, SENIOR, TARGET, pick, sql_list, sql_pick, sql_regex
 from larkspur.plans.text import CLEAN, MATCH, TECH
+from larkspur.plans.values import TOKENS
 
 ROLES = (
     "Data Scientist", "Senior Data Scientist", "Software Engineer", "ML Engineer", "Business Analyst", "DevOps Engineer", "Platform Engineer", "AI Engineer",
@@ -138,11 +140,15 @@ def c8(t: Tables) -> DataFrame:
 
 @query(
     "c9_relevance_order",
-    """SELECT conv_id, turn, rank FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) // 100 DESC, turn) AS rank FROM conversations) WHERE rank <= 3""",
+    f"""WITH f AS (SELECT *, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS lead FROM conversations),
+    k AS (SELECT conv_id, turn, ' ' || {TECH.format('text')} || ' ' AS form, list_distinct({TOKENS}) AS a, list_distinct({TOKENS.replace("coalesce(text, '')", "coalesce(lead, '')")}) AS b FROM f),
+    s AS (SELECT conv_id, turn, (CASE WHEN contains(form, ' of the ') THEN 4 ELSE 0 END) - (CASE WHEN contains(form, ' ea ') THEN 3 ELSE 0 END) AS role,
+      len(list_filter(['the', 'and', 'is', 'de'], lambda x: contains(form, ' ' || x || ' '))) AS skills, len(list_intersect(a, b)) AS shared FROM k)
+    SELECT conv_id, turn, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY role DESC, skills DESC, shared DESC, turn) AS rank FROM s) WHERE rank <= 3""",
 )
 def c9(t: Tables) -> DataFrame:
-    ranked = t.conversations.withColumn("relevance", F.floor(F.length("text") / 100))
-    rank = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("relevance"), "turn"))
-    return ranked.select("conv_id", "turn", rank.alias("rank")).where("rank <= 3")
-
-
+    rows = t.conversations.withColumn("lead", F.first("text").over(W.partitionBy("conv_id").orderBy("turn"))).withColumn("form", tech_text(F.col("text")))
+    role = F.when(has_phrase(F.col("form"), "of the"), 4).otherwise(0) - F.when(has_phrase(F.col("form"), "ea"), 3).otherwise(0)
+    skills = F.size(hits(F.col("form"), ("the", "and", "is", "de"), phrase=True))
+    rows = rows.select("conv_id", "turn", role.alias("role"), skills.alias("skills"), S.overlap(F.col("text"), F.col("lead")).alias("shared"))
+    return S.relevance_order(rows, "conv_id", "turn", F.col("role"), F.col("skills"), F.col("shared"), 3).select("conv_id", "turn", "rank")

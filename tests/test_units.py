@@ -164,3 +164,14 @@ def test_partition_count_does_not_matter(spark, n):
     assert sorted(r.id for r in R.first_per_key(df, ["k"], ["id"]).collect()) == list(range(9))
     assert [r.p for r in R.numbered(df, ["id"], "p").orderBy("id").collect()] == list(range(1, 101))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_claims(spark):
+    from larkspur.api import grounding
+
+    sources = spark.createDataFrame([(1, 1, "reduced run time by 40% with Python"), (1, 0, "Built dashboards")], "doc_id long, idx int, text string")
+    quote = ["reduced run time by 40%"]
+    rows = [("ok", "Reduced run time by 40%", quote), ("number", "Reduced run time by 60%", quote), ("term", "Reduced run time by 40% with Spark", quote), ("quote", "Built things", ["led a team"]), ("none", " ", quote)]
+    claims = spark.createDataFrame([(1, n, t, e) for n, t, e in rows], "doc_id long, name string, text string, evidence array<string>")
+    found = {r.name: r.reject_reason for r in grounding(claims, sources).collect()}
+    assert found == {"ok": None, "number": "unsupported number", "term": "unsupported term", "quote": "invalid evidence", "none": "empty"}
