@@ -164,7 +164,8 @@ def learn_rules(
         held_out = (pb[hit].sum() + 1) / (hit.sum() + 2) if hit.sum() >= 10 else (good + 1) / (n + 2)
         if held_out < least_precision - 0.05 * (hit.sum() < 30) or good / max(n, 1) < least_precision or n < least_cover:
             break
-        rules.append(Rule(tuple((names[f], a, t) for f, a, t in conditions), float(good / n), int(n)))
+        tight = {(f, a): max(t for g, b, t in conditions if (g, b) == (f, a)) if a else min(t for g, b, t in conditions if (g, b) == (f, a)) for f, a, _ in conditions}
+        rules.append(Rule(tuple((names[f], a, t) for (f, a), t in tight.items()), float(good / n), int(n)))
         gx, gb, px, pb = gx[~on], gb[~on], px[~hit], pb[~hit]
     return rules
 
