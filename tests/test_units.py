@@ -175,3 +175,18 @@ def test_claims(spark):
     claims = spark.createDataFrame([(1, n, t, e) for n, t, e in rows], "doc_id long, name string, text string, evidence array<string>")
     found = {r.name: r.reject_reason for r in grounding(claims, sources).collect()}
     assert found == {"ok": None, "number": "unsupported number", "term": "unsupported term", "quote": "invalid evidence", "none": "empty"}
+
+
+def test_notice_stream_equals_the_batch_form(spark, tmp_path):
+    day = 86_400
+    rows = [("s", 0, ""), ("s", 60, "a"), ("t", 70, "b"), ("s", 120, "a"), ("s", 60 + day, "a"), ("s", 70 + day, ""), ("t", 80, "b")]
+    schema = "source string, run long, failed string"
+    (tmp_path / "in").mkdir()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for k, part in enumerate((rows[:4], rows[4:])):
+        (tmp_path / f"in/{k}.json").write_text("".join(json.dumps(dict(zip(("source", "run", "failed"), r, strict=True))) + "\n" for r in part))
+        found = stream.notice_stream(stream.posting_stream(spark, str(tmp_path / "in"), schema, lambda d: d))
+        found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    key = lambda df: sorted((r.source, r.run, r.kind, r.failed) for r in df.collect())
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(stream.notices(spark.createDataFrame(rows, schema)))
