@@ -222,6 +222,11 @@ def word_hashes(text: Column) -> Column:
     return F.transform(common.split_words(common.ascii_lower(text)), lambda w: F.xxhash64(w))
 
 
+def copy_key(words: Column) -> Column:
+    """What texts with the same words share."""
+    return F.unhex(F.sha2(F.array_join(words, " "), 256))
+
+
 def near_duplicates(
     df: DataFrame,
     doc_id: str = "doc_id",
@@ -233,15 +238,17 @@ def near_duplicates(
     target_recall: float = 0.999,
     block: int = 256,
     block_words: int = 1 << 20,
+    details: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its near-duplicate class), copy_id
-    (smallest id with the same words) and n_links (other texts linked to its text)."""
+    (smallest id with the same words) and n_links (other texts linked to its text); with details also copy (its
+    copy_key) and root (the same for all of a class, whatever the ids)."""
     spark = df.sparkSession
     common.modest_batches(spark, 2000)
     depth = forest_depth(threshold, trees, max_depth, target_recall)
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("words", common.split_words(common.ascii_lower(F.col("text"))))
-    docs = docs.select("id", F.unhex(F.sha2(F.array_join("words", " "), 256)).alias("copy"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    docs = docs.select("id", copy_key(F.col("words")).alias("copy"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     rows = common.written(with_keys(docs, n, trees, depth), "keys")
 
     # 1: copy classes. A class's text stands for all its copies.
@@ -280,5 +287,6 @@ def near_duplicates(
     near = near.join(counts.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     near = common.written(near, "near")
     smallest = near.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    near = near.join(smallest.hint("merge"), "root").select("copy", "class_id", "copy_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.select("id", "copy").join(near.hint("merge"), "copy").select(F.col("id").alias("doc_id"), "class_id", "copy_id", "n_links")
+    near = near.join(smallest.hint("merge"), "root").select("copy", "root", "class_id", "copy_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = rows.select("id", "copy").join(near.hint("merge"), "copy")
+    return found.select(F.col("id").alias("doc_id"), "class_id", "copy_id", "n_links", *(["copy", "root"] if details else []))
