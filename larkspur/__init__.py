@@ -1,0 +1 @@
+"""Analytics for posting feeds and operators for training corpora on PySpark."""

@@ -1 +1 @@
-""""""
+"""Operators: DataFrame to DataFrame, or Column to Column."""

@@ -1 +1 @@
-""""""
+"""Every operator as a query, with its SQL."""

@@ -1 +1 @@
-""""""
+"""Payloads, files and sinks."""

@@ -1 +1 @@
-""""""
+"""Incremental operators."""
