@@ -165,14 +165,16 @@ def verified(group: pd.DataFrame, n: int, threshold: float) -> pd.DataFrame:
     # a pair counts in the first bucket that both have
     a, b = np.nonzero(np.triu(on))
     held = [np.asarray(x, np.int64) for x in group["buckets"]]
-    width = max(len(x) for x in held)
-    table = np.full((len(held), width), -1, np.int64)
+    sizes = np.array([len(x) for x in held], np.int64)
+    table = np.zeros((len(held), sizes.max()), np.int64)
+    filled = np.arange(table.shape[1]) < sizes[:, None]  # any value can be a bucket, so none marks the padding
     for i, x in enumerate(held):
         table[i, : len(x)] = np.sort(x)
     mine = np.zeros(len(a), bool)
     for k in range(0, len(a), 1 << 16):
-        x, y = table[a[k : k + (1 << 16)]], table[b[k : k + (1 << 16)]]
-        common_bucket = (x[:, :, None] == y[:, None, :]).any(2) & (x >= 0)
+        i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+        x, y = table[i], table[j]
+        common_bucket = ((x[:, :, None] == y[:, None, :]) & filled[i][:, :, None] & filled[j][:, None, :]).any(2)
         mine[k : k + (1 << 16)] = x[np.arange(len(x)), common_bucket.argmax(1)] == bucket
     a, b = a[mine], b[mine]
     count = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))

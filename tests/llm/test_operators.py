@@ -167,6 +167,27 @@ def test_ngram_join_equals_brute_force(spark, block):
     assert found == brute_join(rows)
 
 
+def test_ngram_join_counts_each_link_of_groups(spark):
+    rng = random.Random(17)
+    rows, groups = [], []
+    for _ in range(250):
+        base = [f"w{rng.randrange(5000)}" for _ in range(104)]
+        groups.append(range(len(rows), len(rows) + rng.randrange(3, 7)))
+        for k in range(len(groups[-1])):
+            at = rng.randrange(5, 99) if k else -1  # one other word: 0.90 to the base, from 0.82 to other copies
+            rows.append((len(rows), " ".join("other" + str(k) if i == at else w for i, w in enumerate(base))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = df.select(F.col("doc_id").alias("id"), F.lit(None).cast("binary").alias("copy"), ngram_join.word_hashes(F.col("text")).alias("hashes"))
+    keys = {r.id: set(r["keys"]) for r in ngram_join.with_keys(hashed, 5, 12, 3).collect()}
+    sets, unmet = [shingle_sets(t)[0] for _, t in rows], collections.Counter()  # links whose texts share no key
+    for group in groups:
+        for a in group:
+            unmet[a] = sum(a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and not keys[a] & keys[b] for b in group)
+    expected = {i: (c, copy, n - unmet[i]) for i, (c, copy, n) in brute_join(rows).items()}
+    found = {r.doc_id: (r.class_id, r.copy_id, r.n_links) for r in ngram_join.near_duplicates(df).collect()}
+    assert found == expected and sum(unmet.values()) <= 0.001 * sum(n for _, _, n in expected.values())
+
+
 def test_ngram_join_hostile(spark, odd, none):
     found = ngram_join.near_duplicates(odd)
     assert ids_of(found) == ids_of(odd)
