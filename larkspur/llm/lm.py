@@ -6,8 +6,8 @@ class, within which a token has its add-one share of the class's counts. The mod
 predicts a token from the two before it: their context vectors, scaled by position, add
 up to a prediction that is multiplied with every token's vector, plus a bias
 (Mnih and Hinton 2007; Mnih and Teh 2012). In each of `rounds` every partition of the
-training texts makes noise-contrastive steps in numpy from the same start, on every
-`stride`-th token, and the partitions' parameters are averaged by the tokens that they saw.
+training texts makes noise-contrastive steps in numpy from the same start, with every token
+as a target, and the partitions' parameters are averaged by the tokens that they saw.
 
 `score` sums log10 probabilities of whole texts. They are normalised: batched matrix
 products over the vocabulary give the log normaliser of every pair of context tokens once,
@@ -166,7 +166,7 @@ def class_ids(h: np.ndarray, own: int) -> np.ndarray:
 
 
 def train(
-    texts: DataFrame, text: str = "text", vocabulary: int = 1023, head: int = 1 << 16, size: int = 24, rounds: int = 2, stride: int = 2, batch: int = 512
+    texts: DataFrame, text: str = "text", vocabulary: int = 1023, head: int = 1 << 16, size: int = 24, rounds: int = 2, batch: int = 512
 ) -> Model:
     spark = texts.sparkSession
     common.modest_batches(spark)
@@ -182,16 +182,16 @@ def train(
     for k in range(rounds if n_tokens else 0):
         start, rate = parameters, 0.1 / (k + 1)
 
-        def run(batches: Iterator[pd.DataFrame], start=start, rate=rate) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], start=start, rate=rate, k=k) -> Iterator[pd.DataFrame]:
             trainer, seen = Trainer(start, class_counts + 1, seed=len(class_counts), rate=rate), 0
-            rng = np.random.default_rng(11)
+            rng = np.random.default_rng([11, k])  # another order in each round
             for frame in batches:
                 docs = [tokens_of(t) for t in frame["text"]]
                 starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]]).astype(np.int64)
                 get = known.value.get
                 ids = class_ids(np.array([get(t, -1) for t in chain.from_iterable(docs)], np.int64), own)
                 one, two = contexts(ids, starts, len(class_counts))
-                places = rng.permutation(np.arange(rng.integers(stride), len(ids), stride))
+                places = rng.permutation(len(ids))
                 for i in range(0, len(places), batch):
                     at = places[i : i + batch]
                     trainer.step(ids[at], one[at], two[at])

@@ -290,6 +290,13 @@ def test_language_model(spark, odd, none, docs):
     assert all(r.n_known == 0 for r in empty)
 
 
+def test_language_model_trains_on_every_position(spark):
+    """a stands at the even positions alone, b and the end at the odd ones; all texts are one batch of one task."""
+    texts = spark.createDataFrame([(" ".join("ab"[i % 2] for i in range(99)),)] * 1000, "text string").coalesce(1)
+    r = lm.score(texts.limit(1), lm.train(texts)).first()
+    assert r.n_tokens == 100 and r.base_score / 100 < -0.25 and r.score / 100 > -0.1
+
+
 def test_digests(spark):
     rows = queries.op10_byte_bpe(spark, DATA).join(common.table(spark, DATA, "documents").select("doc_id", "text"), "doc_id").collect()
     assert all(r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
