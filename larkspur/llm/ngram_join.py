@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join: MinHash LSH forest, exact verification, near-duplicate classes.
+"""N-gram Jaccard self-join: MinHash banding, exact verification, near-duplicate classes.
 
 Texts are lower-cased (A-Z) and cut into words at white space; a text's set holds its
 `n`-word shingles (a text of fewer words, but not none, is one shingle). Two texts
@@ -6,11 +6,10 @@ are linked if the Jaccard similarity of their sets is at least `threshold`.
 
 1. Texts with the same words form one *copy class*; its smallest id represents it,
    and only representatives go on.
-2. Each representative gets `trees` minhash sequences of up to `max_depth` values.
-   A sorted prefix trie over a tree's sequences is searched by prefix: the depth
-   starts at `max_depth` and is shortened until the recall at the threshold,
-   1 - (1 - threshold^depth)^trees, reaches `target_recall`. A trie node at that
-   depth with two or more texts is a *bucket*.
+2. Each representative gets `trees` keys of `depth` minhash values each: fixed-depth banding in
+   place of a prefix forest. The depth is the longest up to `max_depth` whose expected recall at
+   the threshold, 1 - (1 - threshold^depth)^trees, reaches `target_recall`; the data isn't
+   consulted. A key of two or more texts is a *bucket*.
 3. Buckets with the same members are one bucket. A bucket of more than `block` texts
    (or of much text) is split into blocks; each pair of blocks is one verification
    group, so that no task holds a whole bucket.
@@ -19,7 +18,7 @@ are linked if the Jaccard similarity of their sets is at least `threshold`.
    else. No pairs leave a group: only the count of links of each text, and the edges of
    a spanning forest of the verified links.
 5. Connected components over these edges (star contraction) are the near-duplicate
-   classes. The number of links of a text is exact for the pairs that the forest finds.
+   classes. The number of links of a text is exact for the pairs that share a key.
 
 Null texts count as empty; texts without words link to nothing, but are copies of each other;
 rows that repeat an id are copies of it or, with another text, a text of their own; a null id counts as a
