@@ -1,26 +1,30 @@
-"""Main text of HTML pages.
+"""Main text of HTML pages, by text-to-tag ratios.
 
 The page goes once through the standard library's streaming HTML parser. Its
-events build *lines*: the text of one block each, with the number of tags in it
-and the container it lies in. Text within menus, footers, forms, scripts and the
-like, or in elements whose class or id names an advert, a notice, a sidebar or
-reader comments, never becomes a line.
-
-Each line has a text-to-tag ratio. The ratios are smoothed with a Gaussian and
-lines whose smoothed ratio reaches a threshold (a share of the mean) form the
-dense clusters. The content region is the article element with the most dense
-text; without one, the innermost container that holds most of the dense text. All
-its lines between the first and the last one are kept, so a short
-paragraph between long ones stays.
+events build *lines*: the text of one block each, with the number of tags in it and
+how much of it lies outside links and menus. Elements that the contract names are left
+out by what they are called: headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments. Menus aren't; their text counts as none, so that the ratios drop them.
+
+A line's ratio is its text outside links and menus over its tags. The ratios are smoothed with a
+Gaussian of `sigma` lines, and lines whose smoothed ratio reaches `share` of the page's median ratio
+form clusters, each within one article element or outside all. A
+cluster begins and ends with a line that has a ratio of its own, so smoothing carries no
+menu beside an article into it, while short paragraphs between or after long ones stay. Lines of a menu
+within a cluster go. Of the articles of a page (all that lies outside is one more), those stay whose
+clusters hold at least `part` of the most text that one of them holds. Without article elements
+the clusters of the whole page are the text.
 
 Null and empty pages give an empty text; unclosed elements end with their
-container; repeated rows each keep their row; an empty table gives an empty
+container; pages of equal texts or repeated rows each keep their row; very long pages are read as a stream of
+events and deep nesting costs a stack of open containers, with no recursion; an empty table gives an empty
 result; an input column with an output's name is replaced; nothing is capped.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -32,97 +36,136 @@ from larkspur.llm import common
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NO_TEXT = {"head", "script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button", "datalist"}
-BOILERPLATE = {"nav", "footer", "aside", "form", "dialog", "menu"} | NO_TEXT
-CONTAINERS = {"html", "body", "main", "article", "section", "div", "header", "ul", "ol", "dl", "table", "blockquote", "figure", "details"} | BOILERPLATE
-BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "pre", "address", "caption", "figcaption", "summary", "hr", "thead", "tbody", "tfoot", "fieldset", "legend", "hgroup", "center"} | CONTAINERS
+BOILERPLATE = {"footer", "aside", "form", "dialog"} | NO_TEXT
+MENUS = {"nav", "menu"}
+CONTAINERS = {"html", "body", "main", "article", "section", "div", "header", "ul", "ol", "dl", "table", "blockquote", "figure", "details"} | BOILERPLATE | MENUS
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+BLOCKS = {"p", "li", "dt", "dd", "tr", "td", "th", "pre", "address", "caption", "figcaption", "summary", "hr", "thead", "tbody", "tfoot", "fieldset", "legend", "hgroup", "center"} | HEADINGS | CONTAINERS
 #: Words of a class or id that mark an element as no part of the article.
 MARKS = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
     "sidebar footer masthead comment comments disqus respond replies reply notice notices cookie cookies consent gdpr popup modal overlay alert "
-    "newsletter subscribe signup login share sharing social related recommended pagination pager widget toolbar skip copyright".split()
+    "newsletter subscribe signup login share sharing social related recommended widget skip copyright".split()
 )
+#: Words that mark it as a menu.
+MENU_MARKS = set("nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar".split())
 #: Marks of a page's header, which within an article may hold its title.
 HEADER_MARKS = {"header", "topbar", "top"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
+ROLES = {"banner", "contentinfo", "complementary", "search", "form", "alert", "dialog"}
+MENU_ROLES = {"navigation", "menu", "menubar"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 MARK_SPLIT = re.compile(r"[^a-z0-9]+")
+WORD = re.compile(r"[^\W_]")
+#: What an open element makes of its text.
+KEPT, MENU, OUT = 0, 1, 2
 
 
 class LineReader(HTMLParser):
-    """Collects (text, tags, containers) of each block outside boilerplate."""
+    """Collects (text, characters outside links and menus, tags, article, whether in a menu) of each block that isn't left out."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.open: list[tuple[str, int, bool]] = []  # container tag, its number, whether its text is left out
-        self.kinds: list[str] = []
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.open: list[tuple[str, int, int]] = []  # container tag, what becomes of its text, innermost article (0: none)
+        self.named: Counter[str] = Counter()  # open containers by tag
+        self.articles = 0
+        self.linked = self.heading = False
+        self.clear()
+
+    def clear(self) -> None:
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.plain = 0
+        self.words = self.links = False
+
+    @property
+    def kind(self) -> int:
+        return self.open[-1][1] if self.open else KEPT
 
     def end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, tuple(n for _, n, _ in self.open)))
-        self.parts = []
-        self.tags = 0
+                plain = 0 if self.links and not self.words else self.plain  # what parts links is no text
+                self.lines.append((text, plain, 1 + self.tags, self.open[-1][2] if self.open else 0, self.kind == MENU))
+        self.clear()
 
-    def left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def kind_of(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in BOILERPLATE:
-            return True
-        within = any(t in ("article", "main") for t, _, _ in self.open)
+            return OUT
+        within = bool(self.open and self.open[-1][2])
         if tag == "header" and not within:
-            return True
-        if tag in ("article", "main", "body", "html") or not attrs:
-            return False
+            return OUT
+        found = MENU if tag in MENUS else KEPT
+        if tag in ("article", "main", "body", "html"):
+            return found
         for name, value in attrs:
             value = (value or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
-                return True
-            if name == "role" and value in ROLES:
-                return True
+                return OUT
+            if name == "role":
+                if value in ROLES:
+                    return OUT
+                found = MENU if value in MENU_ROLES else found
             if name in ("class", "id"):
                 words = set(MARK_SPLIT.split(value))
                 if words & MARKS or words & HEADER_MARKS and not within:
-                    return True
-        return False
+                    return OUT
+                found = MENU if words & MENU_MARKS else found
+        return found
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in BLOCKS:
             self.tags += tag not in VOID
             if tag == "br":
                 self.parts.append(" ")
-            elif tag not in VOID and attrs and self.left_out(tag, attrs):
-                self.push(tag, True)
+            elif tag == "a":
+                self.linked = True
+            if tag not in VOID and attrs and (kind := self.kind_of(tag, attrs)):
+                self.push(tag, kind)
             return
         self.end_line()
+        self.heading = tag in HEADINGS
         if tag in ("article", "main"):  # an article begins: whatever left-out element before it is still open isn't around it
-            while self.open and self.open[-1][2]:
-                self.open.pop()
-        if tag == "body":
+            while self.open and self.open[-1][1]:
+                self.close_from(len(self.open) - 1)
+        if tag == "body" and self.named["head"]:
             self.open = [o for o in self.open if o[0] != "head"]
-        if tag in CONTAINERS and tag not in VOID:
-            self.push(tag, self.left_out(tag, attrs))
-        elif tag not in VOID and attrs and self.left_out(tag, attrs):
-            self.push(tag, True)
+            self.named["head"] = 0
+        if tag in VOID:
+            return
+        kind = self.kind_of(tag, attrs) if attrs or tag in CONTAINERS else KEPT
+        if tag in CONTAINERS or kind:
+            self.push(tag, kind)
 
-    def push(self, tag: str, out: bool) -> None:
-        self.open.append((tag, len(self.kinds), out or bool(self.open and self.open[-1][2])))
-        self.kinds.append(tag)
+    def push(self, tag: str, kind: int) -> None:
+        around = self.open[-1] if self.open else ("", KEPT, 0)
+        self.articles += tag in ("article", "main")
+        self.named[tag] += 1
+        self.open.append((tag, max(kind, around[1]), self.articles if tag in ("article", "main") else around[2]))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_line()
-        elif tag not in VOID:
-            self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
+            self.linked = self.heading = False
+        elif tag == "a":
+            self.linked = False
+        if self.named[tag]:
+            self.close_from(next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag))
+
+    def close_from(self, i: int) -> None:
+        for tag, _, _ in self.open[i:]:
+            self.named[tag] -= 1
+        del self.open[i:]
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][2]):
-            self.parts.append(data)
+        if self.kind == OUT:
+            return
+        self.parts.append(data)
+        if self.linked and not self.heading:
+            self.links = True
+        elif self.kind == KEPT:
+            self.plain += len(data.strip())
+            self.words = self.words or WORD.search(data) is not None
 
     def finish(self) -> None:
         self.close()
@@ -130,49 +173,56 @@ class LineReader(HTMLParser):
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
-    radius = max(1, round(3 * sigma))
+    """Gaussian means over neighbours; the ratios themselves if sigma is 0."""
+    if not sigma:
+        return ratios
+    radius = max(1, round(4 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
     weight = np.convolve(np.ones(len(ratios)), kernel)[radius : radius + len(ratios)]
     return np.convolve(ratios, kernel)[radius : radius + len(ratios)] / weight
 
 
-def content_lines(reader: LineReader, sigma: float, share: float) -> list[str]:
-    lines = reader.lines
-    if not lines:
+#: What a line needs as a ratio of its own, if the threshold isn't lower: some text outside links.
+LEAST = 0.01
+
+
+def content_lines(lines: list[tuple[str, int, int, int, bool]], sigma: float, share: float, part: float) -> list[str]:
+    plain, tags, article = (np.array([x[k] for x in lines]) for k in (1, 2, 3))
+    ratio = plain / tags
+    if not ratio.any():
         return []
-    sizes = np.array([len(t) for t, _, _ in lines], float)
-    dense = smoothed(sizes / (1 + np.array([n for _, n, _ in lines])), sigma)
-    dense = dense >= share * dense.mean()
-    mass: dict[int, float] = {}
-    for (_, _, within), size, on in zip(lines, sizes, dense, strict=True):
-        if on:
-            for c in within:
-                mass[c] = mass.get(c, 0) + size
-    articles = [c for c in mass if reader.kinds[c] == "article"] or [c for c in mass if reader.kinds[c] == "main"]
-    if articles:
-        region = max(articles, key=lambda c: (mass[c], -c))
-    else:
-        most = max(mass.values(), default=0)
-        region = max((c for c in mass if mass[c] >= 0.6 * most), default=None)
-    inside = [i for i, (_, _, within) in enumerate(lines) if region is None or region in within]
-    if not articles:  # the ends of a region that no article element marks must be dense
-        on = [i for i in inside if dense[i]]
-        inside = [i for i in inside if on and on[0] <= i <= on[-1]]
-    return [lines[i][0] for i in inside]
-
-
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
+    threshold = share * np.median(ratio[ratio > 0])
+    own = ratio >= min(threshold, LEAST)
+    dense = smoothed(ratio, sigma) >= threshold
+    # clusters: runs of dense lines of one article, without the lines at their ends that have no ratio of their own
+    change = np.flatnonzero((dense[1:] != dense[:-1]) | (article[1:] != article[:-1])) + 1
+    clusters, mass = [], {}
+    for first, end in zip([0, *change.tolist()], [*change.tolist(), len(lines)], strict=True):
+        at = np.flatnonzero(own[first:end]) if dense[first] else ()
+        if len(at):
+            cluster = range(first + int(at[0]), first + int(at[-1]) + 1)
+            clusters.append(cluster)
+            k = int(article[first])
+            mass[k] = mass.get(k, 0) + int(plain[cluster.start : cluster.stop].sum())
+    least = part * max(mass.values(), default=0)
+    return [lines[i][0] for c in clusters if mass[int(article[c.start])] >= least for i in c if own[i] or not lines[i][4]]
+
+
+def main_text(html: str | None, sigma: float = 2.5, share: float = 0.07, part: float = 0.3) -> str:
+    """The text of one page. A `sigma` of 0 smooths nothing; with a `share` of 0 every line is dense."""
     if not html:
         return ""
     reader = LineReader()
     reader.feed(html)
     reader.finish()
-    return "\n".join(content_lines(reader, sigma, share))
+    return "\n".join(content_lines(reader.lines, sigma, share, part)) if reader.lines else ""
 
 
-def extract(df: DataFrame, html: str = "html", sigma: float = 1.0, share: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+def extract(
+    df: DataFrame, html: str = "html", sigma: float = 2.5, share: float = 0.07, part: float = 0.3, keep: list[str] | None = None
+) -> DataFrame:
     """df's columns `keep` (all but the page by default) with text and n_chars."""
     kept = [c for c in (keep if keep is not None else df.columns) if c not in ("text", "n_chars", html)]
-    compute = lambda: lambda pages: {"text": [main_text(h, sigma, share) for h in pages]}
+    compute = lambda: lambda pages: {"text": [main_text(h, sigma, share, part) for h in pages]}
     found = common.with_outputs(df, html, kept, {"text": T.StringType()}, compute)
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -5,7 +5,9 @@ import hashlib
 import random
 import re
 import zlib
+from html import unescape
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -269,6 +271,38 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def article_lines(html):
+    """The blocks of the article element of a generated page, by pattern."""
+    body = re.sub(r"</?(?:b|i|em)>", "", re.search(r"(?s)<article>(.*)</article>", html)[1])
+    blocks = (" ".join(unescape(re.sub(r"<br>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", body))
+    return "\n".join(x for x in blocks if x)
+
+
+def test_html_over_all_pages():
+    """Every page of the table: the article's text, with and without its element; threshold and smoothing make it."""
+    pages = [r[0] for r in duckdb.sql(f"SELECT html FROM '{DATA.replace('sf0.001', 'sf0.01')}/pages.parquet'").fetchall()]
+    bare = [re.sub(r"</?article>", "", h) for h in pages]
+    texts = [article_lines(h) for h in pages]
+    assert [html_text.main_text(h) for h in pages] == texts and [html_text.main_text(h) for h in bare] == texts
+    changed = lambda **how: sum(html_text.main_text(h, **how) != t for h, t in zip(bare, texts, strict=True))
+    assert changed(share=0) == len(pages) and changed(sigma=0) > 0.05 * len(pages)
+
+
+def test_html_regions():
+    long = "A paragraph of the article that is long enough to count. " * 3
+    rows = lambda n, text: "".join(f"<p>{text}</p>" for _ in range(n))
+    text = html_text.main_text
+    unequal = f"<div><div>{rows(6, long)}</div><div>{rows(3, long)}<p>Short.</p></div></div>"
+    assert text(unequal).count("\n") == 9 and text(unequal).endswith("\nShort.")
+    assert text(f"<ul><li><a href=a>Home</a> | <a href=b>News</a></ul>{rows(2, long)}<ul><li><a href=c>Next</a></ul>").count("\n") == 1
+    assert text(f"<div>{rows(3, long)}<nav>In <a href=x>this</a> page</nav>{rows(3, long)}</div>").count("\n") == 5
+    assert text(f"<p>{long}<p><a href=x>only a link</a><p>{long}").count("\n") == 2
+    assert text(f"<article>{rows(3, long)}</article><div>Some words</div><article>{rows(2, long)}</article>").count("\n") == 4
+    assert text(f"<h1><a href=/>Title</a></h1>{rows(2, long)}").startswith("Title\n")
+    deep = "<div>" * 30_000 + long + "</i>" * 30_000
+    assert text(deep) == long.strip() and len(text(f"<p>{'word ' * 1_000_000}</p>")) == 4_999_999 and text(rows(20_000, "x")).count("x") == 20_000
+
+
 def test_language_model(spark, odd, none, docs):
     train, held = docs.where("doc_id % 7 <> 2"), docs.where("doc_id % 7 = 2")
     model = lm.train(train)
