@@ -235,23 +235,62 @@ def test_quality_on_labels(spark):
     assert lost <= 0.03 * good
 
 
-def test_toxicity_paths():
-    g = toxicity.Grammar({"idiot": 1.0}, {"moro": 1.0})
-    count = lambda t: dict(zip(toxicity.PATHS, np.expm1(g.features(t)[:5]).round().astype(int).tolist(), strict=True))
-    assert count("What an idiot.")["plain"] == 1 and count("You are a moronic person")["aimed"] == 1
-    assert count("He is not an idiot")["negated"] == 1 and count("He said the boss was an idiot")["reported"] == 1
-    assert count("I will hurt you")["threat"] == 1 and not g.features("a plain text").any() and not g.features(None).any()
-    assert count("You. An idiot")["aimed"] == 0
+def test_toxicity_clauses():
+    g = toxicity.Grammar({"idiot": 3.0, "stupid": 2.5}, {"moro": 3.0})
+    taken = lambda t: [dict(zip(toxicity.NAMES, p.tolist(), strict=True)) for p in g.clauses(t)]
+    none = g.score(None)
+    assert none == g.score("") == g.score("a plain text") < 0.1 and not taken("a plain text")
+    assert none < g.score("idiot") < g.score("You idiot") < g.score("You complete idiot") < 1
+    assert g.score("idiot") > 0.5 and taken("You are a moronic person")[0]["aimed"] == 1 and taken("idiot, you")[0]["aimed"] == 1
+    for calm in ("He is not an idiot", "Nobody stupid is here.", "He said the boss was an idiot", "I will not hurt you", "She said that I will hurt you", "Never hurt you, he will"):
+        assert g.score(calm) == none, calm
+    assert g.score("I will hurt you") > g.score("You idiot") and taken("You. An idiot")[0]["aimed"] == 0
+    assert g.score("idiot. idiot") > g.score("idiot") and g.score("Not an idiot. You idiot") == g.score("You idiot")
+    assert taken("a " * 200_000 + "idiot")[0]["lexical"] == 3
+
+
+def test_toxicity_composition():
+    """The composed machine is the cascade of its machines, path by path."""
+    one, two = toxicity.insults(), toxicity.scope("negation", 2, "negated")
+    both = toxicity.compose(one, two)
+
+    def paths(m, symbols):
+        states = [(m.start, (), ())]
+        for c in symbols:
+            states = [(n, out + (z,), names + f) for s, out, names in states for n, z, f in m.arcs[s, c]]
+        return sorted((out, names) for s, out, names in states if s in m.final)
+
+    rng = random.Random(1)
+    for _ in range(100):
+        symbols = [rng.choice(toxicity.SYMBOLS) for _ in range(5)]
+        cascade = [(out, f + g) for y, f in paths(one, symbols) for out, g in paths(two, y)]
+        assert [(out, sorted(f)) for out, f in paths(both, symbols)] == sorted((out, sorted(f)) for out, f in cascade)
 
 
 def test_toxicity_held_out(spark, odd, none):
     sf = DATA.replace("sf0.001", "sf0.1")
-    found = queries.op4_toxicity(spark, sf).join(common.table(spark, sf, "labels"), "doc_id").where("held_out")
-    rows = found.select("toxic", "predicted", "score").collect()
+    labels = common.table(spark, sf, "labels")
+    held = queries.fold("doc_id", 5) == 0
+    grammar = toxicity.fit(common.table(spark, sf, "documents"), labels.where(~held))
+    assert (grammar.weights >= toxicity.LOW).all() and (grammar.weights <= toxicity.HIGH).all()
+    texts = common.table(spark, sf, "documents").select("doc_id", "text").join(labels.where(held), "doc_id")
+    rows = toxicity.score(texts, grammar).select("text", "toxic", "predicted", "score").collect()
     assert sum(r.toxic == r.predicted for r in rows) >= 0.95 * len(rows)
     assert sum(r.predicted for r in rows if not r.toxic) <= 0.01 * len(rows) and all(0 <= r.score <= 1 for r in rows)
-    grammar = toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert ids_of(toxicity.score(odd.drop("score"), grammar)) == ids_of(odd) and toxicity.score(none, grammar).count() == 0
+    # clean held-out texts with one more sentence: a match of words alone would flag all of them
+    clean = [r.text for r in rows if not r.toxic and not r.predicted][:200]
+    flagged = lambda sentence: sum(grammar.score(f"{t}\n{sentence}\n{t}") >= 0.5 for t in clean) / len(clean)
+    assert flagged("You are an idiot.") == flagged("You moron!") == flagged("I will hurt you.") == 1
+    assert flagged("He is not an idiot.") == flagged("They said he was an idiot.") == flagged("This is no moron.") == 0
+    found = toxicity.score(odd, toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int")))
+    assert ids_of(found) == ids_of(odd) and dict(found.dtypes)["score"] == "double" and toxicity.score(none, grammar).count() == 0
+
+
+def test_toxicity_query_holds_out_rows_without_an_id_from_nothing(spark, tmp_path):
+    spark.createDataFrame([(1, "x"), (None, "you idiot")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r.doc_id: r for r in queries.op4_toxicity(spark, str(tmp_path)).collect()}
+    assert found[None].held_out is False and found[None].predicted == 1 and found[1].predicted == 0
 
 
 PAGES = {
