@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from functools import partial
 from html import unescape
 
 import duckdb
@@ -53,6 +54,21 @@ def test_url_filters(spark, same):
     assert found[6] == ("x.example.net", "/en/1", "example.net/en/", "allow") and found[7] == ("example.com", "/de/", "example.com/de/", "block")
     assert found[8][2:] == ("org/fr/", "allow") and found[9][2:] == (None, "allow") and found[10][3] == found[11][3] == "block"
     assert url_filters.judge_urls(spark.createDataFrame([], "url string")).count() == 0
+    ties = (url_filters.list_rule("a.net/", "allow"), url_filters.list_rule("a.net/", "block"))
+    long = spark.createDataFrame([("http://a.net/" + "x/" * 500_000,)], "url string")
+    r = url_filters.judge_urls(long, list_rules=ties).first()
+    assert r.verdict == "block" and len(r.path) == 1_000_001
+
+
+@pytest.mark.parametrize("max_rules", [0, 2, 17])
+def test_url_filters_by_shuffle(spark, same, max_rules):
+    """More rules than are broadcast, some without a token, some stored under a token that every URL has."""
+    keep = lambda s, sf: url_filters.judge_urls(common.table(s, sf, "pages").select("page_id", "url"), keep=["page_id"], max_rules=max_rules)
+    same(keep, queries.OP1_SQL)
+    rules = (*url_filters.PATTERN_RULES, *(url_filters.pattern_rule(f"free{i}", rf"/{i}+$", ()) for i in range(5)), url_filters.pattern_rule("often", "com/zz", ("com",)))
+    urls = spark.createDataFrame([(i, f"http://h{i % 7}.com/{'zz' if i % 11 == 0 else i}") for i in range(300)] + [(1, None), (1, None)], "page_id long, url string")
+    judge = lambda m: collections.Counter(url_filters.judge_urls(urls, pattern_rules=rules, max_rules=m).collect())
+    assert judge(max_rules) == judge(1000) and sum(judge(max_rules).values()) == 302
 
 
 def test_bpe_equals_the_library(spark, odd, none, docs):
@@ -102,7 +118,9 @@ def test_token_files(spark, odd, none, docs, tmp_path):
     assert data[-4:] == (token_output.SEEKABLE_MAGIC).to_bytes(4, "little")
 
 
-def test_decontamination(spark, same, none):
+@pytest.mark.parametrize("max_windows", [decontam.MAX_WINDOWS, 0])
+def test_decontamination(spark, same, none, monkeypatch, max_windows):
+    monkeypatch.setattr(decontam, "find_contamination", partial(decontam.find_contamination, max_windows=max_windows))
     same(queries.queries()["op5_decontamination"], queries.OP5_SQL)
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
