@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join: MinHash banding, exact verification, near-duplicate classes.
+"""N-gram Jaccard self-join: a MinHash LSH forest, exact verification, near-duplicate classes.
 
 Texts are lower-cased (A-Z) and cut into words at white space; a text's set holds its
 `n`-word shingles (a text of fewer words, but not none, is one shingle). Two texts
@@ -6,24 +6,29 @@ are linked if the Jaccard similarity of their sets is at least `threshold`.
 
 1. Texts with the same words form one *copy class*; its smallest id represents it,
    and only representatives go on.
-2. Each representative gets `trees` keys of `depth` minhash values each: fixed-depth banding in
-   place of a prefix forest. The depth is the longest up to `max_depth` whose expected recall at
-   the threshold, 1 - (1 - threshold^depth)^trees, reaches `target_recall`; the data isn't
-   consulted. A key of two or more texts is a *bucket*.
-3. Buckets with the same members are one bucket. A bucket of more than `block` texts
+2. A representative has a signature of `max_depth` minhash values in each of `trees` prefix
+   tries. Its prefixes are shortened, value by value, until its expected recall,
+   1 - (1 - s^length)^trees, reaches `target_recall`; s is the least similarity from the threshold up that a
+   text with a set of its size can have to another set, so small sets stop at longer prefixes. The length that the threshold
+   itself needs is the shortest one: texts that share no prefix of this length leave before any other is made.
+3. A node of a trie is a prefix with two texts or more. The nodes at the lengths that texts stop at are
+   opened; a node below an open one adds nothing. A text belongs to the shortest open prefix of its own in
+   each trie, its *bucket* there: two texts meet if they share what either one looks for. The tries are tables of
+   nodes that Spark sorts and groups, so that no task walks a trie.
+4. Buckets with the same members are one bucket. A bucket of more than `block` texts
    (or of much text) is split into blocks; each pair of blocks is one verification
    group, so that no task holds a whole bucket.
-4. Groups get the shingle sets of their texts and verify all pairs exactly by matrix
+5. Groups get the shingle sets of their texts and verify all pairs exactly by matrix
    products. A pair is counted in the first bucket that its texts share and nowhere
    else. No pairs leave a group: only the count of links of each text, and the edges of
    a spanning forest of the verified links.
-5. Connected components over these edges (star contraction) are the near-duplicate
-   classes. The number of links of a text is exact for the pairs that share a key.
+6. Connected components over these edges (star contraction) are the near-duplicate
+   classes. The number of links of a text is exact for the pairs that share a bucket.
 
 Null texts count as empty; texts without words link to nothing, but are copies of each other;
-rows that repeat an id are copies of it or, with another text, a text of their own; a null id counts as a
+texts are read whole, however long; rows that repeat an id are copies of it or, with another text, a text of their own; a null id counts as a
 row of its own text and never represents a class that has another id; an empty table
-gives an empty result.
+gives an empty result; columns of the input aren't kept, so none can clash.
 """
 
 from __future__ import annotations
@@ -68,31 +73,54 @@ def shingles(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray,
     return h, first
 
 
-def forest_depth(threshold: float, trees: int, max_depth: int, target_recall: float) -> int:
-    """The longest prefix whose expected recall at the threshold reaches the target."""
-    for depth in range(max_depth, 0, -1):
-        if 1 - (1 - threshold**depth) ** trees >= target_recall:
-            return depth
-    raise ValueError(f"{trees} trees can't reach a recall of {target_recall} at {threshold}")
-
-
-def tree_keys(h: np.ndarray, first: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """[texts, trees] keys of the prefixes of `depth` minhash values; texts without shingles get 0."""
+def prefix_keys(h: np.ndarray, first: np.ndarray, trees: int, low: int, high: int) -> np.ndarray:
+    """[texts, trees, high - low + 1] keys of the prefixes of low to high minhash values; texts without shingles get 0."""
     full = np.flatnonzero(np.diff(first) > 0)
-    keys = np.zeros((len(first) - 1, trees), U)
+    keys = np.zeros((len(first) - 1, trees, high - low + 1), U)
     if not len(full):
         return keys
     at = first[:-1][full]
     for t in range(trees):
         key = np.full(len(full), t + 1, U)
-        for d in range(depth):
-            salt = mixed(np.array([GOLDEN * (1 + t * 64 + d) & 0xFFFFFFFFFFFFFFFF], U))[0]
-            low = np.minimum.reduceat((h ^ salt) * MIX[0] ^ ((h ^ salt) >> U(29)), at)
-            key = mixed(key + low)
-        keys[full, t] = key
+        for d in range(1, high + 1):
+            salt = mixed(np.array([GOLDEN * (t * 64 + d) & 0xFFFFFFFFFFFFFFFF], U))[0]
+            x = h ^ salt
+            key = mixed(key + np.minimum.reduceat(x * MIX[0] ^ (x >> U(29)), at))
+            if d >= low:
+                keys[full, t, d - low] = key
     return keys
 
 
+def least_similarity(size: int, threshold: float) -> float:
+    """The least Jaccard similarity, from the threshold up, of a set of `size` elements to another set."""
+    best = 1.0
+    for shared in range(size, 0, -1):
+        either = int(shared / threshold + 1e-9)
+        if either < size:
+            break
+        best = min(best, shared / either)
+    return best
+
+
+def prefix_length(similarity: float, trees: int, max_depth: int, target_recall: float) -> int:
+    """The length at which shortening stops: the longest whose expected recall at this similarity reaches the target."""
+    length = max_depth
+    while 1 - (1 - similarity**length) ** trees < target_recall:
+        length -= 1
+        if not length:
+            raise ValueError(f"{trees} tries can't reach a recall of {target_recall} at {similarity}")
+    return length
+
+
+def prefix_lengths(h: np.ndarray, first: np.ndarray, threshold: float, trees: int, max_depth: int, target_recall: float, most: int = 200) -> np.ndarray:
+    """The length for each text by the size of its set; sets of more than `most` shingles count as any similarity from the threshold up."""
+    table = [max_depth, *(prefix_length(least_similarity(m, threshold), trees, max_depth, target_recall) for m in range(1, most + 1))]
+    table.append(prefix_length(threshold, trees, max_depth, target_recall))
+    counts = np.diff(first)
+    sizes = [len(np.unique(h[a : a + k])) if k <= 4 * most else most + 1 for a, k in zip(first[:-1], counts, strict=True)]
+    return np.array(table, np.int32)[np.minimum(np.array(sizes, np.int64), most + 1)]
+
+
 def list_starts(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     values = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False)).view(U)
     return values, np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
@@ -108,20 +136,24 @@ def chunked(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator
         i = j
 
 
-def with_keys(df: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
-    """df(id, copy, hashes) to (id, copy, n_words, keys)."""
+def with_keys(df: DataFrame, n: int, threshold: float, trees: int, low: int, high: int, target_recall: float) -> DataFrame:
+    """df(.., hashes) with n_words, keys (of all tries, one after the other, and in each by length from low to high)
+    and length (what the text looks for) in place of hashes."""
+    kept = [f for f in df.schema.fields if f.name != "hashes"]
+    schema = T.StructType([*kept, *T.StructType.fromDDL("n_words long, length int, keys array<long>").fields])
+    width = trees * (high - low + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunked(batch, "hashes"):
                 words, starts = list_starts(part.column("hashes"))
-                keys = tree_keys(*shingles(words, starts, n), trees, depth).view(np.int64)
-                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, trees, dtype=np.int32), keys.ravel())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("copy"), pa.array(np.diff(starts).astype(np.int64)), lists], ["id", "copy", "n_words", "keys"]
-                )
+                h, first = shingles(words, starts, n)
+                keys = prefix_keys(h, first, trees, low, high).view(np.int64)
+                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, width, dtype=np.int32), keys.ravel())
+                lengths = prefix_lengths(h, first, threshold, trees, high, target_recall) if high > low else np.full(len(keys), low, np.int32)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(np.diff(starts).astype(np.int64)), pa.array(lengths), lists], schema.names)
 
-    return df.mapInArrow(run, "id long, copy binary, n_words long, keys array<long>")
+    return df.mapInArrow(run, schema)
 
 
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -201,12 +233,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = common.written(edges.where("id > parent").select(F.col("id").alias("u"), F.col("parent").alias("v")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
+        # Smallest neighbours are aggregated and written before they meet all neighbours, so that a join
+        # has shuffles alone below it and a star's centre can be split.
         # large star: each neighbour above u goes to the smallest in u's neighbourhood
         both = pairs.union(pairs.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = common.written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = common.written(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: each neighbour below u, and u, go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least.hint("merge"), "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         pairs = common.written(small.select("e.*").where("u > v").distinct(), "edges")
@@ -216,7 +250,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components didn't settle")
-    return pairs.select(F.col("u").alias("id"), F.col("v").alias("root")).union(pairs.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    roots = pairs.select(F.col("v").alias("id")).distinct().withColumn("root", F.col("id"))
+    return pairs.select(F.col("u").alias("id"), F.col("v").alias("root")).union(roots)
 
 
 def word_hashes(text: Column) -> Column:
@@ -228,6 +263,11 @@ def copy_key(words: Column) -> Column:
     return F.unhex(F.sha2(F.array_join(words, " "), 256))
 
 
+def id_key(doc_id: Column) -> Column:
+    """The id, or a number for rows without one."""
+    return F.coalesce(doc_id, F.lit(-(1 << 62) - 7))
+
+
 def near_duplicates(
     df: DataFrame,
     doc_id: str = "doc_id",
@@ -244,50 +284,70 @@ def near_duplicates(
     """One row per document: doc_id, class_id (smallest id of its near-duplicate class), copy_id
     (smallest id with the same words) and n_links (other texts linked to its text); with details also copy (its
     copy_key) and root (the same for all of a class, whatever the ids)."""
-    spark = df.sparkSession
-    common.modest_batches(spark, 2000)
-    depth = forest_depth(threshold, trees, max_depth, target_recall)
+    common.modest_batches(df.sparkSession, 2000)
+    low = prefix_length(threshold, trees, max_depth, target_recall)
+    forest = lambda hashed, high: with_keys(hashed, n, threshold, trees, low, high, target_recall)
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.withColumn("words", common.split_words(common.ascii_lower(F.col("text"))))
-    docs = docs.select("id", copy_key(F.col("words")).alias("copy"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    rows = common.written(with_keys(docs, n, trees, depth), "keys")
+    texts = docs.withColumn("words", common.split_words(common.ascii_lower(F.col("text"))))
+    texts = texts.select("id", copy_key(F.col("words")).alias("copy"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    rows = common.written(forest(texts, low).drop("length"), "keys")
 
-    # 1: copy classes. A class's text stands for all its copies.
+    # 1: copy classes, numbered by their rows in the written table. A class's text stands for all its copies
     classes = rows.groupBy("copy").agg(F.min("id").alias("copy_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
-    classes = common.written(classes.withColumn("rep", F.xxhash64("copy")), "classes")
-
-    # 2, 3: buckets with two texts or more, one for each set of members
-    sequences = classes.where("n_words > 0").select("rep", "n_words", F.explode("keys").alias("bucket"))
+    classes = common.written(common.with_row_id(classes, "rep"), "classes")
+
+    # 2: texts that share the shortest prefix of a trie with another text, and all their prefixes
+    short = classes.where("n_words > 0").select("rep", F.explode("keys").alias("node"))
+    crowded = common.written(short.groupBy("node").agg(F.count("*").alias("texts")).where("texts > 1").select("node"), "crowded")
+    some = common.written(short.join(crowded.hint("merge"), "node", "left_semi").select("rep").distinct(), "some")
+    some = classes.select("rep", "copy", F.col("copy_id").alias("id")).join(some.hint("merge"), "rep", "left_semi")
+    # their texts, by the id and then the words: ids may repeat with other texts
+    some = common.written(some.withColumn("key", id_key(F.col("id"))), "wanted")
+    whole = docs.withColumn("key", id_key(F.col("id"))).drop("id").join(some.hint("merge"), "key")
+    whole = whole.withColumn("words", common.split_words(common.ascii_lower(F.col("text")))).where(copy_key(F.col("words")) == F.col("copy"))
+    whole = whole.groupBy("rep").agg(F.first("words").alias("words")).select("rep", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    whole = common.written(whole, "texts")
+    deep = common.written(forest(whole, max_depth), "prefixes")
+    levels = max_depth - low + 1
+    each = deep.select("rep", "length", F.posexplode("keys").alias("at", "node"))
+    each = each.select("rep", "length", "node", F.floor(F.col("at") / levels).alias("tree"), (F.col("at") % levels + low).alias("depth"))
+
+    # 3: open nodes, and the shortest of each text in each trie
+    opened = each.groupBy("node").agg(F.count("*").alias("texts"), F.max(F.col("depth") == F.col("length")).alias("open"))
+    opened = common.written(opened.where("texts > 1 and open").select("node"), "open")
+    inside = common.written(each.join(opened.hint("merge"), "node", "left_semi").select("rep", "tree", "depth", "node"), "inside")
+    inside = inside.groupBy("rep", "tree").agg(F.min(F.struct("depth", "node")).alias("first"))
+    sequences = inside.select("rep", F.col("first.node").alias("bucket")).join(deep.select("rep", "n_words").hint("merge"), "rep")
+    sequences = common.written(sequences, "sequences")
+
+    # 4: buckets with two texts or more, one for each set of members
     member = F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")
     buckets = sequences.groupBy("bucket").agg(
         F.count("*").alias("members"), F.sum("n_words").alias("size"), F.sum(member).alias("sum"), F.min("rep").alias("low"), F.max("rep").alias("high")
     )
     buckets = buckets.where("members > 1").groupBy("members", "sum", "low", "high").agg(F.min("bucket").alias("bucket"), F.max("size").alias("size"))
     blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("size") / block_words)).cast("int")
-    buckets = buckets.select("bucket", blocks.alias("blocks"))
+    buckets = common.written(buckets.select("bucket", blocks.alias("blocks")), "bucket-sizes")
     inside = common.written(sequences.select("rep", "bucket").join(buckets.hint("merge"), "bucket"), "buckets")
     held = inside.groupBy("rep").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # `trees` at most
 
-    # 4: word hashes of the texts in buckets, sent to each group that needs them
-    wanted = common.written(held.join(classes.select("rep", "copy", "copy_id").hint("merge"), "rep"), "wanted")
-    texts = docs.join(wanted.select("copy", "rep", "buckets", F.col("copy_id").alias("wanted_id")).hint("merge"), "copy")
-    texts = texts.where(F.col("id").eqNullSafe(F.col("wanted_id"))).groupBy("rep").agg(F.first("hashes").alias("hashes"), F.first("buckets").alias("buckets"))
+    # 5: word hashes of the texts in buckets, sent to each group that needs them
+    wanted = common.written(whole.join(held.hint("merge"), "rep"), "held")
     members = inside.select("rep", "bucket", "blocks", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int").alias("part"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("rep", "bucket", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    groups = members.join(texts.hint("merge"), "rep").withColumnRenamed("rep", "id")
+    groups = members.join(wanted.hint("merge"), "rep").withColumnRenamed("rep", "id")
     groups = groups.select("id", "bucket", "part", "low", "high", "hashes", "buckets")
     schema = T.StructType.fromDDL("id long, n_links long, parent long")
     links = groups.groupBy("bucket", "low", "high").applyInPandas(lambda g: verified(g, n, threshold), schema)
     links = common.written(links, "links")
 
-    # 5: classes of near duplicates, by their texts' hashes, then by the smallest document id
-    roots = components(links.select("id", "parent"))
-    counts = links.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    near = classes.select("rep", "copy", "copy_id").join(roots.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
-    near = near.join(counts.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    near = common.written(near, "near")
-    smallest = near.groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    # 6: classes of near duplicates, by their texts' hashes, then by the smallest document id
+    roots = common.written(components(links.select("id", "parent")).withColumnRenamed("id", "rep"), "roots")
+    counts = common.written(links.groupBy("id").agg(F.sum("n_links").alias("n_links")).withColumnRenamed("id", "rep"), "link-counts")
+    near = classes.select("rep", "copy", "copy_id").join(roots.hint("merge"), "rep", "left")
+    near = common.written(near.join(counts.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "near")
+    smallest = common.written(near.groupBy("root").agg(F.min("copy_id").alias("class_id")), "smallest")
     near = near.join(smallest.hint("merge"), "root").select("copy", "root", "class_id", "copy_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    found = rows.select("id", "copy").join(near.hint("merge"), "copy")
+    found = rows.select("id", "copy").join(common.written(near, "classes").hint("merge"), "copy")
     return found.select(F.col("id").alias("doc_id"), "class_id", "copy_id", "n_links", *(["copy", "root"] if details else []))

@@ -197,8 +197,8 @@ def test_ngram_join_counts_each_link_of_groups(spark):
             at = rng.randrange(5, 99) if k else -1  # one other word: 0.90 to the base, from 0.82 to other copies
             rows.append((len(rows), " ".join("other" + str(k) if i == at else w for i, w in enumerate(base))))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    hashed = df.select(F.col("doc_id").alias("id"), F.lit(None).cast("binary").alias("copy"), ngram_join.word_hashes(F.col("text")).alias("hashes"))
-    keys = {r.id: set(r["keys"]) for r in ngram_join.with_keys(hashed, 5, 12, 3).collect()}
+    hashed = df.select("doc_id", ngram_join.word_hashes(F.col("text")).alias("hashes"))
+    keys = {r.doc_id: set(r["keys"]) for r in ngram_join.with_keys(hashed, 5, 0.8, 12, 3, 3, 0.999).collect()}
     sets, unmet = [shingle_sets(t)[0] for _, t in rows], collections.Counter()  # links whose texts share no key
     for group in groups:
         for a in group:
@@ -208,10 +208,44 @@ def test_ngram_join_counts_each_link_of_groups(spark):
     assert found == expected and sum(unmet.values()) <= 0.001 * sum(n for _, _, n in expected.values())
 
 
+def test_ngram_forest_lengths():
+    lengths = {m: ngram_join.prefix_length(ngram_join.least_similarity(m, 0.8), 12, 8, 0.999) for m in range(1, 60)}
+    for m in range(1, 40):  # by hand: all pairs of sizes
+        found = [i / (m + k - i) for k in range(1, 60) for i in range(1, min(m, k) + 1) if i >= 0.8 * (m + k - i) - 1e-9]
+        assert ngram_join.least_similarity(m, 0.8) == pytest.approx(min(found))
+        assert 1 - (1 - min(found) ** lengths[m]) ** 12 >= 0.999 and (lengths[m] == 8 or 1 - (1 - min(found) ** (lengths[m] + 1)) ** 12 < 0.999)
+    assert lengths[3] == 8 and lengths[5] == 3 and lengths[7] == 5 and len(set(lengths.values())) > 3
+
+
+def test_ngram_forest_recall(spark):
+    """Pairs at just about 0.8, and small sets of all sizes: nine of ten at the least are linked."""
+    rng = random.Random(23)
+    rows, expected = [], 0
+    for k in range(600):
+        m = rng.randrange(4, 12) if k % 3 else 45
+        base = [f"w{rng.randrange(10**6)}" for _ in range(m + 4)]
+        more = m // 4 if m > 11 else rng.randrange(1, 3)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + [f"x{k}-{i}" for i in range(more)]))]
+        expected += m >= 0.8 * (m + more) - 1e-9
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links = 1").count()
+    assert 0.98 * 2 * expected <= found <= 2 * expected and expected > 300
+
+
 def test_ngram_join_hostile(spark, odd, none):
     found = ngram_join.near_duplicates(odd)
-    assert ids_of(found) == ids_of(odd)
-    assert len({r.class_id for r in found.where("doc_id in (1)").collect()}) >= 1 and ngram_join.near_duplicates(none).count() == 0
+    assert ids_of(found) == ids_of(odd) and ngram_join.near_duplicates(none).count() == 0
+    by = collections.defaultdict(list)
+    for r in found.collect():
+        by[r.doc_id].append((r.class_id, r.copy_id, r.n_links))
+    ids = [BIG + i if i % 3 else i for i in range(len(ODD))]
+    assert by[1] == [(1, 1, 0)] * 2 and by[ids[3]] == [(1, 1, 0)]  # the text "one" under three ids
+    assert by[None] == [(None, None, 0)]  # the only row of its text
+    assert {by[ids[k]][0][:2] for k in (0, 1, 2, 10)} == {(0, 0)}  # texts without words are copies of each other
+    body = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, body), (5, "another text of the same id"), (6, body + " end"), (None, body), (7, "another text of the same id"), (4, None)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, copy string, n_links int")
+    found = collections.Counter((r.doc_id, r.class_id, r.copy_id, r.n_links) for r in ngram_join.near_duplicates(df).collect())
+    assert found == collections.Counter([(5, 5, 5, 1), (5, 5, 5, 0), (6, 5, 6, 1), (None, 5, 5, 1), (7, 5, 5, 0), (4, 4, 4, 0)])
 
 
 def brute_quality(text):
