@@ -34,14 +34,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near duplicates: the one with the smallest id. Documents
-    without an id come after all others; of repeated rows one stays."""
+    without an id come after all others; of rows that repeat id and words the one with the least hash stays."""
     words = common.split_words(common.ascii_lower(F.col("text")))
     no_id = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
     named = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", no_id).alias("key"), F.col("text"), ngram_join.copy_key(words).alias("copy"))
     classes = ngram_join.near_duplicates(named, doc_id="key", details=True)
     first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").alias("key"), "copy")).alias("first")).select("first.*")
     kept = named.drop("text").join(common.written(first, "first").hint("merge"), ["key", "copy"], "left_semi")
-    return kept.groupBy("key", "copy").agg(F.first("row").alias("row")).select("row.*")
+    return kept.groupBy("key", "copy").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
