@@ -1,20 +1,25 @@
 """Language-model scores: a log-bilinear neural model trained with noise-contrastive estimation.
 
-`train` counts the tokens of all training texts (the words of lower-cased text and one end
-each). The `vocabulary` most frequent ones are the model's own tokens; all others share one
-class, within which a token has its add-one share of the class's counts. The model
-predicts a token from the two before it: their context vectors, scaled by position, add
-up to a prediction that is multiplied with every token's vector, plus a bias
+`count` gathers the tokens of all training texts (the words of lower-cased text and one end
+each). The model predicts *units*: the `own` most frequent tokens, and classes of all other tokens by
+their ending (the last two bytes; the `endings` most frequent ones, and one class for the rest), so
+every token, counted or never seen, has a unit with vectors of its own. A token's probability is that of its
+unit, given the two units before it, times its add-one share of its class's counts (1 for own tokens).
+
+The units' model: the context vectors of the two units, scaled by position, add
+up to a prediction that is multiplied with every unit's vector, plus a bias
 (Mnih and Hinton 2007; Mnih and Teh 2012). In each of `rounds` every partition of the
 training texts makes noise-contrastive steps in numpy from the same start, with every token
 as a target, and the partitions' parameters are averaged by the tokens that they saw.
 
-`score` sums log10 probabilities of whole texts. They are normalised: batched matrix
-products over the vocabulary give the log normaliser of every pair of context tokens once,
+`encode` reads texts once and writes their units, from which `fit` trains and `score_units` scores.
+Scores are log10 probabilities of whole texts. They are normalised: batched matrix
+products over the units give the log normaliser of every pair of context units once,
 so that a token takes a few look-ups. Counts of tokens outside the `head` most frequent ones come
 by a join and are never broadcast.
 
-Null texts count as empty (an end alone); without training texts every token is unknown;
+Null texts count as empty (an end alone); texts are read whole, however long; of tokens of equal counts the
+first in byte order is the more frequent one; without training texts every token is unknown;
 repeated rows each keep their row; an empty table gives an empty result; an input column
 with an output's name is replaced.
 """
@@ -30,11 +35,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm import common
 
 END = ""  # the end's token: no word is empty
-TOKENS = 1 << 18  # in a scoring batch
+TOKENS = 1 << 18  # read at a time
+ENDING = 2  # bytes of a token that name its class
 
 
 @dataclass
@@ -127,9 +134,10 @@ def contexts(ids: np.ndarray, starts: np.ndarray, start_id: int) -> tuple[np.nda
 
 
 @dataclass
-class Model:
+class Vocabulary:
     """counts: the table (token, c) of all training tokens; head: index of the most frequent
-    ones; head_counts: their counts; parameters over class 0 (all other tokens) and the first `own` of head."""
+    ones; head_counts: their counts; units: first the classes (0: the rest) of `endings`, then the first `own` of head;
+    unit_counts: training tokens of each unit; spaces: of each class the counts and one for each token and for an unseen one."""
 
     counts: DataFrame
     head: dict[str, int]
@@ -137,8 +145,28 @@ class Model:
     n_tokens: int
     n_distinct: int
     own: int
+    endings: dict[bytes, int]
+    unit_counts: np.ndarray
+    spaces: np.ndarray
+
+    @property
+    def head_units(self) -> np.ndarray:
+        """The unit of each head token."""
+        classes = len(self.spaces)
+        found = np.array([self.endings.get(t.encode()[-ENDING:], 0) for t in self.head], np.int64)
+        found[: self.own] = classes + np.arange(self.own)
+        return found
+
+
+@dataclass
+class Model:
+    vocabulary: Vocabulary
     parameters: Parameters
 
+    @property
+    def n_tokens(self) -> int:
+        return self.vocabulary.n_tokens
+
 
 def count_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
     words = F.concat(common.split_words(common.ascii_lower(F.col(text))), F.array(F.lit(END)))
@@ -160,37 +188,105 @@ def most_frequent(counts: DataFrame, most: int) -> list:
     return [] if least is None else sorted(counts.where(level >= least).collect(), key=lambda r: (-r.c, r.token))
 
 
-def class_ids(h: np.ndarray, own: int) -> np.ndarray:
-    """Model token of each head index (-1: not in the head)."""
-    return np.where((h >= 0) & (h < own), h + 1, 0)
-
-
-def train(
-    texts: DataFrame, text: str = "text", vocabulary: int = 1023, head: int = 1 << 16, size: int = 24, rounds: int = 2, batch: int = 512
-) -> Model:
-    spark = texts.sparkSession
-    common.modest_batches(spark)
+def count(texts: DataFrame, text: str = "text", own: int = 768, endings: int = 255, head: int = 1 << 16) -> Vocabulary:
     counts = common.written(count_tokens(texts, text), "counts")
     n_tokens, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = most_frequent(counts, head)
-    index = {r.token: i for i, r in enumerate(top)}
+    own = min(own, len(top))
     head_counts = np.array([r.c for r in top], np.int64)
-    own = min(vocabulary, len(top))
-    class_counts = np.concatenate([[n_tokens - head_counts[:own].sum()], head_counts[:own]]).astype(float)
-    parameters = Parameters.start(class_counts, size)
-    known = spark.sparkContext.broadcast({t.encode(): i for t, i in index.items() if i < own})
-    for k in range(rounds if n_tokens else 0):
+    ending = F.substring(F.col("token").cast("binary"), -ENDING, ENDING)
+    found = counts.groupBy(ending.alias("ending")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()  # pairs of bytes
+    sums = {bytes(r.ending): [r.c, r.n] for r in found}
+    for r in top[:own]:
+        of = sums[r.token.encode()[-ENDING:]]
+        of[0], of[1] = of[0] - r.c, of[1] - 1
+    named = sorted((e for e, (c, _) in sums.items() if c), key=lambda e: (-sums[e][0], e))[:endings]
+    classes = {e: i + 1 for i, e in enumerate(named)}
+    c, n = np.zeros(len(classes) + 1), np.zeros(len(classes) + 1)
+    for e, (k, m) in sums.items():
+        c[classes.get(e, 0)] += k
+        n[classes.get(e, 0)] += m
+    return Vocabulary(
+        counts, {r.token: i for i, r in enumerate(top)}, head_counts, n_tokens, n_distinct, own, classes, np.concatenate([c, head_counts[:own]]), c + n + 1
+    )
+
+
+CODED = {"units": "binary", "n_tokens": "long", "n_known": "long", "head_log": "double", "class_log": "double", "tail": "array<struct<token:string,n:long>>"}
+
+
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The written table (row: df's columns `keep`, all by default; row_id; units as 16-bit integers; n_tokens; n_known, head_log and
+    class_log: known tokens of the head, their log10(c + 1) and what units' probabilities are multiplied with; tail: tokens outside the head)."""
+    spark = df.sparkSession
+    common.modest_batches(spark)
+    v = vocabulary
+    tables = spark.sparkContext.broadcast(({t.encode(): i for t, i in v.head.items()}, v.head_counts, v.head_units, v.endings, v.spaces))
+
+    def some(docs: list[list[bytes]]) -> dict[str, list]:
+        head, counts, head_units, endings, spaces = tables.value
+        sizes = np.array([len(d) for d in docs])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        tokens = list(chain.from_iterable(docs))
+        get = head.get
+        h = np.array([get(t, -1) for t in tokens], np.int64)
+        rare = np.flatnonzero(h < 0)
+        units = np.append(head_units, 0)[h]
+        units[rare] = [endings.get(tokens[i][-ENDING:], 0) for i in rare.tolist()]
+        log_count = np.append(np.log10(counts + 1.0), 0.0)[h]  # -1 takes the last: 0
+        classed = units < len(spaces)
+        share = np.where(classed, log_count - np.log10(spaces)[np.where(classed, units, 0)], 0.0)
+        total = lambda x: np.add.reduceat(x, starts).tolist()
+        cuts = np.searchsorted(rare, np.append(starts, len(h)))
+        tails = [Counter([d[i] for i in (rare[a:b] - at).tolist()]) for d, at, a, b in zip(docs, starts.tolist(), cuts[:-1], cuts[1:], strict=True)]
+        units = units.astype("<i2")
+        return {
+            "units": [units[a : a + k].tobytes() for a, k in zip(starts.tolist(), sizes.tolist(), strict=True)],
+            "n_tokens": sizes.tolist(),
+            "n_known": total((h >= 0).astype(np.int64)),
+            "head_log": total(log_count),
+            "class_log": total(share),
+            "tail": [[{"token": t.decode(), "n": n} for t, n in tail.items()] for tail in tails],
+        }
+
+    def run(texts: list) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in CODED}
+        docs, size = [], 0
+        for k, t in enumerate(texts):
+            docs.append(tokens_of(t))
+            size += len(docs[-1])
+            if size >= TOKENS or k + 1 == len(texts):
+                for c, values in some(docs).items():
+                    out[c] += values
+                docs, size = [], 0
+        return out
+
+    kept = keep if keep is not None else df.columns
+    source = common.with_row_id(df.select(F.struct(*kept).alias("row"), F.col(text).alias("text")))
+    types = {c: T.StructType.fromDDL(f"x {t}").fields[0].dataType for c, t in CODED.items()}
+    return common.written(common.with_outputs(source, "text", ["row", "row_id"], types, lambda: run), "units")
+
+
+def units_of(batch: list) -> tuple[np.ndarray, np.ndarray]:
+    """The units of texts end to end, and where each text starts."""
+    sizes = np.array([len(b) // 2 for b in batch], np.int64)
+    return np.frombuffer(b"".join(batch), "<i2").astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+
+
+def fit(coded: DataFrame, vocabulary: Vocabulary, size: int = 24, rounds: int = 2, batch: int = 512) -> Model:
+    """The model after `rounds` over all rows of coded(units)."""
+    counts = vocabulary.unit_counts
+    parameters = Parameters.start(counts, size)
+    for k in range(rounds if vocabulary.n_tokens else 0):
         start, rate = parameters, 0.1 / (k + 1)
 
         def run(batches: Iterator[pd.DataFrame], start=start, rate=rate, k=k) -> Iterator[pd.DataFrame]:
-            trainer, seen = Trainer(start, class_counts + 1, seed=len(class_counts), rate=rate), 0
+            trainer, seen = Trainer(start, counts + 1, seed=len(counts), rate=rate), 0
             rng = np.random.default_rng([11, k])  # another order in each round
             for frame in batches:
-                docs = [tokens_of(t) for t in frame["text"]]
-                starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]]).astype(np.int64)
-                get = known.value.get
-                ids = class_ids(np.array([get(t, -1) for t in chain.from_iterable(docs)], np.int64), own)
-                one, two = contexts(ids, starts, len(class_counts))
+                if not len(frame):
+                    continue
+                ids, starts = units_of(frame["units"].to_list())
+                one, two = contexts(ids, starts, len(counts))
                 places = rng.permutation(len(ids))
                 for i in range(0, len(places), batch):
                     at = places[i : i + batch]
@@ -199,12 +295,18 @@ def train(
             if seen:
                 yield pd.DataFrame({"weight": [float(seen)], "values": [trainer.p.flat().astype(float)]})
 
-        found = texts.select(F.col(text).alias("text")).mapInPandas(run, "weight double, values array<double>")
+        found = coded.select("units").mapInPandas(run, "weight double, values array<double>")
         each = found.select("weight", F.posexplode("values").alias("at", "value"))
         mean = each.groupBy("at").agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("value"))
         mean = mean.toPandas().sort_values("at")  # a row for each parameter
         parameters = parameters.filled(mean["value"].to_numpy())
-    return Model(counts, index, head_counts, n_tokens, n_distinct, own, parameters)
+    return Model(vocabulary, parameters)
+
+
+def train(texts: DataFrame, text: str = "text", **sizes) -> Model:
+    """A model of texts."""
+    vocabulary = count(texts, text, **sizes)
+    return fit(encode(texts, vocabulary, text, keep=[text]), vocabulary)
 
 
 def normalisers(spark, p: Parameters) -> np.ndarray:
@@ -225,67 +327,48 @@ def normalisers(spark, p: Parameters) -> np.ndarray:
     return np.stack(rows["values"].to_list()).astype(np.float32)
 
 
-def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df's columns `keep` (all by default) with n_tokens, n_known, base_score (add-one unigram)
-    and score (the model), both log10 probabilities of the text."""
-    spark = df.sparkSession
-    common.modest_batches(spark)
-    outputs = ("n_tokens", "n_known", "base_score", "score")
-    kept = [c for c in (keep if keep is not None else df.columns) if c not in outputs]
-    p, own = model.parameters, model.own
-    tables = spark.sparkContext.broadcast(
-        ({t.encode(): i for t, i in model.head.items()}, model.head_counts, (p.scale[0] * p.context) @ p.out.T + p.bias, (p.scale[1] * p.context) @ p.out.T, normalisers(spark, p))
-    )
-    start_id = len(p.context) - 1
-    fields = "row_id long, n_tokens long, n_known long, head_log double, model_log double, n_class long, class_log double, tail array<struct<token:string,n:long>>"
+OUTPUTS = ("n_tokens", "n_known", "base_score", "score")
 
-    def sums(docs: list[list[bytes]]) -> pd.DataFrame:
-        head, counts, first, second, norm = tables.value
-        sizes = np.array([len(d) for d in docs])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        get = head.get
-        h = np.array([get(t, -1) for t in chain.from_iterable(docs)], np.int64)
-        log_count = np.append(np.log10(counts + 1.0), 0.0)[h]  # -1 takes the last: 0
-        ids = class_ids(h, own)
-        one, two = contexts(ids, starts, start_id)
-        log_p = (first[one, ids].astype(float) + second[two, ids] - norm[one, two]) / np.log(10)
-        total = lambda x: np.add.reduceat(x, starts)
-        out = pd.DataFrame({"n_tokens": sizes, "n_known": total((h >= 0).astype(np.int64)), "head_log": total(log_count), "model_log": total(log_p)})
-        out["n_class"] = total((ids == 0).astype(np.int64))
-        out["class_log"] = total(np.where(ids == 0, log_count, 0.0))
-        rare = np.flatnonzero(h < 0)
-        cuts = np.searchsorted(rare, np.append(starts, len(h)))
-        tails = [Counter([d[i] for i in (rare[a:b] - at).tolist()]) for d, at, a, b in zip(docs, starts.tolist(), cuts[:-1], cuts[1:], strict=True)]
-        out["tail"] = [[{"token": t.decode(), "n": n} for t, n in tail.items()] for tail in tails]
-        return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            ids, docs, size = [], [], 0
-            for i, t in zip(frame["row_id"], frame["text"], strict=True):
-                ids.append(i)
-                docs.append(tokens_of(t))
-                size += len(docs[-1])
-                if size >= TOKENS:
-                    yield sums(docs).assign(row_id=ids)
-                    ids, docs, size = [], [], 0
-            if docs:
-                yield sums(docs).assign(row_id=ids)
+def score_units(coded: DataFrame, model: Model) -> DataFrame:
+    """The rows of coded with n_tokens, n_known, base_score (add-one unigram) and score (the model), both
+    log10 probabilities of the text."""
+    spark = coded.sparkSession
+    p, v = model.parameters, model.vocabulary
+    tables = spark.sparkContext.broadcast(((p.scale[0] * p.context) @ p.out.T + p.bias, (p.scale[1] * p.context) @ p.out.T, normalisers(spark, p)))
+    start_id = len(p.context) - 1
 
-    source = common.with_row_id(df.select(F.struct(*kept).alias("row"), F.col(text).alias("text")))
-    parts = common.written(source.select("row_id", "text").mapInPandas(run, fields), "parts")
-    tail = parts.select("row_id", F.explode("tail").alias("t")).select("row_id", F.col("t.token").alias("token"), F.col("t.n").alias("n"))
-    tail = tail.join(model.counts.hint("merge"), "token")
+    def run(batch: list) -> dict[str, list]:
+        first, second, norm = tables.value
+        out, held, size = [], [], 0
+        for k, b in enumerate(batch):
+            held.append(b)
+            size += len(b)
+            if size >= 2 * TOKENS or k + 1 == len(batch):
+                ids, starts = units_of(held)
+                one, two = contexts(ids, starts, start_id)
+                log_p = (first[one, ids].astype(float) + second[two, ids] - norm[one, two]) / np.log(10)
+                out += np.add.reduceat(log_p, starts).tolist()
+                held, size = [], 0
+        return {"model_log": out}
+
+    parts = common.with_outputs(coded, "units", ["row", "row_id", "n_tokens", "n_known", "head_log", "class_log"], {"model_log": T.DoubleType()}, lambda: run)
+    tail = coded.select("row_id", F.explode("tail").alias("t")).select("row_id", F.col("t.token").alias("token"), F.col("t.n").alias("n"))
+    tail = tail.join(v.counts.hint("merge"), "token")
     tail = tail.groupBy("row_id").agg(F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("tail_log"))
-    space = float(model.n_tokens + model.n_distinct + 1)
-    rest = float(model.n_tokens - model.head_counts[:own].sum() + model.n_distinct - own + 1)
-    found = parts.drop("tail").join(tail.hint("merge"), "row_id", "left")
-    tail_log = F.coalesce("tail_log", F.lit(0.0))
-    found = found.select(
-        "row_id",
+    tail = common.written(tail, "tail")
+    found = parts.join(tail.hint("merge"), "row_id", "left")
+    tail_log, space = F.coalesce("tail_log", F.lit(0.0)), float(v.n_tokens + v.n_distinct + 1)
+    kept = [f"row.`{c}`" for c in coded.schema["row"].dataType.names if c not in OUTPUTS]
+    return found.select(
+        *kept,
         "n_tokens",
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         (F.col("head_log") + tail_log - F.col("n_tokens") * F.lit(float(np.log10(space)))).alias("base_score"),
-        (F.col("model_log") + F.col("class_log") + tail_log - F.col("n_class") * F.lit(float(np.log10(rest)))).alias("score"),
+        (F.col("model_log") + F.col("class_log") + tail_log).alias("score"),
     )
-    return source.drop("text").join(found.hint("merge"), "row_id").select("row.*", *outputs)
+
+
+def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """df's columns `keep` (all by default) with n_tokens, n_known, base_score and score."""
+    return score_units(encode(df, model.vocabulary, text, keep), model)

@@ -22,12 +22,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = (fold("doc_id", 7) == 2).alias("held_out")
-    model = lm.train(docs.where(~F.coalesce(held_out, F.lit(False))))
-    scored = lm.score(docs, model, keep=["doc_id"])
-    return scored.select(
-        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+    held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    vocabulary = lm.count(docs.where(~held_out))
+    coded = lm.encode(docs.withColumn("held_out", held_out), vocabulary, keep=["doc_id", "held_out"])
+    scored = lm.score_units(coded, lm.fit(coded.where("not row.held_out"), vocabulary))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

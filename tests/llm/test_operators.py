@@ -396,23 +396,44 @@ def test_html_regions():
 
 def test_language_model(spark, odd, none, docs):
     train, held = docs.where("doc_id % 7 <> 2"), docs.where("doc_id % 7 = 2")
-    model = lm.train(train)
+    model = lm.train(train, own=100, endings=20, head=500)
     counts = collections.Counter(t for r in train.collect() for t in lm.tokens_of(r.text))
-    n, v = sum(counts.values()), len(counts)
-    assert (model.n_tokens, model.n_distinct) == (n, v)
+    n, v, vocabulary, p = sum(counts.values()), len(counts), model.vocabulary, model.parameters
+    assert (model.n_tokens, vocabulary.n_distinct, vocabulary.own, len(vocabulary.endings)) == (n, v, len(vocabulary.head_counts[:100]), 20)
+    own = {t.encode(): i + 21 for t, i in vocabulary.head.items() if i < 100}
+    unit = lambda t: own.get(t) or vocabulary.endings.get(t[-2:], 0)
+    spaces = collections.Counter(dict.fromkeys(range(21), 1))  # an unseen token of each class
+    for t, c in counts.items():
+        spaces[unit(t)] += c + 1
+    share = lambda t: 1.0 if t in own else (counts[t] + 1) / spaces[unit(t)]
+    # all tokens and an unseen one of each class have the whole probability of each unit
+    whole = collections.Counter({k: 1 / spaces[k] for k in range(21)})
+    for t in counts:
+        whole[unit(t)] += share(t)
+    assert all(x == pytest.approx(1) for x in whole.values()) and len(whole) == 121
     base = model_sum = 0.0
     for r in lm.score(held, model).collect():
         tokens = lm.tokens_of(r.text)
         assert r.n_tokens == len(tokens) and r.n_known == sum(t in counts for t in tokens)
         assert r.base_score == pytest.approx(sum(np.log10((counts[t] + 1) / (n + v + 1)) for t in tokens))
+        units, expected = [121, 121, *map(unit, tokens)], 0.0
+        for i, t in enumerate(tokens):
+            logits = (p.scale[0] * p.context[units[i + 1]] + p.scale[1] * p.context[units[i]]) @ p.out.T + p.bias
+            expected += np.log10(share(t)) + (logits[units[i + 2]] - np.log(np.exp(logits).sum())) / np.log(10)
+        assert r.score == pytest.approx(expected, rel=1e-4)
         base, model_sum = base + r.base_score, model_sum + r.score
     assert model_sum > base
-    p = model.parameters
-    logits = (p.scale[0] * p.context[3] + p.scale[1] * p.context[5]) @ p.out.T + p.bias
-    assert np.log(np.exp(logits).sum()) == pytest.approx(lm.normalisers(spark, p)[3, 5], abs=1e-3)
     assert ids_of(lm.score(odd, model)) == ids_of(odd) and lm.score(none, model).count() == 0
-    empty = lm.score(odd.select("doc_id", "text"), lm.train(none)).collect()
-    assert all(r.n_known == 0 for r in empty)
+    unseen = lm.train(none)
+    empty = lm.score(odd.select("doc_id", "text"), unseen).collect()
+    assert all(r.n_known == 0 for r in empty) and {r.score for r in empty if not r.text} == {0.0}
+    assert lm.score(odd, model).columns == ["doc_id", "text", *lm.OUTPUTS] and dict(lm.score(odd, model).dtypes)["score"] == "double"
+
+
+def test_language_model_held_out(spark):
+    rows = queries.op2_language_model(spark, DATA.replace("sf0.001", "sf0.01")).where("held_out").collect()
+    base, model = sum(r.base_score for r in rows), sum(r.score for r in rows)
+    assert model >= 0.95 * base  # both negative: at least a twentieth fewer digits
 
 
 def test_language_model_trains_on_every_position(spark):
