@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
-from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,8 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-#: Named entities of running text that `clean_text` decodes; the ampersand comes last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Character references by name, with and without a closing semicolon, from the standard library's table.
+NAMED = {k: v for k, v in html5.items()}
+#: Those that need no semicolon, the longest first: what a text may have run on.
+OPEN_ENDED = sorted((k for k in NAMED if not k.endswith(";")), key=lambda k: (-len(k), k))
+#: What numbers stand for that name no character of their own: code page 1252 for 128 to 159.
+MISNUMBERED = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)} | {"13": "\r", "0": "\ufffd"}
+UNMARKED = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>|<[^>]*>"
 
 
 def first_truthy(*columns: Column) -> Column:
@@ -25,24 +31,66 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+#: Runs of white space but for single spaces, which stay as they are; the same for what isn't a lower-case ASCII letter or digit.
+SPACES = r" [\s\x1c-\x1f\x85\pZ]+|[\s\x1c-\x1f\x85\pZ&&[^ ]][\s\x1c-\x1f\x85\pZ]*"
+OTHERS = " [^a-z0-9]+|[^a-z0-9 ][^a-z0-9]*"
+
+
 def squeezed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(c, SPACES, " "))
+
+
+def constant_map(entries: dict[str, str]) -> Column:
+    """A literal map, folded once from one text."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
+def numbered(n: Column) -> Column:
+    """The character of a code point; U+FFFD for what is none."""
+    good = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.coalesce(F.element_at(constant_map(MISNUMBERED), n.cast("string")), char)
 
 
 def decode_entities(c: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
+    """Character references decoded once: by name (the longest one that fits, where no semicolon closes it), by number, by hexadecimal number."""
+    head = lambda p, pattern: F.regexp_extract(p, pattern, 1)
+    rest = lambda p, used: F.substring(p, F.length(used) + 1, F.length(p))
+    number = lambda text, base: numbered(F.coalesce(F.conv(text, base, 10).try_cast("decimal(20,0)").try_cast("long"), F.lit(0xFFFD).cast("long")))
+
+    def named(p: Column, name: Column) -> Column:
+        value = F.element_at(constant_map(NAMED), name)
+        run_on = head(p, f"^({'|'.join(OPEN_ENDED)})")
+        other = F.when(run_on != "", F.concat(F.element_at(constant_map(NAMED), run_on), rest(p, run_on))).otherwise(F.concat(F.lit("&"), p))
+        return let(F.when(name != "", value), lambda v: F.when(v.isNotNull(), F.concat(v, rest(p, name))).otherwise(other))
+
+    def one(p: Column) -> Column:
+        decimal, hexadecimal = head(p, r"^(#[0-9]+;?)"), head(p, r"^(#[xX][0-9a-fA-F]+;?)")
+        return (
+            F.when(decimal != "", F.concat(number(head(p, r"^#0*([0-9]{1,9})"), 10), rest(p, decimal)))
+            .when(hexadecimal != "", F.concat(number(head(p, r"^#[xX]0*([0-9a-fA-F]{1,9})"), 16), rest(p, hexadecimal)))
+            .when(p.startswith("amp;"), F.concat(F.lit("&"), rest(p, F.lit("amp;"))))
+            .otherwise(named(p, head(p, r"^([A-Za-z][A-Za-z0-9]*;?)")))
+        )
+
+    pieces = let(F.split(c, "&"), lambda x: F.concat(F.get(x, F.lit(0)), F.array_join(F.transform(F.slice(x, 2, F.size(x)), one), "")))
+    return F.when(F.contains(c, F.lit("&")), pieces).otherwise(c)
 
 
 def clean_text(c: Column) -> Column:
-    """Tags stripped (only where both angle brackets occur), entities decoded, white space squeezed; null gives ''."""
-    c = F.coalesce(c, F.lit(""))
-    bare = F.when(c.contains("<") & c.contains(">"), F.regexp_replace(c, "<[^>]*>", " ")).otherwise(c)
-    return squeezed(decode_entities(bare))
+    """Text without markup, white space squeezed; null gives ''. Only where both angle brackets occur, tags, comments, scripts and styles are
+    stripped and references decoded as markup first. Then references are decoded."""
+
+    def plain(x: Column) -> Column:
+        marked = F.contains(x, F.lit("<")) & F.contains(x, F.lit(">"))
+        return F.when(marked, decode_entities(F.regexp_replace(x, UNMARKED, " "))).otherwise(x)
+
+    return let(F.coalesce(c, F.lit("")), lambda x: let(plain(x), lambda y: squeezed(decode_entities(y))))
 
 
 def clean_nested(c: Column) -> Column:
     """clean_text for markup that was escaped once more."""
-    return clean_text(decode_entities(decode_entities(F.coalesce(c, F.lit("")))))
+    return let(F.coalesce(c, F.lit("")), lambda x: let(decode_entities(x), lambda y: clean_text(decode_entities(y))))
 
 
 def folded(c: Column) -> Column:
@@ -52,7 +100,7 @@ def folded(c: Column) -> Column:
 
 def match_text(c: Column) -> Column:
     """Lower-case ASCII letters and digits; every other run is one space."""
-    return F.trim(F.regexp_replace(folded(c), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(folded(c), OTHERS, " "))
 
 
 def tech_text(c: Column) -> Column:
@@ -80,11 +128,13 @@ def has_phrase(haystack: Column, needle: Column | str) -> Column:
 def hits(text: Column, terms: tuple[str, ...], phrase: bool = False) -> Column:
     """The terms, in list order, that occur in text: as substrings or as whole phrases."""
     listed = F.array(*map(F.lit, terms))
-    return F.filter(listed, (lambda t: has_phrase(text, t)) if phrase else (lambda t: F.contains(text, t)))
+    if phrase:
+        return let(F.concat(F.lit(" "), text, F.lit(" ")), lambda x: F.filter(listed, lambda t: F.contains(x, F.concat(F.lit(" "), t, F.lit(" ")))))
+    return let(text, lambda x: F.filter(listed, lambda t: F.contains(x, t)))
 
 
 def any_hit(text: Column, terms: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
+    return let(text, lambda x: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(x, t)))
 
 
 def title_from_slug(slug: Column, acronyms: tuple[str, ...] = ("ai", "ml", "it", "qa", "sql", "bi")) -> Column:

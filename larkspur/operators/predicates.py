@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import any_hit, clean_text, compact_text, folded, hits, match_text
+from larkspur.functions.text import any_hit, clean_text, compact_text, folded, hits, let, match_text
 from larkspur.functions.urls import is_public
 
 # Terms and patterns of the default settings.
@@ -62,11 +62,13 @@ INVALID_BOARDS = (("linkedin", "lever"), ("porter", "lever"), ("bounce", "ashby"
 
 def location_matches(location: Column, terms: tuple[str, ...] = LOCATIONS) -> Column:
     """Marked remote (or the city's code) within the country, or a configured place as a whole phrase."""
-    n = match_text(location)
-    words = F.split(n, " ")
-    has = lambda w: F.array_contains(words, w)
-    near = (has("remote") | has("blr")) & (has("india") | has("ind"))
-    return (n != "") & (near | (F.size(hits(n, tuple(terms), phrase=True)) > 0))
+
+    def matches(n: Column) -> Column:
+        has = lambda w: F.array_contains(F.split(n, " "), w)
+        near = (has("remote") | has("blr")) & (has("india") | has("ind"))
+        return (n != "") & (near | (F.size(hits(n, tuple(terms), phrase=True)) > 0))
+
+    return let(match_text(location), matches)
 
 
 def is_target_title(title: Column, terms: tuple[str, ...] = TARGET_TITLES) -> Column:
@@ -83,24 +85,29 @@ def is_broad_title(title: Column) -> Column:
 
 def seniority_reason(title: Column, body: Column, blocked: tuple[str, ...] = BLOCKED_TITLES, rejects: tuple[str, ...] = EXPERIENCE_REJECTS) -> Column:
     """Why a posting is too senior, in the order of the rules; null if it isn't."""
-    low = F.lower(title)
-    text = F.concat(low, F.lit(" "), F.lower(F.coalesce(body, F.lit(""))))
-    first = lambda t, terms: F.get(hits(t, terms), F.lit(0))
+    low, low_body = F.lower(title), F.lower(F.coalesce(body, F.lit("")))
+    return let(low, lambda x: let(F.concat(x, F.lit(" "), low_body), lambda text: senior_in(x, text, blocked, rejects)))
+
+
+def senior_in(low: Column, text: Column, blocked: tuple[str, ...], rejects: tuple[str, ...]) -> Column:
+    """seniority_reason of a lower-case title, and of it with the lower-case body."""
     return (
         F.when(low.rlike(r"\b(?:avp|svp|vp)\b"), "blocked seniority abbreviation")
-        .when(any_hit(low, blocked), F.concat(F.lit("blocked title term: "), first(low, blocked)))
-        .when(any_hit(text, rejects), F.concat(F.lit("too much experience: "), first(text, rejects)))
+        .when(any_hit(low, blocked), F.concat(F.lit("blocked title term: "), F.get(hits(low, blocked), F.lit(0))))
+        .when(any_hit(text, rejects), F.concat(F.lit("too much experience: "), F.get(hits(text, rejects), F.lit(0))))
         .when(text.rlike(MANY_YEARS), F.concat(F.lit("experience appears too high: "), F.regexp_extract(text, MANY_YEARS, 0)))
     )
 
 
 def experience_reason(title: Column, body: Column, **terms) -> Column:
     """seniority_reason, then a stated minimum of four years or more."""
-    n = match_text(F.concat_ws(" ", title, body))
-    years = lambda p: F.regexp_extract(n, p, 1)
-    least, plus = years(LEAST_YEARS), years(PLUS_YEARS)
+    return F.coalesce(seniority_reason(title, body, **terms), let(match_text(F.concat_ws(" ", title, body)), stated_minimum))
+
+
+def stated_minimum(n: Column) -> Column:
+    """The reason that a normal form gives by a minimum of four years or more."""
+    least, plus = (F.regexp_extract(n, p, 1) for p in (LEAST_YEARS, PLUS_YEARS))
     return F.coalesce(
-        seniority_reason(title, body, **terms),
         F.when(least.try_cast("double") >= 4, F.concat(F.lit("experience minimum too high: "), least, F.lit(" years"))),
         F.when(plus.try_cast("double") >= 4, F.concat(F.lit("experience minimum too high: "), plus, F.lit("+ years"))),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import any_hit, clean_text, hits, match_text, tech_text
+from larkspur.functions.text import any_hit, clean_text, hits, let, match_text, tech_text
 from larkspur.functions.values import token_set
 from larkspur.operators import predicates as P
 
@@ -50,7 +50,10 @@ EARLY_ROLE = (
     r"(?i)\b(?:entry[ -]?level|early[ -]?career|new grad|graduate role|associate|"
     r"0\s*(?:-|to)\s*[23]|1\s*(?:-|to|\+)\s*[123]?|2\s*(?:-|to|\+)\s*[35]?)\b"
 )
-EARLY_ADJACENT = EARLY_ROLE.replace("associate|", "associate|apprentice|trainee|")
+EARLY_ADJACENT = (
+    r"(?i)\b(?:entry[ -]?level|early[ -]?career|new grad|graduate role|associate|apprentice|trainee|"
+    r"0\s*(?:-|to)\s*[23]|1\s*(?:-|to|\+)\s*[123]?|2\s*(?:-|to|\+)\s*[35]?)\b"
+)
 PROFILE_SKILLS = (
     "python", "sql", "groovy", "bash", "shell scripting", "git", "github", "github actions", "jenkins", "docker", "podman", "linux",
     "rhel", "jfrog", "artifactory", "ansible", "yaml", "power bi",
@@ -99,75 +102,107 @@ def listing(label: str, found: Column, most: int) -> Column:
     return F.when(F.size(found) > 0, F.concat(F.lit(label), F.array_join(F.slice(found, 1, most), ", ")))
 
 
-def text_of(*columns: Column) -> Column:
-    return F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in columns))
-
-
 @dataclass(frozen=True)
 class Posting:
-    """The columns of a posting that the lanes read."""
+    """The columns of a posting that the lanes read, made once for each row and step."""
 
     title: Column
-    location: Column
-    description: Column
-    department: Column
     priority: Column
-    place: Column  # whether the location gate is passed
-    senior: Column  # reasons of the seniority and of the experience rules, or null
+    # normal forms
+    low_title: Column
+    title_form: Column
+    low_text: Column  # title, department, location and description in lower case
+    low_body: Column  # the same without the location
+    clean: Column  # the description without markup
+    form: Column  # match_text of the description, of it with the department, and with the title too
+    body_form: Column
+    whole_form: Column
+    # gates: whether the location passes; reasons of the seniority and of the experience rules, or null
+    place: Column
+    senior: Column
     experience: Column
-    base: Column  # results of the lanes before
+    # results of the lanes before
+    base: Column
     expanded: Column
 
     @classmethod
     def of(cls) -> Posting:
-        c = lambda n: F.coalesce(F.col(n), F.lit(""))
-        return cls(c("title"), c("location"), c("description"), c("department"), F.coalesce(F.col("priority"), F.lit(3)), *map(F.col, STEPS))
+        return cls(F.coalesce("title", F.lit("")), F.coalesce(F.col("priority"), F.lit(3)), *map(F.col, (*FORMS, *GATES, "__base", "__expanded")))
+
+
+#: Columns of the steps, each made from the ones before.
+FORMS = ("__low_title", "__title_form", "__low_text", "__low_body", "__clean", "__form", "__body_form", "__whole_form")
+GATES = ("__place", "__senior", "__experience")
+
+
+def with_forms(df: DataFrame) -> DataFrame:
+    """df with FORMS. The description goes through each normal form once; forms of several fields are joined from theirs."""
+    fields = {n: F.coalesce(F.col(n), F.lit("")) for n in ("title", "location", "description", "department")}
+    parts = {f"__low_{n}": F.lower(c) for n, c in fields.items()} | {f"__form_{n}": match_text(c) for n, c in fields.items() if n != "location"}
+    parts = once(df.select("*", *(c.alias(n) for n, c in parts.items()), clean_text(fields["description"]).alias("__clean")))
+    low = lambda *names: F.concat_ws(" ", *(f"__low_{n}" for n in names))
+    form = lambda *names: F.concat_ws(" ", *(F.nullif(F.col(f"__form_{n}"), F.lit("")) for n in names))
+    return once(
+        parts.select(
+            *df.columns, "__low_title", "__clean", F.col("__form_title").alias("__title_form"), F.col("__form_description").alias("__form"),
+            low("title", "department", "location", "description").alias("__low_text"), low("title", "department", "description").alias("__low_body"),
+            low("title", "description").alias("__titled"), form("department", "description").alias("__body_form"),
+            form("title", "department", "description").alias("__whole_form"), form("title", "description").alias("__titled_form"),
+        )
+    )
 
 
-#: Columns that are computed once, each from the ones before.
-STEPS = ("__place", "__senior", "__experience", "__base", "__expanded")
+def with_gates(df: DataFrame, s: Settings) -> DataFrame:
+    place = P.location_matches(F.coalesce("location", F.lit("")), s.locations)
+    senior = P.senior_in(F.col("__low_title"), F.col("__titled"), s.blocked, s.rejects)
+    gated = once(df.select("*", place.alias("__place"), senior.alias("__senior")))
+    return once(gated.select("*", F.coalesce("__senior", P.stated_minimum(F.col("__titled_form"))).alias("__experience")))
 
 
 def base_lane(p: Posting, s: Settings) -> Column:
     """Place 25, strong title 45, skills up to 30, context 10, early career 10, priority 5; a seniority reason zeroes all."""
-    text, title = F.lower(text_of(p.title, p.department, p.location, p.description)), F.lower(p.title)
-    skills = hits(text, s.skills)
-    context, early, first = any_hit(text, s.context), any_hit(text, s.early), p.priority >= 4
-    total = 70 + points(F.size(skills), 5, 30) + F.when(context, 10).otherwise(0) + F.when(early, 10).otherwise(0) + F.when(first, 5).otherwise(0)
+
+    def result(skills: Column, context: Column, early: Column) -> Column:
+        first = p.priority >= 4
+        total = 70 + points(F.size(skills), 5, 30) + F.when(context, 10).otherwise(0) + F.when(early, 10).otherwise(0) + F.when(first, 5).otherwise(0)
+        return scored(
+            F.least(total, F.lit(100)), PLACE_REASON, F.concat(F.lit("role title: "), F.get(hits(p.low_title, s.strong_titles), F.lit(0))),
+            listing("skills: ", skills, 6), F.when(context, "data/analytics context"), F.when(early, "early-career signal"), F.when(first, "higher WLB priority company"),
+        )
+
+    found = F.struct(hits(p.low_text, s.skills).alias("skills"), any_hit(p.low_text, s.context).alias("context"), any_hit(p.low_text, s.early).alias("early"))
     return (
         F.when(~p.place, scored(0, NO_PLACE))
-        .when(~any_hit(title, s.strong_titles), scored(0, "title does not match a target data/AI/analytics role"))
+        .when(~any_hit(p.low_title, s.strong_titles), scored(0, "title does not match a target data/AI/analytics role"))
         .when(p.senior.isNotNull(), scored(0, p.senior))
-        .otherwise(
-            scored(
-                F.least(total, F.lit(100)), PLACE_REASON, F.concat(F.lit("role title: "), F.get(hits(title, s.strong_titles), F.lit(0))),
-                listing("skills: ", skills, 6), F.when(context, "data/analytics context"), F.when(early, "early-career signal"), F.when(first, "higher WLB priority company"),
-            )
-        )
+        .otherwise(let(found, lambda f: result(f["skills"], f["context"], f["early"])))
     )
 
 
 def expanded_lane(p: Posting, s: Settings) -> Column:
     """base_lane; where it gives 0, technical titles with evidence in the description."""
-    text = F.concat(F.lit(" "), F.lower(text_of(p.title, p.department, p.description)), F.lit(" "))
-    title = F.concat(F.lit(" "), match_text(p.title), F.lit(" "))
+    text, title = F.concat(F.lit(" "), p.low_body, F.lit(" ")), F.concat(F.lit(" "), p.title_form, F.lit(" "))
     named = F.array_compact(F.array(F.when(F.contains(title, F.lit(" ai ")), "title: AI"), F.when(F.contains(title, F.lit(" ml ")), "title: ML")))
-    domains = F.concat(hits(text, s.domains), named)
-    skills, early = hits(text, s.tech_skills), F.get(hits(text, s.early_signals), F.lit(0))
-    enough = (F.size(domains) > 0) & ((F.size(domains) >= 2) | (F.size(skills) >= 2) | early.isNotNull())
-    total = 60 + points(F.size(domains), 5, 15) + points(F.size(skills), 5, 20) + F.when(early.isNotNull(), 10).otherwise(0) + F.when(p.priority >= 4, 5).otherwise(0)
-    return (
-        F.when(p.base["score"] > 0, p.base)
-        .when(~p.place, scored(0, NO_PLACE))
-        .when(~P.is_generic_technical(p.title), scored(0, "title does not match a target or adjacent technical role"))
-        .when(p.senior.isNotNull(), scored(0, p.senior))
-        .when(~enough, scored(0, "generic technical title lacks strong data/AI evidence"))
-        .otherwise(
+
+    def result(domains: Column, skills: Column, early: Column) -> Column:
+        enough = (F.size(domains) > 0) & ((F.size(domains) >= 2) | (F.size(skills) >= 2) | early.isNotNull())
+        total = 60 + points(F.size(domains), 5, 15) + points(F.size(skills), 5, 20) + F.when(early.isNotNull(), 10).otherwise(0) + F.when(p.priority >= 4, 5).otherwise(0)
+        return F.when(~enough, scored(0, "generic technical title lacks strong data/AI evidence")).otherwise(
             scored(
                 F.least(total, F.lit(100)), PLACE_REASON, "adjacent engineer role verified from description", listing("data/AI context: ", domains, 3),
                 listing("skills: ", skills, 5), F.concat(F.lit("early-career signal: "), early), F.when(p.priority >= 4, "higher WLB priority company"),
             )
         )
+
+    found = lambda x: F.struct(
+        F.concat(hits(x, s.domains), named).alias("domains"), hits(x, s.tech_skills).alias("skills"), F.get(hits(x, s.early_signals), F.lit(0)).alias("early")
+    )
+    return (
+        F.when(p.base["score"] > 0, p.base)
+        .when(~p.place, scored(0, NO_PLACE))
+        .when(~P.is_generic_technical(p.title), scored(0, "title does not match a target or adjacent technical role"))
+        .when(p.senior.isNotNull(), scored(0, p.senior))
+        .otherwise(let(let(text, found), lambda f: result(f["domains"], f["skills"], f["early"])))
     )
 
 
@@ -177,57 +212,65 @@ def production_lane(p: Posting, s: Settings) -> Column:
 
 def precision_lane(p: Posting, s: Settings) -> Column:
     """production_lane for target titles; stricter gates for broad ones, whose score ends at 85 without a domain in the title."""
-    expanded, body = p.expanded, match_text(p.description)
-    domains, skills = hits(body, BODY_DOMAINS), hits(body, CORE_SKILLS)
-    stack = (F.size(skills) >= 3) & F.arrays_overlap(domains, F.array(*map(F.lit, CORE_DOMAINS)))
-    adjacent = body.rlike(EARLY_ROLE) & (F.size(domains) >= 1) & (F.size(skills) >= 2)
+    expanded = p.expanded
     capped = F.struct(
         F.least(expanded["score"], F.lit(85)).alias("score"), F.array_append(expanded["reasons"], F.lit("generic title passed strict profile-overlap check")).alias("reasons")
     )
+
+    def overlaps(domains: Column, skills: Column) -> Column:
+        stack = (F.size(skills) >= 3) & F.arrays_overlap(domains, F.array(*map(F.lit, CORE_DOMAINS)))
+        return stack | (p.form.rlike(EARLY_ROLE) & (F.size(domains) >= 1) & (F.size(skills) >= 2))
+
+    found = F.struct(hits(p.form, BODY_DOMAINS).alias("domains"), hits(p.form, CORE_SKILLS).alias("skills"))
     return (
         F.when(p.title.rlike(P.OTHER_CITY_TITLE), scored(0, "title requires a non-target city rather than Remote India"))
         .when(p.experience.isNotNull(), scored(0, p.experience))
-        .when(P.is_target_title(p.title, s.target_titles), expanded)
+        .when(any_hit(p.low_title, s.target_titles), expanded)
         .when(~P.is_generic_technical(p.title), scored(0, "title does not match a target or adjacent technical role"))
         .when(p.title.rlike(P.SUPPORT_TITLE), scored(0, "adjacent title belongs to support/general application engineering"))
-        .when(P.in_opening(p.description, P.SENIOR_OPENING, 1200), scored(0, "description identifies the role itself as senior"))
+        .when(F.substring(p.clean, 1, 1200).rlike(P.SENIOR_OPENING), scored(0, "description identifies the role itself as senior"))
         .when((expanded["score"] == 0) | p.title.rlike(TITLE_DOMAIN), expanded)
-        .when(stack | adjacent, capped)
+        .when(let(found, lambda f: overlaps(f["domains"], f["skills"])), capped)
         .otherwise(scored(0, "generic title lacks enough profile-specific data/AI evidence"))
     )
 
 
 def adjacent_lane(p: Posting, s: Settings) -> Column:
     """Platform and data roles next to the target ones, by whole phrases; ends at 95."""
-    body = F.concat_ws(" ", F.nullif(p.department, F.lit("")), F.nullif(p.description, F.lit("")))
-    normal = match_text(body)
-    profile, data = hits(normal, PROFILE_SKILLS, phrase=True), hits(normal, DATA_SKILLS, phrase=True)
-    signals = hits(match_text(F.concat_ws(" ", p.title, body)), PLATFORM_SIGNALS, phrase=True)
-    early, named = normal.rlike(EARLY_ADJACENT), p.title.rlike(P.PLATFORM_TITLE)
-    n_profile, n_signals = F.size(profile), F.size(signals)
-    generic = (early & (n_signals >= 2) & (n_profile >= 4)) | ((n_signals >= 3) & (n_profile >= 5))
-    platform = F.when(named, (n_signals >= 1) & (n_profile >= 3)).otherwise(P.is_generic_technical(p.title) & (n_signals > 0) & generic)
-    extra = F.when(early, 10).otherwise(0) + F.when(p.priority >= 4, 5).otherwise(0)
-    last = (F.when(early, "early-career signal"), F.when(p.priority >= 4, "higher WLB priority company"))
+    found = F.struct(
+        hits(p.body_form, PROFILE_SKILLS, phrase=True).alias("profile"), hits(p.body_form, DATA_SKILLS, phrase=True).alias("data"),
+        hits(p.whole_form, PLATFORM_SIGNALS, phrase=True).alias("signals"), p.body_form.rlike(EARLY_ADJACENT).alias("early"),
+    )
+
+    def result(profile: Column, data: Column, signals: Column, early: Column) -> Column:
+        named, n_profile, n_signals = p.title.rlike(P.PLATFORM_TITLE), F.size(profile), F.size(signals)
+        generic = (early & (n_signals >= 2) & (n_profile >= 4)) | ((n_signals >= 3) & (n_profile >= 5))
+        platform = F.when(named, (n_signals >= 1) & (n_profile >= 3)).otherwise(P.is_generic_technical(p.title) & (n_signals > 0) & generic)
+        extra = F.when(early, 10).otherwise(0) + F.when(p.priority >= 4, 5).otherwise(0)
+        last = (F.when(early, "early-career signal"), F.when(p.priority >= 4, "higher WLB priority company"))
+        return (
+            F.when(
+                platform,
+                scored(
+                    F.least(60 + points(n_profile, 5, 20) + points(n_signals, 5, 10) + extra, F.lit(95)), PLACE_REASON, "resume lane: DevOps/platform/build automation",
+                    F.concat(F.lit("resume skills: "), F.array_join(F.slice(profile, 1, 6), ", ")), listing("platform context: ", signals, 3), *last,
+                ),
+            )
+            .when(
+                p.title.rlike(P.DATA_ADJACENT_TITLE) & (F.size(data) >= 2),
+                scored(F.least(65 + points(F.size(data), 5, 20) + extra, F.lit(95)), PLACE_REASON, "resume lane: data engineering/data science", listing("resume skills: ", data, 6), *last),
+            )
+            .otherwise(scored(0, "role lacks enough evidence for a resume-aligned adjacent lane"))
+        )
+
     return (
         F.when(~p.place, scored(0, NO_PLACE))
         .when(p.experience.isNotNull(), scored(0, p.experience))
         .when(p.title.rlike(P.NON_PROFILE_TITLE), scored(0, "role family does not overlap the resume target lanes"))
         .when(p.title.rlike(P.ADVISOR_TITLE), scored(0, "title indicates an experienced advisory level"))
-        .when(P.in_opening(p.description, P.SENIOR_DESCRIPTION, 1600), scored(0, "description identifies an experienced/senior role"))
-        .when(clean_text(p.description).rlike(P.THREE_YEARS), scored(0, "adjacent role requires 3+ years; above demonstrated experience"))
-        .when(
-            platform,
-            scored(
-                F.least(60 + points(n_profile, 5, 20) + points(n_signals, 5, 10) + extra, F.lit(95)), PLACE_REASON, "resume lane: DevOps/platform/build automation",
-                F.concat(F.lit("resume skills: "), F.array_join(F.slice(profile, 1, 6), ", ")), listing("platform context: ", signals, 3), *last,
-            ),
-        )
-        .when(
-            p.title.rlike(P.DATA_ADJACENT_TITLE) & (F.size(data) >= 2),
-            scored(F.least(65 + points(F.size(data), 5, 20) + extra, F.lit(95)), PLACE_REASON, "resume lane: data engineering/data science", listing("resume skills: ", data, 6), *last),
-        )
-        .otherwise(scored(0, "role lacks enough evidence for a resume-aligned adjacent lane"))
+        .when(F.substring(p.clean, 1, 1600).rlike(P.SENIOR_DESCRIPTION), scored(0, "description identifies an experienced/senior role"))
+        .when(p.clean.rlike(P.THREE_YEARS), scored(0, "adjacent role requires 3+ years; above demonstrated experience"))
+        .otherwise(let(found, lambda f: result(f["profile"], f["data"], f["signals"], f["early"])))
     )
 
 
@@ -238,13 +281,8 @@ def score_postings(df: DataFrame, settings: Settings | None = None, lane: str =
     """df(title, location, description, department, priority) with score and reasons of a lane; the
     cascade takes the precision lane where it scores, else the adjacent one."""
     s, p = settings or Settings(), Posting.of()
-    steps = df.select(
-        "*",
-        P.location_matches(p.location, s.locations).alias("__place"),
-        P.seniority_reason(p.title, p.description, blocked=s.blocked, rejects=s.rejects).alias("__senior"),
-        P.experience_reason(p.title, p.description, blocked=s.blocked, rejects=s.rejects).alias("__experience"),
-    )
-    steps = once(once(once(steps).select("*", base_lane(p, s).alias("__base"))).select("*", expanded_lane(p, s).alias("__expanded")))
+    steps = with_gates(with_forms(df), s)
+    steps = once(once(steps.select("*", base_lane(p, s).alias("__base"))).select("*", expanded_lane(p, s).alias("__expanded")))
     if lane != "cascade":
         return once(steps.select("*", LANES[lane](p, s).alias("lane"))).select(*df.columns, "lane.score", "lane.reasons")
     both = once(steps.select("*", precision_lane(p, s).alias("precise"), adjacent_lane(p, s).alias("adjacent")))

@@ -9,22 +9,44 @@ from larkspur.functions import text as T
 from larkspur.plans.base import Tables, query
 
 #: Pieces of SQL that several queries use.
-CLEAN = (
-    "trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(CASE WHEN contains({0}, '<') AND contains({0}, '>') THEN regexp_replace({0}, '<[^>]*>', ' ', 'g') ELSE {0} END,"
-    " '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[\\s\\x0B ]+', ' ', 'g'))"
+NAMES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "''", "nbsp": "\u00a0", "copy": "©", "middot": "·", "eacute": "é", "notin": "∉", "hellip": "…"}
+DECODED = (
+    "array_to_string(list_transform(string_split({0}, '&'), lambda x, i: CASE WHEN i = 1 THEN x"
+    " WHEN regexp_matches(x, '^#[0-9]+;?') THEN chr(regexp_extract(x, '^#([0-9]+)', 1)::INT) || regexp_replace(x, '^#[0-9]+;?', '')"
+    " WHEN regexp_matches(x, '^#[xX][0-9a-fA-F]+;?') THEN chr(('0x' || regexp_extract(x, '^#[xX]([0-9a-fA-F]+)', 1))::INT) || regexp_replace(x, '^#[xX][0-9a-fA-F]+;?', '') "
+    + " ".join(f"WHEN starts_with(x, '{n};') THEN '{v}' || x[{len(n) + 2}:]" for n, v in NAMES.items())
+    + " WHEN regexp_matches(x, '^(amp|lt|gt|copy)') THEN CASE WHEN starts_with(x, 'amp') THEN '&' || x[4:] WHEN starts_with(x, 'lt') THEN '<' || x[3:] WHEN starts_with(x, 'gt') THEN '>' || x[3:] ELSE '©' || x[5:] END"
+    " ELSE '&' || x END), '')"
 )
+SPACED = "trim(regexp_replace({0}, '[\\s\\x0B\\x1c-\\x1f\\x85\\pZ]+', ' ', 'g'))"
+BARE = (
+    "regexp_replace({0}, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<template\\b[^>]*>.*?</template\\s*>|<[^>]*>', ' ', 'g')"
+)
+#: References twice where markup is stripped: as markup, then as text.
+CLEAN = SPACED.format(DECODED.format("CASE WHEN contains({0}, '<') AND contains({0}, '>') THEN " + DECODED.format(BARE) + " ELSE {0} END"))
 MATCH = "trim(regexp_replace(lower(replace(coalesce({0}, ''), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g'))"
 TECH = "trim(regexp_replace(lower(replace(coalesce({0}, ''), 'ß', 'ss')), '[^a-z0-9+#./]+', ' ', 'g'))"
 
 
-@query("p1_clean_text", f"SELECT page_id, {CLEAN.format('html')} AS clean FROM pages")
+REFERENCES = " Men&#8217;s caf&eacute; &#x2014; x&notin;y &amp;lt; &bogus; & a&b &copy2 &hellip;"
+
+
+@query("p1_clean_text", f"WITH s AS (SELECT page_id, html || '{REFERENCES}' AS html, regexp_replace(html, '[<>]', '', 'g') || '{REFERENCES}' AS plain FROM pages) SELECT page_id, {CLEAN.format('html')} AS clean, {CLEAN.format('plain')} AS plain FROM s")
 def p1(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", T.clean_text(F.col("html")).alias("clean"))
+    pages = t.pages.select("page_id", F.concat("html", F.lit(REFERENCES)).alias("html"), F.concat(F.regexp_replace("html", "[<>]", ""), F.lit(REFERENCES)).alias("plain"))
+    return pages.select("page_id", T.clean_text(F.col("html")).alias("clean"), T.clean_text(F.col("plain")).alias("plain"))
 
 
-@query("p2_clean_nested")
+@query(
+    "p2_clean_nested",
+    f"WITH s AS (SELECT page_id, replace(replace(replace(html || '{REFERENCES}', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM pages), d AS (SELECT page_id, {DECODED.format('html')} AS html FROM s),"
+    f" e AS (SELECT page_id, {DECODED.format('html')} AS html FROM d) SELECT page_id, {CLEAN.format('html')} AS clean FROM e",
+)
 def p2(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", T.clean_nested(T.decode_entities(F.col("html"))).alias("clean"))
+    escaped = F.concat("html", F.lit(REFERENCES))
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(char), F.lit(name))
+    return t.pages.select("page_id", T.clean_nested(escaped).alias("clean"))
 
 
 @query("p3_match_text", f"SELECT doc_id, {MATCH.format('text')} AS form FROM documents")
