@@ -45,35 +45,36 @@ def constant_map(entries: dict[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
 
 
-def numbered(n: Column) -> Column:
-    """The character of a code point; U+FFFD for what is none."""
-    good = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-    return F.coalesce(F.element_at(constant_map(MISNUMBERED), n.cast("string")), char)
-
-
 def decode_entities(c: Column) -> Column:
     """Character references decoded once: by name (the longest one that fits, where no semicolon closes it), by number, by hexadecimal number."""
     head = lambda p, pattern: F.regexp_extract(p, pattern, 1)
     rest = lambda p, used: F.substring(p, F.length(used) + 1, F.length(p))
-    number = lambda text, base: numbered(F.coalesce(F.conv(text, base, 10).try_cast("decimal(20,0)").try_cast("long"), F.lit(0xFFFD).cast("long")))
 
-    def named(p: Column, name: Column) -> Column:
-        value = F.element_at(constant_map(NAMED), name)
+    def character(n: Column, table: Column) -> Column:
+        good = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.coalesce(F.element_at(table, n.cast("string")), char)
+
+    def numbered(p: Column, digits: str, base: int, used: Column, table: Column) -> Column:
+        n = F.coalesce(F.conv(head(p, digits), base, 10).try_cast("long"), F.lit(0xFFFD).cast("long"))
+        return F.concat(let(n, lambda x: character(x, table)), rest(p, used))
+
+    def named(p: Column, name: Column, table: Column) -> Column:
         run_on = head(p, f"^({'|'.join(OPEN_ENDED)})")
-        other = F.when(run_on != "", F.concat(F.element_at(constant_map(NAMED), run_on), rest(p, run_on))).otherwise(F.concat(F.lit("&"), p))
-        return let(F.when(name != "", value), lambda v: F.when(v.isNotNull(), F.concat(v, rest(p, name))).otherwise(other))
+        other = F.when(run_on != "", F.concat(F.element_at(table, run_on), rest(p, run_on))).otherwise(F.concat(F.lit("&"), p))
+        return let(F.when(name != "", F.element_at(table, name)), lambda v: F.when(v.isNotNull(), F.concat(v, rest(p, name))).otherwise(other))
 
-    def one(p: Column) -> Column:
+    def one(p: Column, table: Column) -> Column:
         decimal, hexadecimal = head(p, r"^(#[0-9]+;?)"), head(p, r"^(#[xX][0-9a-fA-F]+;?)")
         return (
-            F.when(decimal != "", F.concat(number(head(p, r"^#0*([0-9]{1,9})"), 10), rest(p, decimal)))
-            .when(hexadecimal != "", F.concat(number(head(p, r"^#[xX]0*([0-9a-fA-F]{1,9})"), 16), rest(p, hexadecimal)))
-            .when(p.startswith("amp;"), F.concat(F.lit("&"), rest(p, F.lit("amp;"))))
-            .otherwise(named(p, head(p, r"^([A-Za-z][A-Za-z0-9]*;?)")))
+            F.when(p.startswith("amp;"), F.concat(F.lit("&"), rest(p, F.lit("amp;"))))
+            .when(decimal != "", numbered(p, r"^#0*([0-9]{1,9})", 10, decimal, table))
+            .when(hexadecimal != "", numbered(p, r"^#[xX]0*([0-9a-fA-F]{1,9})", 16, hexadecimal, table))
+            .otherwise(named(p, head(p, r"^([A-Za-z][A-Za-z0-9]*;?)"), table))
         )
 
-    pieces = let(F.split(c, "&"), lambda x: F.concat(F.get(x, F.lit(0)), F.array_join(F.transform(F.slice(x, 2, F.size(x)), one), "")))
+    joined = lambda x, table: F.concat(F.get(x, F.lit(0)), F.array_join(F.transform(F.slice(x, 2, F.size(x)), lambda p: one(p, table)), ""))
+    pieces = let(constant_map(NAMED | MISNUMBERED), lambda table: let(F.split(c, "&"), lambda x: joined(x, table)))
     return F.when(F.contains(c, F.lit("&")), pieces).otherwise(c)
 
 
@@ -83,14 +84,15 @@ def clean_text(c: Column) -> Column:
 
     def plain(x: Column) -> Column:
         marked = F.contains(x, F.lit("<")) & F.contains(x, F.lit(">"))
-        return F.when(marked, decode_entities(F.regexp_replace(x, UNMARKED, " "))).otherwise(x)
+        bare = F.when(marked, F.regexp_replace(x, UNMARKED, " ")).otherwise(x)
+        return F.aggregate(F.sequence(F.lit(1), F.when(marked, 2).otherwise(1)), bare, lambda text, _: decode_entities(text))
 
-    return let(F.coalesce(c, F.lit("")), lambda x: let(plain(x), lambda y: squeezed(decode_entities(y))))
+    return let(F.coalesce(c, F.lit("")), lambda x: squeezed(plain(x)))
 
 
 def clean_nested(c: Column) -> Column:
     """clean_text for markup that was escaped once more."""
-    return let(F.coalesce(c, F.lit("")), lambda x: let(decode_entities(x), lambda y: clean_text(decode_entities(y))))
+    return clean_text(F.aggregate(F.sequence(F.lit(1), F.lit(2)), F.coalesce(c, F.lit("")), lambda text, _: decode_entities(text)))
 
 
 def folded(c: Column) -> Column:
@@ -137,10 +139,14 @@ def any_hit(text: Column, terms: tuple[str, ...]) -> Column:
     return let(text, lambda x: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(x, t)))
 
 
-def title_from_slug(slug: Column, acronyms: tuple[str, ...] = ("ai", "ml", "it", "qa", "sql", "bi")) -> Column:
+# Words of a slug that stay in capitals.
+SLUG_ACRONYMS = ("ai", "bi", "ds", "epm", "ii", "iii", "iv", "ml", "nlp", "sql")
+
+
+def title_from_slug(slug: Column, acronyms: tuple[str, ...] = SLUG_ACRONYMS) -> Column:
     """Words of a hyphenated slug as a title, acronyms in capitals."""
     words = F.filter(F.split(slug, "[-_]+"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.when(w.isin(*acronyms), F.upper(w)).otherwise(F.initcap(w))), " ")
+    return F.array_join(F.transform(words, lambda w: F.when(F.lower(w).isin(*acronyms), F.upper(w)).otherwise(F.initcap(w))), " ")
 
 
 def cut_at_marker(title: Column, markers: tuple[str, ...]) -> Column:
@@ -191,10 +197,20 @@ def multi_location(label: Column, facet: Column, path: Column) -> Column:
     return F.when(many, F.concat(facet, F.lit(" (multi-location)"))).otherwise(first_truthy(label, place))
 
 
-GENERIC_TITLES = ("apply", "apply now", "careers", "jobs", "learn more", "read more", "view job", "view details")
+# Link texts that name no role.
+GENERIC_TITLES = (
+    "apply", "apply now", "details", "know more", "view", "view role",
+    "view job", "read more", "learn more", "open role", "careers", "jobs",
+)
+GENERIC_OPENINGS = ("apply at ", "opportunities await you at ")
 
 
 def is_generic_title(title: Column, company: Column) -> Column:
-    """Whether a link's title names no role: a stock phrase, the company, or careers at it."""
-    t, c = match_text(title), match_text(company)
-    return (t == "") | t.isin(*GENERIC_TITLES) | (t == c) | t.startswith("careers at ") | t.startswith("jobs at ")
+    """Whether a link's title names no role: blank, a stock phrase, the company, or careers at it."""
+
+    def generic(t: Column, c: Column) -> Column:
+        opens = t.startswith(GENERIC_OPENINGS[0]) | t.startswith(GENERIC_OPENINGS[1])
+        return (t == "") | t.isin(*GENERIC_TITLES) | opens | (t == c) | (t == F.concat(F.lit("careers at "), c))
+
+    bare = F.btrim(F.lower(clean_text(title)), F.lit(" -|:"))
+    return let(bare, lambda t: let(F.lower(clean_text(company)), lambda c: generic(t, c)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import match_text
+from larkspur.functions.text import let, match_text
 
 # What a canonical URL drops, what marks a posting, which hosts and paths are for machines.
 DROPPED_PARAMETERS = (
@@ -42,19 +42,40 @@ def canonical_url(url: Column, require_identity: bool = True) -> Column:
     '' for what isn't http(s) and, unless require_identity is off, for URLs that name no single posting.
     """
     p = F.regexp_replace(part(url, 3), "/{2,}", "/")
-    p = F.regexp_replace(p, r"(?i)/en[-_][a-z]{2}/", "/")
-    p = F.regexp_replace(p, r"(?i)/apply(/|$)", "/")
+    p = F.regexp_replace(p, r"(?i)/en[-_][a-z]{2}(?=/)", "")
+    p = F.regexp_replace(p, r"(?i)/apply(?=/|$)", "")
     p = F.coalesce(F.nullif(F.regexp_replace(p, "/+$", ""), F.lit("")), F.lit("/"))
-    items = F.filter(F.split(part(url, 4), "&"), lambda x: x != "")
-    name = lambda x: F.lower(F.substring_index(x, "=", 1))
-    kept = F.array_sort(F.filter(items, lambda x: ~(name(x).startswith("utm_") | name(x).isin(*DROPPED_PARAMETERS))))
-    named = F.exists(kept, lambda x: name(x).isin(*ID_PARAMETERS))
-    query = F.array_join(kept, "&")
-    whole = F.lower(F.concat(part(url, 1), F.lit("://"), part(url, 2), p, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
-    good = part(url, 2) != ""
-    if require_identity:
-        good = good & (p.rlike(POSTING_PATH) | p.rlike(ID_PATH) | named)
-    return F.when(good, whole).otherwise("")
+
+    def whole(items: Column) -> Column:
+        named = F.exists(items, lambda x: F.lower(x["name"]).isin(*ID_PARAMETERS))
+        query = F.array_join(F.transform(items, lambda x: F.concat(form_encoded(x["name"]), F.lit("="), form_encoded(x["value"]))), "&")
+        found = F.lower(F.concat(part(url, 1), F.lit("://"), part(url, 2), p, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+        good = part(url, 2) != ""
+        if require_identity:
+            good = good & (p.rlike(POSTING_PATH) | p.rlike(ID_PATH) | named)
+        return F.when(good, found).otherwise("")
+
+    name = lambda x: F.lower(x["name"])
+    kept = F.filter(parameters(part(url, 4)), lambda x: ~(name(x).startswith("utm_") | name(x).isin(*DROPPED_PARAMETERS)))
+    return let(F.array_sort(kept), whole)
+
+
+def parameters(query: Column) -> Column:
+    """(name, value) of the parameters of a query string, decoded; a name without a value has ''."""
+
+    def decoded(x: Column) -> Column:
+        return F.url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+    def one(x: Column) -> Column:
+        name = F.substring_index(x, "=", 1)
+        return F.struct(decoded(name).alias("name"), decoded(F.substring(x, F.length(name) + 2, F.length(x))).alias("value"))
+
+    return F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), one)
+
+
+def form_encoded(c: Column) -> Column:
+    """Percent-encoded as in a form: letters, digits and _.-~ stay, a space is a plus."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def is_public(url: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,47 @@ def flatten_text(c: Column) -> Column:
     return F.array_join(distinct_by_form(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), clean_text)), "; ")
 
 
-LOCATION_FIELDS = ("text", "label", "name", "displayName", "fullLocation", "city", "addressLocality", "state", "region", "addressRegion", "country", "addressCountry")
+# Fields of a place, in their order.
+LOCATION_FIELDS = (
+    "name", "descriptor", "city", "addressLocality", "region", "addressRegion",
+    "country", "addressCountry", "alpha2Code", "location", "fullLocation",
+    "formattedLocation",
+)
+EMBEDDED = r"(?s)^(.*?)(\{.*\}|\[.*\])$"
+
+
+def read_as(text: Column, kind: str) -> Column:
+    """JSON, or the same with single quotes and None, True and False; null for anything else."""
+    words = {"None": "null", "True": "true", "False": "false"}
+    plain = text
+    for word, name in words.items():
+        plain = F.regexp_replace(plain, rf"\b{word}\b", name)
+    return F.coalesce(F.from_json(text, kind), F.from_json(plain, kind))
+
+
+def flatten_location(c: Column, depth: int = 3) -> Column:
+    """A place as text: a list of parts, or an object or list in JSON or a literal at the end. A readable
+    text before that wins; else an object gives its LOCATION_FIELDS (flatten_fields) and a list its places
+    (merge_places), each flattened in turn. What lies deeper than `depth` stays text."""
+    if not depth:
+        return flatten_text(c)
+
+    def joined(v: Column, prefix: Column, fields: Column, items: Column) -> Column:
+        known = fields.isNotNull() | items.isNotNull()
+        values = F.transform(F.array(*map(F.lit, LOCATION_FIELDS)), lambda k: F.element_at(fields, k))
+        inner = F.transform(F.coalesce(F.when(fields.isNotNull(), values), items), lambda x: flatten_location(F.coalesce(x, F.lit("")), depth - 1))
+        nested = let(inner, lambda x: F.when(fields.isNotNull(), F.array_join(distinct_by_form(x), " ")).otherwise(merge_places(x)))
+        return F.when(known & (prefix == ""), nested).otherwise(flatten_text(F.when(known, prefix).otherwise(v)))
+
+    def split(v: Column) -> Column:
+        body = F.regexp_extract(v, EMBEDDED, 2)
+        return F.struct(
+            F.trim(F.regexp_extract(v, EMBEDDED, 1)).alias("prefix"),
+            F.when(body.startswith("{"), read_as(body, "map<string,string>")).alias("fields"),
+            F.when(body.startswith("["), read_as(body, "array<string>")).alias("items"),
+        )
+
+    return let(F.trim(F.coalesce(c, F.lit(""))), lambda v: let(split(v), lambda x: joined(v, x["prefix"], x["fields"], x["items"])))
 
 
 def flatten_fields(fields: list[Column]) -> Column:
@@ -61,6 +103,41 @@ def schema_place(places: Column, remote: Column, countries: Column) -> Column:
     return merge_places(F.concat(F.coalesce(each, F.array().cast("array<string>")), F.coalesce(extra, F.array().cast("array<string>"))))
 
 
+def nested_places(items: Column, fields: Callable[[Column], list[Column]]) -> Column:
+    """Places of a list of structs: the fields of each, wherever they are nested, merged as one place, and the places merged."""
+    return F.coalesce(merge_places(F.transform(items, lambda x: merge_places(F.array(*(first_truthy(c) for c in fields(x)))))), F.lit(""))
+
+
+# What a facet is asked for, and its order.
+FACET_COUNTRY, FACET_STATES = "india", ("karnataka", "karnataka india")
+
+
+def find_facet(facets: Column, country: str = FACET_COUNTRY, states: tuple[str, ...] = FACET_STATES, depth: int = 4) -> Column:
+    """struct(parameter, id) of the value that names the country or a state, in a JSON list of facets whose values may be facets
+    again (to `depth`); null without one. First countries of a parameter that says so, then states, then other countries; then by parameter and id."""
+    schema = "array<struct<facetParameter:string,values:string,descriptor:string,id:string>>"
+
+    def candidates(values: Column, parameter: Column) -> Column:
+        def one(v: Column) -> Column:
+            name = match_text(v["descriptor"])
+            rank = F.when(name == country, F.when(F.contains(F.lower(parameter), F.lit("country")), 0).otherwise(2)).when(name.isin(*states), 1)
+            return F.struct(rank.alias("rank"), parameter.alias("parameter"), v["id"].alias("id"))
+
+        usable = lambda x: x["rank"].isNotNull() & (F.coalesce(x["id"], F.lit("")) != "") & (x["parameter"] != "")
+        return F.filter(F.transform(values, one), usable)
+
+    def level(listed: Column, left: int) -> Column:
+        def one(f: Column) -> Column:
+            values = F.coalesce(F.from_json(f["values"], schema), F.array().cast(schema))
+            found = lambda v: candidates(v, F.coalesce(f["facetParameter"], F.lit("")))
+            return let(values, (lambda v: F.concat(found(v), level(v, left - 1))) if left > 1 else found)
+
+        return F.flatten(F.transform(listed, one))
+
+    every = level(F.coalesce(F.from_json(facets, schema), F.array().cast(schema)), depth)
+    return let(F.array_min(every), lambda x: F.when(x.isNotNull(), F.struct(x["parameter"].alias("parameter"), x["id"].alias("id"))))
+
+
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 
 
@@ -129,7 +206,7 @@ def safe_int(c: Column) -> Column:
 
 def numbers_in(c: Column) -> Column:
     """Distinct figures, with a closing % or +, that no letter stands before."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?:^|[^A-Za-z0-9.])([0-9]+(?:\.[0-9]+)?%?\+?)"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?<![A-Za-z])([0-9]+(?:\.[0-9]+)?%?\+?)"), F.lit(1))
     return F.array_distinct(found)
 
 

@@ -10,22 +10,35 @@ from larkspur.plans.base import Tables, query
 from larkspur.plans.text import MATCH
 
 PART = r"regexp_extract(trim(coalesce(url, '')), '(?i)^(https?)://([^/?#\s]+)([^?#]*)\??([^#]*)', {0})"
+DECODE = r"url_decode(replace(regexp_replace(regexp_replace({0}, '%([0-9A-Fa-f]{{2}})', chr(1) || '\1', 'g'), '%', '%25', 'g'), chr(1), '%').replace('+', ' '))"
 DROPPED = ", ".join(f"'{p}'" for p in U.DROPPED_PARAMETERS)
 CANONICAL = rf"""
 u AS (SELECT *, lower(regexp_replace({PART.format(2)}, ':[0-9]*$', '')) AS host, {PART.format(3)} AS path FROM pages),
 c0 AS (SELECT *,
     coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(path, '/{{2,}}', '/', 'g'), '(?i)/en[-_][a-z]{{2}}/', '/', 'g'), '(?i)/apply(/|$)', '/', 'g'), '/+$', ''), ''), '/') AS p,
-    array_to_string(list_sort(list_filter(string_split({PART.format(4)}, '&'),
-      lambda x: x <> '' AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN ({DROPPED}))), '&') AS q FROM u),
+    list_sort(list_filter(list_transform(list_filter(string_split({PART.format(4)}, '&'), lambda x: x <> ''),
+      lambda x: {{'name': {DECODE.format("split_part(x, '=', 1)")}, 'value': {DECODE.format("x[length(split_part(x, '=', 1)) + 2:]")}}}),
+      lambda x: NOT starts_with(lower(x.name), 'utm_') AND lower(x.name) NOT IN ({DROPPED}))) AS items FROM u),
+c1 AS (SELECT *, array_to_string(list_transform(items, lambda x: replace(url_encode(x.name), '%20', '+') || '=' || replace(url_encode(x.value), '%20', '+')), '&') AS q FROM c0),
 c AS (SELECT *, CASE WHEN {PART.format(2)} = '' THEN '' ELSE lower({PART.format(1)} || '://' || {PART.format(2)} || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END) END AS loose,
     regexp_matches(p, '(?i)/(jobs?|positions?|postings?|requisitions?|openings?)/[^/]+') OR regexp_matches(p, '(?i)[0-9a-f]{{8}}-[0-9a-f-]{{20,}}|[0-9]{{4,}}')
-    OR regexp_matches('&' || q, '(?i)&(id|jobid|job_id|position_id|opportunityid|gh_jid)(=|&|$)') AS named FROM c0)
+    OR len(list_filter(items, lambda x: lower(x.name) IN ('id', 'jobid', 'job_id', 'position_id', 'opportunityid', 'gh_jid'))) > 0 AS named FROM c1)
 """
+#: Queries as they are met: encoded, doubly given, without a value, with stray percent signs.
+QUERIES = ("", "?id", "?b=%C3%A9+x~*&a=1&a=0", "?ID=7%&utm_x=1&page=2", "?a=b=c&&q=1&x=%7e%2f")
 
 
-@query("u1_canonical_url", f"WITH {CANONICAL} SELECT page_id, loose AS url, CASE WHEN named THEN loose ELSE '' END AS posting_url FROM c")
+@query(
+    "u1_canonical_url",
+    "WITH odd AS (SELECT page_id, regexp_extract(url, '^[^?#]*') || " + str(list(QUERIES)) + f"[page_id % {len(QUERIES)} + 1] AS url, url AS own FROM pages),"
+    f" {CANONICAL.replace('FROM pages)', 'FROM (SELECT page_id, url, 1 AS kind FROM pages UNION ALL SELECT page_id, url, 2 FROM odd) AS both_kinds)')}"
+    " SELECT page_id, kind, loose AS url, CASE WHEN named THEN loose ELSE '' END AS posting_url FROM c",
+)
 def u1(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", U.canonical_url(F.col("url"), False).alias("url"), U.canonical_url(F.col("url")).alias("posting_url"))
+    ending = F.get(F.array(*map(F.lit, QUERIES)), (F.col("page_id") % len(QUERIES)).cast("int"))
+    odd = t.pages.select("page_id", F.concat(F.regexp_extract("url", "^[^?#]*", 0), ending).alias("url"), F.lit(2).alias("kind"))
+    both = t.pages.select("page_id", "url", F.lit(1).alias("kind")).union(odd)
+    return both.select("page_id", "kind", U.canonical_url(F.col("url"), False).alias("url"), U.canonical_url(F.col("url")).alias("posting_url"))
 
 
 @query(

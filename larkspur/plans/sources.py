@@ -95,6 +95,23 @@ def s7(t: Tables) -> DataFrame:
     return S.cards(t.pages, r"^https?://[^/]+/[a-m]").select("page_id", "url", "title", "item_ord")
 
 
+@query(
+    "s7_cards",
+    """SELECT s_nationkey, 'https://x.org/jobs/' || s_suppkey AS url, CASE WHEN s_suppkey % 3 = 2 THEN 'Role of ' || s_name ELSE s_name END AS title,
+    CASE s_suppkey % 3 WHEN 0 THEN s_name || ' Pune ' || s_suppkey || ' Apply now' WHEN 1 THEN s_name ELSE 'Role of ' || s_name || ' Goa' END AS description FROM supplier""",
+)
+def s7_cards(t: Tables) -> DataFrame:
+    """Cards with a heading and a stock link, links alone, and links that are the title within a card."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    link = F.concat(F.lit('<a href="/jobs/'), k.cast("string"), F.lit('">'))
+    card = F.concat(F.lit("<li><h3>"), name, F.lit("</h3><span>Pune</span><p>"), k.cast("string"), F.lit("</p>"), link, F.lit("Apply now</a></li>"))
+    alone = F.concat(F.lit("<p>"), link, F.lit("<b>"), name, F.lit("</b></a></p>"))
+    named = F.concat(F.lit("<div><div>"), link, F.lit("Role of "), name, F.lit("</a></div><i>Goa</i></div>"))
+    html = F.array_join(F.collect_list(F.when(k % 3 == 0, card).when(k % 3 == 1, alone).otherwise(named)), "\n")
+    pages = t.supplier.groupBy("s_nationkey").agg(F.concat(F.lit("<ul>"), html, F.lit("</ul>")).alias("html")).withColumn("url", F.lit("https://x.org/all"))
+    return S.cards(pages, "/jobs/").select("s_nationkey", "url", "title", "description")
+
+
 @query("s8_table_rows", "SELECT n_nationkey, (s_pos - 1)::INT AS item_ord, s_name || ' | ' || s_suppkey AS cells FROM (SELECT n_nationkey, s_name, s_suppkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS s_pos FROM nation JOIN supplier ON s_nationkey = n_nationkey)")
 def s8(t: Tables) -> DataFrame:
     row = F.concat(F.lit('<tr class="data-row"><td>'), "s_name", F.lit("</td><td><b>"), F.col("s_suppkey").cast("string"), F.lit("</b></td></tr>"))
@@ -159,3 +176,13 @@ def k5(t: Tables) -> DataFrame:
     error = F.max(F.when((F.col("event_type") == "error") & (F.col("value") > 200), "x"))
     each = t.events.groupBy("user_id").agg(F.min("event_type").alias("label"), F.count_if(F.col("event_type") == "purchase").alias("n"), error.alias("error"))
     return K.run_line(each, "label", "n", "error")
+
+
+@query("s9_meta_cards", "SELECT s_nationkey, s_suppkey::VARCHAR AS card_id, s_name || ' & more' AS content_title, 'https://x.org/' || s_suppkey AS content_url, '' AS content_note FROM supplier")
+def s9_meta(t: Tables) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    meta = lambda name, *strings: F.concat(F.lit(f'<a:Meta name="{name}">'), *strings, F.lit("</a:Meta>"))
+    title = (F.lit("<a:MetaString>"), F.col("s_name"), F.lit("</a:MetaString><a:MetaString>&amp; more</a:MetaString>"))
+    hit = F.concat(F.lit("<a:Hit>"), meta("card_id", F.lit('<a:MetaString value="'), key, F.lit('"/>')), meta("content_title", *title), meta("content_url", F.lit("<a:MetaString>https://x.org/"), key, F.lit("</a:MetaString>")), F.lit("</a:Hit>"))
+    body = t.supplier.groupBy("s_nationkey").agg(F.concat(F.lit('<a:Answer xmlns:a="urn:x">'), F.array_join(F.collect_list(hit), ""), F.lit("</a:Answer>")).alias("body"))
+    return S.meta_cards(body, ("card_id", "content_title", "content_url", "content_note")).drop("item_ord")

@@ -72,7 +72,7 @@ def p6(t: Tables) -> DataFrame:
 @query(
     "p7_title_from_slug",
     """SELECT p_partkey, array_to_string(list_transform(string_split(replace(p_name, ' ', '-'), '-'),
-    lambda w: CASE WHEN w IN ('ai', 'ml', 'it', 'qa', 'sql', 'bi') THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END), ' ') AS title FROM part""",
+    lambda w: CASE WHEN w IN ('ai', 'bi', 'ds', 'epm', 'ii', 'iii', 'iv', 'ml', 'nlp', 'sql') THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END), ' ') AS title FROM part""",
 )
 def p7(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.title_from_slug(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("title"))
@@ -158,10 +158,13 @@ def p17(t: Tables) -> DataFrame:
 
 @query(
     "p18_generic_title",
-    f"SELECT page_id, {MATCH.format('title')} = '' OR {MATCH.format('title')} IN ('apply', 'apply now', 'careers', 'jobs', 'learn more', 'read more', 'view job', 'view details')"
-    f" OR {MATCH.format('title')} = 'the' OR starts_with({MATCH.format('title')}, 'careers at ') OR starts_with({MATCH.format('title')}, 'jobs at ') AS generic"
-    " FROM (SELECT page_id, regexp_extract(html, '<a[^>]*>([^<]*)</a>', 1) AS title FROM pages)",
+    """WITH s AS (SELECT page_id, regexp_extract(html, '<a[^>]*>([^<]*)</a>', 1) AS a, ['', 'Careers at ', ' - ', 'Apply at ', 'Know  more'][page_id % 5 + 1] AS b FROM pages),
+    f AS (SELECT page_id, trim(lower(trim(regexp_replace(CASE WHEN page_id % 5 = 4 THEN b ELSE b || a END, '\\s+', ' ', 'g'))), ' -|:') AS t, lower(CASE WHEN page_id % 3 = 0 THEN a ELSE 'The' END) AS c FROM s)
+    SELECT page_id, t = '' OR t IN ('apply', 'apply now', 'details', 'know more', 'view', 'view role', 'view job', 'read more', 'learn more', 'open role', 'careers', 'jobs')
+      OR starts_with(t, 'apply at ') OR starts_with(t, 'opportunities await you at ') OR t = c OR t = 'careers at ' || c AS generic FROM f""",
 )
 def p18(t: Tables) -> DataFrame:
-    title = F.regexp_extract("html", "<a[^>]*>([^<]*)</a>", 1)
-    return t.pages.select("page_id", T.is_generic_title(title, F.lit("The")).alias("generic"))
+    link, k = F.regexp_extract("html", "<a[^>]*>([^<]*)</a>", 1), F.col("page_id")
+    before = F.get(F.array(*map(F.lit, ("", "Careers at ", " - ", "Apply at ", "Know  more"))), (k % 5).cast("int"))
+    title = F.when(k % 5 == 4, before).otherwise(F.concat(before, link))
+    return t.pages.select("page_id", T.is_generic_title(title, F.when(k % 3 == 0, link).otherwise("The")).alias("generic"))

@@ -15,15 +15,20 @@ TOKENS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '([a-z][a-z
 
 @query(
     "n1_flatten_text",
-    f"""WITH s AS (SELECT p_partkey, string_split(p_name || ';' || p_type || '; ' || upper(p_name) || ' ;; ' || p_brand, ';') AS l FROM part),
-    e AS (SELECT p_partkey, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM s),
-    c AS (SELECT p_partkey, i, {CLEAN.format('x')} AS x FROM e),
+    f"""WITH s AS (SELECT p_partkey, p_name, p_brand, string_split(p_name || ';' || p_type || '; ' || upper(p_name) || ' ;; ' || p_brand, ';') AS l FROM part),
+    e AS (SELECT p_partkey, p_name, p_brand, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM s),
+    c AS (SELECT p_partkey, p_name, p_brand, i, {CLEAN.format('x')} AS x FROM e),
     f AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, {MATCH.format('x')} ORDER BY i) AS n FROM c)
-    SELECT p_partkey, string_agg(x, '; ' ORDER BY i) AS place FROM f WHERE n = 1 AND x <> '' GROUP BY 1""",
+    SELECT p_partkey, string_agg(x, '; ' ORDER BY i) AS place, CASE p_partkey % 4 WHEN 0 THEN place WHEN 2 THEN 'India ' || p_name || ' India ' || p_brand ELSE p_name END AS location
+    FROM f WHERE n = 1 AND x <> '' GROUP BY p_partkey, p_name, p_brand""",
 )
 def n1(t: Tables) -> DataFrame:
     text = F.concat("p_name", F.lit(";"), "p_type", F.lit("; "), F.upper("p_name"), F.lit(" ;; "), "p_brand")
-    return t.part.select("p_partkey", V.flatten_text(text).alias("place"))
+    own = F.concat("p_name", F.lit(" {'descriptor': 'India', 'alpha2Code': 'IN'}"))
+    nested = F.concat(F.lit("{'city': '"), "p_name", F.lit("', 'descriptor': 'India', 'alpha2Code': None, 'country': {'name': 'India', 'region': '"), "p_brand", F.lit("'}}"))
+    listed = F.concat(F.lit('["'), "p_name", F.lit(', India", {"name": "'), "p_name", F.lit('", "zip": 1}]'))
+    location = F.get(F.array(text, own, nested, listed), (F.col("p_partkey") % 4).cast("int"))
+    return t.part.select("p_partkey", V.flatten_text(text).alias("place"), V.flatten_location(location).alias("location"))
 
 
 @query("n2_flatten_fields", "SELECT c_custkey, c_name || ' ' || c_mktsegment || CASE WHEN c_nationkey > 10 THEN ' ' || c_nationkey ELSE '' END AS place FROM customer")
@@ -46,24 +51,28 @@ def n4(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", V.schema_place(place, F.col("s_acctbal") > 5000, F.array(F.lit("India"))).alias("place"))
 
 
-@query("n5_nested_places", "SELECT o_custkey, string_agg(DISTINCT o_orderstatus || ' ' || o_orderpriority, '; ' ORDER BY o_orderstatus || ' ' || o_orderpriority) AS places FROM orders GROUP BY 1")
+@query("n5_nested_places", "SELECT o_custkey, string_agg(DISTINCT o_orderstatus || '; ' || o_orderpriority, '; ' ORDER BY o_orderstatus || '; ' || o_orderpriority) AS places FROM orders GROUP BY 1")
 def n5(t: Tables) -> DataFrame:
     place = F.struct(F.struct(F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("city")).alias("address"))
     places = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_set(place)).alias("l"))
-    return places.select("o_custkey", F.array_join(F.transform("l", lambda x: F.concat_ws(" ", x["address"]["state"], x["address"]["city"])), "; ").alias("places"))
+    return places.select("o_custkey", V.nested_places(F.col("l"), lambda x: [x["address"]["state"], x["address"]["city"]]).alias("places"))
 
 
 @query(
     "n6_facet_search",
-    """SELECT o_custkey, arg_min(o_orderkey, [CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END, o_orderkey]) AS id
-    FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1""",
+    """WITH f AS (SELECT o_custkey, o_orderkey::VARCHAR AS id, CASE o_orderstatus WHEN 'F' THEN 'locationCountry' WHEN 'O' THEN 'locations' ELSE 'places' END AS parameter,
+      CASE WHEN o_orderpriority = '2-HIGH' THEN 1 WHEN o_orderstatus = 'F' THEN 0 ELSE 2 END AS rank FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
+    SELECT o_custkey, arg_min(parameter, [rank::VARCHAR, parameter, id]) AS parameter, arg_min(id, [rank::VARCHAR, parameter, id]) AS id FROM f GROUP BY 1""",
 )
 def n6(t: Tables) -> DataFrame:
-    value = F.struct(F.col("o_orderpriority").alias("descriptor"), F.col("o_orderkey").alias("id"))
-    facets = t.orders.groupBy("o_custkey", F.col("o_orderstatus").alias("parameter")).agg(F.collect_list(value).alias("values"))
-    found = facets.select("o_custkey", "parameter", F.explode("values").alias("v")).where("v.descriptor = '1-URGENT'")
-    rank = F.when(F.col("parameter") == "F", 0).when(F.col("parameter") == "O", 1).otherwise(2)
-    return found.groupBy("o_custkey").agg(F.min(F.struct(rank.alias("r"), F.col("v.id").alias("id")))["id"].alias("id"))
+    name = F.when(F.col("o_orderpriority") == "1-URGENT", "INDIA").when(F.col("o_orderpriority") == "2-HIGH", "Karnataka, India").otherwise("Goa")
+    parameter = F.when(F.col("o_orderstatus") == "F", "locationCountry").when(F.col("o_orderstatus") == "O", "locations").otherwise("places")
+    value = F.struct(name.alias("descriptor"), F.col("o_orderkey").cast("string").alias("id"))
+    facets = t.orders.groupBy("o_custkey", parameter.alias("facetParameter")).agg(F.collect_list(value).alias("values"))
+    json = F.to_json(F.struct("facetParameter", "values"))
+    json = F.when(F.col("facetParameter") == "places", F.concat(F.lit('{"facetParameter": "outer", "values": ['), json, F.lit("]}"))).otherwise(json)  # one level deeper
+    found = facets.groupBy("o_custkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list(json), ","), F.lit("]")).alias("facets"))
+    return found.select("o_custkey", V.find_facet(F.col("facets")).alias("f")).where("f is not null").select("o_custkey", "f.parameter", "f.id")
 
 
 PAY_SQL = "CASE WHEN p_size % 4 = 0 THEN 'Posted ₹' || p_size || '–' || (p_size + 2) || '.5 LPA' WHEN p_size % 4 = 1 THEN 'Posted ₹' || p_size || '–' || (p_size + 1) || ' LPA'"
@@ -113,9 +122,16 @@ def n12(t: Tables) -> DataFrame:
     return t.events.select("event_id", V.safe_int(F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string")).otherwise("n/a")).alias("n"))
 
 
-@query("n13_numbers_in", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '(?:^|[^A-Za-z0-9.])([0-9]+(\\.[0-9]+)?%?\\+?)', 1))), ' ') AS numbers FROM documents")
+ODD_NUMBERS = " .5 3.5.2 a12 b1.5 5%6 7+8 9%+ x"
+
+
+@query(
+    "n13_numbers_in",
+    f"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(coalesce(text, '') || '{ODD_NUMBERS}', '([0-9]+(\\.[0-9]+)?%?\\+?)', '\\1' || chr(1), 'g'),
+    '(?:^|[^A-Za-z])([0-9]+(\\.[0-9]+)?%?\\+?)', 1))), ' ') AS numbers FROM documents""",
+)
 def n13(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.array_join(F.array_sort(V.numbers_in(F.col("text"))), " ").alias("numbers"))
+    return t.documents.select("doc_id", F.array_join(F.array_sort(V.numbers_in(F.concat("text", F.lit(ODD_NUMBERS)))), " ").alias("numbers"))
 
 
 @query("n14_token_set", f"SELECT doc_id, array_to_string(list_sort(list_distinct({TOKENS})), ' ') AS tokens FROM documents")

@@ -10,13 +10,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.functions.text import clean_text, first_truthy
+from larkspur.functions.text import clean_text, first_truthy, is_generic_title, let
 
 FIELDS = ("title", "location", "url", "description", "department", "requisition_id")
 
@@ -38,17 +39,21 @@ def unwrapped(body: Column) -> Column:
 
 
 def items_of(body: Column, path: str) -> Column:
-    """The items of the list at a path, each as JSON text; null bodies and other values have none."""
-    whole = F.try_parse_json(body)
-    listed = F.try_variant_get(whole, path, "array<variant>")
-    return F.transform(F.coalesce(listed, F.array().cast("array<variant>")), lambda v: F.to_json(v))
+    """The items of the list at a path as variants; null bodies and other values have none."""
+    listed = F.try_variant_get(F.try_parse_json(body), path, "array<variant>")
+    return F.coalesce(listed, F.array().cast("array<variant>"))
+
+
+def text_at(record: Column, path: str) -> Column:
+    """The value at a path of a variant: a scalar as text, an object or list as JSON."""
+    return let(F.try_variant_get(record, path, "variant"), lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
 
 
 def projected(rows: DataFrame, mapping: Mapping, keep: list[str]) -> DataFrame:
-    """rows(item, item_ord) to posting fields."""
-    record = F.col("item") if mapping.record is None else F.coalesce(F.get_json_object("item", mapping.record), F.col("item"))
-    rows = rows.withColumn("record", record)
-    values = [first_truthy(*(clean_text(F.get_json_object("record", p)) for p in mapping.fields.get(f, ())), F.lit(mapping.constants.get(f, ""))).alias(f) for f in FIELDS]
+    """rows(item, item_ord) to posting fields. A body is parsed once; fields are read from its variants."""
+    if mapping.record is not None:
+        rows = rows.withColumn("item", F.coalesce(F.try_variant_get("item", mapping.record, "variant"), F.col("item")))
+    values = [first_truthy(*(clean_text(text_at(F.col("item"), p)) for p in mapping.fields.get(f, ())), F.lit(mapping.constants.get(f, ""))).alias(f) for f in FIELDS]
     out = rows.select(*keep, "item_ord", *values)
     for f in mapping.required:
         out = out.where(F.col(f) != "")
@@ -148,11 +153,105 @@ def resolved(href: Column, base: Column) -> Column:
     )
 
 
-def cards(pages: DataFrame, link_pattern: str, html: str = "html", base: str = "url") -> DataFrame:
-    """One row per linked URL that fits the pattern: the first link's label is the title."""
-    found = anchors(pages, html, base).where(F.col("href").rlike(link_pattern) & (F.col("label") != ""))
+# Elements that can be a card, and how much text a compact one has.
+CARD_ELEMENTS = ("article", "li", "tr", "div", "section")
+COMPACT = 2000
+
+
+class CardReader(HTMLParser):
+    """Links of a page with the text of their nearest compact card and its first heading."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.words: list[str] = []  # pieces of text of the whole page, in order
+        self.open: list[tuple[str, int]] = []  # element, number of its card
+        self.spans: list[list[int]] = []  # first and last piece of each card
+        self.headings: dict[int, tuple[int, int]] = {}  # first heading of each card
+        self.links: list[tuple[str, int, int, list[int]]] = []  # href, pieces of the label, cards around it
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in CARD_ELEMENTS:
+            self.open.append((tag, len(self.spans)))
+            self.spans.append([len(self.words), -1])
+        elif tag == "a" or tag in ("h1", "h2", "h3", "h4"):
+            self.open.append((tag, len(self.words)))
+            if tag == "a" and dict(attrs).get("href"):
+                self.links.append((dict(attrs)["href"], len(self.words), -1, [n for t, n in self.open if t in CARD_ELEMENTS]))
+
+    def handle_endtag(self, tag: str) -> None:
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if at is None:
+            return
+        for name, n in self.open[at:]:
+            if name in CARD_ELEMENTS:
+                self.spans[n][1] = len(self.words)
+            elif name == "a" and self.links and self.links[-1][2] < 0:
+                self.links[-1] = (*self.links[-1][:2], len(self.words), self.links[-1][3])
+            elif name != "a":
+                for t, card in self.open[:at]:
+                    if t in CARD_ELEMENTS:
+                        self.headings.setdefault(card, (n, len(self.words)))
+        del self.open[at:]
+
+    def handle_data(self, data: str) -> None:
+        if text := " ".join(data.split()):
+            self.words.append(text)
+
+    def text(self, first: int, end: int) -> str:
+        return " ".join(self.words[first : end if end >= 0 else None])
+
+    def cards(self) -> Iterator[tuple[str, str, str, str]]:
+        """(href, label, heading, context) of the links, in order; without a compact card the context is the label."""
+        for href, first, end, around in self.links:
+            label, heading, context = self.text(first, end), "", ""
+            for card in reversed(around):
+                low, high = self.spans[card]
+                high = high if high >= 0 else len(self.words)
+                if high - low > COMPACT:  # a piece has a character at least
+                    break
+                text = self.text(low, high)
+                if len(text) > COMPACT:
+                    break
+                if len(text) > len(label) + 3:
+                    heading, context = self.text(*self.headings.get(card, (0, 0))), text
+                    break
+            yield href, label, heading, context or label
+
+
+def link_cards(pages: DataFrame, html: str = "html", base: str = "url") -> DataFrame:
+    """(columns of pages but the page, pos, href, label, heading, context) of each link."""
+    keep = [c for c in pages.columns if c != html]
+    source = pages.select(*keep, F.col(html).alias("__html"))
+    found = T.StructType.fromDDL("pos int, href string, label string, heading string, context string").fields
+    schema = T.StructType([*(source.schema[c] for c in keep), *found])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for values in batch.itertuples(index=False):
+                reader = CardReader()
+                reader.feed(values[-1] or "")
+                reader.close()
+                rows += [(*values[:-1], i, *card) for i, card in enumerate(reader.cards())]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return source.mapInPandas(run, schema).withColumn("href", resolved(F.col("href"), F.col(base)))
+
+
+def cards(pages: DataFrame, link_pattern: str, html: str = "html", base: str = "url", company: Column | None = None, most: int = 140) -> DataFrame:
+    """One row per linked URL that fits the pattern, by its first link with a title: the link's label or, if that names
+    no role, the heading of its card. The card's text is the description and, cut to 500 characters, the location."""
+    found = link_cards(pages, html, base).where(F.col("href").rlike(link_pattern))
+    label, generic = clean_text(F.col("label")), is_generic_title(F.col("label"), F.lit("") if company is None else company)
+    found = found.withColumn("title", F.when(generic, F.nullif(F.col("heading"), F.lit(""))).otherwise(label)).where(F.length("title") <= most)
     keep = [c for c in pages.columns if c not in (html, base)]
-    return found.groupBy(*keep, "href").agg(F.min_by("label", "pos").alias("title"), F.min("pos").alias("item_ord")).withColumnRenamed("href", "url")
+    first = F.min(F.struct("pos", "title", "context")).alias("first")
+    rows = found.groupBy(*keep, "href").agg(first)
+    context = F.col("first.context")
+    return rows.select(
+        *keep, F.col("href").alias("url"), F.col("first.title").alias("title"), F.col("first.pos").alias("item_ord"),
+        F.substring(context, 1, 500).alias("location"), context.alias("description"),
+    )
 
 
 def table_rows(pages: DataFrame, html: str = "html", row_attribute: str = "") -> DataFrame:
@@ -178,6 +277,24 @@ def feed_items(raw: DataFrame, body: str = "body", fields: tuple[str, ...] = ("t
     return rows.select(*keep, "item_ord", *(child(f).alias(f) for f in fields))
 
 
+def meta_cards(raw: DataFrame, fields: tuple[str, ...], body: str = "body") -> DataFrame:
+    """Hit elements of an XML search: for each field the MetaStrings of its first Meta element, their text or else their value or name, joined by
+    spaces. Elements are found by their local names; fields that a hit lacks are ''."""
+    keep = [c for c in raw.columns if c != body]
+    inner = lambda tag: rf"(?is)<(?:\w+:)?{tag}\b([^>]*?)(?:/>|>(.*?)</(?:\w+:)?{tag}>)"
+    hit = F.regexp_extract_all(F.col(body), F.lit(inner("Hit")), F.lit(2))
+    rows = raw.select(*keep, F.posexplode(hit).alias("item_ord", "hit"))
+
+    def strings(meta: Column) -> Column:
+        pairs = F.arrays_zip(F.regexp_extract_all(meta, F.lit(inner("MetaString")), F.lit(1)).alias("a"), F.regexp_extract_all(meta, F.lit(inner("MetaString")), F.lit(2)).alias("t"))
+        attribute = lambda a, n: F.regexp_extract(a, rf"(?i)\b{n}\s*=\s*[\"']([^\"']*)[\"']", 1)
+        each = F.transform(pairs, lambda x: first_truthy(x["t"], attribute(x["a"], "value"), attribute(x["a"], "name")))
+        return clean_text(F.array_join(F.filter(each, lambda x: x != ""), " "))
+
+    meta = lambda f: F.regexp_extract("hit", rf"(?is)<(?:\w+:)?Meta\b[^>]*\bname\s*=\s*[\"']{f}[\"'][^>]*>(.*?)</(?:\w+:)?Meta>", 1)
+    return rows.select(*keep, "item_ord", *(strings(meta(f)).alias(f) for f in fields))
+
+
 def union_under(label: str, *feeds: DataFrame, key: str = "url") -> DataFrame:
     """Feeds under one name, in order; the first row of each key stays."""
     from larkspur.operators.relational import first_per_key
