@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df checkpointed into the shared folder of the session (spark.checkpoint.dir), or a new one if it has none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new temporary folder in local mode, and an error on a cluster."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("larkspur.shared.dir", None)
+    if root is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkspur-"))
+        root = "file://" + tempfile.mkdtemp(prefix="larkspur-")
+        spark.conf.set("larkspur.shared.dir", root)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df checkpointed into the shared folder of the session."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -44,38 +57,92 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     return rows.withColumn(name, (start + F.col("__id") + 1).cast("long")).drop("__part", "__id")
 
 
-def greedy_dedupe(df: DataFrame, keys: str, order: str, max_rounds: int = 1000) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(id, root): the smallest id of each connected component of edges(u, v), for ids with an edge.
+
+    Alternates large and small stars (Kiveris and others, 2014) until nothing changes, some multiple of the logarithm of the ids.
+    """
+    pairs = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = None
+    for _ in range(max_rounds):
+        both = pairs.union(pairs.select("v", "u"))
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = checkpointed(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least.hint("merge"), "u")
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        pairs = checkpointed(small.select("e.*").where("u > v").distinct())
+        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("components didn't settle")
+    roots = pairs.select(F.col("v").alias("id")).distinct().withColumn("root", F.col("id"))
+    return pairs.select(F.col("u").alias("id"), F.col("v").alias("root")).union(roots)
+
+
+def greedy_dedupe(df: DataFrame, keys: str, order: str, rounds: int = 6, component: int = 100_000) -> DataFrame:
     """Rows that, taken in order, share no key with a row accepted before them.
 
     A rejected row's keys stay free, so this isn't grouping by connected keys. Each
     round accepts the undecided rows that come first in all of their keys and rejects the rows that
-    share a key with them. Rows without keys are accepted; order must be unique.
+    share a key with them. What `rounds` leave undecided, mostly chains of keys, falls into connected components: those of at most
+    `component` pairs of a row and a key are each decided by one pass in order, larger ones by further
+    rounds, until none is left. Rows without keys are accepted; order must be a unique number.
     """
     pairs = checkpointed(df.select(F.col(order).alias("o"), F.explode(F.array_distinct(keys)).alias("k")))
     accepted = df.where(F.size(F.coalesce(keys, F.array())) == 0).select(F.col(order).alias("o"))
-    for _ in range(max_rounds):
-        if pairs.isEmpty():
-            break
-        least = pairs.groupBy("k").agg(F.min("o").alias("first"))
+    done = 0
+    while not pairs.isEmpty():
+        if done and done % rounds == 0:
+            won, pairs = decided_components(pairs, component)
+            accepted = accepted.union(won)
+            if pairs.isEmpty():
+                break
+        least = checkpointed(pairs.groupBy("k").agg(F.min("o").alias("first")))
         ranked = pairs.join(least.hint("merge"), "k")
         won = checkpointed(ranked.groupBy("o").agg(F.min((F.col("o") == F.col("first")).cast("int")).alias("all")).where("all = 1").select("o"))
         accepted = accepted.union(won)
-        taken = pairs.join(won.hint("merge"), "o", "left_semi").select("k").distinct()
-        out = pairs.join(taken.hint("merge"), "k", "left_semi").select("o").distinct()
+        taken = checkpointed(pairs.join(won.hint("merge"), "o", "left_semi").select("k").distinct())
+        out = checkpointed(pairs.join(taken.hint("merge"), "k", "left_semi").select("o").distinct())
         pairs = checkpointed(pairs.join(out.hint("merge"), "o", "left_anti"))
-    else:
-        raise RuntimeError("greedy dedupe didn't settle")
-    return df.join(accepted.withColumnRenamed("o", order).hint("merge"), order, "left_semi").select(df.columns)
+        done += 1
+    return df.join(checkpointed(accepted).withColumnRenamed("o", order).hint("merge"), order, "left_semi").select(df.columns)
+
+
+def decided_components(pairs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that a pass in order accepts in the components of at most `most` of pairs(o, k), and the pairs of larger ones."""
+    first = checkpointed(pairs.groupBy("k").agg(F.min("o").alias("v")))
+    edges = pairs.join(first.hint("merge"), "k").select(F.col("o").alias("u"), "v")
+    roots = checkpointed(components(edges).withColumnRenamed("id", "o"))
+    rooted = checkpointed(pairs.join(roots.hint("merge"), "o", "left").withColumn("root", F.coalesce("root", "o")))
+    sizes = checkpointed(rooted.groupBy("root").agg(F.count("*").alias("n")))
+    rooted = checkpointed(rooted.join(sizes.hint("merge"), "root"))
+
+    def decide(group: pd.DataFrame) -> pd.DataFrame:
+        used, won = set(), []
+        for o, of in group.sort_values("o").groupby("o")["k"]:
+            if used.isdisjoint(of):
+                used.update(of)
+                won.append(o)
+        return pd.DataFrame({"o": won})
+
+    small = rooted.where(F.col("n") <= most).select("root", "o", "k").groupBy("root").applyInPandas(decide, pairs.select("o").schema)
+    return checkpointed(small), checkpointed(rooted.where(F.col("n") > most).select("o", "k"))
 
 
 def merge_duplicates(df: DataFrame, key: str, order: str, lists: list[str]) -> DataFrame:
-    """One row per key: list columns united in order, the others from the first row."""
+    """One row per key: list columns united in order, each value once, the others from the first row. Values meet as one row for
+    each key and value, so that only distinct ones are gathered. Order must be unique within a key."""
     rest = [c for c in df.columns if c not in (key, *lists)]
-    gathered = df.groupBy(key).agg(
-        F.min_by(F.struct(*rest), F.col(order)).alias("r"), *(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("v")))).alias(c) for c in lists)
-    )
-    united = [F.array_distinct(F.flatten(F.transform(c, lambda x: x["v"]))).alias(c) for c in lists]
-    return gathered.select(key, "r.*", *united).select(df.columns)
+    out = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("r"))
+    for c in lists:
+        values = df.select(key, F.col(order).alias("o"), F.posexplode(c).alias("p", "v"))
+        each = values.groupBy(key, "v").agg(F.min(F.struct("o", "p")).alias("at"))
+        united = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("l")).select(key, F.transform("l", lambda x: x["v"]).alias(c))
+        out = out.join(united.hint("merge"), key, "left").withColumn(c, F.coalesce(c, F.array().cast(df.schema[c].dataType)))
+    return out.select(key, "r.*", *lists).select(df.columns)
 
 
 def merge_aliases(base: DataFrame, extra: DataFrame, key: str, aliases: str) -> DataFrame:
@@ -88,8 +155,8 @@ def merge_aliases(base: DataFrame, extra: DataFrame, key: str, aliases: str) ->
 
 def anti_join_seen(df: DataFrame, seen_keys: DataFrame, keys: str, row_id: str) -> DataFrame:
     """Rows none of whose keys is in seen_keys(key)."""
-    hit = df.select(row_id, F.explode(keys).alias("key")).join(seen_keys.select("key").distinct(), "key", "left_semi").select(row_id).distinct()
-    return df.join(hit, row_id, "left_anti")
+    hit = df.select(row_id, F.explode(keys).alias("key")).join(seen_keys.select("key").distinct().hint("merge"), "key", "left_semi").select(row_id).distinct()
+    return df.join(hit.hint("merge"), row_id, "left_anti")
 
 
 def overlay(base: DataFrame, *layers: DataFrame, key: str, present: str | None = None) -> DataFrame:
@@ -131,36 +198,40 @@ def merge_state(old: DataFrame, new: DataFrame, key: str, prefer: str = "old") -
 def containment_semi_join(df: DataFrame, names: DataFrame, column: str, name: str, n: int = 3) -> DataFrame:
     """Rows whose column contains a name or is contained in one, regardless of case.
 
-    Candidates meet on a run of `n` characters: the first run of the shorter text is among the runs of the longer one.
-    Texts under n characters are compared with the few names (or values) that are as short by their own whole text's runs of one.
+    Candidates meet on a run of `n` characters: of the runs of the shorter text the one that the fewest longer texts have, so that a beginning
+    that many share meets nobody. Shorter texts meet on their whole text as a run of their own length.
     """
     low = df.select(F.lower(column).alias("a")).where("a is not null").distinct()
     other = names.select(F.lower(name).alias("b")).where("b is not null").distinct()
-    runs = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))
+    runs = lambda c, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(k))))
     found = None
     for k in range(1, n + 1):
         small = (lambda c: F.length(c) >= n) if k == n else (lambda c, k=k: F.length(c) == k)
         for inner, outer in (("a", "b"), ("b", "a")):
             x, y = (low, other) if inner == "a" else (other, low)
-            x = x.where(small(F.col(inner))).select(inner, F.substring(inner, 1, k).alias("run"))
-            y = y.select(outer, F.explode(F.array_distinct(runs(F.col(outer), k))).alias("run"))
+            y = checkpointed(y.select(outer, F.explode(runs(F.col(outer), k)).alias("run")))
+            texts = checkpointed(y.groupBy("run").agg(F.count("*").alias("texts")))
+            x = x.where(small(F.col(inner))).select(inner, F.size(runs(F.col(inner), k)).alias("n_runs"), F.explode(runs(F.col(inner), k)).alias("run"))
+            x = x.join(texts.hint("merge"), "run").groupBy(inner, "n_runs").agg(F.min(F.struct("texts", "run")).alias("rarest"), F.count("*").alias("met"))
+            x = checkpointed(x.where("met = n_runs").select(inner, F.col("rarest.run").alias("run")))  # a container has all runs
             both = x.join(y.hint("merge"), "run").where(F.contains(F.col(outer), F.col(inner))).select("a")
             found = both if found is None else found.union(both)
-    matched = found.distinct()
+    matched = checkpointed(found.distinct())
     return df.join(matched.hint("merge"), F.lower(column) == F.col("a"), "left_semi")
 
 
 def enrich_with_budget(listed: DataFrame, details: DataFrame, key: str, source: str, order: str, budget: int, wanted: Column, fields: list[str], mode: str = "attempt", least: int = 1) -> DataFrame:
-    """listed with fields from details for the first `budget` wanted rows of each source.
+    """listed (one row for each key) with fields from details for the first `budget` wanted rows of each source.
 
     mode `attempt` counts wanted rows, `success` those whose details are there. A detail field shorter than `least` is not taken.
+    Ranks are limited within each task before rows of a source meet.
     """
-    renamed = details.select(key, *(F.col(f).alias(f"__{f}") for f in fields), F.lit(True).alias("__there"))
-    joined = listed.withColumn("__wanted", F.coalesce(wanted, F.lit(False))).join(renamed, key, "left")
-    counts = F.col("__wanted") if mode == "attempt" else F.col("__wanted") & F.col("__there").isNotNull()
-    n = F.sum(F.when(counts, 1).otherwise(0)).over(W.partitionBy(source).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    taken = counts & (n <= budget)
-    values = [F.when(taken & (F.length(F.col(f"__{f}").cast("string")) >= least), F.col(f"__{f}")).otherwise(F.col(f)).alias(f) if f in fields else F.col(f) for f in listed.columns]
+    renamed = details.select(key, *(F.col(f).alias(f"__{f}") for f in fields))
+    asked = listed.where(F.coalesce(wanted, F.lit(False))).select(key, source, order)
+    ranked = lambda d: d.withColumn("__n", F.row_number().over(W.partitionBy(source).orderBy(order))).where(F.col("__n") <= budget).select(key, *(c for c in d.columns if c.startswith("__")))
+    taken = ranked(asked.join(renamed, key)) if mode == "success" else ranked(asked).join(renamed, key)
+    joined = listed.join(taken, key, "left")
+    values = [F.when(F.length(F.col(f"__{f}").cast("string")) >= least, F.col(f"__{f}")).otherwise(F.col(f)).alias(f) if f in fields else F.col(f) for f in listed.columns]
     return joined.select(*values)
 
 
@@ -173,7 +244,7 @@ def with_canonical_name(df: DataFrame, aliases: DataFrame, name: str) -> DataFra
 def coverage(names: DataFrame, labels: DataFrame, name: str, label: str, normal) -> DataFrame:
     """names with whether a label has the same normal form."""
     known = labels.select(normal(F.col(label)).alias("__n")).distinct().withColumn("__known", F.lit(True))
-    return names.withColumn("__n", normal(F.col(name))).join(known, "__n", "left").withColumn("covered", F.coalesce("__known", F.lit(False))).drop("__n", "__known")
+    return names.withColumn("__n", normal(F.col(name))).join(known.hint("merge"), "__n", "left").withColumn("covered", F.coalesce("__known", F.lit(False))).drop("__n", "__known")
 
 
 def request_plan(terms: DataFrame, places: DataFrame, most: int, step: int) -> DataFrame:
@@ -209,9 +280,25 @@ def identity_conflicts(df: DataFrame, identity: str, name: str) -> DataFrame:
 
 def multiset_difference(original: DataFrame, current: DataFrame, group: str, signature: str) -> DataFrame:
     """For each group, the rows of current that no remaining equal row of original stands for."""
-    numbered = lambda d: d.withColumn("__n", F.row_number().over(W.partitionBy(group, signature).orderBy(F.lit(0))))
-    left = numbered(current).join(numbered(original), [group, signature, "__n"], "left_anti")
-    return left.groupBy(group).agg(F.count("*").alias("changed"))
+    sides = original.select(group, signature, F.lit(1).alias("__was"), F.lit(0).alias("__is")).union(current.select(group, signature, F.lit(0), F.lit(1)))
+    each = sides.groupBy(group, signature).agg((F.sum("__is") - F.sum("__was")).alias("more")).where("more > 0")
+    return each.groupBy(group).agg(F.sum("more").alias("changed"))
+
+
+def first_values(df: DataFrame, group: str, value: str, most: int, name: str) -> DataFrame:
+    """(group, name): the first `most` values of each group, in order, ranked within each task before they meet."""
+    ranked = df.where(F.col(value).isNotNull()).select(group, value).withColumn("__n", F.row_number().over(W.partitionBy(group).orderBy(value)))
+    return ranked.where(F.col("__n") <= most).groupBy(group).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
+def limited_names(df: DataFrame, group: str, name: str, most: int) -> DataFrame:
+    """(group, names): each group's distinct names as text, cut after `most` in order with the number of the rest."""
+    distinct = df.select(group, name).where(F.col(name).isNotNull()).distinct()
+    counts = distinct.groupBy(group).agg(F.count("*").alias("n"))
+    rest = F.col("n") - most
+    text = F.array_join("l", ", ")
+    listed = counts.join(first_values(distinct, group, name, most, "l").hint("merge"), group)
+    return listed.select(group, F.when(rest > 0, F.concat(text, F.lit(" (+"), rest.cast("string"), F.lit(" more)"))).otherwise(text).alias("names"))
 
 
 def limited_list(values: Column, most: int) -> Column:
@@ -226,10 +313,11 @@ def ordered_batch(df: DataFrame, order: list, index: int, size: int) -> DataFram
 
 
 def in_chunks(df: DataFrame, group: str, order: str, value: str, size: int) -> DataFrame:
-    """(group, chunk, values): each group's values in order, `size` in a list."""
-    n = F.row_number().over(W.partitionBy(group).orderBy(order)) - 1
-    chunked = df.withColumn("__n", n).withColumn("chunk", F.floor(F.col("__n") / size).cast("int"))
-    listed = chunked.groupBy(group, "chunk").agg(F.array_sort(F.collect_list(F.struct("__n", F.col(value).alias("v")))).alias("l"))
+    """(group, chunk, values): each group's values in order, `size` in a list. Rows are numbered over sorted ranges, so a group may span tasks."""
+    rows = checkpointed(numbered(df.select(group, F.col(order).alias("__o"), F.col(value).alias("__v")), [group, "__o"], "__at"))
+    starts = checkpointed(rows.groupBy(group).agg(F.min("__at").alias("__first")))
+    chunked = rows.join(starts.hint("merge"), group).withColumn("chunk", F.floor((F.col("__at") - F.col("__first")) / size).cast("int"))
+    listed = chunked.groupBy(group, "chunk").agg(F.array_sort(F.collect_list(F.struct("__at", F.col("__v").alias("v")))).alias("l"))
     return listed.select(group, "chunk", F.transform("l", lambda x: x["v"]).alias("values"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.operators import grounding as G
+from larkspur.operators.relational import numbered
 from larkspur.plans.base import Tables, query
 from larkspur.plans.text import TECH
 from larkspur.plans.values import TOKENS
@@ -14,9 +15,10 @@ from larkspur.plans.values import TOKENS
 
 def claims(t: Tables) -> DataFrame:
     """Each document with an item as its quote, and a claim made of both."""
-    quotes = t.benchmark.select((F.col("item_id") % 40).alias("k"), F.col("text").alias("quote")).groupBy("k").agg(F.min("quote").alias("quote"))
-    docs = t.documents.withColumn("k", F.col("doc_id") % 40)
-    rows = docs.join(F.broadcast(quotes), "k")  # forty rows
+    quotes = numbered(t.benchmark.select("item_id", F.col("text").alias("quote")), ["item_id"], "k")
+    n = quotes.count()
+    docs = t.documents.withColumn("k", F.pmod("doc_id", F.lit(n)) + 1)  # each item is some document's quote
+    rows = docs.join(quotes.hint("merge"), "k")
     quote = F.substring("quote", 1, 60)
     source = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" "), "quote")).otherwise(F.col("text"))
     text = F.when(F.col("doc_id") % 3 == 0, F.concat(quote, F.lit(" in 42% of cases"))).when(F.col("doc_id") % 5 == 0, "TBD").when(F.col("doc_id") % 7 == 0, F.substring("text", 1, 60)).otherwise(quote)
@@ -25,9 +27,9 @@ def claims(t: Tables) -> DataFrame:
 
 CLAIMS = """c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN d.text || ' ' || quote ELSE d.text END AS source, substr(quote, 1, 60) AS q,
   CASE WHEN doc_id % 3 = 0 THEN substr(quote, 1, 60) || ' in 42% of cases' WHEN doc_id % 5 = 0 THEN 'TBD' WHEN doc_id % 7 = 0 THEN substr(d.text, 1, 60) ELSE substr(quote, 1, 60) END AS text
-  FROM documents d JOIN (SELECT item_id % 40 AS k, min(text) AS quote FROM benchmark GROUP BY 1) ON k = doc_id % 40)"""
+  FROM documents d JOIN (SELECT row_number() OVER (ORDER BY item_id) AS k, count(*) OVER () AS n, text AS quote FROM benchmark) ON k = doc_id % n + 1)"""
 VALID = f"(length(trim(q)) >= 4 AND contains({TECH.format('source')}, {TECH.format('q')}))"
-NUMBERS = "regexp_extract_all(coalesce({0}, ''), '(?:^|[^A-Za-z0-9.])([0-9]+(\\.[0-9]+)?%?\\+?)', 1)"
+NUMBERS = "regexp_extract_all(regexp_replace(coalesce({0}, ''), '([0-9]+(\\.[0-9]+)?%?\\+?)', '\\1' || chr(1), 'g'), '(?:^|[^A-Za-z])([0-9]+(\\.[0-9]+)?%?\\+?)', 1)"
 
 
 @query("g1_evidence_valid", f"WITH {CLAIMS} SELECT doc_id, {VALID} AS ok FROM c")

@@ -228,7 +228,7 @@ def a4(t: Tables) -> DataFrame:
 )
 def a5(t: Tables) -> DataFrame:
     name = F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string"))
-    return t.orders.groupBy("o_orderstatus").agg(R.limited_list(F.array_sort(F.collect_set(name)), 15).alias("names"))
+    return R.limited_names(t.orders.select("o_orderstatus", name.alias("name")), "o_orderstatus", "name", 15)
 
 
 @query(
@@ -306,10 +306,10 @@ def o3(t: Tables) -> DataFrame:
     return R.numbered(t.part, [F.lower("p_name"), "p_partkey"], "place").select("place", "p_partkey")
 
 
-@query("o4_input_order", "SELECT event_id, event_id + 1 AS place FROM events")
+@query("o4_input_order", "SELECT row_number() OVER (ORDER BY event_id) AS place, event_id, event_type FROM events")
 def o4(t: Tables) -> DataFrame:
-    shuffled = t.events.select("event_id", (F.col("event_id") + 1).alias("place")).repartition(16, "event_id")
-    return shuffled.orderBy("place")
+    """Rows that were dealt anew, put back in their order and numbered."""
+    return R.numbered(t.events.select("event_id", "event_type").repartition(16, "event_type"), ["event_id"], "place")
 
 
 @query("o5_batch_slice", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey LIMIT 25 OFFSET 50")
