@@ -6,32 +6,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import urls as U
-from larkspur.operators.relational import add_missing, last_per_key
+from larkspur.operators.relational import add_missing, checkpointed, last_per_key
 
-RULE_SCHEMA = "priority int, kind string, pattern string, ats string"
+RULE_SCHEMA = "priority int, kind string, pattern string, ats string, attrs map<string,string>"
+#: Exact rules that are broadcast; more are joined by a shuffle.
+MAX_RULES = 100_000
+
+# Hosts of the common providers, and what a source's address says about its board.
+SLUG = {"slug": "{first}", "career_site_url": "{url}"}
+SITE = {"url": "{url}", "career_site_url": "{url}"}
+PROVIDER_RULES = (
+    (101, "host", "job-boards.greenhouse.io", "greenhouse", SLUG),
+    (102, "host", "jobs.lever.co", "lever", SLUG),
+    (103, "host", "jobs.ashbyhq.com", "ashby", SLUG),
+    (104, "host", "careers.smartrecruiters.com", "smartrecruiters", SLUG),
+    (105, "host", "myworkdayjobs.com", "workday_search", {"tenant": "{label}", "site": "{last}", "url": "{origin}/wday/cxs/{label}/{last}/jobs", "career_site_url": "{url}"}),
+    (106, "host", "apply.workable.com", "workable", SLUG | {"url": "https://www.workable.com/api/accounts/{first}?details=true"}),
+    (107, "host", "freshteam.com", "freshteam_html", SITE),
+    (108, "host", "keka.com", "keka_embed", SITE),
+    (109, "host", "icims.com", "icims_html", {"url": "{origin}/jobs/search", "career_site_url": "{url}"}),
+    (110, "host", "jobs.jobvite.com", "jobvite_html", SLUG | {"url": "https://jobs.jobvite.com/{first}/?nl=1&fr=false"}),
+    (111, "host", "recruiterflow.com", "recruiterflow_html", SITE),
+    (112, "host", "peoplestrong.com", "peoplestrong", {"url": "{origin}/api/cp/rest/altone/cp/jobs/v1?offset=0&limit=100", "bootstrap_url": "{origin}/api/cp/rest/altone/cp/urlinfo", "career_site_url": "{url}"}),
+    (113, "host", "zohorecruit.com", "zoho_recruit_public", SITE),
+    (114, "host", "careers.kula.ai", "kula_html", SITE),
+    (115, "host", "hire.trakstar.com", "trakstar_html", SITE),
+    (116, "host", "sensehq.com", "sensehq_next_data", SITE),
+    (117, "host", "app.param.ai", "param_ai", {"url": "{origin}/api/career/get_job/", "career_site_url": "{url}"}),
+    (118, "host", "app.eightfold.ai", "eightfold_html", SITE),
+)
+
+
+def filled(attrs: Column, url: Column) -> Column:
+    """attrs with {url}, {origin}, {host}, {label} (the host's first label), {first} and {last} (path segments) of the address put in."""
+    segments = F.filter(U.segments(url), lambda s: ~s.rlike("(?i)^[a-z]{2}[-_][a-z]{2}$"))
+    parts = {
+        "{url}": url, "{origin}": F.regexp_extract(url, r"^([a-zA-Z]+://[^/?#]+)", 1), "{host}": U.host(url), "{label}": F.substring_index(U.host(url), ".", 1),
+        "{first}": F.coalesce(F.get(segments, F.lit(0)), F.lit("")), "{last}": F.coalesce(F.try_element_at(segments, F.lit(-1)), F.lit("")),
+    }
+
+    def put_in(value: Column) -> Column:
+        for name, part in parts.items():
+            value = F.replace(value, F.lit(name), F.coalesce(part, F.lit("")))
+        return value
+
+    return F.transform_values(attrs, lambda _, v: put_in(v))
 
 
 def classify_sources(df: DataFrame, rules: DataFrame, name: str, url: str, default: str = "direct_job_html") -> DataFrame:
-    """df with `ats`: that of the first rule that fits, by priority.
+    """df with `ats` and `attrs`: those of the first rule that fits, by priority, with the parts of the address put in (`filled`).
 
-    A rule fits a name exactly (kind `name`), a host or its subdomains (`host`) or a part of the path (`path`).
+    A rule (RULE_SCHEMA) fits a name exactly (kind `name`), a host or its subdomains (`host`) or a part of the path (`path`).
     Names and hosts are looked up by equality, each host with its parent domains; path rules, a short
     list, are tried one by one.
     """
     low = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__host", U.host(F.col(url))).withColumn("__path", F.lower(U.path(F.col(url))))
+    low = checkpointed(low)  # from here on the ids hold
     labels = F.split("__host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     asked = F.array_append(F.transform(parents, lambda p: F.concat(F.lit("host:"), p)), F.concat(F.lit("name:"), F.lower(name)))
-    exact = rules.where("kind <> 'path'").select(F.concat("kind", F.lit(":"), F.lower("pattern")).alias("__key"), F.struct("priority", "ats").alias("rule"))
-    hits = low.select("__id", F.explode(asked).alias("__key")).join(F.broadcast(exact), "__key").groupBy("__id").agg(F.min("rule").alias("exact"))
+    exact = rules.where("kind <> 'path'").select(F.concat("kind", F.lit(":"), F.lower("pattern")).alias("__key"), F.struct("priority", "ats", "attrs").alias("rule"))
+    exact = F.broadcast(exact) if exact.count() <= MAX_RULES else exact.hint("merge")
+    hits = low.select("__id", F.explode(F.array_distinct(asked)).alias("__key")).join(exact, "__key")
+    hits = checkpointed(hits.groupBy("__id").agg(F.min_by("rule", "rule.priority").alias("exact")))
     by_path = None
-    for r in sorted(rules.where("kind = 'path'").collect()):  # the rules that a user wrote
-        rule = F.struct(F.lit(r.priority).alias("priority"), F.lit(r.ats).alias("ats"))
+    for r in sorted(rules.where("kind = 'path'").collect(), key=lambda r: r.priority):  # the rules that a user wrote
+        pairs = [F.lit(x) for kv in (r.attrs or {}).items() for x in kv]
+        attrs = F.create_map(*pairs) if pairs else F.lit(None)
+        rule = F.struct(F.lit(r.priority).alias("priority"), F.lit(r.ats).alias("ats"), attrs.cast("map<string,string>").alias("attrs"))
         fits = F.contains(F.col("__path"), F.lit(r.pattern.lower()))
         by_path = F.when(fits, rule) if by_path is None else by_path.when(fits, rule)
-    found = low.join(hits, "__id", "left")
-    best = F.least("exact", by_path) if by_path is not None else F.col("exact")
-    return found.withColumn("__best", best).withColumn("ats", F.coalesce("__best.ats", F.lit(default))).select(*df.columns, "ats")
+    found = low.join(hits.hint("merge"), "__id", "left")
+    if by_path is not None:
+        found = found.withColumn("__path_rule", by_path)
+        sooner = F.col("__path_rule.priority") < F.coalesce("exact.priority", F.lit(2**31 - 1))
+        found = found.withColumn("exact", F.when(sooner, F.col("__path_rule")).otherwise(F.col("exact")))
+    none = F.create_map().cast("map<string,string>")
+    attrs = F.coalesce(filled(F.col("exact.attrs"), F.col(url)), none)
+    return found.withColumn("ats", F.coalesce("exact.ats", F.lit(default))).withColumn("attrs", attrs).select(*df.columns, "ats", "attrs")
 
 
 def page_status(http: Column, redirected: Column, provider: Column, jobs: Column, no_openings: Column, dynamic: Column, resolved: Column) -> Column:

@@ -274,6 +274,8 @@ def adjacent_lane(p: Posting, s: Settings) -> Column:
     )
 
 
+#: Phrases that are broadcast; more are joined by a shuffle.
+MAX_PHRASES = 100_000
 LANES = {"base": base_lane, "expanded": expanded_lane, "production": production_lane, "precision": precision_lane, "adjacent": adjacent_lane}
 
 
@@ -298,13 +300,13 @@ def once(df: DataFrame) -> DataFrame:
 
 
 def phrase_score(df: DataFrame, phrases: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, family, score): summed weights of phrases(family, phrase, weight) that a text has. `phrases` is a short list of terms."""
-    listed = phrases.withColumn("phrase", tech_text(F.col("phrase"))).groupBy().agg(F.collect_list(F.struct("family", "phrase", "weight")).alias("listed"))
-    terms = listed.first()["listed"] or []  # bounded by the list of terms that the caller wrote
-    array = F.array(*(F.struct(F.lit(t["family"]).alias("family"), F.lit(t["phrase"]).alias("phrase"), F.lit(t["weight"]).alias("weight")) for t in terms))
-    normal = df.select(F.col(key), F.concat(F.lit(" "), tech_text(F.col(text)), F.lit(" ")).alias("normal"))
-    met = normal.select(key, F.explode(F.filter(array, lambda t: F.contains(F.col("normal"), F.concat(F.lit(" "), t["phrase"], F.lit(" "))))).alias("t"))
-    return met.groupBy(key, F.col("t.family").alias("family")).agg(F.sum("t.weight").cast("long").alias("score"))
+    """(key, family, score): summed weights of phrases(family, phrase, weight) that a text has. Texts meet phrases on the phrase's first word."""
+    listed = phrases.select("family", tech_text(F.col("phrase")).alias("phrase"), "weight").withColumn("word", F.substring_index("phrase", " ", 1))
+    normal = df.select(F.col(key), tech_text(F.col(text)).alias("normal"))
+    asked = normal.select(key, "normal", F.explode(F.array_distinct(F.split("normal", " "))).alias("word"))
+    met = asked.join(F.broadcast(listed) if listed.count() <= MAX_PHRASES else listed.hint("merge"), "word")
+    met = met.where(F.contains(F.concat(F.lit(" "), "normal", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" "))))
+    return met.groupBy(key, "family").agg(F.sum("weight").cast("long").alias("score"))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -11,18 +11,26 @@ from larkspur.plans.base import Tables, query
 from larkspur.plans.predicates import PROMOTED, REASON, promoted
 from larkspur.sources.payloads import anchors
 
-RULES = ((1, "host", "example.net", "net_board"), (2, "path", "/de/", "german"), (3, "host", "example.org", "org_board"), (4, "path", "/fr/", "french"))
+RULES = (
+    (1, "host", "example.net", "net_board", {"slug": "{first}", "site": "{origin}/{last}"}),
+    (2, "path", "/de/", "german", {"tenant": "{label}"}),
+    (3, "host", "example.org", "org_board", None),
+    (4, "path", "/fr/", "french", None),
+)
 
 
 @query(
     "l1_classify_sources",
     r"""SELECT page_id, CASE WHEN regexp_matches(h, '(^|\.)example\.net$') THEN 'net_board' WHEN contains(p, '/de/') THEN 'german'
-    WHEN regexp_matches(h, '(^|\.)example\.org$') THEN 'org_board' WHEN contains(p, '/fr/') THEN 'french' ELSE 'direct_job_html' END AS ats
-    FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS h, lower(regexp_extract(url, '://[^/?#]+([^?#]*)', 1)) AS p FROM pages)""",
+    WHEN regexp_matches(h, '(^|\.)example\.org$') THEN 'org_board' WHEN contains(p, '/fr/') THEN 'french' ELSE 'direct_job_html' END AS ats,
+    CASE WHEN ats = 'net_board' THEN coalesce(s[1], '') END AS slug, CASE WHEN ats = 'net_board' THEN regexp_extract(url, '^([a-z]+://[^/?#]+)') || '/' || coalesce(s[-1], '') END AS site,
+    CASE WHEN ats = 'german' THEN split_part(h, '.', 1) END AS tenant
+    FROM (SELECT page_id, url, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS h, lower(regexp_extract(url, '://[^/?#]+([^?#]*)', 1)) AS p, list_filter(string_split(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') AS s FROM pages)""",
 )
 def l1(t: Tables) -> DataFrame:
     rules = t.spark.createDataFrame(RULES, C.RULE_SCHEMA)
-    return C.classify_sources(t.pages.select("page_id", "url", F.lit("x").alias("name")), rules, "name", "url").select("page_id", "ats")
+    found = C.classify_sources(t.pages.select("page_id", "url", F.lit("x").alias("name")), rules, "name", "url")
+    return found.select("page_id", "ats", *(F.col("attrs")[a].alias(a) for a in ("slug", "site", "tenant")))
 
 
 @query(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.relational import merge_state, numbered, shared_folder
 from larkspur.plans.base import Tables, query
+from larkspur.sources import files
 from larkspur.sources import payloads as S
 from larkspur.sources import sinks as K
 
@@ -151,21 +155,30 @@ def s0(t: Tables) -> DataFrame:
 
 @query(
     "k3_summary",
-    "SELECT CASE WHEN o_orderstatus = 'O' THEN 'WORKING' ELSE o_orderstatus END AS status, count(*) AS n, coalesce(string_agg(DISTINCT 'c' || (o_custkey % 9), ',' ORDER BY 'c' || (o_custkey % 9)) FILTER (o_orderstatus <> 'O'), '') AS names FROM orders GROUP BY 1",
+    """WITH r AS (SELECT CASE WHEN o_orderstatus = 'O' THEN 'WORKING' ELSE o_orderstatus END AS status, 'c' || (o_custkey % 9) AS name FROM orders), c AS (SELECT status, count(*) AS n FROM r GROUP BY 1)
+    SELECT c.status, n, name FROM c LEFT JOIN (SELECT DISTINCT status, name FROM r WHERE status <> 'WORKING') d ON d.status = c.status""",
 )
 def k3(t: Tables) -> DataFrame:
     rows = t.orders.select(F.when(F.col("o_orderstatus") == "O", "WORKING").otherwise(F.col("o_orderstatus")).alias("status"), F.concat(F.lit("c"), (F.col("o_custkey") % 9).cast("string")).alias("name"))
-    return K.summary(rows, "status", "name").withColumn("names", F.array_join("names", ","))
+    return K.summary(rows, "status", "name")
 
 
-@query("k4_alert_records", "SELECT p_partkey AS key, substr(p_name, 1, 250) AS title, p_size || '/100' AS score, 'a' || chr(10) || 'b' AS reasons, 'Est. ₹7–15 LPA' AS pay FROM part")
+@query(
+    "k4_alert_records",
+    """SELECT p_partkey AS key, substr(repeat(p_name || ' ', p_size), 1, 250) AS title, substr(repeat('é', p_size * 50), 1, 1000) AS location, p_size || '/100' AS score,
+    array_to_string((range(0, p_size % 8)::VARCHAR[])[1:5], chr(10)) AS reasons, CASE WHEN p_size % 3 = 0 THEN 'Posted ₹' || p_size || '–' || (p_size + 2) || ' LPA' ELSE 'Est. ₹7–15 LPA' END AS pay,
+    CASE WHEN p_size % 2 = 0 THEN 'r' || p_partkey END AS job_id FROM part""",
+)
 def k4(t: Tables) -> DataFrame:
+    """Titles and places beyond the limits, none to seven reasons, posted and estimated pay."""
+    n, key = F.col("p_size"), F.col("p_partkey").cast("string")
     rows = t.part.select(
-        F.col("p_partkey").alias("key"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.lit("x").alias("location"), F.col("p_size").alias("score"),
-        F.array(F.lit("a"), F.lit("b")).alias("reasons"), F.lit("").alias("description"), F.lit("").alias("requisition_id"),
+        F.col("p_partkey").alias("key"), F.expr("repeat(p_name || ' ', p_size)").alias("title"), F.col("p_brand").alias("company"), F.expr("repeat('é', p_size * 50)").alias("location"), n.alias("score"),
+        F.slice(F.array(*map(F.lit, "01234567")), F.lit(1), n % 8).alias("reasons"),
+        F.when(n % 3 == 0, F.concat(F.lit("Pay ₹"), n.cast("string"), F.lit(" - "), (n + 2).cast("string"), F.lit(" LPA"))).otherwise("").alias("description"),
+        F.when(n % 2 == 0, F.concat(F.lit("r"), key)).otherwise("").alias("requisition_id"),
     )
-    sent = K.alert_records(rows)
-    return sent.select("key", *(F.get_json_object("payload", f"$.{f}").alias(f) for f in ("title", "score", "reasons", "pay")))
+    return K.alert_records(rows).select("key", *(F.get_json_object("payload", f"$.{f}").alias(f) for f in ("title", "location", "score", "reasons", "pay", "job_id")))
 
 
 @query(
@@ -186,3 +199,90 @@ def s9_meta(t: Tables) -> DataFrame:
     hit = F.concat(F.lit("<a:Hit>"), meta("card_id", F.lit('<a:MetaString value="'), key, F.lit('"/>')), meta("content_title", *title), meta("content_url", F.lit("<a:MetaString>https://x.org/"), key, F.lit("</a:MetaString>")), F.lit("</a:Hit>"))
     body = t.supplier.groupBy("s_nationkey").agg(F.concat(F.lit('<a:Answer xmlns:a="urn:x">'), F.array_join(F.collect_list(hit), ""), F.lit("</a:Answer>")).alias("body"))
     return S.meta_cards(body, ("card_id", "content_title", "content_url", "content_note")).drop("item_ord")
+
+
+def folder(t: Tables, name: str) -> str:
+    """A new folder in the shared one, for files that a query writes and reads."""
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s11_line_files", "SELECT s_name AS name, 'https://x.org/' || s_suppkey AS url FROM supplier UNION ALL SELECT n_name, NULL FROM nation")
+def s11(t: Tables) -> DataFrame:
+    """Lines in both forms with comments and blank lines, and a file of names alone."""
+    path, k = folder(t, "lines"), F.col("s_suppkey")
+    url = F.concat(F.lit("https://x.org/"), k.cast("string"))
+    line = F.when(k % 2 == 0, F.concat(F.col("s_name"), F.lit(" | "), url)).otherwise(F.concat(F.col("s_name"), F.lit(": "), url))
+    t.supplier.select(F.concat(F.lit("# comment\n\n  "), line).alias("value")).write.text(f"{path}/pairs")
+    t.nation.select(F.concat("n_name", F.lit("\n#x")).alias("value")).write.text(f"{path}/names")
+    return files.lines(t.spark, f"{path}/pairs").unionByName(files.lines(t.spark, f"{path}/names", named=False), allowMissingColumns=True)
+
+
+def documents_of(df: DataFrame, by: str, path: str) -> None:
+    """One file with one JSON document for each value of `by`, which stays in the document."""
+    df.withColumn("__dir", F.col(by)).repartition("__dir").write.partitionBy("__dir").json(path)
+
+
+@query("s12_registry", "SELECT s_name AS name, 'https://x.org/' || s_suppkey AS url, s_suppkey % 2 = 0 AS enabled FROM supplier")
+def s12(t: Tables) -> DataFrame:
+    path = folder(t, "registry")
+    row = F.struct(F.col("s_name").alias("name"), F.concat(F.lit("https://x.org/"), F.col("s_suppkey").cast("string")).alias("url"), (F.col("s_suppkey") % 2 == 0).alias("enabled"))
+    documents_of(t.supplier.groupBy("s_nationkey").agg(F.collect_list(row).alias("companies")), "s_nationkey", path)
+    return files.registry(t.spark, path, "name string, url string, enabled boolean").select("name", "url", "enabled")
+
+
+@query("s14_part_files", "SELECT s_nationkey AS batch_index, s_name AS name FROM supplier")
+def s14(t: Tables) -> DataFrame:
+    path = folder(t, "parts")
+    results = t.supplier.groupBy(F.col("s_nationkey").alias("batch_index")).agg(F.collect_list(F.struct(F.col("s_name").alias("name"))).alias("results"))
+    documents_of(results, "batch_index", path)
+    return files.parts(t.spark, path, "name string").select("batch_index", "name")
+
+
+STATE = "state_key string, event_type string, first_seen timestamp"
+
+
+@query(
+    "s13_state",
+    """SELECT 'u' || user_id AS state_key, arg_min(event_type, event_id) AS event_type, min(ts) AS first_seen, 'kept' AS of FROM events GROUP BY ALL
+    UNION ALL SELECT 'bad', NULL, NULL, 'records' UNION ALL SELECT 'none', NULL, NULL, 'missing ' || 0""",
+)
+def s13(t: Tables) -> DataFrame:
+    """The newest of two versions of a state that K1 wrote; a file with an unreadable record; a path that isn't there."""
+    path = folder(t, "state")
+    write_versions(t, path)
+    t.region.limit(1).select(F.lit('{"state_key": "bad"}\n[broken').alias("value")).write.text(f"{path}/records")
+    kept = files.state(t.spark, f"{path}/states", STATE).withColumn("of", F.lit("kept"))
+    records = files.state(t.spark, f"{path}/records", STATE).withColumn("of", F.lit("records"))
+    none = files.state(t.spark, f"{path}/none", STATE).agg(F.lit("none").alias("state_key"), F.concat(F.lit("missing "), F.count("*").cast("string")).alias("of"))
+    return kept.unionByName(records).unionByName(none, allowMissingColumns=True)
+
+
+def write_versions(t: Tables, path: str) -> list[str]:
+    """Two versions of a state: the first keys, then all of them, with the older side's records."""
+    rows = t.events.withColumn("state_key", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    first = lambda d: d.groupBy("state_key").agg(F.min_by("event_type", "event_id").alias("event_type"), F.min("ts").alias("first_seen"))
+    early = K.write_state(first(rows.where(F.col("ts") < F.lit("2024-01-05").cast("timestamp"))), f"{path}/states", 1)
+    old = t.spark.read.schema(STATE).parquet(early)
+    return [early, K.write_state(merge_state(old, first(rows), "state_key"), f"{path}/states", 2)]
+
+
+@query(
+    "k1_write_state",
+    "WITH s AS (SELECT 1 AS version, user_id FROM events WHERE ts < TIMESTAMP '2024-01-05' UNION SELECT 2, user_id FROM events) SELECT version, 'u' || user_id AS state_key, row_number() OVER (PARTITION BY version ORDER BY 'u' || user_id) AS place FROM s",
+)
+def k1(t: Tables) -> DataFrame:
+    """Both versions stay; each is the whole state in order of its keys."""
+    out = None
+    for i, path in enumerate(write_versions(t, folder(t, "state"))):
+        rows = numbered(t.spark.read.schema(STATE).parquet(path), ["state_key"], "place").select(F.lit(i + 1).alias("version"), "state_key", "place")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query("k2_write_registry", "SELECT s_name AS name, row_number() OVER (ORDER BY lower(s_name)) AS place, count(*) OVER () AS total, 'from suppliers' AS note, '2026-01-01' AS generated_at FROM supplier")
+def k2(t: Tables) -> DataFrame:
+    path = folder(t, "registry")
+    K.write_registry(t.supplier.select(F.col("s_name").alias("name")), path, "from suppliers", F.lit("2026-01-01"))
+    rows = numbered(t.spark.read.schema("name string").json(f"{path}/rows"), [F.lower("name")], "place")
+    meta = t.spark.read.schema("generated_at string, total long, note string").json(f"{path}/metadata")  # one row
+    return rows.join(F.broadcast(meta), F.lit(True))

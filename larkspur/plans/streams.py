@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import relational as R
+from larkspur.operators.scoring import score_postings
 from larkspur.plans.base import Tables, query
+from larkspur.plans.scoring import STEPS, postings
+from larkspur.plans.text import CLEAN
+from larkspur.sources.payloads import Mapping, flat_items
 from larkspur.streaming import postings as P
 
 
@@ -15,21 +21,29 @@ def event_rows(t: Tables) -> DataFrame:
     return t.events.select("event_id", "ts", keys.alias("keys"))
 
 
-@query(
-    "t1_posting_stream",
-    "SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY ALL",
-)
+#: Descriptions and departments as they come out of a payload.
+LANDED = STEPS.replace("|| ' ' || text AS body, source AS department", "|| ' ' || text AS raw, " + CLEAN.format("source") + " AS department").replace("FROM documents)", "FROM documents), j AS (SELECT * EXCLUDE (raw), " + CLEAN.format("raw") + " AS body FROM i)").replace("WITH j AS", "WITH i AS")
+
+
+@query("t1_posting_stream", LANDED + "SELECT doc_id::VARCHAR AS requisition_id, cascade.score AS score FROM f WHERE cascade.score >= 70")
 def t1(t: Tables) -> DataFrame:
-    """The table read as a stream, counted by day."""
-    import uuid
+    """Payloads landed in two runs, read as a stream: items, lanes and threshold by micro-batch, to a table."""
+    folder = f"{R.shared_folder(t.spark)}/t1-{uuid.uuid4().hex}"
+    rows = postings(t)
+    record = F.struct("title", "location", "description", "department", F.col("doc_id").cast("string").alias("id"))
+    feeds = rows.groupBy(F.floor(F.col("doc_id") / 20).alias("feed")).agg(F.to_json(F.struct(F.collect_list(record).alias("jobs"))).alias("body"))  # twenty rows
+    paths = {f: (f"$.{f}",) for f in ("title", "location", "description", "department")} | {"requisition_id": ("$.id",)}
+
+    def scored(raw: DataFrame) -> DataFrame:
+        items = flat_items(raw, Mapping("$.jobs", paths)).withColumn("priority", (F.col("requisition_id").cast("long") % 6).cast("int"))
+        return score_postings(items).where("score >= 70").select("requisition_id", "score")
 
-    schema = t.events.schema
-    name = f"t1_{uuid.uuid4().hex}"
-    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    days = stream.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"))
-    run = days.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return t.spark.table(name)
+    for run in (0, 1):
+        feeds.where(F.col("feed") % 2 == run).write.mode("append").json(f"{folder}/landed")
+        stream = P.posting_stream(t.spark, f"{folder}/landed", "feed long, body string", scored)
+        writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("requisition_id string, score int").parquet(f"{folder}/out")
 
 
 @query(
@@ -47,17 +61,28 @@ def t2(t: Tables) -> DataFrame:
     return first.union(second).select("event_id")
 
 
-@query("t3_notices")
+@query(
+    "t3_notices",
+    """WITH RECURSIVE g AS (SELECT user_id::VARCHAR AS source, epoch(date_trunc('hour', ts))::BIGINT AS run, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'error' ELSE '' END AS failed, min(event_id) % 4 <> 0 AS delivered FROM events GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY run) AS i FROM g),
+    s AS (SELECT source, 0::BIGINT AS i, NULL::BIGINT AS run, NULL::VARCHAR AS failed, NULL::VARCHAR AS kind, '' AS before, NULL::BIGINT AS last FROM (SELECT DISTINCT source FROM n)
+      UNION ALL SELECT n.source, n.i, n.run, n.failed, k.kind, CASE WHEN k.kind IS NOT NULL AND n.delivered THEN n.failed ELSE s.before END, CASE WHEN k.kind IS NOT NULL AND n.delivered THEN n.run ELSE s.last END
+      FROM s JOIN n ON n.source = s.source AND n.i = s.i + 1,
+      LATERAL (SELECT CASE WHEN n.failed = s.before AND s.last IS NOT NULL AND n.run - s.last < 86400 THEN NULL WHEN n.failed <> '' THEN 'issues' WHEN s.before <> '' THEN 'recovered' ELSE 'daily' END AS kind) k)
+    SELECT source, run, kind, failed FROM s WHERE kind IS NOT NULL""",
+)
 def t3(t: Tables) -> DataFrame:
+    """Runs by hour; the delivery of every fourth notice fails, so that the next run tries again."""
     runs = t.events.groupBy(F.col("user_id").cast("string").alias("source"), F.unix_seconds(F.date_trunc("hour", "ts")).alias("run"))
-    return P.notices(runs.agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("event_type") == "error", "error"))), ",").alias("failed")))
+    failed = F.when(F.count_if(F.col("event_type") == "error") > 0, "error").otherwise("")
+    return P.notices(runs.agg(failed.alias("failed"), (F.min("event_id") % 4 != 0).alias("delivered")))
 
 
 @query("t4_carry_over", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events) WHERE n > 5")
 def t4(t: Tables) -> DataFrame:
     """What the first run's limit of five a source leaves is new for the next one."""
     sent = R.in_chunks(t.events.withColumn("rank", F.struct(-F.col("value"), "event_id")), "user_id", "rank", "event_id", 5).where("chunk = 0")
-    return t.events.join(sent.select(F.explode("values").alias("event_id")), "event_id", "left_anti").select("user_id", "event_id")
+    return t.events.join(sent.select(F.explode("values").alias("event_id")).hint("merge"), "event_id", "left_anti").select("user_id", "event_id")
 
 
 @query(

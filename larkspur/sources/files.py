@@ -26,10 +26,22 @@ def registry(spark: SparkSession, path: str, schema: str, rows: str = "companies
     return spark.read.schema(f"{rows} array<struct<{schema}>>").json(path, multiLine=True).select(F.inline(rows))
 
 
+def latest_version(spark: SparkSession, folder: str) -> str | None:
+    """The newest complete version that sinks.write_state has written below folder, read through Spark's file system; None without one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "version=*/_SUCCESS"))
+    versions = sorted(f.getPath().getParent().toString() for f in found or [])
+    return versions[-1] if versions else None
+
+
 def state(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """Keyed records; a missing path or unreadable records give an empty state, or raise if strict."""
+    """Keyed records: the newest version in a folder of states, or a file of JSON records. A missing path or unreadable records give an
+    empty state, or raise if strict."""
     from pyspark.errors import AnalysisException
 
+    version = latest_version(spark, path)
+    if version is not None:
+        return spark.read.schema(schema).option("ignoreCorruptFiles", not strict).parquet(version)
     reader = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "FAILFAST" if strict else "PERMISSIVE")
     try:
         found = reader.json(path)

@@ -22,9 +22,11 @@ def write_registry(rows: DataFrame, path: str, note: str, as_of: Column, name: s
 
 
 def summary(df: DataFrame, status: str, name: str, working: str = "WORKING") -> DataFrame:
-    """(status, n, names): counts by status, with the names of what doesn't work."""
-    named = F.when(F.col(status) != working, F.col(name))
-    return df.groupBy(status).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(named)).alias("names"))
+    """(status, n, name): the count of each status with each name of what doesn't work as a row, so that a status with many names
+    is spread out; one row without a name where all work."""
+    counts = df.groupBy(status).agg(F.count("*").alias("n"))
+    names = df.where(F.col(status) != working).select(status, name).distinct()
+    return counts.join(names.hint("merge"), status, "left")
 
 
 def alert_records(df: DataFrame) -> DataFrame:

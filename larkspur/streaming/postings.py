@@ -18,22 +18,25 @@ def posting_stream(spark: SparkSession, path: str, schema: str, transform: Calla
     return transform(spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(path))
 
 
-class SeenKeys:
-    """The keys of all rows that were delivered, as a table of append-only batches in a shared folder."""
+class Batches:
+    """Rows by micro-batch, one folder each, in a shared folder; a batch that is run again overwrites its own."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+        self.spark, self.path, self.schema = spark, path, schema
 
     def read(self, before: int) -> DataFrame:
-        """Keys delivered in batches before this one, so that a repeated batch gives the same rows."""
-        schema = "key string, batch long"
+        """Rows of batches before this one, so that a repeated batch gives the same rows."""
         files = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         if not files.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path).where(F.col("batch") < before)
+            return self.spark.createDataFrame([], f"{self.schema}, batch long")
+        return self.spark.read.schema(f"{self.schema}, batch long").parquet(self.path).where(F.col("batch") < before)
 
-    def write(self, keys: DataFrame, batch: int) -> None:
-        keys.select("key").distinct().write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+    def last(self, before: int) -> DataFrame:
+        """Rows of the batch before this one."""
+        return self.read(before).where(F.col("batch") == before - 1).drop("batch")
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
 
 def new_rows(batch: DataFrame, seen: DataFrame, keys: str, order: str) -> DataFrame:
@@ -42,19 +45,26 @@ def new_rows(batch: DataFrame, seen: DataFrame, keys: str, order: str) -> DataFr
 
 
 def alert_once(stream: DataFrame, seen_path: str, out_path: str, checkpoint: str, keys: str, order: str, top: int | None = None, rank: list | None = None) -> StreamingQuery:
-    """Writes each batch's new rows to out_path and their keys to the seen table; rows beyond the first `top` stay new.
+    """Writes each batch's new rows to out_path and their keys to the seen table. New rows beyond the first `top` wait in a table
+    beside the seen one and are taken up by the next batch.
 
-    A batch that is run again overwrites its own output, so a failure between the two writes loses and doubles nothing.
+    A batch that is run again overwrites its own output, so a failure between the writes loses and doubles nothing.
     """
 
     def deliver(batch: DataFrame, number: int) -> None:
-        seen = SeenKeys(batch.sparkSession, seen_path)
-        rows = new_rows(batch, seen.read(number), keys, order)
+        spark = batch.sparkSession
+        seen, sent = Batches(spark, seen_path, "key string"), Batches(spark, out_path, batch.schema.toDDL())
+        waiting = Batches(spark, f"{seen_path}-waiting", batch.schema.toDDL())
+        rows = new_rows(batch.unionByName(waiting.last(number)), seen.read(number).drop("batch"), keys, order)
         if top is not None:
-            rows = rows.orderBy(*(rank or [order])).limit(top)
-        rows.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        sent = batch.sparkSession.read.schema(rows.schema).parquet(f"{out_path}/batch={number}")
-        seen.write(sent.select(F.explode(keys).alias("key")), number)
+            first = rows.orderBy(*(rank or [order])).limit(top)
+            sent.write(first, number)
+            kept = spark.read.schema(batch.schema).parquet(f"{out_path}/batch={number}")
+            waiting.write(rows.join(kept.select(order).hint("merge"), order, "left_anti").select(batch.columns), number)
+        else:
+            sent.write(rows, number)
+        delivered = spark.read.schema(batch.schema).parquet(f"{out_path}/batch={number}")
+        seen.write(delivered.select(F.explode(keys).alias("key")).distinct(), number)
 
     return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -62,32 +72,43 @@ def alert_once(stream: DataFrame, seen_path: str, out_path: str, checkpoint: str
 NOTICE_SCHEMA = StructType([StructField("source", StringType()), StructField("run", LongType()), StructField("kind", StringType()), StructField("failed", StringType())])
 
 
-def notice_kind(failed: str, before: str | None, run: int, last: int | None, every: int) -> str | None:
-    """issues, recovered or daily if a notice is due: the failed set changed, or `every` seconds went by since the last one."""
-    if before is not None and failed == before and last is not None and run - last < every:
+def notice_kind(failed: str, before: str, run: int, last: int | None, every: int) -> str | None:
+    """issues, recovered or daily if a notice is due: the failed set changed, or `every` seconds went by since the last delivered one."""
+    if failed == before and last is not None and run - last < every:
         return None
     if failed:
         return "issues"
     return "recovered" if before else "daily"
 
 
+def fold_runs(runs: pd.DataFrame, source: str, state: tuple[str, int | None], every: int) -> tuple[list[tuple], tuple[str, int | None]]:
+    """The notices of a source's runs(run, failed, delivered) in order and the state after them: only a delivered notice changes it."""
+    out, (before, last) = [], state
+    for r in runs.sort_values("run").itertuples(index=False):
+        if kind := notice_kind(r.failed, before, r.run, last, every):
+            out.append((source, r.run, kind, r.failed))
+            if r.delivered:
+                before, last = r.failed, r.run
+    return out, (before, last)
+
+
+def with_delivery(runs: DataFrame) -> DataFrame:
+    """runs(source, run, failed, delivered): without the last column every notice counts as delivered."""
+    delivered = F.coalesce("delivered", F.lit(True)) if "delivered" in runs.columns else F.lit(True)
+    return runs.select("source", "run", "failed", delivered.alias("delivered"))
+
+
 def notices(runs: DataFrame, every: int = 86_400) -> DataFrame:
-    """Notices of each source's runs(source, run, failed) in order: the batch form, a fold over each source's own runs."""
+    """Notices of each source's runs in order: the batch form, a fold over each source's own runs."""
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows, before, last = [], None, None
-        for r in group.sort_values("run").itertuples(index=False):
-            kind = notice_kind(r.failed, before, r.run, last, every)
-            if kind:
-                rows.append((r.source, r.run, kind, r.failed))
-                before, last = r.failed, r.run
-        return pd.DataFrame(rows, columns=NOTICE_SCHEMA.names)
+        return pd.DataFrame(fold_runs(group, group["source"].iat[0], ("", None), every)[0], columns=NOTICE_SCHEMA.names)
 
-    return runs.select("source", "run", "failed").groupBy("source").applyInPandas(fold, NOTICE_SCHEMA)
+    return with_delivery(runs).groupBy("source").applyInPandas(fold, NOTICE_SCHEMA)
 
 
 class NoticeProcessor(StatefulProcessor):
-    """The streaming form of `notices`: a source's last notice is its state."""
+    """The streaming form of `notices`: a source's last delivered notice is its state."""
 
     def __init__(self, every: int) -> None:
         self.every = every
@@ -96,18 +117,13 @@ class NoticeProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", StructType([StructField("failed", StringType()), StructField("run", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        before, last = self.last.get() if self.last.exists() else (None, None)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("run").itertuples(index=False):
-            kind = notice_kind(r.failed, before, r.run, last, self.every)
-            if kind:
-                out.append((key[0], r.run, kind, r.failed))
-                before, last = r.failed, r.run
-        if out:
-            self.last.update((before, last))
+        state = tuple(self.last.get()) if self.last.exists() else ("", None)
+        out, after = fold_runs(pd.concat(list(rows)), key[0], state, self.every)
+        if after != state:
+            self.last.update(after)
         yield pd.DataFrame(out, columns=NOTICE_SCHEMA.names)
 
 
 def notice_stream(runs: DataFrame, every: int = 86_400) -> DataFrame:
     """notices over a stream of runs; needs the RocksDB state store."""
-    return runs.groupBy("source").transformWithStateInPandas(NoticeProcessor(every), NOTICE_SCHEMA, "Append", "none")
+    return with_delivery(runs).groupBy("source").transformWithStateInPandas(NoticeProcessor(every), NOTICE_SCHEMA, "Append", "none")
