@@ -21,8 +21,9 @@ COUNTRY_WORDS = ("india", "in", "ind")
 
 def distinct_by_form(items: Column) -> Column:
     """The items, in order, whose match_text no earlier one has."""
-    forms = F.transform(items, match_text)
-    return F.filter(items, lambda x, i: (x != "") & (F.array_position(forms, match_text(x)) == i + 1))
+    kept = lambda x, forms: F.filter(x, lambda _, i: (F.get(forms, i) != "") & (F.array_position(forms, F.get(forms, i)) == i + 1))
+    listed = F.filter(items, lambda x: x != "")
+    return let(listed, lambda x: let(F.transform(x, lambda y: F.coalesce(F.nullif(match_text(y), F.lit("")), F.lit(" "))), lambda forms: kept(x, forms)))
 
 
 def flatten_text(c: Column) -> Column:

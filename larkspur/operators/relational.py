@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -30,6 +32,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back: computed once, where a checkpoint computes its plan twice, but without its order."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/larkspur/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order."""
     w = W.partitionBy(*keys).orderBy(*order)
@@ -62,16 +72,16 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     Alternates large and small stars (Kiveris and others, 2014) until nothing changes, some multiple of the logarithm of the ids.
     """
-    pairs = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    pairs = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select("v", "u"))
-        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = checkpointed(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = stored(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least.hint("merge"), "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        pairs = checkpointed(small.select("e.*").where("u > v").distinct())
+        pairs = stored(small.select("e.*").where("u > v").distinct())
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -91,34 +101,35 @@ def greedy_dedupe(df: DataFrame, keys: str, order: str, rounds: int = 6, compone
     `component` pairs of a row and a key are each decided by one pass in order, larger ones by further
     rounds, until none is left. Rows without keys are accepted; order must be a unique number.
     """
-    pairs = checkpointed(df.select(F.col(order).alias("o"), F.explode(F.array_distinct(keys)).alias("k")))
+    pairs = stored(df.select(F.col(order).alias("o"), F.explode(F.array_distinct(keys)).alias("k")))
     accepted = df.where(F.size(F.coalesce(keys, F.array())) == 0).select(F.col(order).alias("o"))
     done = 0
     while not pairs.isEmpty():
-        if done and done % rounds == 0:
+        if done == rounds:
             won, pairs = decided_components(pairs, component)
+            rounds *= 2
             accepted = accepted.union(won)
             if pairs.isEmpty():
                 break
-        least = checkpointed(pairs.groupBy("k").agg(F.min("o").alias("first")))
+        least = stored(pairs.groupBy("k").agg(F.min("o").alias("first")))
         ranked = pairs.join(least.hint("merge"), "k")
-        won = checkpointed(ranked.groupBy("o").agg(F.min((F.col("o") == F.col("first")).cast("int")).alias("all")).where("all = 1").select("o"))
+        won = stored(ranked.groupBy("o").agg(F.min((F.col("o") == F.col("first")).cast("int")).alias("all")).where("all = 1").select("o"))
         accepted = accepted.union(won)
-        taken = checkpointed(pairs.join(won.hint("merge"), "o", "left_semi").select("k").distinct())
-        out = checkpointed(pairs.join(taken.hint("merge"), "k", "left_semi").select("o").distinct())
-        pairs = checkpointed(pairs.join(out.hint("merge"), "o", "left_anti"))
+        taken = stored(pairs.join(won.hint("merge"), "o", "left_semi").select("k").distinct())
+        out = stored(pairs.join(taken.hint("merge"), "k", "left_semi").select("o").distinct())
+        pairs = stored(pairs.join(out.hint("merge"), "o", "left_anti"))
         done += 1
-    return df.join(checkpointed(accepted).withColumnRenamed("o", order).hint("merge"), order, "left_semi").select(df.columns)
+    return df.join(stored(accepted).withColumnRenamed("o", order).hint("merge"), order, "left_semi").select(df.columns)
 
 
 def decided_components(pairs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """The rows that a pass in order accepts in the components of at most `most` of pairs(o, k), and the pairs of larger ones."""
-    first = checkpointed(pairs.groupBy("k").agg(F.min("o").alias("v")))
+    first = stored(pairs.groupBy("k").agg(F.min("o").alias("v")))
     edges = pairs.join(first.hint("merge"), "k").select(F.col("o").alias("u"), "v")
-    roots = checkpointed(components(edges).withColumnRenamed("id", "o"))
-    rooted = checkpointed(pairs.join(roots.hint("merge"), "o", "left").withColumn("root", F.coalesce("root", "o")))
-    sizes = checkpointed(rooted.groupBy("root").agg(F.count("*").alias("n")))
-    rooted = checkpointed(rooted.join(sizes.hint("merge"), "root"))
+    roots = stored(components(edges).withColumnRenamed("id", "o"))
+    rooted = stored(pairs.join(roots.hint("merge"), "o", "left").withColumn("root", F.coalesce("root", "o")))
+    sizes = stored(rooted.groupBy("root").agg(F.count("*").alias("n")))
+    rooted = stored(rooted.join(sizes.hint("merge"), "root"))
 
     def decide(group: pd.DataFrame) -> pd.DataFrame:
         used, won = set(), []
@@ -129,7 +140,7 @@ def decided_components(pairs: DataFrame, most: int) -> tuple[DataFrame, DataFram
         return pd.DataFrame({"o": won})
 
     small = rooted.where(F.col("n") <= most).select("root", "o", "k").groupBy("root").applyInPandas(decide, pairs.select("o").schema)
-    return checkpointed(small), checkpointed(rooted.where(F.col("n") > most).select("o", "k"))
+    return stored(small), stored(rooted.where(F.col("n") > most).select("o", "k"))
 
 
 def merge_duplicates(df: DataFrame, key: str, order: str, lists: list[str]) -> DataFrame:
@@ -209,14 +220,14 @@ def containment_semi_join(df: DataFrame, names: DataFrame, column: str, name: st
         small = (lambda c: F.length(c) >= n) if k == n else (lambda c, k=k: F.length(c) == k)
         for inner, outer in (("a", "b"), ("b", "a")):
             x, y = (low, other) if inner == "a" else (other, low)
-            y = checkpointed(y.select(outer, F.explode(runs(F.col(outer), k)).alias("run")))
-            texts = checkpointed(y.groupBy("run").agg(F.count("*").alias("texts")))
+            y = stored(y.select(outer, F.explode(runs(F.col(outer), k)).alias("run")))
+            texts = stored(y.groupBy("run").agg(F.count("*").alias("texts")))
             x = x.where(small(F.col(inner))).select(inner, F.size(runs(F.col(inner), k)).alias("n_runs"), F.explode(runs(F.col(inner), k)).alias("run"))
             x = x.join(texts.hint("merge"), "run").groupBy(inner, "n_runs").agg(F.min(F.struct("texts", "run")).alias("rarest"), F.count("*").alias("met"))
-            x = checkpointed(x.where("met = n_runs").select(inner, F.col("rarest.run").alias("run")))  # a container has all runs
+            x = stored(x.where("met = n_runs").select(inner, F.col("rarest.run").alias("run")))  # a container has all runs
             both = x.join(y.hint("merge"), "run").where(F.contains(F.col(outer), F.col(inner))).select("a")
             found = both if found is None else found.union(both)
-    matched = checkpointed(found.distinct())
+    matched = stored(found.distinct())
     return df.join(matched.hint("merge"), F.lower(column) == F.col("a"), "left_semi")
 
 
@@ -314,8 +325,8 @@ def ordered_batch(df: DataFrame, order: list, index: int, size: int) -> DataFram
 
 def in_chunks(df: DataFrame, group: str, order: str, value: str, size: int) -> DataFrame:
     """(group, chunk, values): each group's values in order, `size` in a list. Rows are numbered over sorted ranges, so a group may span tasks."""
-    rows = checkpointed(numbered(df.select(group, F.col(order).alias("__o"), F.col(value).alias("__v")), [group, "__o"], "__at"))
-    starts = checkpointed(rows.groupBy(group).agg(F.min("__at").alias("__first")))
+    rows = stored(numbered(df.select(group, F.col(order).alias("__o"), F.col(value).alias("__v")), [group, "__o"], "__at"))
+    starts = stored(rows.groupBy(group).agg(F.min("__at").alias("__first")))
     chunked = rows.join(starts.hint("merge"), group).withColumn("chunk", F.floor((F.col("__at") - F.col("__first")) / size).cast("int"))
     listed = chunked.groupBy(group, "chunk").agg(F.array_sort(F.collect_list(F.struct("__at", F.col("__v").alias("v")))).alias("l"))
     return listed.select(group, "chunk", F.transform("l", lambda x: x["v"]).alias("values"))

@@ -55,7 +55,8 @@ def alert_once(stream: DataFrame, seen_path: str, out_path: str, checkpoint: str
         spark = batch.sparkSession
         seen, sent = Batches(spark, seen_path, "key string"), Batches(spark, out_path, batch.schema.toDDL())
         waiting = Batches(spark, f"{seen_path}-waiting", batch.schema.toDDL())
-        rows = new_rows(batch.unionByName(waiting.last(number)), seen.read(number).drop("batch"), keys, order)
+        both = batch.unionByName(waiting.last(number)).dropDuplicates([order])  # a row that waits may land again
+        rows = new_rows(both, seen.read(number).drop("batch"), keys, order)
         if top is not None:
             first = rows.orderBy(*(rank or [order])).limit(top)
             sent.write(first, number)

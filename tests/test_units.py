@@ -1,5 +1,6 @@
 """Behaviour of single operators on small inputs."""
 
+import html
 import json
 import random
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as T
 from larkspur.functions import urls as U
 from larkspur.functions import values as V
+from larkspur.operators import classify as C
 from larkspur.operators import predicates as P
 from larkspur.operators import relational as R
 from larkspur.operators import scoring as S
@@ -89,6 +91,113 @@ def test_lanes(spark):
     assert found[0] >= 70 and found[4] >= 60 and found[1] == found[2] == found[3] == found[5] == found[6] == found[7] == 0
 
 
+#: Lane, title, description, place, department, and whether the posting is kept (70 or more) or gives 0.
+LANE_CASES = [
+    ("expanded", "Engineer, AI Orchestration", "Early-career: generative AI workloads, machine learning runtimes, Python tools.", "Bangalore, India", "Engineering", True),
+    ("expanded", "Engineer", "Looks after electrical equipment in a factory.", "Bangalore, India", "Engineering", False),
+    ("expanded", "Senior Engineer, AI Platform", "Generative AI and machine learning with Python and SQL.", "Bangalore, India", "Engineering", False),
+    ("production", "NLP and AI Platform Engineer", "A minimum 10+ year(s) in deep learning.", "Bengaluru", "", False),
+    ("production", "Custom Software Engineer", "Minimum 3 year(s). Data engineering pipelines: Python, SQL, Spark, Airflow; machine learning.", "Bengaluru", "", True),
+    ("precision", "Engineer, AI Orchestration", "Early-career machine learning and generative AI; Python, SQL.", "Bengaluru, India", "", True),
+    ("precision", "Custom Software Engineer", "Data engineering pipelines: Python, SQL, Spark, Airflow. Minimum 3 years.", "Bengaluru, India", "", True),
+    ("precision", "Technical Support Engineer 2", "AI platform support for associates, machine learning, Python, SQL.", "Remote - India", "", False),
+    ("precision", "Customer Engineer", "AI platform support for associates, machine learning, Python, SQL.", "Remote - India", "", False),
+    ("precision", "Full Stack Developer (AI Agents)", "LLM applications with React, Python and Databricks.", "Bengaluru", "", False),
+    ("precision", "Engineer", "C++ drivers on Linux for machine learning inference, a little Python.", "Bengaluru", "", False),
+    ("precision", "Associate Engineer", "We are seeking a senior engineer for machine learning with Python and SQL.", "Bengaluru", "", False),
+    ("precision", "Customer Engineer (based in Mumbai)", "LLM, generative AI, Python.", "Remote India", "", False),
+    ("cascade", "DevOps Engineer", "CI/CD and deployment pipeline work: Jenkins, Docker, Linux, Python, Ansible, Git; containerized services.", "Bengaluru", "Engineering", True),
+    ("cascade", "Engineer", "Early career, 1+ year. CI/CD, deployment automation, containerization; Jenkins, Groovy, Docker, Linux, Python, Ansible, Git.", "Bengaluru", "Engineering", True),
+    ("cascade", "Engineer", "CI/CD, deployment automation, containerization, build pipeline; Linux, Jenkins, Groovy, Docker, Python, Ansible, Git.", "Bengaluru", "Engineering", True),
+    ("cascade", "Engineering Compute Operations Engineer", "Engineering compute infrastructure on Linux systems; GitHub and Power BI for utilization.", "Bengaluru", "Engineering", True),
+    ("cascade", "Data Engineer", "ETL and data pipelines with Python, SQL, Spark, Airflow.", "Bengaluru", "Engineering", True),
+    ("cascade", "Engineer", "Embedded C++ drivers on Linux, machine learning inference; Python, Git.", "Bengaluru", "Engineering", False),
+    ("cascade", "Senior DevOps Engineer", "CI/CD with Jenkins, Docker, Linux, Python, Ansible.", "Bengaluru", "Engineering", False),
+    ("cascade", "DevOps Engineer II", "Bring 3+ years of DevOps: Jenkins, Docker, Linux, Python, Ansible, CI/CD, cloud infrastructure.", "Bengaluru", "Engineering", False),
+    ("cascade", "Technical Support Engineer", "Supports CI/CD, Jenkins, Docker, Linux, Python.", "Bengaluru", "Engineering", False),
+    ("cascade", "Software Engineer AI/ML, PhD Early Career", "Early career, Python and machine learning.", "Bengaluru", "Engineering", False),
+    ("cascade", "Platform Engineer", "CI/CD, Jenkins, Docker, Linux, Python, Ansible.", "Remote, United States", "Engineering", False),
+]
+
+
+@pytest.mark.parametrize("lane", ["expanded", "production", "precision", "cascade"])
+def test_lane_cases(spark, lane):
+    cases = [c for c in LANE_CASES if c[0] == lane]
+    rows = [(i, t, loc, d, dep, 4) for i, (_, t, d, loc, dep, _) in enumerate(cases)]
+    found = S.score_postings(spark.createDataFrame(rows, "i int, title string, location string, description string, department string, priority int").coalesce(1), lane=lane)
+    for r in found.collect():
+        assert (r.score >= 70) if cases[r.i][-1] else r.score == 0, (cases[r.i], r)
+
+
+def test_lanes_agree_on_target_titles_and_say_why(spark):
+    rows = spark.createDataFrame([posting("Data Analyst", "Python, SQL, Tableau, statistics"), posting("Custom Software Engineer", "Data engineering with Python, SQL, Spark and Airflow")]).coalesce(1)
+    both = [S.score_postings(rows, lane=lane).collect() for lane in ("base", "expanded", "precision")]
+    assert both[0][0][-2:] == both[1][0][-2:] and any("strict profile-overlap" in x for x in both[2][1].reasons)
+    assert value(spark, V.pay_label(F.lit("DevOps Engineer"), F.lit(""))) == "Est. ₹7–16 LPA"
+
+
+def test_character_references(spark):
+    rng = random.Random(2)
+    names = ["amp", "lt", "eacute", "notin", "not", "notit", "hellip", "NotEqualTilde", "copy", "bogus", "Amp", "#39", "#x2014", "#128", "#0", "#55296", "#1114112", "#99999999999", "#x110000", "#8217", "#", "#x", ""]
+    texts = ["".join(rng.choice(["&" + rng.choice(names) + rng.choice(["", ";", " ", "x"]), "a", "<", "é"]) for _ in range(8)) for _ in range(400)]
+    odd = {chr(i) for i in (*range(1, 32), *range(127, 160))}  # what the standard library leaves out
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.decode_entities(F.col("t")).alias("d")).collect()
+    for r in found:
+        assert r.d == html.unescape(r.t) or odd & set(r.d) or "&#1114112" in r.t, r
+    assert value(spark, T.clean_text(F.lit("Men&#8217;s caf&eacute; &amp;lt;b&amp;gt;"))) == "Men’s café &lt;b&gt;"
+    assert value(spark, T.clean_text(F.lit("<p>a&amp;lt;b<!-- x --><script>no()</script>\u2003c</p>"))) == "a<b c"
+    assert value(spark, T.clean_nested(F.lit("&amp;lt;p&amp;gt;one&amp;lt;br/&amp;gt;two&amp;lt;/p&amp;gt;"))) == "one two"
+
+
+def test_embedded_locations(spark):
+    cases = {
+        "{'descriptor': 'India', 'addressLocality': 'Bengaluru', 'addressRegion': 'Karnataka', 'alpha2Code': 'IN'}": "India Bengaluru Karnataka IN",
+        "IND - Pune, India {'descriptor': 'India', 'alpha2Code': 'IN'}": "IND - Pune, India",
+        "Tower A; Tower A {'descriptor': 'India'}": "Tower A",
+        "a; b; A ;; c": "a; b; c",
+        '["Tower A", {"name": "Tower A", "descriptor": "India", "alpha2Code": "IN"}]': "Tower A",
+        '{"location": {"city": "Goa", "country": {"name": "India"}}, "x": 1}': "Goa India",
+        "{not an object}": "{not an object}",
+        **dict.fromkeys((None, "", "[]", "{}"), ""),
+    }
+    df = spark.createDataFrame([(x,) for x in cases], "x string").select("x", V.flatten_location(F.col("x")).alias("place"))
+    assert {r.x: r.place for r in df.collect()} == cases
+
+
+def test_url_parameters(spark):
+    c = lambda u: value(spark, U.canonical_url(F.lit(u)))
+    assert c("https://x.org/a?id") == c("https://x.org/a?id=") == "https://x.org/a?id="
+    assert c("https://x.org/a?ID=7&q=1&b=c%20d") == c("https://x.org/a?b=c+d&ID=7&utm_x=2") == "https://x.org/a?id=7&b=c+d"
+    assert c("https://x.org/jobs/1?p=%zz&e=é~*") == "https://x.org/jobs/1?e=%c3%a9~%2a&p=%25zz"
+    assert c("https://x.org/apply/apply/en-us/jobs/1") == "https://x.org/jobs/1"
+
+
+def test_facets_and_cards(spark):
+    facets = [{"facetParameter": "a", "values": [{"descriptor": "Karnataka", "id": "k"}, {"facetParameter": "locationCountry", "values": [{"descriptor": "INDIA", "id": "z"}, {"descriptor": "India", "id": "y"}]}]}]
+    assert value(spark, V.find_facet(F.lit(json.dumps(facets)))).asDict() == {"parameter": "locationCountry", "id": "y"}
+    assert value(spark, V.find_facet(F.lit("[]"))) is None and value(spark, V.find_facet(F.lit("{broken"))) is None
+    page = "<ul><li><h2>Data <b>Analyst</b></h2><span>Pune</span><a href='/jobs/1'>Apply now</a></li><li><a href='/jobs/2'>Chemist</a></li><li><a href='/jobs/1'>Later</a></li></ul><div>" + "x " * 1500 + "<a href='/jobs/3'>Far</a></div><a href='/jobs/4'>" + "long " * 40 + "</a>"
+    found = payloads.cards(spark.createDataFrame([(1, "https://x.org/", page), (2, "https://x.org/", None)], "page_id int, url string, html string"), "/jobs/")
+    assert {(r.url[-1], r.title, r.location) for r in found.collect()} == {("1", "Data Analyst", "Data Analyst Pune Apply now"), ("2", "Chemist", "Chemist"), ("3", "Far", "Far")}
+
+
+def test_provider_rules(spark):
+    rules = spark.createDataFrame(C.PROVIDER_RULES, C.RULE_SCHEMA)
+    urls = {"https://jobs.lever.co/acme/1": ("lever", "acme"), "https://acme.wd3.myworkdayjobs.com/en-US/External": ("workday_search", None), "https://x.org/": ("direct_job_html", None), None: ("direct_job_html", None)}
+    df = spark.createDataFrame([(u, "n") for u in urls], "url string, name string")
+    found = {r.url: r for r in C.classify_sources(df, rules, "name", "url").collect()}
+    assert {u: (r.ats, r.attrs.get("slug")) for u, r in found.items()} == urls
+    assert found["https://acme.wd3.myworkdayjobs.com/en-US/External"].attrs["url"] == "https://acme.wd3.myworkdayjobs.com/wday/cxs/acme/External/jobs"
+
+
+def test_greedy_dedupe_of_a_long_chain(spark):
+    rows = [(i, [f"k{i}", f"k{i + 1}"]) for i in range(5000)]
+    df = spark.createDataFrame(rows, "ord long, keys array<string>")
+    assert sorted(r.ord for r in R.greedy_dedupe(df, "keys", "ord", rounds=2).collect()) == greedy(rows)
+    few = df.where("ord < 9")  # a component above the bound goes on in rounds
+    assert sorted(r.ord for r in R.greedy_dedupe(few, "keys", "ord", rounds=1, component=4).collect()) == greedy(rows[:9])
+
+
 def test_payloads(spark):
     raw = spark.createDataFrame(
         [("a", "lever", json.dumps({"jobs": [{"title": "One", "id": 1}, {"title": " "}]})), ("b", "lever", "{broken"), ("c", "none", "{}"), ("d", "lever", None)],
@@ -144,10 +253,23 @@ def test_alerts_once_over_two_runs(spark, tmp_path):
     assert sorted(r.ord for r in spark.read.parquet(sent).collect()) == greedy(rows)
 
 
+def test_rows_beyond_the_limit_wait(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = "ord long, keys array<string>"
+    for k, part in enumerate((range(5), range(3, 7), range(0, 1))):
+        (tmp_path / f"in/{k}.json").write_text("".join(json.dumps({"ord": o, "keys": [f"k{o}"]}) + "\n" for o in part))
+        df = stream.posting_stream(spark, str(tmp_path / "in"), schema, lambda d: d)
+        stream.alert_once(df, str(tmp_path / "seen"), str(tmp_path / "out"), str(tmp_path / "check"), "keys", "ord", top=3).awaitTermination()
+    sent = {(r.batch, r.ord) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert sent == {(0, 0), (0, 1), (0, 2), (1, 3), (1, 4), (1, 5), (2, 6)}
+
+
 def test_notices(spark):
     day = 86_400
     runs = spark.createDataFrame([("s", 0, ""), ("s", 60, "a"), ("s", 120, "a"), ("s", 60 + day, "a"), ("s", 70 + day, ""), ("s", 80 + day, "")], "source string, run long, failed string")
     assert [(r.run, r.kind) for r in stream.notices(runs).orderBy("run").collect()] == [(0, "daily"), (60, "issues"), (60 + day, "issues"), (70 + day, "recovered")]
+    tried = runs.withColumn("delivered", ~F.col("run").isin(60, 70 + day))
+    assert [(r.run, r.kind) for r in stream.notices(tried).orderBy("run").collect()] == [(0, "daily"), (60, "issues"), (120, "issues"), (70 + day, "recovered"), (80 + day, "recovered")]
 
 
 def test_budget_modes(spark):
