@@ -10,7 +10,7 @@ that no rule rejects is kept.
 The fit takes at most about MAX_LABELLED labelled rows (all if there are fewer),
 chosen by a hash of the id. Counts cover whole texts of every row.
 
-Null texts have no words. Without labels of both kinds no rule is learned and all
+Null texts have no words; very long texts are measured whole, in one row. Without labels of both kinds no rule is learned and all
 texts are kept. Repeated rows each keep their row; an empty table gives none. An input column with an
 output's name is replaced.
 """
