@@ -74,7 +74,7 @@ def decode_entities(c: Column) -> Column:
         )
 
     joined = lambda x, table: F.concat(F.get(x, F.lit(0)), F.array_join(F.transform(F.slice(x, 2, F.size(x)), lambda p: one(p, table)), ""))
-    pieces = let(constant_map(NAMED | MISNUMBERED), lambda table: let(F.split(c, "&"), lambda x: joined(x, table)))
+    pieces = let(constant_map(NAMED | MISNUMBERED), lambda table: let(F.split(c, "&(?=[#A-Za-z])"), lambda x: joined(x, table)))
     return F.when(F.contains(c, F.lit("&")), pieces).otherwise(c)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import clean_text, hits, match_text
 from larkspur.functions.urls import canonical_url
 from larkspur.operators.relational import first_per_key
+from larkspur.operators.scoring import once
 from larkspur.plans.base import Tables, query
 from larkspur.plans.links import CANONICAL
 from larkspur.plans.text import CLEAN, MATCH
@@ -20,7 +21,8 @@ def scored_pages(pages: DataFrame) -> DataFrame:
     title = clean_text(F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1))
     found = pages.select("page_id", canonical_url(F.col("url"), False).alias("url"), title.alias("title"), clean_text(F.col("html")).alias("body"))
     n = F.size(hits(match_text(F.col("body")), TERMS, phrase=True))
-    return found.select("page_id", "url", "title", (F.least(5 * n, F.lit(40)) + F.when(F.length("body") > 2000, 20).otherwise(0)).alias("score"))
+    score = F.least(5 * n, F.lit(40)) + F.when(F.length("body") > 2000, 20).otherwise(0)
+    return once(once(found).select("page_id", "url", "title", score.alias("score")))
 
 
 def ranked_pages(spark: SparkSession, sf_dir: str, least: int = LEAST, limit: int = LIMIT) -> DataFrame:
