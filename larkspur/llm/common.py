@@ -105,3 +105,25 @@ def settled(df: DataFrame) -> DataFrame:
     array that is made once would be made for each element.
     """
     return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df as a written table with `name`: the place (from 0) of each row in the given order.
+
+    Rows are dealt by ranges of the order and of a row id, so equal rows don't meet in one task, and sorted
+    within each range; the place is the row's number in its file behind the rows of the ranges before. Only the ranges'
+    row counts go to the driver.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "placed")
+    rows = df.withColumn("__id", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*order, F.col("__id")).sortWithinPartitions(*order, "__id").drop("__id").withColumn("__part", F.spark_partition_id())
+    rows.write.option("maxRecordsPerFile", 0).parquet(path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    starts, before = [], 0
+    for part, n in sorted(tuple(r) for r in stored.groupBy("__part").count().collect()):
+        starts.append((part, before))
+        before += n
+    first = F.broadcast(spark.createDataFrame(starts, "__part int, __first long"))  # a row for each range
+    numbered = stored.select("*", F.col("_metadata.row_index").alias("__row")).join(first, "__part")
+    return numbered.withColumn(name, F.col("__first") + F.col("__row")).drop("__part", "__first", "__row")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, common, decontam, html_text, lm, ngram_join, quality_rules, token_counts, token_output, toxicity, url_filters
+from larkspur.llm import bpe, common, decontam, fim, html_text, lm, merkle, ngram_join, quality_rules, sharding, token_counts, token_output, toxicity, url_filters
 
 
 def fold(doc_id: str, folds: int) -> Column:
@@ -80,6 +80,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    sharded = sharding.assign(docs, 24, keep=["doc_id"])
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = fim.fill_in_middle(docs, keep=["doc_id"])
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(fold("doc_id", 5) == 0, common.ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], presented={"text": tampered}, keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -163,5 +182,75 @@ FROM d JOIN c ON c.body = array_to_string(d.w, ' ') JOIN class USING (copy_id) L
 """
 
 
+#: crc(x): the unsigned CRC32 of a text's UTF-8 bytes, over a table of remainders that comes from the polynomial.
+CRC_SQL = """b(n, c, i) AS (SELECT n, n, 0 FROM range(256) r(n) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i + 1 FROM b WHERE i < 8),
+t AS (SELECT list(c ORDER BY n) AS t FROM b WHERE i = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    step = "xor(a >> 8, t[(xor(a, x) & 255) + 1])"
+    return f"xor(list_reduce(list_transform(regexp_extract_all(hex({text}), '..'), lambda x: ('0x' || x)::BIGINT), lambda a, x: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+#: The heap step by step: each group to the shard of the least load; of groups of equal size the first ones by digest go to the first shards.
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 8 AS size, {crc_sql("coalesce(text, '')")} AS text_crc32, sha256(coalesce(text, '')) AS key FROM documents, t),
+s AS (SELECT key, sum(size)::BIGINT AS load FROM d GROUP BY 1),
+g AS (SELECT key, (load >> greatest(length(bin(load)) - 17, 0)) << greatest(length(bin(load)) - 17, 0) AS load FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY load DESC, key) AS i, row_number() OVER (PARTITION BY load ORDER BY key) AS place FROM g),
+h(i, load, shard, loads) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, list_transform(range(24), lambda x: 0::BIGINT)
+  UNION ALL SELECT o.i, o.load, list_position(h.loads, list_min(h.loads)), list_transform(h.loads, lambda x, j: CASE WHEN j = list_position(h.loads, list_min(h.loads)) THEN x + o.load ELSE x END)
+  FROM h JOIN o ON o.i = h.i + 1),
+c AS (SELECT load, shard, count(*) AS n FROM h WHERE i > 0 GROUP BY ALL),
+n AS (SELECT *, sum(n) OVER (PARTITION BY load ORDER BY shard) AS upto FROM c),
+p AS (SELECT key, shard - 1 AS shard FROM o JOIN n ON n.load = o.load AND place <= upto AND place > upto - n)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, key) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM d JOIN p USING (key)
+"""
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b, ('0x' || h[17:24])::BIGINT % 100 AS c, ('0x' || h[25:32])::BIGINT % 100 AS e FROM d),
+f AS (SELECT *, CASE WHEN n = 0 OR regexp_matches(x, '<[PSM]>') OR c >= 90 THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form,
+  substr(x, 1, least(a, b)) AS p, substr(x, least(a, b) + 1, greatest(a, b) - least(a, b)) AS m, substr(x, greatest(a, b) + 1) AS s FROM k),
+o AS (SELECT *, CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS y FROM f),
+r AS (SELECT *, string_split_regex(y, '<[PSM]>') AS l FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars, sha256(y) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN y WHEN 'psm' THEN l[2] || l[4] || l[3] ELSE l[3] || l[4] || l[2] END) AS restored_sha256
+FROM r
+"""
+
+
+def leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: All levels of all trees as one table of nodes; a row's path meets its run at each level. Level 100 and above is the tree of sources.
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+d AS (SELECT *, {leaf_sql("text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc_sql("doc_id::VARCHAR")} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS shown_text FROM documents, t),
+l AS (SELECT doc_id, leaf, {leaf_sql("shown_text")} AS shown, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+n1(tree, k, i, h) AS (SELECT tree, 0, i, leaf FROM l UNION ALL SELECT tree, k + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM n1) WHERE n > 1 GROUP BY tree, k, i // 16),
+tops AS (SELECT tree, max(k) AS k, max_by(h, k) AS subroot FROM n1 GROUP BY 1),
+n2(k, i, h) AS (SELECT 0, tree, subroot FROM tops UNION ALL SELECT k + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM n2) WHERE n > 1 GROUP BY k, i // 16),
+root AS (SELECT max(k) AS k, max_by(h, k) AS root FROM n2),
+nodes AS (SELECT n1.tree, n1.k, i, h, n1.k = tops.k AS last FROM n1 JOIN tops USING (tree) UNION ALL SELECT -1, k, i, h, k = (SELECT k FROM root) FROM n2),
+runs AS (
+  SELECT tree, k, i, last, string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after
+  FROM nodes WINDOW w AS (PARTITION BY tree, k, i // 16 ORDER BY i)),
+paths(tree, start, up, k, i, folded, proof) AS (
+  SELECT tree, i, tree, 0, i, shown, '' FROM l
+  UNION ALL
+  SELECT p.tree, p.start, CASE WHEN b.last THEN -1 ELSE p.up END, CASE WHEN b.last THEN 0 ELSE p.k + 1 END, CASE WHEN b.last THEN p.tree ELSE p.i // 16 END,
+    CASE WHEN b.last THEN p.folded ELSE sha256(coalesce(b.before, '') || p.folded || coalesce(b.after, '')) END, CASE WHEN b.last THEN p.proof ELSE p.proof || coalesce(b.before, '') || coalesce(b.after, '') END
+  FROM paths p JOIN runs b ON b.tree = p.up AND b.k = p.k AND b.i = p.i WHERE NOT (b.last AND p.up = -1)),
+ends AS (SELECT tree, start, folded, proof FROM paths WHERE up = -1 AND k = (SELECT k FROM root))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM l JOIN tops USING (tree) JOIN ends ON ends.tree = l.tree AND ends.start = l.i, root
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op5_decontamination": OP5_SQL, "op6_ngram_join": OP6_SQL}
+    return {"op1_url_filters": OP1_SQL, "op5_decontamination": OP5_SQL, "op6_ngram_join": OP6_SQL, "op11_sharding": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
