@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import urls as U
-from larkspur.operators.relational import add_missing, checkpointed, last_per_key
+from larkspur.operators.relational import add_missing, last_per_key, stored
 
 RULE_SCHEMA = "priority int, kind string, pattern string, ats string, attrs map<string,string>"
-#: Exact rules that are broadcast; more are joined by a shuffle.
+#: Rules that are broadcast; more are joined by a shuffle.
 MAX_RULES = 100_000
+#: Characters of a run that path rules are looked up by.
+RUN = 3
 
 # Hosts of the common providers, and what a source's address says about its board.
 SLUG = {"slug": "{first}", "career_site_url": "{url}"}
@@ -53,34 +55,44 @@ def filled(attrs: Column, url: Column) -> Column:
     return F.transform_values(attrs, lambda _, v: put_in(v))
 
 
+def runs_of(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text, none of a shorter one."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
+
+
+def indexed_rules(rules: DataFrame) -> DataFrame:
+    """(__key, rule): each rule under what it is looked up by: a name, a host, or of a path rule's runs the one that the fewest rules have."""
+    rule = F.struct("priority", "ats", "attrs", F.when(F.col("kind") == "path", F.lower("pattern")).alias("part"))
+    exact = rules.where("kind <> 'path'").select(F.concat("kind", F.lit(":"), F.lower("pattern")).alias("__key"), rule.alias("rule"))
+    low = F.lower("pattern")
+    runs = F.when(F.length(low) >= RUN, runs_of(low, RUN)).otherwise(F.array(low))
+    parts = rules.where("kind = 'path' and pattern <> ''").select(rule.alias("rule"), F.explode(runs).alias("run"))
+    counts = parts.groupBy("run").agg(F.count("*").alias("rules"))
+    rarest = parts.join(counts.hint("merge"), "run").groupBy("rule.priority", "rule.ats", "rule.part", F.to_json("rule.attrs")).agg(F.min_by(F.struct("run", "rule"), F.struct("rules", "run")).alias("r"))
+    return exact.union(rarest.select(F.concat(F.lit("path:"), "r.run").alias("__key"), "r.rule"))
+
+
 def classify_sources(df: DataFrame, rules: DataFrame, name: str, url: str, default: str = "direct_job_html") -> DataFrame:
     """df with `ats` and `attrs`: those of the first rule that fits, by priority, with the parts of the address put in (`filled`).
 
     A rule (RULE_SCHEMA) fits a name exactly (kind `name`), a host or its subdomains (`host`) or a part of the path (`path`).
-    Names and hosts are looked up by equality, each host with its parent domains; path rules, a short
-    list, are tried one by one.
+    All are looked up by equality, in one join: names, hosts with their parent domains, and path rules by the rarest of their
+    runs of characters, of which only the found ones are compared with the path. The plan doesn't grow with the rules.
     """
     low = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__host", U.host(F.col(url))).withColumn("__path", F.lower(U.path(F.col(url))))
-    low = checkpointed(low)  # from here on the ids hold
+    low = stored(low)  # from here on the ids hold
+    index = stored(indexed_rules(rules))
     labels = F.split("__host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = F.array_append(F.transform(parents, lambda p: F.concat(F.lit("host:"), p)), F.concat(F.lit("name:"), F.lower(name)))
-    exact = rules.where("kind <> 'path'").select(F.concat("kind", F.lit(":"), F.lower("pattern")).alias("__key"), F.struct("priority", "ats", "attrs").alias("rule"))
-    exact = F.broadcast(exact) if exact.count() <= MAX_RULES else exact.hint("merge")
-    hits = low.select("__id", F.explode(F.array_distinct(asked)).alias("__key")).join(exact, "__key")
-    hits = checkpointed(hits.groupBy("__id").agg(F.min_by("rule", "rule.priority").alias("exact")))
-    by_path = None
-    for r in sorted(rules.where("kind = 'path'").collect(), key=lambda r: r.priority):  # the rules that a user wrote
-        pairs = [F.lit(x) for kv in (r.attrs or {}).items() for x in kv]
-        attrs = F.create_map(*pairs) if pairs else F.lit(None)
-        rule = F.struct(F.lit(r.priority).alias("priority"), F.lit(r.ats).alias("ats"), attrs.cast("map<string,string>").alias("attrs"))
-        fits = F.contains(F.col("__path"), F.lit(r.pattern.lower()))
-        by_path = F.when(fits, rule) if by_path is None else by_path.when(fits, rule)
-    found = low.join(hits.hint("merge"), "__id", "left")
-    if by_path is not None:
-        found = found.withColumn("__path_rule", by_path)
-        sooner = F.col("__path_rule.priority") < F.coalesce("exact.priority", F.lit(2**31 - 1))
-        found = found.withColumn("exact", F.when(sooner, F.col("__path_rule")).otherwise(F.col("exact")))
+    asked = [F.transform(parents, lambda p: F.concat(F.lit("host:"), p)), F.array(F.concat(F.lit("name:"), F.lower(name)))]
+    lengths = sorted(r.n for r in index.where("rule.part is not null").select((F.length("__key") - F.lit(len("path:"))).alias("n")).distinct().collect())  # 1 to RUN
+    asked += [F.transform(runs_of(F.coalesce("__path", F.lit("")), n), lambda x: F.concat(F.lit("path:"), x)) for n in lengths]
+    keys = low.select("__id", "__path", F.explode(F.array_distinct(F.concat(*asked))).alias("__key"))
+    fits = F.coalesce(F.contains("__path", F.col("rule.part")), F.lit(True))
+    hits = keys.join(F.broadcast(index) if index.count() <= MAX_RULES else index.hint("merge"), "__key").where(fits)
+    first = stored(hits.groupBy("__id").agg(F.min_by("rule", F.struct("rule.priority", "rule.ats")).alias("exact")))
+    found = low.join(first.hint("merge"), "__id", "left")
     none = F.create_map().cast("map<string,string>")
     attrs = F.coalesce(filled(F.col("exact.attrs"), F.col(url)), none)
     return found.withColumn("ats", F.coalesce("exact.ats", F.lit(default))).withColumn("attrs", attrs).select(*df.columns, "ats", "attrs")

@@ -26,12 +26,6 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df checkpointed into the shared folder of the session."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back: computed once, where a checkpoint computes its plan twice, but without its order."""
     spark = df.sparkSession
@@ -53,18 +47,23 @@ def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """df with the place (from 1) of each row in the given order, numbered within sorted partitions.
+    """df with the place (from 1) of each row in the given order.
 
-    Only the partitions' row counts go to the driver.
+    Rows are written once, dealt by ranges of the order and sorted within each; a row's place is its number in its file behind
+    the rows of the ranges before. Only the ranges' row counts go to the driver. Rows with equal order don't meet in one task.
     """
-    rows = checkpointed(df.orderBy(*order)).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__id"))
-    rows = rows.withColumn("__id", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts, starts, before = dict(rows.groupBy("__part").count().collect()), [], 0
-    for part in range(max(counts, default=-1) + 1):
-        starts.append(before)
-        before += counts.get(part, 0)
-    start = F.get(F.array(*map(F.lit, starts)).cast("array<long>"), F.col("__part")) if starts else F.lit(0)
-    return rows.withColumn(name, (start + F.col("__id") + 1).cast("long")).drop("__part", "__id")
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/larkspur/{uuid.uuid4().hex}"
+    ranges = df.withColumn("__id", F.monotonically_increasing_id()).repartitionByRange(*order, "__id").sortWithinPartitions(*order, "__id")
+    rows = ranges.drop("__id").withColumn("__part", F.spark_partition_id())
+    rows.write.option("maxRecordsPerFile", 0).parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    starts, before = [], 1
+    for part, n in sorted(tuple(r) for r in rows.groupBy("__part").count().collect()):
+        starts.append((part, before))
+        before += n
+    first = F.broadcast(spark.createDataFrame(starts, "__part int, __first long"))  # a row for each range
+    return rows.select("*", F.col("_metadata.row_index").alias("__row")).join(first, "__part").withColumn(name, F.col("__first") + F.col("__row")).drop("__part", "__first", "__row")
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -164,32 +163,32 @@ def merge_aliases(base: DataFrame, extra: DataFrame, key: str, aliases: str) ->
     return base.join(more, key, "left").withColumn(aliases, merged).select(base.columns)
 
 
-def anti_join_seen(df: DataFrame, seen_keys: DataFrame, keys: str, row_id: str) -> DataFrame:
-    """Rows none of whose keys is in seen_keys(key)."""
-    hit = df.select(row_id, F.explode(keys).alias("key")).join(seen_keys.select("key").distinct().hint("merge"), "key", "left_semi").select(row_id).distinct()
-    return df.join(hit.hint("merge"), row_id, "left_anti")
-
-
 def overlay(base: DataFrame, *layers: DataFrame, key: str, present: str | None = None) -> DataFrame:
-    """base with each layer laid over it by the lower-cased key.
+    """base with each layer laid over it by the lower-cased key, later layers over earlier ones, in one grouped pass for any number of them.
 
     A layer's columns replace the base's. `present`, if given, is a column of a layer with the names of the
-    fields that its row sets (even to null); without it the fields that aren't null are. Unmatched rows are appended.
+    fields that its row sets (even to null); without it the fields that aren't null are. Rows that only layers have are appended, under the
+    key's first spelling. A layer without a column leaves it alone; of rows of a layer with the same key one is taken for each field.
     """
-    out = base
-    for layer in layers:
-        b, o = out.alias("b"), layer.alias("o")
-        joined = b.join(o, F.lower(F.col(f"b.{key}")) == F.lower(F.col(f"o.{key}")), "full_outer")
-        columns = []
-        for c in base.columns:
-            if c == key or c not in layer.columns:
-                columns.append((F.coalesce(F.col(f"b.{c}"), F.col(f"o.{c}")) if c in layer.columns else F.col(f"b.{c}")).alias(c))
-            elif present:
-                columns.append(F.when(F.array_contains(F.col(f"o.{present}"), c), F.col(f"o.{c}")).otherwise(F.col(f"b.{c}")).alias(c))
-            else:
-                columns.append(F.coalesce(F.col(f"o.{c}"), F.col(f"b.{c}")).alias(c))
-        out = joined.select(*columns)
-    return out
+    fields = [c for c in base.columns if c != key]
+
+    def numbered_layer(number: int, layer: DataFrame) -> DataFrame:
+        def cell(c: str) -> Column:
+            kind = base.schema[c].dataType
+            if c not in layer.columns:
+                return F.struct(F.lit(None).cast("int").alias("n"), F.lit(None).cast(kind).alias("v")).alias(c)
+            sets = F.lit(True) if not number else F.array_contains(present, c) if present else F.col(c).isNotNull()
+            return F.struct(F.when(sets, number).alias("n"), F.col(c).cast(kind).alias("v")).alias(c)
+
+        unnamed = F.concat(F.lit(f"\0{number}-"), F.monotonically_increasing_id().cast("string"))  # each a row of its own
+        return layer.select(F.coalesce(F.lower(key), unnamed).alias("__key"), F.struct(F.lit(number).alias("n"), F.col(key).alias("v")).alias("__name"), *map(cell, fields))
+
+    rows = [numbered_layer(i, layer) for i, layer in enumerate((base, *layers))]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.union(r)
+    last = [F.max_by(F.col(f"{c}.v"), F.col(f"{c}.n")).alias(c) for c in fields]  # a layer that doesn't set the field has no number
+    return every.groupBy("__key").agg(F.min_by(F.col("__name.v"), F.col("__name.n")).alias(key), *last).select(base.columns)
 
 
 def add_missing(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -289,6 +288,22 @@ def identity_conflicts(df: DataFrame, identity: str, name: str) -> DataFrame:
     return a.union(b)
 
 
+def consolidated(df: DataFrame, aliases: DataFrame, name: str, order: str, identity: str, lists: list[str]) -> DataFrame:
+    """One row for each canonical name, with lists united (merge_duplicates) and the name's aliases known to `aliases`.
+
+    Reading it fails if rows of one canonical name have different identities, or if two canonical names have the same one: then
+    `identity_conflicts` tells which. A null identity is one of its own kind.
+    """
+    named = with_canonical_name(df, aliases, name)
+    known = F.coalesce(F.col(identity).cast("string"), F.lit(""))
+    sides = named.groupBy("canonical").agg(F.min(known).alias("__least"), F.max(known).alias("__most"))
+    owners = sides.groupBy("__least").agg(F.count("*").alias("__owners"))
+    merged = merge_duplicates(named.drop(name), "canonical", order, lists).join(sides.hint("merge"), "canonical").join(owners.hint("merge"), "__least")
+    wrong = F.when(F.col("__least") != F.col("__most"), F.raise_error(F.concat(F.lit("conflicting identities of "), "canonical")))
+    wrong = wrong.when(F.col("__owners") > 1, F.raise_error(F.concat(F.lit("another name has the identity of "), "canonical")))
+    return merged.withColumn("canonical", wrong.otherwise(F.col("canonical"))).drop("__least", "__most", "__owners")
+
+
 def multiset_difference(original: DataFrame, current: DataFrame, group: str, signature: str) -> DataFrame:
     """For each group, the rows of current that no remaining equal row of original stands for."""
     sides = original.select(group, signature, F.lit(1).alias("__was"), F.lit(0).alias("__is")).union(current.select(group, signature, F.lit(0), F.lit(1)))
@@ -325,7 +340,7 @@ def ordered_batch(df: DataFrame, order: list, index: int, size: int) -> DataFram
 
 def in_chunks(df: DataFrame, group: str, order: str, value: str, size: int) -> DataFrame:
     """(group, chunk, values): each group's values in order, `size` in a list. Rows are numbered over sorted ranges, so a group may span tasks."""
-    rows = stored(numbered(df.select(group, F.col(order).alias("__o"), F.col(value).alias("__v")), [group, "__o"], "__at"))
+    rows = numbered(df.select(group, F.col(order).alias("__o"), F.col(value).alias("__v")), [group, "__o"], "__at")
     starts = stored(rows.groupBy(group).agg(F.min("__at").alias("__first")))
     chunked = rows.join(starts.hint("merge"), group).withColumn("chunk", F.floor((F.col("__at") - F.col("__first")) / size).cast("int"))
     listed = chunked.groupBy(group, "chunk").agg(F.array_sort(F.collect_list(F.struct("__at", F.col("__v").alias("v")))).alias("l"))

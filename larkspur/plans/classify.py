@@ -33,6 +33,20 @@ def l1(t: Tables) -> DataFrame:
     return found.select("page_id", "ats", *(F.col("attrs")[a].alias(a) for a in ("slug", "site", "tenant")))
 
 
+@query(
+    "l1_path_rules",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey IN (SELECT o_orderkey FROM orders) THEN l_orderkey END AS a, (SELECT o_orderkey FROM orders WHERE o_orderkey = l_partkey) AS b FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, coalesce((SELECT o_orderpriority FROM orders WHERE o_orderkey = least(a, b)), 'direct_job_html') AS ats, coalesce(least(a, b)::VARCHAR, '') AS slug FROM l""",
+)
+def l1_paths(t: Tables) -> DataFrame:
+    """A path rule for every order; addresses hold the numbers of an order and of a part, which may be another order's."""
+    number = F.col("o_orderkey").cast("string")
+    rules = t.orders.select(F.col("o_orderkey").cast("int").alias("priority"), F.lit("path").alias("kind"), F.concat(F.lit("/"), number, F.lit("-")).alias("pattern"), F.col("o_orderpriority").alias("ats"), F.create_map(F.lit("slug"), number).alias("attrs"))
+    url = F.format_string("https://x.org/en/%d-%d/%d-x/apply", "l_orderkey", "l_linenumber", "l_partkey")
+    found = C.classify_sources(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", url.alias("url"), F.lit("x").alias("name")), rules, "name", "url")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "ats", F.coalesce(F.col("attrs")["slug"], F.lit("")).alias("slug"))
+
+
 @query(
     "l2_page_status",
     """WITH e AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 403 WHEN event_id % 7 = 1 THEN 404 WHEN event_id % 7 = 2 THEN NULL ELSE 200 END AS http, user_id % 4 = 0 AS moved, (value::INT % 3) AS jobs, event_type FROM events),
@@ -96,12 +110,25 @@ def l6(t: Tables) -> DataFrame:
     """SELECT n_name AS canonical, min(s_suppkey) AS s_suppkey, string_agg(s_name, ',' ORDER BY s_suppkey) AS aliases FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1""",
 )
 def l7(t: Tables) -> DataFrame:
+    """Suppliers under their nation as canonical name, each with the nation's board as its source; a conflict would fail."""
     names = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("alias"), F.col("n_name").alias("canonical"))
-    named = R.with_canonical_name(t.supplier, names, "s_name").withColumn("aliases", F.array("s_name"))
-    merged = R.merge_duplicates(named.select("canonical", "s_suppkey", "aliases"), "canonical", "s_suppkey", ["aliases"])
+    board = F.concat(F.lit("html|board"), F.col("s_nationkey").cast("string"))
+    merged = R.consolidated(t.supplier.select("s_suppkey", "s_name", board.alias("identity"), F.array("s_name").alias("aliases")), names, "s_name", "s_suppkey", "identity", ["aliases"])
     return merged.select("canonical", "s_suppkey", F.array_join("aliases", ",").alias("aliases"))
 
 
+@query(
+    "l7_conflicts",
+    """WITH s AS (SELECT n_name AS name, 'b' || (s_suppkey % 3 + s_nationkey) AS identity FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+    SELECT identity AS key, count(DISTINCT name) AS n, 'identity' AS kind FROM s GROUP BY 1 HAVING count(DISTINCT name) > 1 UNION ALL SELECT name, count(DISTINCT identity), 'name' FROM s GROUP BY 1 HAVING count(DISTINCT identity) > 1""",
+)
+def l7_conflicts(t: Tables) -> DataFrame:
+    """What makes a consolidation fail: names with several identities and identities with several names."""
+    names = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    identity = F.concat(F.lit("b"), (F.col("s_suppkey") % 3 + F.col("s_nationkey")).cast("string"))
+    return R.identity_conflicts(names.select(F.col("n_name").alias("name"), identity.alias("identity")), "identity", "name")
+
+
 @query("l8_retired", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def l8(t: Tables) -> DataFrame:
     retired = t.supplier.select(F.format_string("customer#%09d", "s_suppkey").alias("low"))

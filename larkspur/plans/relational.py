@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import match_text
+from larkspur.functions.urls import dedupe_keys
 from larkspur.operators import relational as R
+from larkspur.operators import state as S
 from larkspur.plans.base import Tables, query
+from larkspur.plans.links import KEYS
 
 
 @query("d1_greedy_dedupe")
@@ -62,7 +67,29 @@ def j1(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", "ts", F.array(F.concat(F.lit("u"), F.col("user_id").cast("string"), "props"), F.concat(F.lit("e"), "event_type", value)).alias("keys"))
     cut = F.lit("2024-01-16").cast("timestamp")
     seen = rows.where(F.col("ts") < cut).select(F.explode("keys").alias("key"))
-    return R.anti_join_seen(rows.where(F.col("ts") >= cut), seen, "keys", "event_id").select("event_id")
+    return S.anti_join_seen(rows.where(F.col("ts") >= cut), seen, "keys", "event_id").select("event_id")
+
+
+@query(
+    "j1_legacy_state",
+    f"""WITH k AS (SELECT c_custkey, {KEYS} AS keys FROM customer),
+    s AS (SELECT unnest(keys) AS key FROM k WHERE c_custkey % 4 = 0 AND c_custkey % 5 <> 0 UNION SELECT keys[1] FROM k WHERE c_custkey % 20 = 0 AND c_custkey % 3 <> 1)
+    SELECT c_custkey FROM k WHERE NOT list_has_any(keys, (SELECT list(key) FROM s))""",
+)
+def j1_legacy(t: Tables) -> DataFrame:
+    """A state of every fourth posting, met with other forms of their URLs: most under keys of an older form, a fifth without
+    the location that keys are made anew from, of these some under their present key."""
+    k = F.col("c_custkey")
+    company, title, location = F.col("c_mktsegment"), F.col("c_name"), F.col("c_nationkey").cast("string")
+    number = F.when(k % 3 == 0, F.concat(F.lit("REQ "), (k + 10000).cast("string"))).otherwise("")
+    url = lambda form: F.when(k % 3 < 2, F.format_string(form, k)).otherwise("https://x.org/about")
+    now = dedupe_keys(company, title, location, url("https://X.org/apply/jobs/%d/?utm_a=b"), number)
+    stored_key = F.when((k % 5 == 0) & (k % 3 != 1), now[0]).otherwise(F.format_string("legacy-%d", k))
+    state = t.customer.where(k % 4 == 0).select(
+        stored_key.alias("state_key"), company.alias("company"), title.alias("title"), F.when(k % 5 != 0, location).alias("location"),
+        url("https://x.org/en-US/jobs/%d?utm_campaign=old").alias("url"), number.alias("requisition_id"),
+    )
+    return S.anti_join_seen(t.customer.select("c_custkey", now.alias("keys")), S.state_keys(state), "keys", "c_custkey").select("c_custkey")
 
 
 @query(
@@ -81,6 +108,23 @@ def j2(t: Tables) -> DataFrame:
     return R.overlay(base, layer, key="key", present="present").withColumn("key", F.lower("key"))
 
 
+@query(
+    "j2_layers",
+    "WITH o AS (SELECT o_custkey, extract(month FROM o_orderdate) AS layer, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL),"
+    """ r AS (SELECT o.o_custkey AS k, layer, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 2 > 0 THEN o_orderpriority END AS priority FROM o JOIN orders USING (o_orderkey)
+      UNION ALL SELECT c_custkey, 0, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 7 > 0)
+    SELECT 'C' || k AS name, arg_max(price, layer) FILTER (price IS NOT NULL) AS price, arg_max(priority, layer) FILTER (priority IS NOT NULL) AS priority FROM r GROUP BY k""",
+)
+def j2_layers(t: Tables) -> DataFrame:
+    """A base and twelve layers, one for each month, in one shuffle."""
+    price, priority = F.when(F.col("r.o_orderkey") % 3 > 0, F.col("r.o_totalprice")), F.when(F.col("r.o_orderkey") % 2 > 0, F.col("r.o_orderpriority"))
+    last = t.orders.groupBy("o_custkey", F.month("o_orderdate").alias("layer")).agg(F.max_by(F.struct("o_orderkey", "o_totalprice", "o_orderpriority"), "o_orderkey").alias("r"))
+    rows = R.stored(last.select("layer", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name"), price.alias("price"), priority.alias("priority")))
+    base = t.customer.where("c_custkey % 7 > 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("name"), F.col("c_acctbal").alias("price"), F.col("c_mktsegment").alias("priority"))
+    layers = [rows.where(F.col("layer") == m).drop("layer") for m in range(1, 13)]
+    return R.overlay(base, *layers, key="name").withColumn("name", F.upper("name"))
+
+
 @query("j3_add_missing", "SELECT c_custkey AS key, 'customer' AS origin FROM customer UNION ALL SELECT s_suppkey * 50, 'supplier' FROM supplier WHERE s_suppkey * 50 NOT IN (SELECT c_custkey FROM customer)")
 def j3(t: Tables) -> DataFrame:
     base = t.customer.select(F.col("c_custkey").alias("key"), F.lit("customer").alias("origin"))
@@ -100,6 +144,23 @@ def j4(t: Tables) -> DataFrame:
     return R.upsert(*states(t), "user_id")
 
 
+BUCKET = "('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 256"
+
+
+@query(
+    "j4_bucket_upsert",
+    f"""WITH s AS (SELECT user_id, ts < TIMESTAMP '2024-01-10' AS old, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY ALL), n AS (SELECT * FROM s WHERE NOT old AND user_id % 9 = 0)
+    SELECT user_id, state, ({BUCKET})::INTEGER AS bucket, {BUCKET} IN (SELECT {BUCKET} FROM n) AS rewritten FROM (SELECT * FROM n UNION ALL SELECT * FROM s WHERE old AND user_id NOT IN (SELECT user_id FROM n))""",
+)
+def j4_buckets(t: Tables) -> DataFrame:
+    """The state of some users changes: their buckets are rewritten, the other buckets' files stay."""
+    old, new = states(t)
+    table = S.BucketState(t.spark, f"{R.shared_folder(t.spark)}/j4-{uuid.uuid4().hex}", "user_id long, state string", "user_id", 256)
+    table.upsert(old)
+    changed = table.upsert(new.where("user_id % 9 = 0"))
+    return table.read().withColumn("rewritten", F.col("bucket").isin(changed))
+
+
 @query("j5_merge_state", f"WITH {STATES} SELECT user_id, state FROM s WHERE old UNION ALL SELECT user_id, state FROM s WHERE NOT old AND user_id NOT IN (SELECT user_id FROM s WHERE old)")
 def j5(t: Tables) -> DataFrame:
     return R.merge_state(*states(t), "user_id", prefer="old")

@@ -61,6 +61,51 @@ def t2(t: Tables) -> DataFrame:
     return first.union(second).select("event_id")
 
 
+#: Days are landed five at a time; one alert key a user and type, met once in each landing; every fiftieth lands ten days late.
+LANDINGS = """r AS (SELECT 'u' || user_id || event_type AS key, ts, CASE WHEN event_id % 50 = 0 THEN least(day(ts) // 5 + 2, 6) ELSE day(ts) // 5 END AS landing FROM events),
+    l AS (SELECT key, landing, min(epoch_us(ts)) AS us FROM r GROUP BY ALL)"""
+
+
+def landings(t: Tables) -> tuple[str, str]:
+    """The folder in which the landings lie as a file each, in order, and the schema of their rows."""
+    folder = f"{R.shared_folder(t.spark)}/t2-{uuid.uuid4().hex}"
+    part = F.floor(F.dayofmonth("ts") / 5).cast("int")
+    key = F.concat(F.lit("u"), F.col("user_id").cast("string"), "event_type")
+    rows = t.events.select(key.alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 50 == 0, F.least(part + 2, F.lit(6))).otherwise(part).alias("landing"))
+    rows = R.stored(rows.groupBy("key", "landing").agg(F.min("ts").alias("ts")))
+    for k in range(7):  # one after the other, so that a stream meets them in order
+        rows.where(F.col("landing") == k).coalesce(1).write.mode("append").parquet(folder)
+    return folder, rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+
+
+def landed(t: Tables, transform) -> DataFrame:
+    """What a stream over the landings, one a batch, emits."""
+    folder, schema = landings(t)
+    stream = transform(t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}-out").option("checkpointLocation", f"{folder}-checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{folder}-out")
+
+
+@query("t2_single_key", f"WITH {LANDINGS} SELECT key, min(landing)::INTEGER AS landing FROM l GROUP BY 1")
+def t2_single(t: Tables) -> DataFrame:
+    """Alerts with one key, as streaming state over seven batches."""
+    return landed(t, lambda s: P.first_alerts(s, "key")).select("key", "landing")
+
+
+@query(
+    "t2_bounded",
+    f"""WITH RECURSIVE {LANDINGS}, w AS (SELECT landing, coalesce(max(max(us)) OVER (ORDER BY landing ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), 0) // 1000 * 1000 - 604800000000 AS mark FROM l GROUP BY 1),
+    n AS (SELECT key, landing, us, mark, row_number() OVER (PARTITION BY key ORDER BY landing) AS i FROM l JOIN w USING (landing) WHERE us > mark),
+    s AS (SELECT key, 0::BIGINT AS i, NULL::BIGINT AS landing, NULL::BIGINT AS us, NULL::BIGINT AS until, false AS sent FROM (SELECT DISTINCT key FROM n)
+      UNION ALL SELECT n.key, n.i, n.landing, n.us, CASE WHEN s.until > n.mark THEN s.until ELSE n.us + 604800000000 END, NOT coalesce(s.until > n.mark, false) FROM s JOIN n ON n.key = s.key AND n.i = s.i + 1)
+    SELECT key, landing::INTEGER AS landing, us FROM s WHERE sent""",
+)
+def t2_bounded(t: Tables) -> DataFrame:
+    """Alerts again after seven days: the watermark bounds the state, and rows later than it are left out."""
+    return landed(t, lambda s: P.recent_alerts(s, "key", "ts", "7 days")).select("key", "landing", F.unix_micros("ts").alias("us"))
+
+
 @query(
     "t3_notices",
     """WITH RECURSIVE g AS (SELECT user_id::VARCHAR AS source, epoch(date_trunc('hour', ts))::BIGINT AS run, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'error' ELSE '' END AS failed, min(event_id) % 4 <> 0 AS delivered FROM events GROUP BY ALL),
@@ -85,6 +130,34 @@ def t4(t: Tables) -> DataFrame:
     return t.events.join(sent.select(F.explode("values").alias("event_id")).hint("merge"), "event_id", "left_anti").select("user_id", "event_id")
 
 
+@query(
+    "t4_quiet_feed",
+    "SELECT user_id, event_id, (n - 1) // 5 AS run FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS n FROM events WHERE event_type <> 'view') WHERE n <= 20",
+)
+def t4_quiet(t: Tables) -> DataFrame:
+    """One landing of all events, then three runs in which nothing lands: each delivers five more of every user."""
+    folder = f"{R.shared_folder(t.spark)}/t4-{uuid.uuid4().hex}"
+    began = F.lit("2024-02-01").cast("timestamp")
+    hour = lambda k: began + F.make_interval(hours=F.lit(k))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(provider)
+    t.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(4):
+            rows = t.events.where("event_type <> 'view'").select("user_id", "event_id", "value", hour(0).alias("run"))
+            rows.where(F.lit(k == 0)).write.mode("append").parquet(f"{folder}/landed")
+            t.spark.range(1).select(hour(k).alias("run")).write.mode("append").parquet(f"{folder}/runs")
+            stream = t.spark.readStream.schema("user_id long, event_id long, value double, run timestamp").parquet(f"{folder}/landed")
+            runs = t.spark.readStream.schema("run timestamp").parquet(f"{folder}/runs")
+            sent = P.carry_over(stream, runs, "user_id", ["value", "event_id"], 5)
+            writer = sent.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+            writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        t.spark.conf.set(provider, before)
+    out = t.spark.read.schema("user_id long, event_id long, value double, run timestamp").parquet(f"{folder}/out")
+    return out.select("user_id", "event_id", ((F.unix_seconds("run") - F.unix_seconds(began)) / 3600).cast("long").alias("run"))
+
+
 @query(
     "t5_reconcile",
     "WITH m AS (SELECT user_id, max(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), g AS (SELECT user_id, max(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT user_id, v FROM m UNION ALL SELECT user_id, v FROM g WHERE user_id NOT IN (SELECT user_id FROM m)",

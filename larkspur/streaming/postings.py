@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegralType, LongType, StringType, StructField, StructType, TimestampType
 
-from larkspur.operators.relational import anti_join_seen, greedy_dedupe
+from larkspur.operators.relational import greedy_dedupe, stored
+from larkspur.operators.state import BucketState, anti_join_seen
 
 
 def posting_stream(spark: SparkSession, path: str, schema: str, transform: Callable[[DataFrame], DataFrame], max_files: int = 1000) -> DataFrame:
@@ -24,19 +26,17 @@ class Batches:
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark, self.path, self.schema = spark, path, schema
 
-    def read(self, before: int) -> DataFrame:
-        """Rows of batches before this one, so that a repeated batch gives the same rows."""
-        files = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+    def read(self, batch: int) -> DataFrame:
+        """The rows of one batch; none if it wrote no folder."""
+        path = f"{self.path}/batch={batch}"
+        files = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         if not files.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
-            return self.spark.createDataFrame([], f"{self.schema}, batch long")
-        return self.spark.read.schema(f"{self.schema}, batch long").parquet(self.path).where(F.col("batch") < before)
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(path)
 
-    def last(self, before: int) -> DataFrame:
-        """Rows of the batch before this one."""
-        return self.read(before).where(F.col("batch") == before - 1).drop("batch")
-
-    def write(self, rows: DataFrame, batch: int) -> None:
+    def write(self, rows: DataFrame, batch: int) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        return self.read(batch)
 
 
 def new_rows(batch: DataFrame, seen: DataFrame, keys: str, order: str) -> DataFrame:
@@ -44,32 +44,114 @@ def new_rows(batch: DataFrame, seen: DataFrame, keys: str, order: str) -> DataFr
     return greedy_dedupe(anti_join_seen(batch, seen, keys, order), keys, order)
 
 
-def alert_once(stream: DataFrame, seen_path: str, out_path: str, checkpoint: str, keys: str, order: str, top: int | None = None, rank: list | None = None) -> StreamingQuery:
-    """Writes each batch's new rows to out_path and their keys to the seen table. New rows beyond the first `top` wait in a table
-    beside the seen one and are taken up by the next batch.
+def with_runs(stream: DataFrame, runs: DataFrame) -> DataFrame:
+    """The stream with a row, marked `__run`, for each row of another one: a scheduled run then makes a batch even if nothing landed."""
+    return stream.withColumn("__run", F.lit(False)).unionByName(runs.select(F.lit(True).alias("__run")), allowMissingColumns=True)
+
 
-    A batch that is run again overwrites its own output, so a failure between the writes loses and doubles nothing.
+def alert_once(
+    stream: DataFrame, seen_path: str, out_path: str, checkpoint: str, keys: str, order: str, top: int | None = None, rank: list | None = None,
+    runs: DataFrame | None = None, buckets: int = 64,
+) -> StreamingQuery:
+    """Writes each batch's new rows to out_path and their keys to the seen table, of which a batch reads and rewrites the buckets of
+    its own keys alone. New rows beyond the first `top` wait in a table beside it and are taken up by the next batch: with
+    `runs`, a stream with a row for each scheduled run, also if no payload has landed since.
+
+    A batch that is run again doesn't see what it wrote and overwrites it, so a failure between the writes loses and doubles nothing.
     """
+    if runs is not None:
+        stream = with_runs(stream, runs)
 
     def deliver(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen, sent = Batches(spark, seen_path, "key string"), Batches(spark, out_path, batch.schema.toDDL())
-        waiting = Batches(spark, f"{seen_path}-waiting", batch.schema.toDDL())
-        both = batch.unionByName(waiting.last(number)).dropDuplicates([order])  # a row that waits may land again
-        rows = new_rows(both, seen.read(number).drop("batch"), keys, order)
+        if runs is not None:
+            batch = batch.where("not __run").drop("__run")
+        seen = BucketState(spark, seen_path, "key string, batch long", "key", buckets)
+        sent, waiting = Batches(spark, out_path, batch.schema.toDDL()), Batches(spark, f"{seen_path}-waiting", batch.schema.toDDL())
+        both = stored(batch.unionByName(waiting.read(number - 1)).dropDuplicates([order]))  # a row that waits may land again
+        known = seen.read(seen.touched(both.select(F.explode(keys).alias("key")))).where(F.col("batch") < number)
+        rows = new_rows(both, known, keys, order)
         if top is not None:
-            first = rows.orderBy(*(rank or [order])).limit(top)
-            sent.write(first, number)
-            kept = spark.read.schema(batch.schema).parquet(f"{out_path}/batch={number}")
-            waiting.write(rows.join(kept.select(order).hint("merge"), order, "left_anti").select(batch.columns), number)
+            delivered = sent.write(rows.orderBy(*(rank or [order])).limit(top), number)
+            waiting.write(rows.join(delivered.select(order).hint("merge"), order, "left_anti").select(batch.columns), number)
         else:
-            sent.write(rows, number)
-        delivered = spark.read.schema(batch.schema).parquet(f"{out_path}/batch={number}")
-        seen.write(delivered.select(F.explode(keys).alias("key")).distinct(), number)
+            delivered = sent.write(rows, number)
+        seen.upsert(delivered.select(F.explode(keys).alias("key")).where("key is not null").distinct().withColumn("batch", F.lit(number).cast("long")), prefer="old")
 
     return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def first_alerts(stream: DataFrame, key: str) -> DataFrame:
+    """The rows of a stream whose key came first, for alerts with one key: the keys are streaming state that never expires."""
+    return stream.dropDuplicates([key])
+
+
+def recent_alerts(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
+    """The rows of a stream whose key didn't come within `delay` before, by event time. The state is bounded: rows later than the watermark
+    are left out, and a key alerts again once its last alert is older than the delay."""
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+
+
+def plain(field: StructField, value):
+    """A value of a pandas row as the state takes it: no numpy or pandas scalars, whole numbers whole, nulls as None."""
+    if not isinstance(value, (list, dict, np.ndarray)) and pd.isna(value):
+        return None
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    value = value.tolist() if isinstance(value, (np.generic, np.ndarray)) else value
+    return int(value) if isinstance(field.dataType, IntegralType) else value
+
+
+class CarryOver(StatefulProcessor):
+    """The state of a key: its rows that wait. A run delivers the first `top` of new and waiting ones, by rank; what is left goes out in the next runs."""
+
+    def __init__(self, top: int, rank: list[str], schema: StructType) -> None:
+        self.top, self.rank, self.schema = top, rank, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def send(self, rows: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+        at = [self.schema.names.index(c) for c in self.rank]
+        rows.sort(key=lambda r: tuple(r[i] for i in at))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if len(rows) > self.top:
+            self.waiting.put(rows[self.top :])
+            self.handle.registerTimer(now + 1)  # due as soon as a later run moves the watermark
+        else:
+            self.waiting.clear()
+        sent = pd.DataFrame(rows[: self.top], columns=self.schema.names)
+        yield sent.assign(run=pd.Timestamp(now, unit="ms"))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        landed = pd.concat(list(rows))
+        now, landed = int(landed["carry_at"].max()), landed[~landed["carry_run"]]
+        if not landed.empty:
+            new = [tuple(map(plain, self.schema.fields, r)) for r in landed[self.schema.names].itertuples(index=False, name=None)]
+            yield from self.send([tuple(r) for r in self.waiting.get()] + new, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self.send([tuple(r) for r in self.waiting.get()], timerValues.getCurrentWatermarkInMs())
+
+
+def carry_over(stream: DataFrame, runs: DataFrame, key: str, rank: list[str], top: int, time: str = "run") -> DataFrame:
+    """A stream's rows with the `run` that delivers them: at most `top` of each key in a run, in order of rank, the rest in later runs.
+
+    `runs` is a stream of the times of scheduled runs, by which the watermark moves and waiting rows go out on a feed where nothing
+    lands any more; `time` is when a row landed. Needs the RocksDB state store. Keys share no task, a key's waiting rows are its state; columns of
+    rank hold no nulls.
+    """
+    columns = [c for c in stream.columns if c != time]
+    schema = stream.select(*columns).schema
+    rows = stream.select(*columns, F.col(time).alias("carry_time"), F.lit(False).alias("carry_run"))
+    ticks = runs.select(F.col(time).alias("carry_time"), F.lit(True).alias("carry_run"))
+    both = rows.unionByName(ticks, allowMissingColumns=True).withColumn("carry_at", F.unix_millis("carry_time")).withWatermark("carry_time", "0 seconds")
+    out = StructType([*schema.fields, StructField("run", TimestampType())])
+    return both.groupBy(key).transformWithStateInPandas(CarryOver(top, rank, schema), out, "Append", "EventTime")
+
+
 NOTICE_SCHEMA = StructType([StructField("source", StringType()), StructField("run", LongType()), StructField("kind", StringType()), StructField("failed", StringType())])
 
 
@@ -109,22 +191,43 @@ def notices(runs: DataFrame, every: int = 86_400) -> DataFrame:
 
 
 class NoticeProcessor(StatefulProcessor):
-    """The streaming form of `notices`: a source's last delivered notice is its state."""
+    """The streaming form of `notices`: a source's last delivered notice is its state. With a clock, a timer sends the notice that falls due while no run of the source lands."""
 
-    def __init__(self, every: int) -> None:
-        self.every = every
+    def __init__(self, every: int, clocked: bool = False) -> None:
+        self.every, self.clocked = every, clocked
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", StructType([StructField("failed", StringType()), StructField("run", LongType())]))
 
+    def remember(self, state: tuple[str, int | None]) -> None:
+        self.last.update(state)
+        if self.clocked and state[1] is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((state[1] + self.every) * 1000)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         state = tuple(self.last.get()) if self.last.exists() else ("", None)
-        out, after = fold_runs(pd.concat(list(rows)), key[0], state, self.every)
+        landed = pd.concat(list(rows))
+        landed = landed[landed["source"].notna()]
+        out, after = fold_runs(landed, key[0], state, self.every)
         if after != state:
-            self.last.update(after)
+            self.remember(after)
         yield pd.DataFrame(out, columns=NOTICE_SCHEMA.names)
 
-
-def notice_stream(runs: DataFrame, every: int = 86_400) -> DataFrame:
-    """notices over a stream of runs; needs the RocksDB state store."""
-    return with_delivery(runs).groupBy("source").transformWithStateInPandas(NoticeProcessor(every), NOTICE_SCHEMA, "Append", "none")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        failed, _ = self.last.get()
+        now = timerValues.getCurrentWatermarkInMs() // 1000
+        self.remember((failed, now))
+        yield pd.DataFrame([(key[0], now, "issues" if failed else "daily", failed)], columns=NOTICE_SCHEMA.names)
+
+
+def notice_stream(runs: DataFrame, every: int = 86_400, clock: DataFrame | None = None) -> DataFrame:
+    """notices over a stream of runs; needs the RocksDB state store. `clock`, a stream of times (run, in seconds), lets
+    a source's notice go out `every` seconds after its last one though none of its own runs lands."""
+    rows = with_delivery(runs)
+    if clock is None:
+        return rows.groupBy("source").transformWithStateInPandas(NoticeProcessor(every), NOTICE_SCHEMA, "Append", "none")
+    timed = rows.unionByName(clock.select("run"), allowMissingColumns=True).withColumn("__time", F.timestamp_seconds("run")).withWatermark("__time", "0 seconds")
+    return timed.groupBy("source").transformWithStateInPandas(NoticeProcessor(every, True), NOTICE_SCHEMA, "Append", "EventTime")
