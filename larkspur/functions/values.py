@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import ast
+import html
+import json
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from larkspur.functions.text import clean_text, first_truthy, let, match_text
+from larkspur.functions.text import UNMARKED, clean_text, first_truthy, let, match_text
 
 # Words that token sets leave out.
 STOPWORDS = (
@@ -40,38 +47,96 @@ LOCATION_FIELDS = (
 EMBEDDED = r"(?s)^(.*?)(\{.*\}|\[.*\])$"
 
 
-def read_as(text: Column, kind: str) -> Column:
-    """JSON, or the same with single quotes and None, True and False; null for anything else."""
-    words = {"None": "null", "True": "true", "False": "false"}
-    plain = text
-    for word, name in words.items():
-        plain = F.regexp_replace(plain, rf"\b{word}\b", name)
-    return F.coalesce(F.from_json(text, kind), F.from_json(plain, kind))
-
-
-def flatten_location(c: Column, depth: int = 3) -> Column:
-    """A place as text: a list of parts, or an object or list in JSON or a literal at the end. A readable
-    text before that wins; else an object gives its LOCATION_FIELDS (flatten_fields) and a list its places
-    (merge_places), each flattened in turn. What lies deeper than `depth` stays text."""
-    if not depth:
-        return flatten_text(c)
-
-    def joined(v: Column, prefix: Column, fields: Column, items: Column) -> Column:
-        known = fields.isNotNull() | items.isNotNull()
-        values = F.transform(F.array(*map(F.lit, LOCATION_FIELDS)), lambda k: F.element_at(fields, k))
-        inner = F.transform(F.coalesce(F.when(fields.isNotNull(), values), items), lambda x: flatten_location(F.coalesce(x, F.lit("")), depth - 1))
-        nested = let(inner, lambda x: F.when(fields.isNotNull(), F.array_join(distinct_by_form(x), " ")).otherwise(merge_places(x)))
-        return F.when(known & (prefix == ""), nested).otherwise(flatten_text(F.when(known, prefix).otherwise(v)))
-
-    def split(v: Column) -> Column:
-        body = F.regexp_extract(v, EMBEDDED, 2)
-        return F.struct(
-            F.trim(F.regexp_extract(v, EMBEDDED, 1)).alias("prefix"),
-            F.when(body.startswith("{"), read_as(body, "map<string,string>")).alias("fields"),
-            F.when(body.startswith("["), read_as(body, "array<string>")).alias("items"),
-        )
-
-    return let(F.trim(F.coalesce(c, F.lit(""))), lambda v: let(split(v), lambda x: joined(v, x["prefix"], x["fields"], x["items"])))
+def plain_text(text: str) -> str:
+    """clean_text of one value."""
+    marked = "<" in text and ">" in text
+    for _ in range(1 + marked):
+        text = html.unescape(re.sub(UNMARKED, " ", text) if marked else text)
+        marked = False
+    return " ".join(text.split())
+
+
+def plain_form(text: str) -> str:
+    """match_text of one value."""
+    return re.sub("[^a-z0-9]+", " ", text.replace("ß", "ss").lower()).strip()
+
+
+def parsed(text: str) -> dict | list | None:
+    """An object or a list in JSON or as a literal; None for anything else."""
+    for read in (json.loads, ast.literal_eval):
+        try:
+            value = read(text)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            continue
+        if isinstance(value, (dict, list)):
+            return value
+    return None
+
+
+def place_of(value: object) -> str:
+    """A nested place as text, however deep: see flatten_location."""
+    if isinstance(value, dict):
+        parts = {}
+        for part in (place_of(value[k]) for k in LOCATION_FIELDS if value.get(k) is not None):
+            if part:
+                parts.setdefault(plain_form(part), part)
+        return plain_text(" ".join(parts.values()))
+    if isinstance(value, list):
+        return plain_text("; ".join(merged_places([place_of(v) for v in value])))
+    if not isinstance(value, str):
+        return plain_text(str(value)) if value else ""
+    text = value.strip()
+    if found := re.match(EMBEDDED, text):
+        prefix, held = plain_text(found[1]), parsed(found[2])
+        if held is not None:
+            return place_of(prefix or held)
+    parts = {}
+    for part in map(plain_text, text.split(";")):
+        if part:
+            parts.setdefault(plain_form(part), part)
+    return "; ".join(parts.values())
+
+
+def merged_places(places: list[str]) -> list[str]:
+    """merge_places of one list."""
+    adds = lambda long, short: long.startswith(f"{short} ") and set(long[len(short) :].split()) <= set(COUNTRY_WORDS)
+    kept: list[tuple[str, str]] = []
+    for place in filter(None, places):
+        form = plain_form(place)
+        for i, (_, other) in enumerate(kept):
+            if form == other or adds(form, other):
+                break
+            if adds(other, form):
+                kept[i] = (place, form)
+                break
+        else:
+            kept.append((place, form))
+    return [place for place, _ in kept]
+
+
+@pandas_udf(T.StringType())
+def nested_place(texts: pd.Series) -> pd.Series:
+    """place_of texts; null stays null, and what is nested too deep for the parser stays text."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else place_of(text)
+        except RecursionError:
+            return plain_text(text)
+
+    return texts.map(one)
+
+
+def flatten_location(c: Column) -> Column:
+    """A place as text: a list of parts (flatten_text), or an object or list in JSON or a literal at the end. A readable
+    text before that wins; else an object gives its LOCATION_FIELDS, each once, and a list its places (merge_places), each flattened
+    in turn, at any depth. Only texts that end in a bracket are parsed, in Arrow batches."""
+
+    def known(v: Column) -> Column:
+        return v.endswith("}") | v.endswith("]")
+
+    text = F.trim(F.coalesce(c, F.lit("")))
+    return F.coalesce(nested_place(F.when(known(text), text)), F.when(~known(text), flatten_text(text)))
 
 
 def flatten_fields(fields: list[Column]) -> Column:
@@ -113,29 +178,38 @@ def nested_places(items: Column, fields: Callable[[Column], list[Column]]) -> Co
 FACET_COUNTRY, FACET_STATES = "india", ("karnataka", "karnataka india")
 
 
-def find_facet(facets: Column, country: str = FACET_COUNTRY, states: tuple[str, ...] = FACET_STATES, depth: int = 4) -> Column:
-    """struct(parameter, id) of the value that names the country or a state, in a JSON list of facets whose values may be facets
-    again (to `depth`); null without one. First countries of a parameter that says so, then states, then other countries; then by parameter and id."""
-    schema = "array<struct<facetParameter:string,values:string,descriptor:string,id:string>>"
+@pandas_udf(T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in ("parameter", "descriptor", "id")])))
+def facet_values(texts: pd.Series) -> pd.Series:
+    """The values of all facets in JSON texts, at any depth, that have an id and a parameter."""
 
-    def candidates(values: Column, parameter: Column) -> Column:
-        def one(v: Column) -> Column:
-            name = match_text(v["descriptor"])
-            rank = F.when(name == country, F.when(F.contains(F.lower(parameter), F.lit("country")), 0).otherwise(2)).when(name.isin(*states), 1)
-            return F.struct(rank.alias("rank"), parameter.alias("parameter"), v["id"].alias("id"))
+    def one(text: str | None) -> list[dict]:
+        found, todo = [], [parsed(text or "")]
+        while todo:
+            item = todo.pop()
+            if isinstance(item, list):
+                todo += item
+            elif isinstance(item, dict):
+                values = item.get("values")
+                for value in values if isinstance(values, list) else ():
+                    if isinstance(value, dict):
+                        todo.append(value)
+                        if value.get("id") and item.get("facetParameter"):
+                            found.append({"parameter": str(item["facetParameter"]), "descriptor": str(value.get("descriptor") or ""), "id": str(value["id"])})
+        return found
 
-        usable = lambda x: x["rank"].isNotNull() & (F.coalesce(x["id"], F.lit("")) != "") & (x["parameter"] != "")
-        return F.filter(F.transform(values, one), usable)
+    return texts.map(one)
 
-    def level(listed: Column, left: int) -> Column:
-        def one(f: Column) -> Column:
-            values = F.coalesce(F.from_json(f["values"], schema), F.array().cast(schema))
-            found = lambda v: candidates(v, F.coalesce(f["facetParameter"], F.lit("")))
-            return let(values, (lambda v: F.concat(found(v), level(v, left - 1))) if left > 1 else found)
 
-        return F.flatten(F.transform(listed, one))
+def find_facet(facets: Column, country: str = FACET_COUNTRY, states: tuple[str, ...] = FACET_STATES) -> Column:
+    """struct(parameter, id) of the value that names the country or a state, in a JSON list of facets whose values may be facets
+    again, at any depth; null without one. First countries of a parameter that says so, then states, then other countries; then by parameter and id."""
+
+    def ranked(v: Column) -> Column:
+        name = match_text(v["descriptor"])
+        rank = F.when(name == country, F.when(F.contains(F.lower(v["parameter"]), F.lit("country")), 0).otherwise(2)).when(name.isin(*states), 1)
+        return F.struct(rank.alias("rank"), v["parameter"].alias("parameter"), v["id"].alias("id"))
 
-    every = level(F.coalesce(F.from_json(facets, schema), F.array().cast(schema)), depth)
+    every = F.filter(F.transform(facet_values(facets), ranked), lambda x: x["rank"].isNotNull())
     return let(F.array_min(every), lambda x: F.when(x.isNotNull(), F.struct(x["parameter"].alias("parameter"), x["id"].alias("id"))))
 
 

@@ -16,7 +16,20 @@ from larkspur.plans.base import Tables, query
 from larkspur.plans.links import KEYS
 
 
-@query("d1_greedy_dedupe")
+@query(
+    "d1_greedy_dedupe",
+    """WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount) AS n FROM lineitem),
+    r AS (SELECT l_orderkey * 10000 + l_linenumber * 1000 + n AS ord, 'p' || l_partkey AS p, 's' || l_suppkey || '-' || month(l_shipdate) || '-' || l_linenumber AS s FROM l),
+    rounds AS (
+      SELECT ord, unnest([p, s]) AS k, false AS won FROM r
+      UNION ALL
+      SELECT ord, k, won FROM (
+        SELECT *, max(taken) OVER (PARTITION BY ord) AS gone FROM (
+          SELECT *, bool_or(won) OVER (PARTITION BY k) AS taken FROM (
+            SELECT ord, k, min(leads) OVER (PARTITION BY ord) AS won FROM (SELECT ord, k, ord = min(ord) OVER (PARTITION BY k) AS leads FROM rounds WHERE NOT won))))
+      WHERE won OR NOT gone)
+    SELECT ord, p || ',' || s AS keys FROM r WHERE ord IN (SELECT ord FROM rounds WHERE won)""",
+)
 def d1(t: Tables) -> DataFrame:
     order = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount"))
     rows = t.lineitem.withColumn("n", order)

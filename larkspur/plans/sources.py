@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.relational import merge_state, numbered, shared_folder
@@ -22,6 +22,11 @@ def orders_payload(t: Tables, wrap: str | None = None) -> DataFrame:
     return lists.select("o_custkey", F.to_json(F.struct("jobs")).alias("body"))
 
 
+def feed() -> Column:
+    """Feeds of twenty suppliers."""
+    return F.floor(F.col("s_suppkey") / 20).alias("feed")
+
+
 MAPPING = S.Mapping("$.jobs", {"title": ("$.title", "$.name"), "location": ("$.status.code",), "requisition_id": ("$.id",)})
 ORDER_ITEMS = "SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS item_ord, o_orderpriority AS title, o_orderstatus AS location, o_orderkey::VARCHAR AS requisition_id FROM orders"
 ITEM = ("o_custkey", "item_ord", "title", "location", "requisition_id")
@@ -79,14 +84,25 @@ def s5_count(t: Tables) -> DataFrame:
     return posting_pages(t).select("page_id", S.json_ld_count(F.col("html")).alias("n"))
 
 
-@query("s6_embedded_state", "SELECT page_id, page_id::VARCHAR AS id FROM pages")
+@query("s6_embedded_state", """SELECT page_id, page_id::VARCHAR AS id, 'a "] } ; b' AS note FROM pages""")
 def s6(t: Tables) -> DataFrame:
-    state = F.concat(F.lit('{"props": {"id": '), F.col("page_id").cast("string"), F.lit("}}"))
-    k = F.col("page_id") % 3
-    held = F.when(k == 0, F.concat(F.lit('<script id="__NEXT_DATA__">'), state, F.lit("</script>"))).when(k == 1, F.concat(F.lit('<script id="__NEXT_DATA__">'), F.replace(state, F.lit('"'), F.lit('\\"')), F.lit("</script>")))
-    held = held.otherwise(F.concat(F.lit('<script id="__NEXT_DATA__">'), F.replace(state, F.lit('"'), F.lit("&quot;")), F.lit("</script>")))
-    found = S.embedded_state(F.concat("html", held), r'(?s)<script id="__NEXT_DATA__">(.*?)</script>')
-    return t.pages.select("page_id", F.get_json_object(found, "$.props.id").alias("id"))
+    """Six ways in which pages hold their state, with brackets and quotes in its strings; chunks are pushed in two parts."""
+    state = F.concat(F.lit('{"props": {"list": [1, [2]], "note": "a \\"] } ; b", "id": '), F.col("page_id").cast("string"), F.lit("}}"))
+    marked = F.replace(F.replace(F.replace(state, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("]"), F.lit("&#93;"))
+    quoted = lambda text: F.substring(F.to_json(F.array(text)), F.lit(2), F.length(F.to_json(F.array(text))) - 2)
+    pushed = F.concat(F.lit('0:["$","x"]\n1:{"other":0,"jobs": '), state, F.lit("}"))
+    chunk = lambda text: F.concat(F.lit("<script>self.__next_f.push([1,"), quoted(text), F.lit("])</script>"))
+    held = (
+        ("element", "__NEXT_DATA__", F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), state, F.lit("</script>"))),
+        ("element", "applyData", F.concat(F.lit('<code style="display:none" id="applyData">'), marked, F.lit("</code><code>{}</code>"))),
+        ("pushed", "jobs", F.concat(F.lit("<script>self.__next_f.push([0])</script>"), chunk(F.substring(pushed, 1, 50)), F.lit("<i>"), chunk(F.substring(pushed, 51, 10_000)))),
+        ("assignment", "window.jobsList", F.concat(F.lit("<script>if (window.jobsList == 1) {}; window.jobsList = "), state, F.lit("; window.more = {};</script>"))),
+        ("attribute", "jobs", F.concat(F.lit('<input type="hidden" id="jobs" value="'), marked, F.lit('">'))),
+        ("escaped", "jobs", F.concat(F.lit('<script>var a = {"x": '), quoted(F.concat(F.lit('{"jobs" : '), state, F.lit("}"))), F.lit("};</script>"))),
+    )
+    kind = F.col("page_id") % len(held)
+    found = F.coalesce(*(S.embedded_state(F.when(kind == i, F.concat("html", page)), form, name) for i, (form, name, page) in enumerate(held)))
+    return t.pages.select("page_id", F.get_json_object(found, "$.props.id").alias("id"), F.get_json_object(found, "$.props.note").alias("note"))
 
 
 @query(
@@ -101,7 +117,7 @@ def s7(t: Tables) -> DataFrame:
 
 @query(
     "s7_cards",
-    """SELECT s_nationkey, 'https://x.org/jobs/' || s_suppkey AS url, CASE WHEN s_suppkey % 3 = 2 THEN 'Role of ' || s_name ELSE s_name END AS title,
+    """SELECT s_suppkey // 20 AS feed, 'https://x.org/jobs/' || s_suppkey AS url, CASE WHEN s_suppkey % 3 = 2 THEN 'Role of ' || s_name ELSE s_name END AS title,
     CASE s_suppkey % 3 WHEN 0 THEN s_name || ' Pune ' || s_suppkey || ' Apply now' WHEN 1 THEN s_name ELSE 'Role of ' || s_name || ' Goa' END AS description FROM supplier""",
 )
 def s7_cards(t: Tables) -> DataFrame:
@@ -112,31 +128,42 @@ def s7_cards(t: Tables) -> DataFrame:
     alone = F.concat(F.lit("<p>"), link, F.lit("<b>"), name, F.lit("</b></a></p>"))
     named = F.concat(F.lit("<div><div>"), link, F.lit("Role of "), name, F.lit("</a></div><i>Goa</i></div>"))
     html = F.array_join(F.collect_list(F.when(k % 3 == 0, card).when(k % 3 == 1, alone).otherwise(named)), "\n")
-    pages = t.supplier.groupBy("s_nationkey").agg(F.concat(F.lit("<ul>"), html, F.lit("</ul>")).alias("html")).withColumn("url", F.lit("https://x.org/all"))
-    return S.cards(pages, "/jobs/").select("s_nationkey", "url", "title", "description")
+    pages = t.supplier.groupBy(feed()).agg(F.concat(F.lit("<ul>"), html, F.lit("</ul>")).alias("html")).withColumn("url", F.lit("https://x.org/all"))
+    return S.cards(pages, "/jobs/").select("feed", "url", "title", "description")
 
 
-@query("s8_table_rows", "SELECT n_nationkey, (s_pos - 1)::INT AS item_ord, s_name || ' | ' || s_suppkey AS cells FROM (SELECT n_nationkey, s_name, s_suppkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS s_pos FROM nation JOIN supplier ON s_nationkey = n_nationkey)")
+@query("s8_table_rows", "SELECT s_suppkey // 20 AS feed, (row_number() OVER (PARTITION BY s_suppkey // 20 ORDER BY s_suppkey) - 1)::INT AS item_ord, s_name || ' | ' || s_suppkey AS cells FROM supplier")
 def s8(t: Tables) -> DataFrame:
     row = F.concat(F.lit('<tr class="data-row"><td>'), "s_name", F.lit("</td><td><b>"), F.col("s_suppkey").cast("string"), F.lit("</b></td></tr>"))
-    rows = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("row")))).alias("l"))
+    rows = t.supplier.groupBy(feed()).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("row")))).alias("l"))
     html = F.concat(F.lit("<table><tr><th>Name</th></tr>"), F.array_join(F.transform("l", lambda x: x["row"]), "\n"), F.lit("</table>"))
-    found = S.table_rows(rows.select("n_nationkey", html.alias("html")), row_attribute="data-row")
-    return found.select("n_nationkey", "item_ord", F.array_join("cells", " | ").alias("cells"))
+    found = S.table_rows(rows.select("feed", html.alias("html")), row_attribute="data-row")
+    return found.select("feed", "item_ord", F.array_join("cells", " | ").alias("cells"))
+
+
+@query(
+    "s8_nested_tables",
+    """SELECT s_suppkey, 0 AS item_ord, s_name || ' | in ' || s_nationkey || ' | Z' AS cells FROM supplier UNION ALL SELECT s_suppkey, 1, 'in | ' || s_nationkey FROM supplier
+    UNION ALL SELECT s_suppkey, 2, 'last' FROM supplier""",
+)
+def s8_nested(t: Tables) -> DataFrame:
+    inner = F.concat(F.lit("<table><tr><td>in</td><td>"), F.col("s_nationkey").cast("string"), F.lit("</td></tr></table>"))
+    html = F.concat(F.lit("<table><tr><td>"), "s_name", F.lit("</td><td>"), inner, F.lit("</td><td>Z<script>x</script></td></tr><tr><td>last</table>"))
+    return S.table_rows(t.supplier.select("s_suppkey", html.alias("html"))).select("s_suppkey", "item_ord", F.array_join("cells", " | ").alias("cells"))
 
 
-@query("s9_sitemap", "SELECT s_nationkey, 'https://x.org/jobs/' || s_suppkey AS url FROM supplier")
+@query("s9_sitemap", "SELECT s_suppkey // 20 AS feed, 'https://x.org/jobs/' || s_suppkey AS url FROM supplier")
 def s9(t: Tables) -> DataFrame:
     loc = F.concat(F.lit("<url><loc> https://x.org/jobs/"), F.col("s_suppkey").cast("string"), F.lit("</loc></url>"))
-    body = t.supplier.groupBy("s_nationkey").agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("body"))
-    return S.sitemap_urls(body).select("s_nationkey", "url")
+    body = t.supplier.groupBy(feed()).agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("body"))
+    return S.sitemap_urls(body).select("feed", "url")
 
 
-@query("s9_feed_items", "SELECT s_nationkey, s_name AS title, 'https://x.org/' || s_suppkey AS link, '' AS location FROM supplier")
+@query("s9_feed_items", "SELECT s_suppkey // 20 AS feed, s_name AS title, 'https://x.org/' || s_suppkey AS link, '' AS location FROM supplier")
 def s9_feed(t: Tables) -> DataFrame:
     item = F.concat(F.lit("<item><title><![CDATA["), "s_name", F.lit("]]></title><a:link>https://x.org/"), F.col("s_suppkey").cast("string"), F.lit("</a:link></item>"))
-    body = t.supplier.groupBy("s_nationkey").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body"))
-    return S.feed_items(body).select("s_nationkey", "title", "link", "location")
+    body = t.supplier.groupBy(feed()).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body"))
+    return S.feed_items(body).select("feed", "title", "link", "location")
 
 
 @query("s10_union_under", "SELECT key AS url, min(source_ord)::INT AS source_ord, 'both' AS source FROM (SELECT c_custkey AS key, 0 AS source_ord FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey, 1 FROM supplier) GROUP BY 1")
@@ -191,13 +218,29 @@ def k5(t: Tables) -> DataFrame:
     return K.run_line(each, "label", "n", "error")
 
 
-@query("s9_meta_cards", "SELECT s_nationkey, s_suppkey::VARCHAR AS card_id, s_name || ' & more' AS content_title, 'https://x.org/' || s_suppkey AS content_url, '' AS content_note FROM supplier")
+@query(
+    "k5_run_table",
+    """WITH e AS (SELECT CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'first' ELSE 'second' END AS run, user_id, count(*) FILTER (event_type = 'purchase') AS n, max(CASE WHEN event_type = 'error' AND value > 100 THEN 'x' END) AS f FROM events GROUP BY ALL)
+    SELECT run, count(*) AS configured, count(*) FILTER (f IS NULL) AS completed, count(*) FILTER (f IS NULL AND n = 0) AS zero, count(*) FILTER (f IS NOT NULL) AS failed FROM e GROUP BY 1""",
+)
+def k5_table(t: Tables) -> DataFrame:
+    """Two runs' results are written; their lines are counted on the way and read back from the table of runs."""
+    where = folder(t, "k5")
+    error = F.max(F.when((F.col("event_type") == "error") & (F.col("value") > 100), "x"))
+    cut = F.lit("2024-01-16").cast("timestamp")
+    for run, part in (("first", t.events.where(F.col("ts") < cut)), ("second", t.events.where(F.col("ts") >= cut))):
+        results = part.groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("n"), error.alias("error"))
+        K.record_run(results, f"{where}/{run}", f"{where}/runs", run, "n", "error")
+    return K.run_table(t.spark, f"{where}/runs")
+
+
+@query("s9_meta_cards", "SELECT s_suppkey // 20 AS feed, s_suppkey::VARCHAR AS card_id, s_name || ' & more' AS content_title, 'https://x.org/' || s_suppkey AS content_url, '' AS content_note FROM supplier")
 def s9_meta(t: Tables) -> DataFrame:
     key = F.col("s_suppkey").cast("string")
     meta = lambda name, *strings: F.concat(F.lit(f'<a:Meta name="{name}">'), *strings, F.lit("</a:Meta>"))
     title = (F.lit("<a:MetaString>"), F.col("s_name"), F.lit("</a:MetaString><a:MetaString>&amp; more</a:MetaString>"))
     hit = F.concat(F.lit("<a:Hit>"), meta("card_id", F.lit('<a:MetaString value="'), key, F.lit('"/>')), meta("content_title", *title), meta("content_url", F.lit("<a:MetaString>https://x.org/"), key, F.lit("</a:MetaString>")), F.lit("</a:Hit>"))
-    body = t.supplier.groupBy("s_nationkey").agg(F.concat(F.lit('<a:Answer xmlns:a="urn:x">'), F.array_join(F.collect_list(hit), ""), F.lit("</a:Answer>")).alias("body"))
+    body = t.supplier.groupBy(feed()).agg(F.concat(F.lit('<a:Answer xmlns:a="urn:x">'), F.array_join(F.collect_list(hit), ""), F.lit("</a:Answer>")).alias("body"))
     return S.meta_cards(body, ("card_id", "content_title", "content_url", "content_note")).drop("item_ord")
 
 

@@ -31,6 +31,16 @@ def n1(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", V.flatten_text(text).alias("place"), V.flatten_location(location).alias("location"))
 
 
+@query("n1_nested_location", f"""SELECT p_partkey, {CLEAN.format("p_name || ' ' || p_brand")} AS location FROM part""")
+def n1_nested(t: Tables) -> DataFrame:
+    """Ten levels, objects and lists in turn, in JSON or as literals, with brackets in the texts of other fields."""
+    place = F.concat(F.lit("{'city': '"), "p_name", F.lit("', 'region': '"), "p_brand", F.lit("', 'zip': '}]'}"))
+    for level in range(10):
+        place = F.concat(F.lit("{'location': "), place, F.lit(", 'region': None, 'x': [{}]}")) if level % 2 else F.concat(F.lit("["), place, F.lit(", '', []]"))
+    json = F.replace(F.replace(place, F.lit("'"), F.lit('"')), F.lit("None"), F.lit("null"))
+    return t.part.select("p_partkey", V.flatten_location(F.when(F.col("p_partkey") % 2 == 0, place).otherwise(json)).alias("location"))
+
+
 @query("n2_flatten_fields", "SELECT c_custkey, c_name || ' ' || c_mktsegment || CASE WHEN c_nationkey > 10 THEN ' ' || c_nationkey ELSE '' END AS place FROM customer")
 def n2(t: Tables) -> DataFrame:
     nation = F.when(F.col("c_nationkey") > 10, F.col("c_nationkey").cast("string"))
@@ -75,6 +85,20 @@ def n6(t: Tables) -> DataFrame:
     return found.select("o_custkey", V.find_facet(F.col("facets")).alias("f")).where("f is not null").select("o_custkey", "f.parameter", "f.id")
 
 
+@query(
+    "n6_nested_facets",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'locationCountry' ELSE 'state' END AS parameter, 'deep' || o_orderkey AS id FROM orders",
+)
+def n6_nested(t: Tables) -> DataFrame:
+    """A country ten levels down, before others on the way, or a state."""
+    k = F.col("o_orderkey")
+    deep = F.when(k % 3 > 0, F.format_string('{"facetParameter": "locationCountry", "values": [{"descriptor": "INDIA", "id": "deep%d"}]}', k))
+    facet = deep.otherwise(F.format_string('{"facetParameter": "state", "values": [null, {"descriptor": "Karnataka", "id": "deep%d", "values": null}]}', k))
+    for level in range(10):
+        facet = F.concat(F.lit(f'{{"facetParameter": "level{level}", "values": [{{"descriptor": "Goa", "id": "g{level}"}}, '), facet, F.lit(f', {{"descriptor": "India", "id": "i{level}"}}]}}'))
+    return t.orders.select("o_orderkey", V.find_facet(F.concat(F.lit("["), facet, F.lit("]"))).alias("f")).select("o_orderkey", "f.parameter", "f.id")
+
+
 PAY_SQL = "CASE WHEN p_size % 4 = 0 THEN 'Posted ₹' || p_size || '–' || (p_size + 2) || '.5 LPA' WHEN p_size % 4 = 1 THEN 'Posted ₹' || p_size || '–' || (p_size + 1) || ' LPA'"
 
 

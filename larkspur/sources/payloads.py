@@ -7,7 +7,10 @@ rows; `predicates.split_readable` routes them to an error table.
 
 from __future__ import annotations
 
+import contextlib
+import html
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -16,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from larkspur.functions.text import clean_text, first_truthy, is_generic_title, let
 
@@ -126,11 +130,95 @@ def json_ld_count(html: Column) -> Column:
     return F.size(F.regexp_extract_all(html, F.lit(r'((?i)"@type"\s*:\s*"JobPosting")'), F.lit(1)))
 
 
-def embedded_state(html: Column, pattern: str) -> Column:
-    """The JSON that a page holds where the pattern's group finds it, entities and escaped quotes undone; null without."""
-    found = F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
-    plain = F.replace(F.replace(found, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    return F.when(plain.startswith('{\\"') | plain.startswith('[{\\"'), F.replace(plain, F.lit('\\"'), F.lit('"'))).otherwise(plain)
+#: Where a page holds its state: the text of the element with an id, the `value` of such an element, what a name of the
+#: page's script is set to, what a key has in the chunks that scripts push (stitched together), what a key has in text with escaped quotes.
+STATE_FORMS = ("element", "attribute", "assignment", "pushed", "escaped")
+DECODER = json.JSONDecoder()
+ESCAPED = re.compile(r'(?s)(?:[^"\\]|\\.)*')
+
+
+def value_at(text: str, start: int) -> object:
+    """The JSON value that begins at or behind `start`, up to its matching bracket, strings respected; None without one."""
+    at = re.compile(r"\s*").match(text, start).end()
+    try:
+        return DECODER.raw_decode(text, at)[0]
+    except (ValueError, RecursionError):
+        return None
+
+
+def first_value(text: str, pattern: str) -> object:
+    """The first JSON value behind a match of the pattern that can be read."""
+    for found in re.finditer(pattern, text):
+        if (value := value_at(text, found.end())) is not None:
+            return value
+    return None
+
+
+class ElementReader(HTMLParser):
+    """Text and `value` of the first element with an id."""
+
+    VOID = ("input", "meta", "link", "img", "br", "hr")
+
+    def __init__(self, name: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.name, self.tag, self.depth, self.text, self.value = name, None, 0, [], None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.tag is None and dict(attrs).get("id") == self.name:
+            self.tag, self.depth, self.value = tag, int(tag not in self.VOID), dict(attrs).get("value")
+        elif self.depth and tag == self.tag:
+            self.depth += 1
+
+    def handle_endtag(self, tag: str) -> None:
+        self.depth -= bool(self.depth) and tag == self.tag
+
+    def handle_data(self, data: str) -> None:
+        if self.depth:
+            self.text.append(data)
+
+
+def state_in(page: str, form: str, name: str) -> object:
+    if form in ("element", "attribute"):
+        reader = ElementReader(name)
+        reader.feed(page)
+        reader.close()
+        text = (reader.value or "") if form == "attribute" else "".join(reader.text)
+        for written in (text, text.replace('\\"', '"'), html.unescape(text)):  # as it is, with escaped quotes, with references in a script
+            if (value := value_at(written, 0)) is not None:
+                return value
+        return None
+    if form == "assignment":
+        return first_value(page, rf"(?<![\w$.]){re.escape(name)}\s*=(?!=)")
+    key = rf'"{re.escape(name)}"\s*:'
+    if form == "escaped":
+        for found in re.finditer(rf'\\"{re.escape(name)}\\"\s*:', page):
+            rest = ESCAPED.match(page, found.end())[0]  # up to the quote that ends the string around it
+            with contextlib.suppress(ValueError):
+                if (value := value_at(json.loads(f'"{rest}"', strict=False), 0)) is not None:
+                    return value
+        return None
+    chunks = []
+    for found in re.finditer(r"self\.__next_f\.push\(", page):
+        pushed = value_at(page, found.end())
+        if isinstance(pushed, list) and len(pushed) > 1 and isinstance(pushed[1], str):
+            chunks.append(pushed[1])
+    return first_value("".join(chunks), key)
+
+
+def embedded_state(page: Column, form: str, name: str) -> Column:
+    """The state that a page holds under a name in one of STATE_FORMS, as JSON; null without one. Pages are read in Arrow batches."""
+    if form not in STATE_FORMS:
+        raise ValueError(f"form must be one of {', '.join(STATE_FORMS)}")
+
+    def one(text: str | None) -> str | None:
+        value = None if text is None else state_in(text, form, name)
+        return None if value is None else json.dumps(value, ensure_ascii=False)
+
+    @pandas_udf(T.StringType())
+    def read(pages: pd.Series) -> pd.Series:
+        return pages.map(one)
+
+    return read(page)
 
 
 def anchors(pages: DataFrame, html: str = "html", base: str = "url") -> DataFrame:
@@ -254,13 +342,66 @@ def cards(pages: DataFrame, link_pattern: str, html: str = "html", base: str = "
     )
 
 
+class TableReader(HTMLParser):
+    """Rows of a page's tables in order of their beginning, each with the cells of its own table; a table within a cell gives rows of its own, and its text to the cell."""
+
+    def __init__(self, row_attribute: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.wanted = re.compile(row_attribute, re.IGNORECASE)
+        self.rows: list[list[list[str]]] = []  # pieces of text of each cell
+        self.tables: list[dict] = [{"row": None, "cell": None}]  # open tables; the first stands for rows without one
+        self.silent = 0
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        table = self.tables[-1]
+        if tag == "table":
+            self.tables.append({"row": None, "cell": None})
+        elif tag == "tr":
+            table |= {"row": [], "cell": None}
+            if self.wanted.search(self.get_starttag_text() or ""):
+                self.rows.append(table["row"])
+        elif tag in ("td", "th") and table["row"] is not None:
+            table["cell"] = []
+            table["row"].append(table["cell"])
+        self.silent += tag in ("script", "style", "template")
+
+    def handle_endtag(self, tag: str) -> None:
+        table = self.tables[-1]
+        if tag == "table" and len(self.tables) > 1:
+            self.tables.pop()
+        elif tag == "tr":
+            table |= {"row": None, "cell": None}
+        elif tag in ("td", "th"):
+            table["cell"] = None
+        elif tag in ("script", "style", "template") and self.silent:
+            self.silent -= 1
+
+    def handle_data(self, data: str) -> None:
+        if not self.silent:
+            for table in self.tables:
+                if table["cell"] is not None:
+                    table["cell"].append(data)
+
+
 def table_rows(pages: DataFrame, html: str = "html", row_attribute: str = "") -> DataFrame:
-    """(…, item_ord, cells): cleaned cells of the table rows whose tag has row_attribute."""
+    """(…, item_ord, cells): cleaned cells of the table rows whose tag has a match of row_attribute, in order; rows without a cell are left out
+    of the numbers. Nested tables' rows come as rows too. Null pages have none."""
     keep = [c for c in pages.columns if c != html]
-    rows = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)(<tr\b[^>]*{row_attribute}[^>]*>.*?</tr>)"), F.lit(1))
-    found = pages.select(*keep, F.posexplode(rows).alias("item_ord", "row"))
-    cells = F.regexp_extract_all("row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1))
-    return found.select(*keep, "item_ord", F.transform(cells, clean_text).alias("cells")).where(F.size("cells") > 0)
+    source = pages.select(*keep, F.col(html).alias("__html"))
+    schema = T.StructType([*(source.schema[c] for c in keep), T.StructField("item_ord", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for values in batch.itertuples(index=False):
+                reader = TableReader(row_attribute)
+                reader.feed(values[-1] or "")
+                reader.close()
+                listed = [[" ".join(" ".join(cell).split()) for cell in row] for row in reader.rows if row]
+                rows += [(*values[:-1], i, row) for i, row in enumerate(listed)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return source.mapInPandas(run, schema)
 
 
 def sitemap_urls(raw: DataFrame, body: str = "body") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.values import pay_label
@@ -42,7 +42,33 @@ def alert_records(df: DataFrame) -> DataFrame:
 
 def run_line(results: DataFrame, label: str, rows: str, error: str) -> DataFrame:
     """One row on a run: sources, labels, completed, empty and failed ones."""
-    return results.agg(
-        F.count("*").alias("configured"), F.count_distinct(label).alias("labels"), F.count_if(F.col(error).isNull()).alias("completed"),
-        F.count_if(F.col(error).isNull() & (F.col(rows) == 0)).alias("zero"), F.count_if(F.col(error).isNotNull()).alias("failed"),
-    )
+    return results.agg(F.count_distinct(label).alias("labels"), *run_counts(rows, error)).select("configured", "labels", "completed", "zero", "failed")
+
+
+def run_counts(rows: str, error: str) -> list[Column]:
+    none = F.col(error).isNull()
+    return [
+        F.count(F.lit(1)).alias("configured"), F.count_if(none).alias("completed"),
+        F.count_if(none & (F.col(rows) == 0)).alias("zero"), F.count_if(~none).alias("failed"),
+    ]
+
+
+RUN_SCHEMA = "run string, configured long, completed long, zero long, failed long"
+
+
+def record_run(results: DataFrame, path: str, runs: str, run: str, rows: str, error: str) -> dict[str, int]:
+    """Writes a run's results to path and adds its line to the table of runs: the counts are observed while the rows are written, in one pass.
+
+    A run that is repeated replaces its results and its line.
+    """
+    seen = Observation()
+    results.observe(seen, *run_counts(rows, error)).write.mode("overwrite").parquet(path)
+    counts = dict(seen.get)
+    line = results.sparkSession.createDataFrame([(run, *(counts[c] for c in ("configured", "completed", "zero", "failed")))], RUN_SCHEMA)
+    line.write.mode("overwrite").parquet(f"{runs}/line={run}")
+    return counts
+
+
+def run_table(spark: SparkSession, runs: str) -> DataFrame:
+    """The lines of all recorded runs."""
+    return spark.read.schema(RUN_SCHEMA).parquet(f"{runs}/line=*")

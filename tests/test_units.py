@@ -158,6 +158,10 @@ def test_embedded_locations(spark):
         '["Tower A", {"name": "Tower A", "descriptor": "India", "alpha2Code": "IN"}]': "Tower A",
         '{"location": {"city": "Goa", "country": {"name": "India"}}, "x": 1}': "Goa India",
         "{not an object}": "{not an object}",
+        "{'location': " * 30 + "['Tower A', {'city': 'Pune; pune ', 'country': ['India, IN', 'India']}]" + "}" * 30: "Tower A; Pune India",
+        "[" * 3000 + "]" * 3000: "[" * 3000 + "]" * 3000,
+        '["Pune IN", "x", "pune", 5, true, 0]': "pune; x; 5; True",
+        "東京 [1]": "東京",
         **dict.fromkeys((None, "", "[]", "{}"), ""),
     }
     df = spark.createDataFrame([(x,) for x in cases], "x string").select("x", V.flatten_location(F.col("x")).alias("place"))
@@ -175,6 +179,10 @@ def test_url_parameters(spark):
 def test_facets_and_cards(spark):
     facets = [{"facetParameter": "a", "values": [{"descriptor": "Karnataka", "id": "k"}, {"facetParameter": "locationCountry", "values": [{"descriptor": "INDIA", "id": "z"}, {"descriptor": "India", "id": "y"}]}]}]
     assert value(spark, V.find_facet(F.lit(json.dumps(facets)))).asDict() == {"parameter": "locationCountry", "id": "y"}
+    deep = facets
+    for i in range(200):
+        deep = [{"facetParameter": f"p{i}", "values": [{"descriptor": "Goa", "id": 1}, 7, *deep]}, None, "x"]
+    assert value(spark, V.find_facet(F.lit(json.dumps(deep)))).asDict() == {"parameter": "locationCountry", "id": "y"}
     assert value(spark, V.find_facet(F.lit("[]"))) is None and value(spark, V.find_facet(F.lit("{broken"))) is None
     page = "<ul><li><h2>Data <b>Analyst</b></h2><span>Pune</span><a href='/jobs/1'>Apply now</a></li><li><a href='/jobs/2'>Chemist</a></li><li><a href='/jobs/1'>Later</a></li></ul><div>" + "x " * 1500 + "<a href='/jobs/3'>Far</a></div><a href='/jobs/4'>" + "long " * 40 + "</a>"
     found = payloads.cards(spark.createDataFrame([(1, "https://x.org/", page), (2, "https://x.org/", None)], "page_id int, url string, html string"), "/jobs/")
@@ -312,3 +320,38 @@ def test_notice_stream_equals_the_batch_form(spark, tmp_path):
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     key = lambda df: sorted((r.source, r.run, r.kind, r.failed) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(stream.notices(spark.createDataFrame(rows, schema)))
+
+
+def test_states_in_pages(spark):
+    cases = [
+        ("assignment", "window.jobs", "<script>var a = window.jobs; window.jobs = window.jobs || 1; window.jobs={'x'}; window.jobs = [1, {\"a\": \"]};\"}] ;", [1, {"a": "]};"}]),
+        ("pushed", "jobs", 'self.__next_f.push([1,"{\\"jobs\\": [1,"])</script><script>self.__next_f.push([1,"\\"]\\", 2]}"])', [1, "]", 2]),
+        ("escaped", "jobs", 'x = "{\\"jobs\\":[\\"a \\\\\\"] b\\", 2]}"; "jobs": 3', ['a "] b', 2]),
+        ("element", "state", "<div id=state><div>{&quot;a&quot;: </div>1}</div>{}", {"a": 1}),
+        ("attribute", "jobs", "<input name=jobs value='[0]'><INPUT ID=jobs value='[{&quot;a&quot;: &quot;&amp;lt;&quot;}]'>", [{"a": "&lt;"}]),
+        ("element", "state", "<script id='state'>not json</script>", None),
+        ("pushed", "jobs", "self.__next_f.push([1, 'broken", None),
+        ("assignment", "jobs", "", None),
+        ("element", "jobs", None, None),
+    ]
+    for form, name, page, expected in cases:
+        found = value(spark, payloads.embedded_state(F.lit(page).cast("string"), form, name))
+        assert (found and json.loads(found)) == expected, (form, page, found)
+    with pytest.raises(ValueError, match="form"):
+        payloads.embedded_state(F.lit(""), "x", "y")
+
+
+def test_tables_in_tables(spark):
+    page = "<tr><td>a<table><tr class='k'><th>in<td>b &amp; c</table></td><td></td><td>Z</td></tr><table><tr></tr><tr CLASS=k><td>last <b>x</b>"
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "<td>no row</td>")], "item int, html string")
+    rows = lambda **k: [(r.item, r.item_ord, r.cells) for r in payloads.table_rows(pages, **k).orderBy("item_ord").collect()]
+    assert rows() == [(1, 0, ["a in b & c", "", "Z"]), (1, 1, ["in", "b & c"]), (1, 2, ["last x"])]
+    assert rows(row_attribute="class=.?k") == [(1, 0, ["in", "b & c"]), (1, 1, ["last x"])]
+
+
+def test_run_table(spark, tmp_path):
+    results = spark.createDataFrame([("a", 1, None), ("b", 0, None), ("c", 0, "timeout")], "source string, n int, error string")
+    for run, df in (("r1", results), ("r2", results.limit(0)), ("r1", results.where("source <> 'a'"))):
+        sinks.record_run(df, f"{tmp_path}/{run}", f"{tmp_path}/runs", run, "n", "error")
+    assert sorted(tuple(r) for r in sinks.run_table(spark, f"{tmp_path}/runs").collect()) == [("r1", 2, 1, 1, 1), ("r2", 0, 0, 0, 0)]
+    assert spark.read.parquet(f"{tmp_path}/r1").count() == 2
