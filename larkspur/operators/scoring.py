@@ -135,28 +135,41 @@ FORMS = ("__low_title", "__title_form", "__low_text", "__low_body", "__clean", "
 GATES = ("__place", "__senior", "__experience")
 
 
-def with_forms(df: DataFrame) -> DataFrame:
-    """df with FORMS. The description goes through each normal form once; forms of several fields are joined from theirs."""
+def wanted(lane: str, s: Settings) -> Column:
+    """Whether a posting's description can matter to a lane's result, by its place and title. The production and the precision lane
+    tell what experience is asked for, whatever the place."""
+    if lane in ("production", "precision"):
+        return F.lit(True)
+    strong = any_hit(F.col("__low_title"), s.strong_titles)
+    titled = {"base": strong, "expanded": strong | P.is_generic_technical(F.coalesce("title", F.lit("")))}.get(lane, F.lit(True))
+    return F.col("__place") & titled
+
+
+def with_forms(df: DataFrame, s: Settings, lane: str) -> DataFrame:
+    """df with FORMS and GATES, cheap gates first: a description goes through its normal forms, each once, only where the place and the title
+    leave something to it, and loses its markup only where the experience that it asks for does too. Forms of several fields are joined from theirs."""
     fields = {n: F.coalesce(F.col(n), F.lit("")) for n in ("title", "location", "description", "department")}
-    parts = {f"__low_{n}": F.lower(c) for n, c in fields.items()} | {f"__form_{n}": match_text(c) for n, c in fields.items() if n != "location"}
-    parts = once(df.select("*", *(c.alias(n) for n, c in parts.items()), clean_text(fields["description"]).alias("__clean")))
+    place = P.location_matches(fields["location"], s.locations)
+    first = once(df.select("*", F.lower(fields["title"]).alias("__low_title"), match_text(fields["title"]).alias("__title_form"), place.alias("__place")))
+    first = once(first.select("*", F.when(wanted(lane, s), fields["description"]).otherwise("").alias("__description")))
+    lowered = {"location": fields["location"], "description": F.col("__description"), "department": fields["department"]}
+    parts = {f"__low_{n}": F.lower(c) for n, c in lowered.items()} | {f"__form_{n}": match_text(lowered[n]) for n in ("description", "department")}
+    parts = once(first.select("*", *(c.alias(n) for n, c in parts.items())))
     low = lambda *names: F.concat_ws(" ", *(f"__low_{n}" for n in names))
-    form = lambda *names: F.concat_ws(" ", *(F.nullif(F.col(f"__form_{n}"), F.lit("")) for n in names))
-    return once(
+    form = lambda *names: F.concat_ws(" ", *(F.nullif(F.col("__title_form" if n == "title" else f"__form_{n}"), F.lit("")) for n in names))
+    joined = once(
         parts.select(
-            *df.columns, "__low_title", "__clean", F.col("__form_title").alias("__title_form"), F.col("__form_description").alias("__form"),
+            *df.columns, "__low_title", "__title_form", "__place", "__description", F.col("__form_description").alias("__form"),
             low("title", "department", "location", "description").alias("__low_text"), low("title", "department", "description").alias("__low_body"),
             low("title", "description").alias("__titled"), form("department", "description").alias("__body_form"),
             form("title", "department", "description").alias("__whole_form"), form("title", "description").alias("__titled_form"),
         )
     )
-
-
-def with_gates(df: DataFrame, s: Settings) -> DataFrame:
-    place = P.location_matches(F.coalesce("location", F.lit("")), s.locations)
     senior = P.senior_in(F.col("__low_title"), F.col("__titled"), s.blocked, s.rejects)
-    gated = once(df.select("*", place.alias("__place"), senior.alias("__senior")))
-    return once(gated.select("*", F.coalesce("__senior", P.stated_minimum(F.col("__titled_form"))).alias("__experience")))
+    gated = once(joined.select("*", senior.alias("__senior")))
+    gated = once(gated.select("*", F.coalesce("__senior", P.stated_minimum(F.col("__titled_form"))).alias("__experience")))
+    reads_markup = F.lit(lane in ("precision", "adjacent", "cascade")) & F.col("__experience").isNull()
+    return once(gated.select("*", F.when(reads_markup, clean_text(F.col("__description"))).otherwise("").alias("__clean")))
 
 
 def base_lane(p: Posting, s: Settings) -> Column:
@@ -283,7 +296,7 @@ def score_postings(df: DataFrame, settings: Settings | None = None, lane: str =
     """df(title, location, description, department, priority) with score and reasons of a lane; the
     cascade takes the precision lane where it scores, else the adjacent one."""
     s, p = settings or Settings(), Posting.of()
-    steps = with_gates(with_forms(df), s)
+    steps = with_forms(df, s, lane)
     steps = once(once(steps.select("*", base_lane(p, s).alias("__base"))).select("*", expanded_lane(p, s).alias("__expanded")))
     if lane != "cascade":
         return once(steps.select("*", LANES[lane](p, s).alias("lane"))).select(*df.columns, "lane.score", "lane.reasons")
