@@ -171,3 +171,17 @@ def slug_candidates(name: Column) -> Column:
 def urls_in(text: Column, pattern: str, most: int = 12) -> Column:
     """Distinct matches in order, the first `most`."""
     return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))), 1, most)
+
+
+def build_url(base: Column | str, segments: list[Column], parameters: dict[str, Column] | None = None) -> Column:
+    """An address from a base, path segments and query parameters; null parameters are left out, a null segment makes it null."""
+    base = F.lit(base) if isinstance(base, str) else base
+    made = F.concat(F.regexp_replace(base, "/+$", ""), *(F.concat(F.lit("/"), s.cast("string")) for s in segments))
+    pairs = [F.concat(F.lit(f"{n}="), v.cast("string")) for n, v in (parameters or {}).items()]
+    query = F.array_join(F.array_compact(F.array(*pairs)), "&") if pairs else F.lit("")
+    return F.when(query == "", made).otherwise(F.concat(made, F.lit("?"), query))
+
+
+def encoded_state(state: Column) -> Column:
+    """A struct as base64 of its JSON, as request templates carry it."""
+    return F.base64(F.encode(F.to_json(state), "UTF-8"))

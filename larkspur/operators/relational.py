@@ -251,6 +251,33 @@ def with_canonical_name(df: DataFrame, aliases: DataFrame, name: str) -> DataFra
     return df.join(listed, F.lower(name) == F.col("__alias"), "left").withColumn("canonical", F.coalesce("__canonical", name)).drop("__alias", "__canonical")
 
 
+def approved(df: DataFrame, verdicts: DataFrame, key: str, accepted: Column) -> DataFrame:
+    """Rows whose key has an accepted verdict."""
+    return df.join(verdicts.where(accepted).select(key), key, "left_semi")
+
+
+def with_deferred(df: DataFrame, deferred: DataFrame, key: str, status: str = "status") -> DataFrame:
+    """df with `enabled` and the status of a list of deferred keys: a row in the list isn't enabled. A key is in the list once."""
+    listed = deferred.select(key, status, F.lit(True).alias("__deferred"))
+    return df.join(listed, key, "left").withColumn("enabled", F.col("__deferred").isNull()).drop("__deferred")
+
+
+def without_names(df: DataFrame, name: str, *known: DataFrame) -> DataFrame:
+    """Rows whose lower-cased name is in none of known(name): what isn't configured, or isn't retired. Rows without a name stay."""
+    listed = known[0].select(F.lower(known[0].columns[0]).alias("__low"))
+    for k in known[1:]:
+        listed = listed.union(k.select(F.lower(k.columns[0])))
+    return df.withColumn("__low", F.lower(name)).join(listed, "__low", "left_anti").drop("__low")
+
+
+def union_distinct(*frames: DataFrame) -> DataFrame:
+    """Rows of all frames, by position, each once."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out.distinct()
+
+
 def coverage(names: DataFrame, labels: DataFrame, name: str, label: str, normal) -> DataFrame:
     """names with whether a label has the same normal form."""
     known = labels.select(normal(F.col(label)).alias("__n")).distinct().withColumn("__known", F.lit(True))

@@ -131,5 +131,5 @@ def l7_conflicts(t: Tables) -> DataFrame:
 
 @query("l8_retired", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def l8(t: Tables) -> DataFrame:
-    retired = t.supplier.select(F.format_string("customer#%09d", "s_suppkey").alias("low"))
-    return t.customer.withColumn("low", F.lower("c_name")).join(retired, "low", "left_anti").select("c_custkey")
+    retired = t.supplier.select(F.format_string("customer#%09d", "s_suppkey"))
+    return R.without_names(t.customer, "c_name", retired).select("c_custkey")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import match_text
 from larkspur.functions.urls import dedupe_keys
 from larkspur.operators import relational as R
+from larkspur.operators import reports as P
 from larkspur.operators import state as S
 from larkspur.plans.base import Tables, query
 from larkspur.plans.links import KEYS
@@ -202,7 +203,7 @@ def j7(t: Tables) -> DataFrame:
 
 @query("j8_validated", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE n_chars >= 200 AND quality = 1")
 def j8(t: Tables) -> DataFrame:
-    return t.documents.join(t.labels.where("quality = 1").select("doc_id"), "doc_id").where("n_chars >= 200").select("doc_id")
+    return R.approved(t.documents, t.labels, "doc_id", F.col("quality") == 1).where("n_chars >= 200").select("doc_id")
 
 
 @query("j9_canonical_name", "SELECT s_suppkey, CASE WHEN n_nationkey IS NULL THEN s_name ELSE n_name END AS canonical FROM supplier LEFT JOIN nation ON s_suppkey = n_nationkey * 2")
@@ -220,7 +221,7 @@ def j10(t: Tables) -> DataFrame:
 @query("j11_deferred", "SELECT c_custkey, NOT (c_custkey % 3 = 0 AND c_custkey // 3 IN (SELECT s_suppkey FROM supplier)) AS enabled FROM customer")
 def j11(t: Tables) -> DataFrame:
     deferred = t.supplier.select((F.col("s_suppkey") * 3).alias("c_custkey"), F.lit("deferred").alias("status"))
-    return t.customer.join(deferred, "c_custkey", "left").select("c_custkey", F.col("status").isNull().alias("enabled"))
+    return R.with_deferred(t.customer, deferred, "c_custkey").select("c_custkey", "enabled")
 
 
 @query("j12_request_plan", 'SELECT r_name AS term, n_name AS place, "offset" FROM region, nation, (SELECT unnest(range(0, 60, 20)) AS "offset") WHERE n_regionkey = 1')
@@ -253,19 +254,19 @@ def x3(t: Tables) -> DataFrame:
 
 @query("x4_unconfigured", "SELECT c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) AND c_custkey NOT IN (SELECT n_nationkey * 100 FROM nation) ORDER BY lower(c_name)")
 def x4(t: Tables) -> DataFrame:
-    known = t.supplier.select(F.format_string("customer#%09d", "s_suppkey").alias("low")).union(t.nation.select(F.format_string("customer#%09d", F.col("n_nationkey") * 100).alias("low")))
-    return t.customer.withColumn("low", F.lower("c_name")).join(known, "low", "left_anti").orderBy("low").select("c_name")
+    known = t.supplier.select(F.format_string("customer#%09d", "s_suppkey")), t.nation.select(F.format_string("customer#%09d", F.col("n_nationkey") * 100))
+    return R.without_names(t.customer, "c_name", *known).orderBy(F.lower("c_name")).select("c_name")
 
 
 @query("x5_union_distinct", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT n_name FROM nation")
 def x5(t: Tables) -> DataFrame:
     names = t.nation.select(F.col("n_name").alias("name"))
-    return names.union(t.region.select("r_name")).union(names).distinct().orderBy("name")
+    return R.union_distinct(names, t.region.select("r_name"), names).orderBy("name")
 
 
 @query("a1_status_counts", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def a1(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return P.status_counts(t.orders, "o_orderstatus")
 
 
 @query(
@@ -275,15 +276,13 @@ def a1(t: Tables) -> DataFrame:
 )
 def a2(t: Tables) -> DataFrame:
     pending = F.col("o_orderstatus") == "P"
-    rows = t.orders.select(F.when(pending, "REDIRECT").otherwise(F.col("o_orderstatus")).alias("status"), F.when(pending & (F.col("o_orderkey") % 2 == 0), "O").alias("resolved"), "o_orderpriority")
-    rows = rows.withColumn("effective", F.coalesce("resolved", "status"))
-    return rows.groupBy("effective").agg(F.count("*").alias("n"), F.count_if(F.col("effective").isin("O", "F") & (F.col("o_orderpriority") != "5-LOW")).alias("promotable"))
+    status, resolved = F.when(pending, "REDIRECT").otherwise(F.col("o_orderstatus")), F.when(pending & (F.col("o_orderkey") % 2 == 0), "O")
+    return P.effective_counts(t.orders, status, resolved, F.col("effective").isin("O", "F") & (F.col("o_orderpriority") != "5-LOW"))
 
 
 @query("a3_conditional_counts", "SELECT count(*) FILTER (o_orderstatus = 'O') AS working, count(*) FILTER (o_orderstatus = 'F') AS failed, count(*) FILTER (o_orderstatus = 'P') AS unresolved, count(*) FILTER (o_orderstatus = 'F') > 0 AS failing FROM orders")
 def a3(t: Tables) -> DataFrame:
-    status = lambda s: F.count_if(F.col("o_orderstatus") == s)
-    return t.orders.agg(status("O").alias("working"), status("F").alias("failed"), status("P").alias("unresolved"), (status("F") > 0).alias("failing"))
+    return P.conditional_counts(t.orders, "o_orderstatus", {"working": "O", "failed": "F", "unresolved": "P"})
 
 
 @query(
@@ -292,7 +291,7 @@ def a3(t: Tables) -> DataFrame:
 )
 def a4(t: Tables) -> DataFrame:
     each = t.events.groupBy("user_id").agg(F.min("event_type").alias("label"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    return each.agg(F.count("*").alias("configured"), F.count_if(F.col("n") > 0).alias("enabled"), F.count_distinct("label").alias("labels"), F.count_if(F.col("n") > 10).alias("nonempty"), F.count_if(F.col("errors") > 0).alias("failed"))
+    return P.coverage_summary(each, "label", F.col("n") > 0, F.col("n") > 10, F.col("errors") > 0)
 
 
 @query(
@@ -318,7 +317,7 @@ def a6(t: Tables) -> DataFrame:
 
 @query("a7_duplicate_names", "SELECT lower(p_name) AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def a7(t: Tables) -> DataFrame:
-    return t.part.groupBy(F.lower("p_name").alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+    return P.duplicates(t.part, F.lower("p_name"))
 
 
 @query(
@@ -327,9 +326,7 @@ def a7(t: Tables) -> DataFrame:
     SELECT page_id, count(DISTINCT h) AS links, least(count(DISTINCT h) FILTER (regexp_matches(h, '[aeiou]n')), 10) AS targets FROM a GROUP BY 1""",
 )
 def a8(t: Tables) -> DataFrame:
-    anchors = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
-    wanted = F.when(F.col("href").rlike("[aeiou]n"), F.col("href"))
-    return anchors.groupBy("page_id").agg(F.count_distinct("href").alias("links"), F.least(F.count_distinct(wanted), F.lit(10)).alias("targets"))
+    return P.link_counts(t.pages, "page_id", "[aeiou]n")
 
 
 @query(
@@ -345,7 +342,7 @@ def a9(t: Tables) -> DataFrame:
 
 @query("w1_limit_per_source", "SELECT doc_id, source, n FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 7")
 def w1(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", "source", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("n")).where("n <= 7")
+    return P.limit_per_group(t.documents.select("doc_id", "source"), "source", ["doc_id"], 7)
 
 
 @query("w2_single_best", "SELECT conv_id, arg_min(turn, (-length(text), turn)) AS turn FROM conversations GROUP BY 1")
@@ -360,8 +357,7 @@ def w2(t: Tables) -> DataFrame:
 )
 def w3(t: Tables) -> DataFrame:
     runs = t.events.groupBy("user_id", F.date_trunc("day", "ts").alias("run")).agg(F.count_if(F.col("event_type") == "error").alias("failed"))
-    before = F.lag("failed").over(W.partitionBy("user_id").orderBy("run"))
-    return runs.withColumn("changed", F.coalesce(F.col("failed") != before, F.lit(True)))
+    return P.changes(runs, "user_id", "run", "failed")
 
 
 @query("o1_stable_sort", "SELECT row_number() OVER (ORDER BY quality DESC, toxic DESC, doc_id) AS place, doc_id FROM labels")
@@ -371,8 +367,7 @@ def o1(t: Tables) -> DataFrame:
 
 @query("o2_top_alerts", "SELECT doc_id, (SELECT greatest(count(*) - 15, 0) FROM documents) AS remaining FROM documents ORDER BY n_chars DESC, doc_id LIMIT 15")
 def o2(t: Tables) -> DataFrame:
-    rest = t.documents.agg(F.greatest(F.count("*") - 15, F.lit(0)).alias("remaining"))
-    return t.documents.orderBy(F.desc("n_chars"), "doc_id").limit(15).select("doc_id").join(F.broadcast(rest), F.lit(True))
+    return P.top_rows(t.documents, [F.desc("n_chars"), "doc_id"], 15).select("doc_id", "remaining")
 
 
 @query("o3_sort_by_name", "SELECT row_number() OVER (ORDER BY lower(p_name), p_partkey) AS place, p_partkey FROM part")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import relational as R
+from larkspur.operators.reports import fresh
 from larkspur.operators.scoring import score_postings
 from larkspur.plans.base import Tables, query
 from larkspur.plans.scoring import STEPS, postings
@@ -169,5 +170,4 @@ def t5(t: Tables) -> DataFrame:
 
 @query("t6_fresh_events", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY")
 def t6(t: Tables) -> DataFrame:
-    as_of = F.lit("2024-01-20").cast("timestamp")
-    return t.events.where(F.col("ts") >= as_of - F.make_interval(days=F.lit(7))).select("event_id")
+    return fresh(t.events, "ts", F.lit("2024-01-20").cast("timestamp"), 7).select("event_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.functions import urls as U
 from larkspur.plans.base import Tables, query
 
 #: Pieces of SQL that several queries use.
@@ -133,8 +134,8 @@ def p14(t: Tables) -> DataFrame:
 
 @query("p15_build_url", "SELECT doc_id, 'https://example.org/' || source || '/jobs/' || doc_id || '?state=' || base64(encode('{\"id\":' || doc_id || '}')) AS url FROM documents")
 def p15(t: Tables) -> DataFrame:
-    state = F.base64(F.encode(F.to_json(F.struct(F.col("doc_id").alias("id"))), "UTF-8"))
-    return t.documents.select("doc_id", F.concat(F.lit("https://example.org/"), "source", F.lit("/jobs/"), "doc_id", F.lit("?state="), state).alias("url"))
+    state = U.encoded_state(F.struct(F.col("doc_id").alias("id")))
+    return t.documents.select("doc_id", U.build_url("https://example.org/", [F.col("source"), F.lit("jobs"), F.col("doc_id")], {"state": state}).alias("url"))
 
 
 @query(
