@@ -381,6 +381,7 @@ def test_html_over_all_pages():
     assert [html_text.main_text(h) for h in pages] == texts and [html_text.main_text(h) for h in bare] == texts
     changed = lambda **how: sum(html_text.main_text(h, **how) != t for h, t in zip(bare, texts, strict=True))
     assert changed(share=0) == len(pages) and changed(sigma=0) > 0.05 * len(pages)
+    assert sum(html_text.main_text(h, share=0) != t for h, t in zip(pages, texts, strict=True)) == len(pages)  # it drops the menus beside an article
 
 
 def test_html_regions():
@@ -394,6 +395,22 @@ def test_html_regions():
     assert text(f"<p>{long}<p><a href=x>only a link</a><p>{long}").count("\n") == 2
     assert text(f"<article>{rows(3, long)}</article><div>Some words</div><article>{rows(2, long)}</article>").count("\n") == 4
     assert text(f"<h1><a href=/>Title</a></h1>{rows(2, long)}").startswith("Title\n")
+    # an article stays whole
+    short = "".join(f"<p>Short {i}.</p>" for i in range(14))
+    assert text(f"<article>{rows(3, long)}{short}{rows(3, long)}</article>").count("Short") == 14
+    assert text(f"<article>{rows(3, long)}<p><a href=x>Read the source</a></p></article>").endswith("\nRead the source")
+    assert text(f"<article><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>{rows(3, long)}</article>").startswith("One\nTwo\n")
+    assert text(f"<nav><a href=x>no</a></nav><article>{rows(9, long)}</article><article><p>A second one.</p></article><p><a href=x>no</a></p>").endswith("\nA second one.")
+    kept = "".join(f"<p class='{c}'>{c}</p>" for c in ("social-studies", "alert-level", "related", "ad-hoc", "top"))
+    gone = "".join(f"<div class='{c}'>no</div>" for c in ("ad", "ad-slot", "x cookie-notice", "site-footer", "comment_list", "menu", "sidebar2"))
+    assert text(f"<article>{rows(2, long)}{kept}{gone}{rows(2, long)}</article>").count("\n") == 8 and "no" not in text(f"<article>{rows(2, long)}{gone}</article>").split()
+    # articles in elements that are left out: comments and teasers go, an element that isn't closed takes none with it
+    comments = f"<section class=comments><article class=comment><p>{long}</p></article><article><p>{long}</p></article></section>"
+    assert text(f"<main><h1>Head</h1><article>{rows(2, long)}{comments}</article>{comments}</main>").count("\n") == 1
+    assert text(f"<aside><article>{rows(1, 'teaser ' * 30)}</article></aside><article>{rows(2, long)}</article>").count("teaser") == 0
+    assert text(f"<body><div class=ad>buy<article>{rows(2, long)}</article></body>").count("\n") == 1
+    assert text(f"<div><div class=ad>buy<article>{rows(2, long)}</article></div>").count("\n") == 1
+    assert text(f"<main>{rows(2, long)}<p>Short.</p></main>").endswith("\nShort.")
     deep = "<div>" * 30_000 + long + "</i>" * 30_000
     assert text(deep) == long.strip() and len(text(f"<p>{'word ' * 1_000_000}</p>")) == 4_999_999 and text(rows(20_000, "x")).count("x") == 20_000
 
