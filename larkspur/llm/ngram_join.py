@@ -263,11 +263,6 @@ def copy_key(words: Column) -> Column:
     return F.unhex(F.sha2(F.array_join(words, " "), 256))
 
 
-def id_key(doc_id: Column) -> Column:
-    """The id, or a number for rows without one."""
-    return F.coalesce(doc_id, F.lit(-(1 << 62) - 7))
-
-
 def near_duplicates(
     df: DataFrame,
     doc_id: str = "doc_id",
@@ -289,21 +284,23 @@ def near_duplicates(
     forest = lambda hashed, high: with_keys(hashed, n, threshold, trees, low, high, target_recall)
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = docs.withColumn("words", common.split_words(common.ascii_lower(F.col("text"))))
-    texts = texts.select("id", copy_key(F.col("words")).alias("copy"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    texts = texts.select("id", F.xxhash64("text").alias("body"), copy_key(F.col("words")).alias("copy"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     rows = common.written(forest(texts, low).drop("length"), "keys")
 
     # 1: copy classes, numbered by their rows in the written table. A class's text stands for all its copies
-    classes = rows.groupBy("copy").agg(F.min("id").alias("copy_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
+    # the row whose text stands for a class: the one of its smallest id, or without ids any of one text
+    body = F.coalesce(F.min_by("body", "id"), F.min("body"))
+    classes = rows.groupBy("copy").agg(F.min("id").alias("copy_id"), body.alias("body"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
     classes = common.written(common.with_row_id(classes, "rep"), "classes")
 
     # 2: texts that share the shortest prefix of a trie with another text, and all their prefixes
     short = classes.where("n_words > 0").select("rep", F.explode("keys").alias("node"))
     crowded = common.written(short.groupBy("node").agg(F.count("*").alias("texts")).where("texts > 1").select("node"), "crowded")
     some = common.written(short.join(crowded.hint("merge"), "node", "left_semi").select("rep").distinct(), "some")
-    some = classes.select("rep", "copy", F.col("copy_id").alias("id")).join(some.hint("merge"), "rep", "left_semi")
-    # their texts, by the id and then the words: ids may repeat with other texts
-    some = common.written(some.withColumn("key", id_key(F.col("id"))), "wanted")
-    whole = docs.withColumn("key", id_key(F.col("id"))).drop("id").join(some.hint("merge"), "key")
+    some = classes.select("rep", "copy", "body", F.coalesce("copy_id", "body").alias("id")).join(some.hint("merge"), "rep", "left_semi")
+    # their texts, by the id and a hash of the text, since ids may repeat with other texts or be missing, and then the words
+    some = common.written(some, "wanted")
+    whole = docs.withColumn("body", F.xxhash64("text")).withColumn("id", F.coalesce("id", "body")).join(some.hint("merge"), ["id", "body"])
     whole = whole.withColumn("words", common.split_words(common.ascii_lower(F.col("text")))).where(copy_key(F.col("words")) == F.col("copy"))
     whole = whole.groupBy("rep").agg(F.first("words").alias("words")).select("rep", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     whole = common.written(whole, "texts")

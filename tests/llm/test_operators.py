@@ -248,6 +248,25 @@ def test_ngram_join_hostile(spark, odd, none):
     assert found == collections.Counter([(5, 5, 5, 1), (5, 5, 5, 0), (6, 5, 6, 1), (None, 5, 5, 1), (7, 5, 5, 0), (4, 4, 4, 0)])
 
 
+def test_ngram_join_meets_rows_without_ids_by_their_texts(spark, monkeypatch):
+    """Of 300 near copies without an id and 300 under one id, each text meets its own row, not all rows of the same id."""
+    body = [f"v{i}" for i in range(80)]
+    rows = [(k, " ".join([*body, f"{k}-{i}"])) for k in (None, 7) for i in range(300)]
+    sizes = {}
+    written = ngram_join.common.written
+
+    def kept(df, name):
+        sizes[name] = written(df, name)
+        return sizes[name]
+
+    monkeypatch.setattr(ngram_join.common, "written", kept)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.near_duplicates(df).groupBy("class_id", "n_links").count().collect()
+    assert [tuple(r) for r in found] == [(7, 599, 600)] and sizes["texts"].count() == 600
+    docs = df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("body")).withColumn("id", F.coalesce("id", "body"))
+    assert docs.join(sizes["wanted"], ["id", "body"]).count() == 600
+
+
 def brute_quality(text):
     text = text or ""
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
