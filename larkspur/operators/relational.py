@@ -34,6 +34,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_shared(spark: SparkSession) -> None:
+    """Removes what operators have stored in the shared folder. Results that haven't been written or collected can't be read after it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/larkspur")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order."""
     w = W.partitionBy(*keys).orderBy(*order)
@@ -298,14 +304,15 @@ def differences(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
 def missing_parts(observed: DataFrame, index: str, n: int) -> DataFrame:
     """Indices of 0 to n - 1 that no row has."""
     every = observed.sparkSession.range(n).select(F.col("id").alias(index))
-    return every.join(observed.select(F.col(index).cast("long").alias(index)).distinct(), index, "left_anti")
+    return every.join(observed.select(F.col(index).cast("long").alias(index)).distinct().hint("merge"), index, "left_anti")
 
 
 def expect_parts(observed: DataFrame, index: str, n: int) -> DataFrame:
-    """observed, or an error when it is read if a part is missing."""
-    gaps = missing_parts(observed, index, n).agg(F.array_sort(F.collect_list(index)).alias("gaps"))
-    checked = gaps.select(F.assert_true(F.size("gaps") == 0, F.concat(F.lit("missing parts: "), F.col("gaps").cast("string"))).alias("ok"))
-    return observed.join(F.broadcast(checked), F.col("ok").isNull()).drop("ok")
+    """observed, or an error when it is read if a part is missing; it names the first one."""
+    gaps = missing_parts(observed, index, n).agg(F.count("*").alias("gaps"), F.min(index).alias("first"))
+    message = F.concat(F.lit("missing parts: "), F.col("gaps").cast("string"), F.lit(", the first is "), F.col("first").cast("string"))
+    checked = gaps.select(F.assert_true(F.col("gaps") == 0, message).alias("ok"))
+    return observed.join(F.broadcast(checked), F.col("ok").isNull()).drop("ok")  # one row
 
 
 def identity_conflicts(df: DataFrame, identity: str, name: str) -> DataFrame:

@@ -111,7 +111,7 @@ def l6(t: Tables) -> DataFrame:
 )
 def l7(t: Tables) -> DataFrame:
     """Suppliers under their nation as canonical name, each with the nation's board as its source; a conflict would fail."""
-    names = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("alias"), F.col("n_name").alias("canonical"))
+    names = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("alias"), F.col("n_name").alias("canonical"))
     board = F.concat(F.lit("html|board"), F.col("s_nationkey").cast("string"))
     merged = R.consolidated(t.supplier.select("s_suppkey", "s_name", board.alias("identity"), F.array("s_name").alias("aliases")), names, "s_name", "s_suppkey", "identity", ["aliases"])
     return merged.select("canonical", "s_suppkey", F.array_join("aliases", ",").alias("aliases"))
@@ -124,7 +124,7 @@ def l7(t: Tables) -> DataFrame:
 )
 def l7_conflicts(t: Tables) -> DataFrame:
     """What makes a consolidation fail: names with several identities and identities with several names."""
-    names = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    names = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     identity = F.concat(F.lit("b"), (F.col("s_suppkey") % 3 + F.col("s_nationkey")).cast("string"))
     return R.identity_conflicts(names.select(F.col("n_name").alias("name"), identity.alias("identity")), "identity", "name")
 

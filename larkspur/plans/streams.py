@@ -62,6 +62,20 @@ def t2(t: Tables) -> DataFrame:
     return first.union(second).select("event_id")
 
 
+@query("t2_alert_stream", "WITH k AS (SELECT event_id, 'u' || user_id || event_type || props AS key FROM events) SELECT key, min(event_id) AS event_id FROM k GROUP BY 1")
+def t2_stream(t: Tables) -> DataFrame:
+    """Two runs of the stream: the second reads the buckets of its keys, delivers what is new and rewrites these buckets."""
+    folder = f"{R.shared_folder(t.spark)}/t2-{uuid.uuid4().hex}"
+    rows = event_rows(t)
+    cut = F.lit("2024-01-16").cast("timestamp")
+    for run in (rows.where(F.col("ts") < cut), rows.where(F.col("ts") >= cut)):
+        run.select("event_id", "keys").write.mode("append").json(f"{folder}/landed")
+        stream = P.posting_stream(t.spark, f"{folder}/landed", "event_id long, keys array<string>", lambda d: d)
+        P.alert_once(stream, f"{folder}/seen", f"{folder}/out", f"{folder}/checkpoint", "keys", "event_id").awaitTermination()
+    sent = t.spark.read.schema("event_id long, keys array<string>").parquet(f"{folder}/out")
+    return sent.select(F.col("keys")[0].alias("key"), "event_id")
+
+
 #: Days are landed five at a time; one alert key a user and type, met once in each landing; every fiftieth lands ten days late.
 LANDINGS = """r AS (SELECT 'u' || user_id || event_type AS key, ts, CASE WHEN event_id % 50 = 0 THEN least(day(ts) // 5 + 2, 6) ELSE day(ts) // 5 END AS landing FROM events),
     l AS (SELECT key, landing, min(epoch_us(ts)) AS us FROM r GROUP BY ALL)"""

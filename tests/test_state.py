@@ -7,9 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.functions.urls import dedupe_keys
+from larkspur.functions.urls import build_url, dedupe_keys
 from larkspur.operators import classify as C
 from larkspur.operators import relational as R
+from larkspur.operators import reports
 from larkspur.operators import state as S
 from larkspur.streaming import postings as stream
 
@@ -156,3 +157,24 @@ def test_consolidation_fails_on_conflicts(spark):
         run(rows(("A", 1, "x", []), ("b", 2, "y", []))).collect()
     with pytest.raises(Exception, match="another name has the identity of"):
         run(rows(("A", 1, "x", []), ("c", 2, "x", []))).collect()
+
+
+def test_reports(spark):
+    runs = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), ("a", 3, None), ("a", 4, None), ("b", 1, None)], "source string, run int, failed int")
+    assert sorted((r.source, r.run, r.changed) for r in reports.changes(runs, "source", "run", "failed").collect()) == [("a", 1, True), ("a", 2, False), ("a", 3, True), ("a", 4, False), ("b", 1, True)]
+    names = spark.createDataFrame([("A",), ("b",), (None,)], "name string")
+    assert sorted(str(r.name) for r in R.without_names(names, "name", names.where("name = 'b'"), names.where("name = 'x'")).collect()) == ["A", "None"]
+    listed = R.with_deferred(names, spark.createDataFrame([("b", "later")], "name string, status string"), "name").collect()
+    assert {(r.name, r.enabled, r.status) for r in listed} == {("A", True, None), ("b", False, "later"), (None, True, None)}
+    assert reports.top_rows(names.limit(0), ["name"], 3).count() == 0 and reports.top_rows(names, ["name"], 2).first().remaining == 1
+    row = spark.createDataFrame([("x/", None, 5)], "base string, a string, b int").select(build_url(F.col("base"), [F.lit("p"), F.col("b")], {"a": F.col("a"), "b": F.col("b")}).alias("u"), build_url("x", [F.col("b")]).alias("v"), build_url("x", [F.col("a")]).alias("w")).first()
+    assert tuple(row) == ("x/p/5?b=5", "x/5", None)
+
+
+def test_clean_shared(spark):
+    table = R.stored(spark.range(3))
+    assert table.count() == 3
+    R.clean_shared(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST|FAILED_READ"):
+        table.collect()
+    assert R.stored(spark.range(3)).count() == 3
