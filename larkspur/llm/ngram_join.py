@@ -7,13 +7,14 @@ are linked if the Jaccard similarity of their sets is at least `threshold`.
 1. Texts with the same words form one *copy class*; its smallest id represents it,
    and only representatives go on.
 2. A representative has a signature of `max_depth` minhash values in each of `trees` prefix
-   tries. Its prefixes are shortened, value by value, until its expected recall,
+   tries. The floor of its prefixes is the longest length at which its expected recall,
    1 - (1 - s^length)^trees, reaches `target_recall`; s is the least similarity from the threshold up that a
-   text with a set of its size can have to another set, so small sets stop at longer prefixes. The length that the threshold
-   itself needs is the shortest one: texts that share no prefix of this length leave before any other is made.
-3. A node of a trie is a prefix with two texts or more. The nodes at the lengths that texts stop at are
-   opened; a node below an open one adds nothing. A text belongs to the shortest open prefix of its own in
-   each trie, its *bucket* there: two texts meet if they share what either one looks for. The tries are tables of
+   text with a set of its size can have to another set, so small sets have longer floors. Texts that share no prefix of the
+   floor that the threshold itself needs leave before any other prefix is made.
+3. A node of a trie is a prefix with two texts or more. In each trie a text begins at its longest prefix that is a node, and shortens it
+   as long as that brings a text that it hasn't met there, down to its floor (or that of a text it meets, if that
+   is shorter: two texts meet if they share what either one looks for). Where it stops is its *bucket*, and depends on who else
+   shares its prefixes. Further shortening to the floor would add nobody, so stopping early costs no recall. The tries are tables of
    nodes that Spark sorts and groups, so that no task walks a trie.
 4. Buckets with the same members are one bucket. A bucket of more than `block` texts
    (or of much text) is split into blocks; each pair of blocks is one verification
@@ -263,6 +264,17 @@ def copy_key(words: Column) -> Column:
     return F.unhex(F.sha2(F.array_join(words, " "), 256))
 
 
+def buckets_of(inside: DataFrame) -> DataFrame:
+    """(rep, depth, bucket) in each trie from a text's nodes (rep, tree, depth, texts, open, node): the longest prefix from which shortening, level by
+    level, brings no other text down to the shortest open one. Nodes below one another hold the same texts if they hold as many."""
+    path = inside.groupBy("rep", "tree").agg(F.collect_list(F.struct("depth", "texts", "open", "node")).alias("l"))  # a node for each length
+    floor = F.array_min(F.transform(F.filter("l", lambda x: x["open"]), lambda x: F.struct(x["depth"].alias("depth"), x["texts"].alias("texts"))))
+    path = path.select("rep", "l", floor.alias("floor")).where("floor is not null")
+    same = F.filter("l", lambda x: (x["depth"] >= F.col("floor.depth")) & (x["texts"] == F.col("floor.texts")))
+    stop = F.array_max(F.transform(same, lambda x: F.struct(x["depth"].alias("depth"), x["node"].alias("node"))))
+    return path.select("rep", stop.alias("stop")).select("rep", "stop.depth", F.col("stop.node").alias("bucket"))
+
+
 def near_duplicates(
     df: DataFrame,
     doc_id: str = "doc_id",
@@ -309,13 +321,11 @@ def near_duplicates(
     each = deep.select("rep", "length", F.posexplode("keys").alias("at", "node"))
     each = each.select("rep", "length", "node", F.floor(F.col("at") / levels).alias("tree"), (F.col("at") % levels + low).alias("depth"))
 
-    # 3: open nodes, and the shortest of each text in each trie
-    opened = each.groupBy("node").agg(F.count("*").alias("texts"), F.max(F.col("depth") == F.col("length")).alias("open"))
-    opened = common.written(opened.where("texts > 1 and open").select("node"), "open")
-    inside = common.written(each.join(opened.hint("merge"), "node", "left_semi").select("rep", "tree", "depth", "node"), "inside")
-    inside = inside.groupBy("rep", "tree").agg(F.min(F.struct("depth", "node")).alias("first"))
-    sequences = inside.select("rep", F.col("first.node").alias("bucket")).join(deep.select("rep", "n_words").hint("merge"), "rep")
-    sequences = common.written(sequences, "sequences")
+    # 3: nodes with the number of their texts; those at a text's floor are open
+    counted = each.groupBy("node").agg(F.count("*").alias("texts"), F.max(F.col("depth") == F.col("length")).alias("open"))
+    counted = common.written(counted.where("texts > 1"), "nodes")
+    inside = common.written(each.join(counted.hint("merge"), "node").select("rep", "tree", "depth", "texts", "open", "node"), "inside")
+    sequences = common.written(buckets_of(inside).join(deep.select("rep", "n_words").hint("merge"), "rep"), "sequences")
 
     # 4: buckets with two texts or more, one for each set of members
     member = F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")

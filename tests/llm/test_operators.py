@@ -267,6 +267,46 @@ def test_ngram_join_meets_rows_without_ids_by_their_texts(spark, monkeypatch):
     assert docs.join(sizes["wanted"], ["id", "body"]).count() == 600
 
 
+def test_ngram_forest_stops_where_shortening_brings_nobody(spark, monkeypatch):
+    """Pairs at several similarities: where a text's prefix stops follows from whom it shares its prefixes with, and no pair is lost."""
+    rng, rows = random.Random(8), []
+    for i in range(400):
+        body = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        rows.append((2 * i, " ".join(body)))
+        for k in range(rng.randrange(0, 3)):
+            body[20 + 30 * k] = f"x{i}-{k}"
+        rows.append((2 * i + 1, " ".join([*body, "end"])))
+    stops, made = [], ngram_join.buckets_of
+
+    def kept(inside):
+        found = made(inside)
+        stops.extend((r.rep, r.depth) for r in found.collect())
+        walk = collections.defaultdict(dict)
+        for r in inside.collect():
+            walk[r.rep, r.tree][r.depth] = (r.texts, r.open, r.node)
+        expected = []
+        for (rep, _), nodes in walk.items():
+            floor = min((d for d, x in nodes.items() if x[1]), default=None)
+            at = max(nodes)
+            while floor is not None and at > floor and any(nodes[d][0] > nodes[at][0] for d in range(floor, at)):
+                at -= 1
+            if floor is not None:
+                expected.append((rep, at, nodes[at][2]))
+        assert sorted(expected) == sorted((r.rep, r.depth, r.bucket) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(ngram_join, "buckets_of", kept)
+    found = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = {i: c[2] for i, c in brute_join(rows).items()}
+    assert sum(found.values()) >= 0.98 * sum(expected.values()) and all(found[i] <= n for i, n in expected.items())
+    texts = collections.defaultdict(set)
+    for rep, depth in stops:
+        texts[rep].add(depth)
+    lengths, shortest = collections.Counter(d for _, d in stops), collections.Counter(min(d) for d in texts.values())
+    assert set(lengths) == set(range(3, 9)) and max(lengths.values()) <= 0.8 * len(stops)
+    assert max(shortest.values()) <= 0.8 * len(texts) and sum(len(d) > 1 for d in texts.values()) >= 0.5 * len(texts)
+
+
 def brute_quality(text):
     text = text or ""
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
