@@ -197,7 +197,7 @@ OP11_SQL = f"""
 WITH RECURSIVE {CRC_SQL},
 d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 8 AS size, {crc_sql("coalesce(text, '')")} AS text_crc32, sha256(coalesce(text, '')) AS key FROM documents, t),
 s AS (SELECT key, sum(size)::BIGINT AS load FROM d GROUP BY 1),
-g AS (SELECT key, (load >> greatest(length(bin(load)) - 17, 0)) << greatest(length(bin(load)) - 17, 0) AS load FROM s),
+g AS (SELECT key, (load >> greatest(length(bin(load)) - 15, 0)) << greatest(length(bin(load)) - 15, 0) AS load FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY load DESC, key) AS i, row_number() OVER (PARTITION BY load ORDER BY key) AS place FROM g),
 h(i, load, shard, loads) AS (
   SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, list_transform(range(24), lambda x: 0::BIGINT)

@@ -3,9 +3,10 @@
 Rows with equal texts are a group and stay together; a group's size is the sum of its rows' sizes (UTF-8 bytes of the
 text and `ROW_BYTES`). Groups of equal size are alike to the schedule, so the driver needs only
 how many groups there are of each size: a heap of shards takes runs of equal sizes, long runs in one step up to
-the level at which the heap decides again. Sizes count with their first `SIZE_BITS` bits (those below 131,072 bytes exactly,
-larger ones to a part in 65,536), which bounds the number of runs whatever the corpus holds. Which group
-of a run goes where is then a matter of its place among its equals, counted over sorted ranges.
+the level at which the heap decides again. Sizes count with their first `SIZE_BITS` bits (those below 32,768 bytes exactly,
+larger ones to a part in 16,384), which bounds the number of runs whatever the corpus holds: 32,768 and 16,384 for each doubling
+beyond, a row of `n_shards` numbers each. Which group
+of a run goes where is then a matter of its place among its equals, counted over sorted ranges: the first ones go to the first shard.
 
 A null text has no bytes and goes with the empty ones; repeated rows are rows of one group; ties go by the digest of the
 text and to the shard of the least number. A group larger than a shard's share stays whole, and
@@ -16,14 +17,16 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import common
 
-ROW_BYTES, SIZE_BITS = 8, 17
-#: Parts of runs that are broadcast; more are joined by a shuffle.
-MAX_PARTS = 500_000
+ROW_BYTES, SIZE_BITS = 8, 15
+#: Numbers in the schedule up to which it is broadcast (16 MB); a larger one is joined by a shuffle.
+MAX_NUMBERS = 2_000_000
 
 
 def counted_size(size: Column) -> Column:
@@ -32,22 +35,20 @@ def counted_size(size: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", size, spare), spare)
 
 
-def schedule(runs: list[tuple[int, int]], n_shards: int) -> list[list[int]]:
-    """How many groups of each run (size, number of groups), largest size first, each shard gets."""
-    loads, taken = [0] * n_shards, []
-    for size, groups in runs:
-        got = [0] * n_shards
-        if groups > 4 * n_shards:
-            got = level(loads, size, groups)
+def schedule(sizes: np.ndarray, groups: np.ndarray, n_shards: int) -> np.ndarray:
+    """[runs, shards] how many of a run's groups of equal size, the largest size first, each shard gets."""
+    loads, taken = [0] * n_shards, np.zeros((len(sizes), n_shards), np.int64)
+    for run, (size, n) in enumerate(zip(sizes.tolist(), groups.tolist(), strict=True)):
+        got = level(loads, size, n) if n > 4 * n_shards else [0] * n_shards
         heap = [(load + g * size, shard) for shard, (load, g) in enumerate(zip(loads, got, strict=True))]
         heapq.heapify(heap)
-        for _ in range(groups - sum(got)):
+        for _ in range(n - sum(got)):
             load, shard = heap[0]
             got[shard] += 1
             heapq.heapreplace(heap, (load + size, shard))
         for load, shard in heap:
             loads[shard] = load
-        taken.append(got)
+        taken[run] = got
     return taken
 
 
@@ -73,19 +74,16 @@ def assign(docs: DataFrame, n_shards: int = 24, text: str = "text", doc_id: str
         ), "sized",
     )
     groups = rows.groupBy("key").agg(counted_size(F.sum("size")).alias("load"))
-    groups = placed_in_run = common.placed(groups, [F.col("load").desc(), F.col("key")], "place")
-    counts = sorted((tuple(r) for r in groups.groupBy("load").count().collect()), reverse=True)  # bounded by SIZE_BITS
-    parts, first = [], 0
-    for (load, _), got in zip(counts, schedule(counts, n_shards), strict=True):
-        for shard, n in enumerate(got):
-            if n:
-                parts.append((load, first, first + n, shard))
-                first += n
+    groups = common.placed(groups, [F.col("load").desc(), F.col("key")], "place")
+    counts = groups.groupBy("load").count().orderBy(F.desc("load")).toArrow()  # bounded by SIZE_BITS
+    sizes, numbers = (counts.column(c).to_numpy().astype(np.int64) for c in ("load", "count"))
+    ends = np.cumsum(schedule(sizes, numbers, n_shards), axis=1) + (np.cumsum(numbers) - numbers)[:, None]  # among all groups
+    lists = pa.ListArray.from_arrays(np.arange(0, ends.size + 1, n_shards, dtype=np.int32), ends.ravel())
     spark = docs.sparkSession
-    runs = spark.createDataFrame(parts, "load long, first long, after long, shard int")
-    runs = F.broadcast(runs) if len(parts) <= MAX_PARTS else common.written(runs, "runs").hint("merge")
-    within = (F.col("place") >= F.col("first")) & (F.col("place") < F.col("after"))
-    shards = common.written(placed_in_run.join(runs, "load").where(within).select("key", "shard"), "group-shards")
+    runs = spark.createDataFrame(pa.table({"load": pa.array(sizes), "ends": lists}), "load long, ends array<long>")
+    runs = F.broadcast(runs) if ends.size <= MAX_NUMBERS else common.written(runs, "runs").hint("merge")
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("place"))).alias("shard")
+    shards = common.written(groups.join(runs, "load").select("key", shard), "group-shards")
     sharded = common.placed(rows.join(shards.hint("merge"), "key"), [F.col("shard"), F.col("id"), F.col("key")], "place")
     starts, before = [], 0
     rows_of = dict(tuple(r) for r in sharded.groupBy("shard").count().collect())

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,14 +37,14 @@ def test_runs_are_the_heap():
     rng = random.Random(3)
     for n in (1, 2, 7, 24):
         runs = sorted({rng.randrange(1, 4000): rng.choice((1, 2, 30, 700)) for _ in range(40)}.items(), reverse=True)
-        runs = [(10**7, 1), *runs, ]
-        assert sharding.schedule(runs, n) == plain_schedule(runs, n)
-    assert sum(sharding.schedule([(9, 10**15)], 24)[0]) == 10**15
+        runs = [(10**7, 1), *runs]
+        assert sharding.schedule(*np.array(runs).T, n).tolist() == plain_schedule(runs, n)
+    assert sharding.schedule(np.array([9]), np.array([10**15]), 24).sum() == 10**15
 
 
 def test_counted_size(spark):
-    found = spark.createDataFrame([(8,), (131071,), (131073,), (10**12 + 1,)], "n long").select("n", sharding.counted_size(F.col("n")).alias("c")).collect()
-    assert [r.c for r in found[:2]] == [8, 131071] and all(0 <= r.n - r.c <= r.n >> 16 for r in found) and found[2].c == 131072
+    found = spark.createDataFrame([(8,), (32767,), (32769,), (10**12 + 1,)], "n long").select("n", sharding.counted_size(F.col("n")).alias("c")).collect()
+    assert [r.c for r in found[:2]] == [8, 32767] and all(0 <= r.n - r.c <= r.n >> 14 for r in found) and found[2].c == 32768
 
 
 def test_shards(spark):
@@ -69,7 +70,7 @@ def test_shards(spark):
 def test_shards_without_rows_and_written(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     assert sharding.assign(docs.limit(0)).count() == 0
-    monkeypatch.setattr(sharding, "MAX_PARTS", 0)
+    monkeypatch.setattr(sharding, "MAX_NUMBERS", 0)
     sharded = sharding.assign(docs, 3)
     sharding.write_shards(sharded, f"{tmp_path}/shards")
     back = spark.read.parquet(f"{tmp_path}/shards")
