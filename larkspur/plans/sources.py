@@ -260,6 +260,11 @@ def s11(t: Tables) -> DataFrame:
     return files.lines(t.spark, f"{path}/pairs").unionByName(files.lines(t.spark, f"{path}/names", named=False), allowMissingColumns=True)
 
 
+def part() -> Column:
+    """Files of fifty suppliers."""
+    return F.floor(F.col("s_suppkey") / 50).cast("int").alias("batch_index")
+
+
 def documents_of(df: DataFrame, by: str, path: str) -> None:
     """One file with one JSON document for each value of `by`, which stays in the document."""
     df.withColumn("__dir", F.col(by)).repartition("__dir").write.partitionBy("__dir").json(path)
@@ -269,14 +274,14 @@ def documents_of(df: DataFrame, by: str, path: str) -> None:
 def s12(t: Tables) -> DataFrame:
     path = folder(t, "registry")
     row = F.struct(F.col("s_name").alias("name"), F.concat(F.lit("https://x.org/"), F.col("s_suppkey").cast("string")).alias("url"), (F.col("s_suppkey") % 2 == 0).alias("enabled"))
-    documents_of(t.supplier.groupBy("s_nationkey").agg(F.collect_list(row).alias("companies")), "s_nationkey", path)
+    documents_of(t.supplier.groupBy(part()).agg(F.collect_list(row).alias("companies")), "batch_index", path)
     return files.registry(t.spark, path, "name string, url string, enabled boolean").select("name", "url", "enabled")
 
 
-@query("s14_part_files", "SELECT s_nationkey AS batch_index, s_name AS name FROM supplier")
+@query("s14_part_files", "SELECT (s_suppkey // 50)::INTEGER AS batch_index, s_name AS name FROM supplier")
 def s14(t: Tables) -> DataFrame:
     path = folder(t, "parts")
-    results = t.supplier.groupBy(F.col("s_nationkey").alias("batch_index")).agg(F.collect_list(F.struct(F.col("s_name").alias("name"))).alias("results"))
+    results = t.supplier.groupBy(part()).agg(F.collect_list(F.struct(F.col("s_name").alias("name"))).alias("results"))
     documents_of(results, "batch_index", path)
     return files.parts(t.spark, path, "name string").select("batch_index", "name")
 
