@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import IntegralType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from larkspur.operators.relational import greedy_dedupe, stored
 from larkspur.operators.state import BucketState, anti_join_seen
@@ -92,29 +91,18 @@ def recent_alerts(stream: DataFrame, key: str, time: str, delay: str) -> DataFra
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def plain(field: StructField, value):
-    """A value of a pandas row as the state takes it: no numpy or pandas scalars, whole numbers whole, nulls as None."""
-    if not isinstance(value, (list, dict, np.ndarray)) and pd.isna(value):
-        return None
-    if isinstance(value, pd.Timestamp):
-        return value.to_pydatetime()
-    value = value.tolist() if isinstance(value, (np.generic, np.ndarray)) else value
-    return int(value) if isinstance(field.dataType, IntegralType) else value
-
-
 class CarryOver(StatefulProcessor):
     """The state of a key: its rows that wait. A run delivers the first `top` of new and waiting ones, by rank; what is left goes out in the next runs."""
 
-    def __init__(self, top: int, rank: list[str], schema: StructType) -> None:
-        self.top, self.rank, self.schema = top, rank, schema
+    def __init__(self, top: int, schema: StructType) -> None:
+        self.top, self.schema = top, schema  # the rank's columns and the row as JSON
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.schema)
 
     def send(self, rows: list[tuple], now: int) -> Iterator[pd.DataFrame]:
-        at = [self.schema.names.index(c) for c in self.rank]
-        rows.sort(key=lambda r: tuple(r[i] for i in at))
+        rows.sort()
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         if len(rows) > self.top:
@@ -122,34 +110,48 @@ class CarryOver(StatefulProcessor):
             self.handle.registerTimer(now + 1)  # due as soon as a later run moves the watermark
         else:
             self.waiting.clear()
-        sent = pd.DataFrame(rows[: self.top], columns=self.schema.names)
-        yield sent.assign(run=pd.Timestamp(now, unit="ms"))
+        sent = [r[-1] for r in rows[: self.top]]
+        yield pd.DataFrame({"row": pd.Series(sent, dtype=object), "run": pd.Series([pd.Timestamp(now, unit="ms")] * len(sent), dtype="datetime64[ns]")})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         landed = pd.concat(list(rows))
-        now, landed = int(landed["carry_at"].max()), landed[~landed["carry_run"]]
+        now, landed = int(landed["carry_at"].max()), landed[~landed["carry_run"].astype(bool)]
         if not landed.empty:
-            new = [tuple(map(plain, self.schema.fields, r)) for r in landed[self.schema.names].itertuples(index=False, name=None)]
-            yield from self.send([tuple(r) for r in self.waiting.get()] + new, now)
+            new = zip(*(landed[c].tolist() for c in self.schema.names), strict=True)  # Python's own numbers, which the state takes
+            yield from self.send([tuple(r) for r in self.waiting.get()] + list(new), now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         yield from self.send([tuple(r) for r in self.waiting.get()], timerValues.getCurrentWatermarkInMs())
 
 
+#: Rows wait as JSON, with times to the microsecond.
+ROW_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+
+
 def carry_over(stream: DataFrame, runs: DataFrame, key: str, rank: list[str], top: int, time: str = "run") -> DataFrame:
-    """A stream's rows with the `run` that delivers them: at most `top` of each key in a run, in order of rank, the rest in later runs.
+    """A stream's rows with the `run` that delivers them: at most `top` of each key in a run, in ascending order of rank, the rest in later runs.
 
     `runs` is a stream of the times of scheduled runs, by which the watermark moves and waiting rows go out on a feed where nothing
-    lands any more; `time` is when a row landed. Needs the RocksDB state store. Keys share no task, a key's waiting rows are its state; columns of
-    rank hold no nulls.
+    lands any more; `time` is when a row landed. Needs the RocksDB state store. A key's waiting rows are its state, and keys share no task; rows
+    without a key are those of one key. Columns of rank are numbers or texts without nulls.
     """
     columns = [c for c in stream.columns if c != time]
     schema = stream.select(*columns).schema
-    rows = stream.select(*columns, F.col(time).alias("carry_time"), F.lit(False).alias("carry_run"))
-    ticks = runs.select(F.col(time).alias("carry_time"), F.lit(True).alias("carry_run"))
-    both = rows.unionByName(ticks, allowMissingColumns=True).withColumn("carry_at", F.unix_millis("carry_time")).withWatermark("carry_time", "0 seconds")
-    out = StructType([*schema.fields, StructField("run", TimestampType())])
-    return both.groupBy(key).transformWithStateInPandas(CarryOver(top, rank, schema), out, "Append", "EventTime")
+    ranks = [StructField(f"carry_rank{i}", stream.schema[c].dataType) for i, c in enumerate(rank)]
+    # no column of a group is ever null: a null would make pandas read whole numbers, keys among them, as floats
+    rows = stream.select(
+        F.coalesce(F.concat(F.lit("+"), F.col(key).cast("string")), F.lit("-")).alias("carry_key"), F.col(time).alias("carry_time"), F.lit(False).alias("carry_run"),
+        *(F.col(c).alias(f.name) for c, f in zip(rank, ranks, strict=True)), F.to_json(F.struct(*columns), ROW_OPTIONS).alias("carry_row"),
+    )
+    ticks = runs.select(
+        F.lit("").alias("carry_key"), F.col(time).alias("carry_time"), F.lit(True).alias("carry_run"),
+        *((F.lit("") if isinstance(f.dataType, StringType) else F.lit(0).cast(f.dataType)).alias(f.name) for f in ranks), F.lit("").alias("carry_row"),
+    )
+    both = rows.unionByName(ticks).withColumn("carry_at", F.unix_millis("carry_time")).withWatermark("carry_time", "0 seconds")
+    state = StructType([*ranks, StructField("carry_row", StringType())])
+    out = StructType([StructField("row", StringType()), StructField("run", TimestampType())])
+    sent = both.groupBy("carry_key").transformWithStateInPandas(CarryOver(top, state), out, "Append", "EventTime")
+    return sent.select(F.from_json("row", schema, ROW_OPTIONS).alias("row"), "run").select("row.*", "run")
 
 
 NOTICE_SCHEMA = StructType([StructField("source", StringType()), StructField("run", LongType()), StructField("kind", StringType()), StructField("failed", StringType())])
@@ -225,7 +227,7 @@ class NoticeProcessor(StatefulProcessor):
 
 def notice_stream(runs: DataFrame, every: int = 86_400, clock: DataFrame | None = None) -> DataFrame:
     """notices over a stream of runs; needs the RocksDB state store. `clock`, a stream of times (run, in seconds), lets
-    a source's notice go out `every` seconds after its last one though none of its own runs lands."""
+    a source's notice go out `every` seconds after its last one though none of its own runs lands; rows without a source are then left out."""
     rows = with_delivery(runs)
     if clock is None:
         return rows.groupBy("source").transformWithStateInPandas(NoticeProcessor(every), NOTICE_SCHEMA, "Append", "none")

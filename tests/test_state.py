@@ -93,6 +93,35 @@ def test_waiting_rows_go_out_on_a_quiet_feed(spark, tmp_path):
     assert sent == {(0, 0), (0, 1), (0, 2), (1, 3), (1, 4), (1, 5), (2, 6)}
 
 
+def test_carry_over_of_many_keys(spark, tmp_path):
+    """Two landings and a quiet run: whole numbers beyond a float's, nulls and rows without a key come out as they went in, in order of rank."""
+    rng = random.Random(6)
+    big = 2**53 + 1
+    rows = [(rng.choice((None, *range(40))), big + i, rng.choice((None, big)), rng.choice((0.5, 1.5)), f"2024-01-01 00:00:00.{i:06d}") for i in range(400)]
+    schema = "k long, id long, note long, value double, at timestamp, run timestamp"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for k in range(3):
+        now = f"2024-02-01 0{k}:00:00"
+        land(tmp_path / "in", f"{k}.json", [dict(zip(("k", "id", "note", "value", "at", "run"), (*r, now), strict=True)) for r in rows[k * 200 : k * 200 + 200]] if k < 2 else [])
+        land(tmp_path / "runs", f"{k}.json", [{"run": now}])
+        stream_of = lambda name, s: stream.posting_stream(spark, str(tmp_path / name), s, lambda d: d)
+        found = stream.carry_over(stream_of("in", schema), stream_of("runs", "run timestamp"), "k", ["value", "id"], 2)
+        found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set(provider, before)
+    expected, waiting = [], {}
+    for k in range(3):
+        for r in rows[k * 200 : k * 200 + 200] if k < 2 else []:
+            waiting.setdefault(r[0], []).append(r)
+        for key, of in waiting.items():
+            of.sort(key=lambda r: (r[3], r[1]))
+            expected += [(*r, f"2024-02-01 0{k}:00:00") for r in of[:2]]
+            waiting[key] = of[2:]
+    sent = [(r.k, r.id, r.note, r.value, r.at.strftime("%Y-%m-%d %H:%M:%S.%f"), str(r.run)) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(sent, key=repr) == sorted(expected, key=repr)
+
+
 def test_daily_notice_on_a_quiet_feed(spark, tmp_path):
     """A source that failed once and is silent since is reported again a day later, by the clock alone."""
     day = 86_400
