@@ -59,7 +59,7 @@ PLACES = set(
 #: Words that mark it as a menu.
 MENU_MARKS = set("nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar".split())
 #: Marks of a page's header, which within an article may hold its title.
-HEADER_MARKS = {"header", "topbar", "top"}
+HEADER_MARKS = {"header", "topbar"}
 ROLES = {"banner", "contentinfo", "complementary", "search", "form", "alert", "dialog"}
 MENU_ROLES = {"navigation", "menu", "menubar"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -71,11 +71,11 @@ WORD = re.compile(r"[^\W_]")
 KEPT, MENU, OUT = 0, 1, 2
 
 
-def called(value: str, marks: set[str], first: bool = False) -> bool:
-    """Whether a token of a class or id consists of marks and PLACES, with a mark among them (of which one is its first word, if asked for)."""
+def called(value: str, marks: set[str]) -> bool:
+    """Whether a token of a class or id consists of marks and PLACES, with a mark among them."""
     for token in value.split():
         words = [w for w in MARK_SPLIT.split(token) if w]
-        if words and (words[0] in marks if first else not marks.isdisjoint(words)) and all(w in marks or w in PLACES for w in words):
+        if not marks.isdisjoint(words) and all(w in marks or w in PLACES for w in words):
             return True
     return False
 
@@ -142,7 +142,7 @@ class LineReader(HTMLParser):
                     return OUT
                 found = MENU if value in MENU_ROLES else found
             if name in ("class", "id"):
-                if called(value, marks) or not whole and not within and called(value, HEADER_MARKS, first=True):
+                if called(value, marks) or not whole and not within and called(value, HEADER_MARKS):
                     return OUT
                 found = MENU if not whole and called(value, MENU_MARKS) else found
         return found

@@ -463,6 +463,7 @@ def test_html_regions():
     kept = "".join(f"<p class='{c}'>{c}</p>" for c in ("social-studies", "alert-level", "related", "ad-hoc", "top"))
     gone = "".join(f"<div class='{c}'>no</div>" for c in ("ad", "ad-slot", "x cookie-notice", "site-footer", "comment_list", "menu", "sidebar2"))
     assert text(f"<article>{rows(2, long)}{kept}{gone}{rows(2, long)}</article>").count("\n") == 8 and "no" not in text(f"<article>{rows(2, long)}{gone}</article>").split()
+    assert text(f"<div class=site-header><p>{long}</p></div><div id=top><div class=entry-header><h1>Head of it</h1></div>{rows(2, long)}</div>").count("\n") == 2
     # articles in elements that are left out: comments and teasers go, an element that isn't closed takes none with it
     comments = f"<section class=comments><article class=comment><p>{long}</p></article><article><p>{long}</p></article></section>"
     assert text(f"<main><h1>Head</h1><article>{rows(2, long)}{comments}</article>{comments}</main>").count("\n") == 1
