@@ -12,7 +12,8 @@ chosen by a hash of the id. Counts cover whole texts of every row.
 
 Null texts have no words; very long texts are measured whole, in one row. Without labels of both kinds no rule is learned and all
 texts are kept. Repeated rows each keep their row; an empty table gives none. An input column with an
-output's name is replaced.
+output's name is replaced. Of conditions with equal gain the first counts (by the order of FEATURES, then at most before at
+least, then the lower threshold); labelled rows are put in order by id and statistics first, so the list doesn't depend on partitions.
 """
 
 from __future__ import annotations
@@ -28,9 +29,34 @@ from larkspur.llm import common
 
 MAX_LABELLED = 20_000
 SYMBOLS = "#*$%&|<>"
+#: A word from its first symbol on.
+SYMBOL_REST = r"[#*$%&|<>][^\x20\x09-\x0D]*+"
 FEATURES = ("log_words", "word_length", "symbol_share", "upper_share", "digit_share", "mark_share", "dup_line_share", "repeat_share", "distinct_share", "line_words", "symbol_word_share")
 
 
+def repeated_places(stats: DataFrame) -> DataFrame:
+    """stats(hashes, span, ..) with `places`, in order, of the hashes that occur twice or more, in place of both.
+
+    Plain numbers are sorted: the upper bits of a hash with its place below them (`span`: a power of two above all places). Neighbours with
+    equal upper bits are the candidates; only in a text where such hashes differ are the candidates sorted again, by whole hashes.
+    """
+    h, top = F.col("hashes"), -F.col("span")
+    stats = stats.withColumn("sorted", F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(top).bitwiseOR(i.cast("long")))))
+    stats = common.settled(stats)
+    s, c, t = F.col("sorted"), F.col("twice"), F.col("pairs")
+    near = lambda a, x, k: F.coalesce(x.bitwiseXOR(F.get(a, k)).bitwiseAND(top) == 0, F.lit(False))
+    stats = stats.withColumn("twice", F.filter(s, lambda x, k: near(s, x, k + 1) | near(s, x, k - 1))).drop("sorted")
+    stats = common.settled(stats)
+    place = lambda x: x.bitwiseAND(F.col("span") - 1).cast("int")
+    mixed = F.size(F.filter(c, lambda x, k: near(c, x, k - 1) & (F.get(h, place(x)) != F.get(h, place(F.get(c, k - 1)))))) > 0
+    whole = F.sort_array(F.transform(c, lambda x: F.struct(F.get(h, place(x)).alias("h"), place(x).alias("p"))))
+    stats = stats.withColumn("pairs", F.when(mixed, whole)).withColumn("places", F.transform(c, place)).drop("twice", "hashes", "span")
+    stats = common.settled(stats)
+    same = lambda x, k: F.coalesce(F.get(t, k)["h"] == x["h"], F.lit(False))
+    exact = F.transform(F.filter(t, lambda x, k: same(x, k + 1) | same(x, k - 1)), lambda x: x["p"])
+    return common.settled(stats.withColumn("places", F.sort_array(F.coalesce(exact, F.col("places")))).drop("pairs"))
+
+
 def measure(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df's columns `keep` (all by default) with n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words and the shares in FEATURES."""
@@ -40,7 +66,7 @@ def measure(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     w = F.col("words")
     stats = body.select(
         "row",
-        common.split_words(F.col("body")).alias("words"),
+        F.array_remove(F.split("body", common.SPACE_CLASS), "").alias("words"),
         F.filter(F.split("body", "\n"), lambda x: F.length(F.translate(x, common.SPACES, "")) > 0).alias("lines"),
         F.length(F.translate("body", common.SPACES, "")).cast("long").alias("word_chars"),
         F.length(F.translate("body", SYMBOLS, "")).alias("no_symbols"),
@@ -48,24 +74,20 @@ def measure(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
         F.length(F.translate("body", "0123456789", "")).alias("no_digits"),
         F.length(F.translate("body", "!?", "")).alias("no_marks"),
         F.length("body").alias("chars"),
+        F.regexp_count("body", F.lit(SYMBOL_REST)).alias("symbol_words"),
     )
     stats = common.settled(stats)
-    window = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))
-    windows = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), window))
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
     stats = stats.select(
         "*",
         F.size(w).cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").alias("n_lines"),
         F.size(F.array_distinct(w)).alias("n_distinct"),
-        F.size(F.filter(w, lambda x: F.length(F.translate(x, SYMBOLS, "")) < F.length(x))).alias("symbol_words"),
-        F.sort_array(windows).alias("sorted"),
+        F.when(F.size(w) >= 3, windows).alias("hashes"),
+        F.pow(F.lit(2), F.length(F.bin(F.size(w).cast("long")))).cast("long").alias("span"),
     ).drop("words", "lines")
-    stats = common.settled(stats)
-    s = F.col("sorted")
-    twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) & (k > 0) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
-    stats = stats.withColumn("places", F.sort_array(F.transform(twice, lambda x: x["p"]))).drop("sorted")
-    stats = common.settled(stats)
+    stats = repeated_places(common.settled(stats))
     p = F.col("places")
     covered = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
     stats = stats.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))

@@ -350,6 +350,20 @@ def test_quality_on_labels(spark):
     judged.unpersist()
 
 
+def test_learned_rules_by_hand(spark):
+    """Every row's verdict is that of the first learned rule whose thresholds its statistics meet, taken row by row in Python."""
+    docs, labels = common.table(spark, DATA, "documents"), common.table(spark, DATA.replace("sf0.001", "sf0.01"), "labels")
+    rules = quality_rules.fit(common.table(spark, DATA.replace("sf0.001", "sf0.01"), "documents"), labels)
+    assert rules
+    rows = quality_rules.judge(docs, labels, rules=rules).collect()
+    met = lambda r, rule: all(r[f] >= t if at_least else r[f] <= t for f, at_least, t in rule.conditions)
+    for r in rows:
+        first = next((k for k, rule in enumerate(rules, 1) if met(r, rule)), 0)
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert (r.rule, r.base_failed, r.kept) == (first, failed, not failed and not first)
+    assert any(r.rule for r in rows) and len(rows) == docs.count()
+
+
 def test_toxicity_clauses():
     g = toxicity.Grammar({"idiot": 3.0, "stupid": 2.5}, {"moro": 3.0})
     taken = lambda t: [dict(zip(toxicity.NAMES, p.tolist(), strict=True)) for p in g.clauses(t)]
@@ -534,3 +548,14 @@ def test_digests(spark):
     for r in rows:
         ids = [*library.encode(r.text, add_special_tokens=False).ids, 2]
         assert out[r.doc_id].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and out[r.doc_id].n_tokens == len(ids)
+
+
+def test_places_of_hashes_with_equal_upper_bits(spark):
+    """Hashes that differ only below the bits that are sorted: those found once are no repeats, wherever they lie."""
+    rows = [(0, [64, 65, 64, 66, -1, -2, -64, 65, 3], 16), (1, [5, 5, 5], 4), (2, [7], 2), (3, None, 1), (4, [64, 65, 66], 4), (5, [], 1), (6, [-(2**63), 2**63 - 1, -(2**63), 0], 8)]
+    found = quality_rules.repeated_places(spark.createDataFrame(rows, "id int, hashes array<long>, span long"))
+    expected = {i: None if h is None else [k for k, x in enumerate(h) if h.count(x) > 1] for i, h, _ in rows}
+    assert {r.id: r.places for r in found.collect()} == expected and found.columns == ["id", "places"]
+    words = "a b c a b c d e f a b c".split() * 3 + [f"w{i}" for i in range(3000)] + ["a", "b", "c"]
+    text = spark.createDataFrame([(1, " ".join(words))], "doc_id int, text string")
+    assert quality_rules.measure(text).first().n_repeat_words == brute_quality(" ".join(words))[4]
