@@ -396,6 +396,34 @@ def test_toxicity_composition():
         assert [(out, sorted(f)) for out, f in paths(both, symbols)] == sorted((out, sorted(f)) for out, f in cascade)
 
 
+def test_best_path_is_the_best_of_all_paths():
+    """The weight of a clause's best path is the largest of all paths through the five machines, listed one by one."""
+    machines = [toxicity.insults(), toxicity.scope("negation", 2, "negated"), toxicity.scope("report", 6, "reported"), toxicity.targets(), toxicity.threats()]
+    rng = random.Random(5)
+    hot = {"idiot": 3.0, "fool": 1.5}
+    words = ["idiot", "fool", "you", "not", "said", "will", "kill", "so", "word"]
+    classes = {w: "insult" if w in hot else toxicity.KNOWN.get(w, "other") for w in words}
+
+    def listed(tokens, weights):
+        found = [(tuple(classes[w] for w in tokens), ())]
+        for m in machines:
+            after = []
+            for symbols, names in found:
+                states = [(m.start, (), names)]
+                for c in symbols:
+                    states = [(n, out + (z,), taken + f) for s, out, taken in states for n, z, f in m.arcs[s, c]]
+                after += [(out, taken) for s, out, taken in states if s in m.final]
+            found = after
+        lexical = lambda out: weights[1] * sum(hot[w] for w, z in zip(tokens, out, strict=True) if z == "insult")
+        return max(lexical(out) + sum(weights[toxicity.NAMES.index(n)] for n in names) for out, names in found)
+
+    for _ in range(400):
+        weights = toxicity.PRIOR if rng.random() < 0.5 else np.array([rng.uniform(a, b) for a, b in zip(toxicity.LOW, toxicity.HIGH, strict=True)])
+        tokens = rng.choices(words, k=rng.randint(1, 7))
+        path = toxicity.Grammar(hot, {}, weights).best_path(tokens, hot)
+        assert (0.0 if path is None else path[1:] @ weights[1:]) == pytest.approx(max(0.0, listed(tokens, weights))), tokens
+
+
 def test_toxicity_held_out(spark, odd, none):
     sf = DATA.replace("sf0.001", "sf0.1")
     labels = common.table(spark, sf, "labels")
