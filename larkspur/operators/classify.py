@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import urls as U
 from larkspur.operators.relational import add_missing, last_per_key, stored
+from larkspur.operators.state import key_filter, possible
 
 RULE_SCHEMA = "priority int, kind string, pattern string, ats string, attrs map<string,string>"
 #: Rules, and bytes of their texts, that are broadcast; more are joined by a shuffle.
 MAX_RULES, MAX_RULE_BYTES = 400_000, 64_000_000
 #: Lengths of the runs of characters that path rules are looked up by: each by the longest that its pattern has, as few rules share long runs.
 RUNS = (3, 6, 12, 24)
+#: Rules that may share a whole word of their patterns to be looked up by it; a path has few words and many runs.
+WORD_RULES = 16
 
 # Hosts of the common providers, and what a source's address says about its board.
 SLUG = {"slug": "{first}", "career_site_url": "{url}"}
@@ -61,32 +64,53 @@ def runs_of(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
 
 
+def words_of(text: Column) -> Column:
+    """The distinct whole words of a text, each with the character before it: a text that holds another has all of the other's."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("([^a-z0-9][a-z0-9]++)(?=[^a-z0-9])"), F.lit(1)))
+
+
+def rarest(parts: DataFrame) -> DataFrame:
+    """(run, rule, rules): of parts(rule, run) each rule with the run that the fewest rules have, and how many these are; without a run both are null."""
+    counts = stored(parts.where("run is not null").groupBy("run").agg(F.count("*").alias("rules")))
+    least = F.min_by(F.struct("run", "rule", "rules"), F.struct("rules", "run")).alias("r")
+    return parts.join(counts.hint("merge"), "run", "left").groupBy("rule.priority", "rule.ats", "rule.part", F.to_json("rule.attrs")).agg(least).select("r.*")
+
+
 def indexed_rules(rules: DataFrame) -> DataFrame:
-    """(__key, rule): each rule under what it is looked up by: a name, a host, or of a path rule's runs the one that the fewest rules have."""
+    """(__key, rule): each rule under what it is looked up by: a name, a host, or of a path rule's whole words the one that the fewest rules
+    have; where it has none or more than WORD_RULES have it, of the pattern's runs the one that the fewest of these rules have."""
     rule = F.struct("priority", "ats", "attrs", F.when(F.col("kind") == "path", F.lower("pattern")).alias("part"))
     exact = rules.where("kind <> 'path'").select(F.concat("kind", F.lit(":"), F.lower("pattern")).alias("__key"), rule.alias("rule"))
     low = F.lower("pattern")
     runs = F.array(low)
     for n in RUNS:
         runs = F.when(F.length(low) >= n, runs_of(low, n)).otherwise(runs)
-    parts = rules.where("kind = 'path' and pattern <> ''").select(rule.alias("rule"), F.explode(runs).alias("run"))
-    counts = parts.groupBy("run").agg(F.count("*").alias("rules"))
-    rarest = parts.join(counts.hint("merge"), "run").groupBy("rule.priority", "rule.ats", "rule.part", F.to_json("rule.attrs")).agg(F.min_by(F.struct("run", "rule"), F.struct("rules", "run")).alias("r"))
-    return exact.union(rarest.select(F.concat(F.lit("path:"), "r.run").alias("__key"), "r.rule"))
-
-
-def broadcast_or_merge(index: DataFrame) -> DataFrame:
-    """The stored index, broadcast if it is within MAX_RULES and MAX_RULE_BYTES."""
+    paths = rules.where("kind = 'path' and pattern <> ''").select(rule.alias("rule"))
+    worded = stored(rarest(paths.select("rule", F.explode_outer(words_of(F.col("rule.part"))).alias("run"))))
+    known = F.coalesce(F.col("rules") <= WORD_RULES, F.lit(False))
+    rest = worded.where(~known).select("rule", F.col("rule.part").alias("pattern"))
+    others = rarest(rest.select("rule", F.explode(runs).alias("run")))
+    index = exact.union(worded.where(known).select(F.concat(F.lit("word:"), "run").alias("__key"), "rule"))
+    return index.union(others.select(F.concat(F.lit("path:"), "run").alias("__key"), "rule"))
+
+
+def looked_up(keys: DataFrame, index: DataFrame) -> DataFrame:
+    """keys with the rules of the stored index, which is broadcast if it is within MAX_RULES and MAX_RULE_BYTES. Else both are shuffled, of
+    keys only those that a filter of the index lets through."""
     rows, size = index.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__key") + F.octet_length(F.to_json("rule"))), F.lit(0))).first()
-    return F.broadcast(index) if rows <= MAX_RULES and size <= MAX_RULE_BYTES else index.hint("merge")
+    if rows <= MAX_RULES and size <= MAX_RULE_BYTES:
+        return keys.join(F.broadcast(index), "__key")
+    asked = index.select(F.col("__key").alias("key")).distinct()
+    maybe = possible(keys.withColumnRenamed("__key", "key"), *key_filter(asked)).withColumnRenamed("key", "__key")
+    return maybe.join(index.hint("merge"), "__key")
 
 
 def classify_sources(df: DataFrame, rules: DataFrame, name: str, url: str, default: str = "direct_job_html") -> DataFrame:
     """df with `ats` and `attrs`: those of the first rule that fits, by priority, with the parts of the address put in (`filled`).
 
     A rule (RULE_SCHEMA) fits a name exactly (kind `name`), a host or its subdomains (`host`) or a part of the path (`path`).
-    All are looked up by equality, in one join: names, hosts with their parent domains, and path rules by the rarest of their
-    runs of characters (RUNS), of which only the found ones are compared with the path. The plan doesn't grow with the rules.
+    All are looked up by equality, in one join: names, hosts with their parent domains, and path rules by the rarest of their whole words
+    or else of their runs of characters (RUNS); only the found ones are compared with the path. The plan doesn't grow with the rules.
     """
     low = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__host", U.host(F.col(url))).withColumn("__path", F.lower(U.path(F.col(url))))
     low = stored(low)  # from here on the ids hold
@@ -94,14 +118,15 @@ def classify_sources(df: DataFrame, rules: DataFrame, name: str, url: str, defau
     labels = F.split("__host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     asked = [F.transform(parents, lambda p: F.concat(F.lit("host:"), p)), F.array(F.concat(F.lit("name:"), F.lower(name)))]
-    lengths = sorted(r.n for r in index.where("rule.part is not null").select((F.length("__key") - F.lit(len("path:"))).alias("n")).distinct().collect())  # below the least of RUNS, or one of them
+    asked.append(F.transform(F.coalesce(words_of(F.col("__path")), F.array().cast("array<string>")), lambda w: F.concat(F.lit("word:"), w)))
+    lengths = sorted(r.n for r in index.where("rule.part is not null and startswith(__key, 'path:')").select((F.length("__key") - F.lit(len("path:"))).alias("n")).distinct().collect())  # below the least of RUNS, or one of them
     keys = low.select("__id", "__path", F.explode(F.concat(*asked)).alias("__key"))
     if lengths:
         sized = low.select("__id", "__path", F.explode(F.array(*map(F.lit, lengths))).alias("__n")).where(F.length("__path") >= F.col("__n"))
         spots = sized.select("*", F.explode(F.sequence(F.lit(1), F.length("__path") - F.col("__n") + 1)).alias("__at"))
         keys = keys.union(spots.select("__id", "__path", F.concat(F.lit("path:"), F.substring("__path", F.col("__at"), F.col("__n")))))
     fits = F.coalesce(F.contains("__path", F.col("rule.part")), F.lit(True))
-    hits = keys.join(broadcast_or_merge(index), "__key").where(fits)
+    hits = looked_up(keys, index).where(fits)
     first = stored(hits.groupBy("__id").agg(F.min_by("rule", F.struct("rule.priority", "rule.ats")).alias("exact")))
     found = low.join(first.hint("merge"), "__id", "left")
     none = F.create_map().cast("map<string,string>")

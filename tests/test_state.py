@@ -176,6 +176,17 @@ def test_path_rules(spark, monkeypatch, most):
     assert C.classify_sources(spark.createDataFrame(rows, "url string, name string, expected string"), spark.createDataFrame([], C.RULE_SCHEMA), "name", "url").where("ats = 'direct_job_html'").count() == len(rows)
 
 
+def test_path_rules_have_few_lookups(spark, monkeypatch):
+    """Numbers of which no run of twelve characters is one rule's own: each rule is found by its whole word, and no run of a path is looked up."""
+    monkeypatch.setattr(C, "MAX_RULES", 0)
+    numbers = [f"1{a:03}0000000000{b:03}" for a in range(20) for b in range(20)]
+    rules = spark.createDataFrame([(i, "path", f"/{n}-", n, None) for i, n in enumerate(numbers)], C.RULE_SCHEMA)
+    index = C.indexed_rules(rules)
+    assert index.groupBy("__key").count().agg({"count": "max"}).first()[0] == 1 and index.where("startswith(__key, 'path:')").count() == 0
+    urls = spark.createDataFrame([(f"https://x.org/a/{n}-{i % 7}/apply", "x", n) for i, n in enumerate(numbers)], "url string, name string, expected string")
+    assert C.classify_sources(urls, rules, "name", "url").where("ats <=> expected").count() == len(numbers)
+
+
 def test_consolidation_fails_on_conflicts(spark):
     aliases = spark.createDataFrame([("b", "A"), ("c", "C")], "alias string, canonical string")
     rows = lambda *r: spark.createDataFrame(r, "name string, ord long, identity string, terms array<string>")
