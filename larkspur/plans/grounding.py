@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,15 +40,18 @@ def g1(t: Tables) -> DataFrame:
 
 
 Q_TOKENS = TOKENS.replace("coalesce(text, '')", "coalesce(q, '')")
+TERMS = ", ".join(f"' {re.sub('[^a-z0-9+#./]+', ' ', t)} '" for t in G.TECH_TERMS)
+PLACEHOLDERS = " OR ".join(f"contains(lower(text), '{p}')" for p in G.PLACEHOLDERS)
+#: The rules of `grounding.rejection`, in its order; a missing text is an empty one.
+REASON = f"""k AS (SELECT *, list_distinct({TOKENS}) AS tt, list_distinct({Q_TOKENS}) AS qt, ' ' || {TECH.format('text')} || ' ' AS tf, ' ' || {TECH.format('q')} || ' ' AS qf FROM c)
+    SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN length(text) > 120 THEN 'too long' WHEN {PLACEHOLDERS} THEN 'placeholder' WHEN regexp_matches(text, '[\u200b\u200c\u200d]') THEN 'hidden character'
+    WHEN NOT {VALID} THEN 'invalid evidence'
+    WHEN len(list_filter({NUMBERS.format('text')}, lambda x: NOT list_contains({NUMBERS.format('q')}, x))) > 0 THEN 'unsupported number'
+    WHEN len(list_filter([{TERMS}], lambda x: contains(tf, x) AND NOT contains(qf, x))) > 0 THEN 'unsupported term'
+    WHEN len(tt) > 0 AND len(list_filter(tt, lambda x: NOT list_contains(qt, x))) / len(tt) > 0.35 THEN 'too many new words' END"""
 
 
-@query(
-    "g2_rejection",
-    f"""WITH {CLAIMS}, k AS (SELECT *, list_distinct({TOKENS}) AS tt, list_distinct({Q_TOKENS}) AS qt FROM c)
-    SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) > 120 THEN 'too long' WHEN contains(lower(text), 'tbd') OR contains(lower(text), 'todo') THEN 'placeholder' WHEN NOT {VALID} THEN 'invalid evidence'
-    WHEN len(list_filter({NUMBERS.format('text')}, lambda x: NOT list_contains({NUMBERS.format('q')}, x))) > 0 THEN 'unsupported number'
-    WHEN len(tt) > 0 AND len(list_filter(tt, lambda x: NOT list_contains(qt, x))) / len(tt) > 0.35 THEN 'too many new words' END AS reason FROM k""",
-)
+@query("g2_rejection", f"WITH {CLAIMS}, {REASON} AS reason FROM k")
 def g2(t: Tables) -> DataFrame:
     return claims(t).select("doc_id", G.rejection(F.col("text"), F.col("evidence"), F.col("source"), 120).alias("reason"))
 
