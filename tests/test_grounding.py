@@ -8,7 +8,7 @@ from larkspur.plans import registry
 RULED = {14: "llm and more of it", 28: "at [company] now", 56: "zero​width", 98: "", 112: None, 182: "lorem ipsum dolor", 196: "SQL", 224: "plain words here"}
 
 
-@pytest.mark.parametrize("name", ["g2_rejection"])
+@pytest.mark.parametrize("name", ["g2_claims", "g2_rejection"])
 def test_rare_reasons(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
