@@ -99,11 +99,12 @@ def j1_legacy(t: Tables) -> DataFrame:
     url = lambda form: F.when(k % 3 < 2, F.format_string(form, k)).otherwise("https://x.org/about")
     now = dedupe_keys(company, title, location, url("https://X.org/apply/jobs/%d/?utm_a=b"), number)
     stored_key = F.when((k % 5 == 0) & (k % 3 != 1), now[0]).otherwise(F.format_string("legacy-%d", k))
-    state = t.customer.where(k % 4 == 0).select(
+    customers = R.spread(t.customer.select("c_custkey", "c_mktsegment", "c_name", "c_nationkey"))
+    state = customers.where(k % 4 == 0).select(
         stored_key.alias("state_key"), company.alias("company"), title.alias("title"), F.when(k % 5 != 0, location).alias("location"),
         url("https://x.org/en-US/jobs/%d?utm_campaign=old").alias("url"), number.alias("requisition_id"),
     )
-    return S.anti_join_seen(t.customer.select("c_custkey", now.alias("keys")), S.state_keys(state), "keys", "c_custkey").select("c_custkey")
+    return S.anti_join_seen(customers.select("c_custkey", now.alias("keys")), R.stored(S.state_keys(state)), "keys", "c_custkey").select("c_custkey")
 
 
 @query(
