@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import values as V
+from larkspur.operators.relational import spread
 from larkspur.plans.base import Tables, query
 from larkspur.plans.text import CLEAN, MATCH
 
@@ -38,7 +39,7 @@ def n1_nested(t: Tables) -> DataFrame:
     for level in range(10):
         place = F.concat(F.lit("{'location': "), place, F.lit(", 'region': None, 'x': [{}]}")) if level % 2 else F.concat(F.lit("["), place, F.lit(", '', []]"))
     json = F.replace(F.replace(place, F.lit("'"), F.lit('"')), F.lit("None"), F.lit("null"))
-    return t.part.select("p_partkey", V.flatten_location(F.when(F.col("p_partkey") % 2 == 0, place).otherwise(json)).alias("location"))
+    return spread(t.part.select("p_partkey", "p_name", "p_brand")).select("p_partkey", V.flatten_location(F.when(F.col("p_partkey") % 2 == 0, place).otherwise(json)).alias("location"))
 
 
 @query("n2_flatten_fields", "SELECT c_custkey, c_name || ' ' || c_mktsegment || CASE WHEN c_nationkey > 10 THEN ' ' || c_nationkey ELSE '' END AS place FROM customer")
@@ -96,7 +97,7 @@ def n6_nested(t: Tables) -> DataFrame:
     facet = deep.otherwise(F.format_string('{"facetParameter": "state", "values": [null, {"descriptor": "Karnataka", "id": "deep%d", "values": null}]}', k))
     for level in range(10):
         facet = F.concat(F.lit(f'{{"facetParameter": "level{level}", "values": [{{"descriptor": "Goa", "id": "g{level}"}}, '), facet, F.lit(f', {{"descriptor": "India", "id": "i{level}"}}]}}'))
-    return t.orders.select("o_orderkey", V.find_facet(F.concat(F.lit("["), facet, F.lit("]"))).alias("f")).select("o_orderkey", "f.parameter", "f.id")
+    return spread(t.orders.select("o_orderkey")).select("o_orderkey", V.find_facet(F.concat(F.lit("["), facet, F.lit("]"))).alias("f")).select("o_orderkey", "f.parameter", "f.id")
 
 
 PAY_SQL = "CASE WHEN p_size % 4 = 0 THEN 'Posted ₹' || p_size || '–' || (p_size + 2) || '.5 LPA' WHEN p_size % 4 = 1 THEN 'Posted ₹' || p_size || '–' || (p_size + 1) || ' LPA'"
