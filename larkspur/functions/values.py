@@ -6,7 +6,7 @@ import ast
 import html
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -178,39 +178,40 @@ def nested_places(items: Column, fields: Callable[[Column], list[Column]]) -> Co
 FACET_COUNTRY, FACET_STATES = "india", ("karnataka", "karnataka india")
 
 
-@pandas_udf(T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in ("parameter", "descriptor", "id")])))
-def facet_values(texts: pd.Series) -> pd.Series:
-    """The values of all facets in JSON texts, at any depth, that have an id and a parameter."""
-
-    def one(text: str | None) -> list[dict]:
-        found, todo = [], [parsed(text or "")]
-        while todo:
-            item = todo.pop()
-            if isinstance(item, list):
-                todo += item
-            elif isinstance(item, dict):
-                values = item.get("values")
-                for value in values if isinstance(values, list) else ():
-                    if isinstance(value, dict):
-                        todo.append(value)
-                        if value.get("id") and item.get("facetParameter"):
-                            found.append({"parameter": str(item["facetParameter"]), "descriptor": str(value.get("descriptor") or ""), "id": str(value["id"])})
-        return found
-
-    return texts.map(one)
+def facets_in(value: object) -> Iterator[tuple[str, str, str]]:
+    """(parameter, descriptor, id) of the values of all facets, at any depth, that have an id and a parameter."""
+    todo = [value]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, list):
+            todo += item
+        elif isinstance(item, dict):
+            values = item.get("values")
+            for v in values if isinstance(values, list) else ():
+                if isinstance(v, dict):
+                    todo.append(v)
+                    if v.get("id") and item.get("facetParameter"):
+                        yield str(item["facetParameter"]), str(v.get("descriptor") or ""), str(v["id"])
 
 
 def find_facet(facets: Column, country: str = FACET_COUNTRY, states: tuple[str, ...] = FACET_STATES) -> Column:
     """struct(parameter, id) of the value that names the country or a state, in a JSON list of facets whose values may be facets
-    again, at any depth; null without one. First countries of a parameter that says so, then states, then other countries; then by parameter and id."""
-
-    def ranked(v: Column) -> Column:
-        name = match_text(v["descriptor"])
-        rank = F.when(name == country, F.when(F.contains(F.lower(v["parameter"]), F.lit("country")), 0).otherwise(2)).when(name.isin(*states), 1)
-        return F.struct(rank.alias("rank"), v["parameter"].alias("parameter"), v["id"].alias("id"))
-
-    every = F.filter(F.transform(facet_values(facets), ranked), lambda x: x["rank"].isNotNull())
-    return let(F.array_min(every), lambda x: F.when(x.isNotNull(), F.struct(x["parameter"].alias("parameter"), x["id"].alias("id"))))
+    again, at any depth; null without one. First countries of a parameter that says so, then states, then other countries; then by parameter and id.
+    A text's values are ranked as they are read, so that a task holds those of one text."""
+
+    def ranked(text: str | None) -> Iterator[tuple[int, str, str]]:
+        for parameter, descriptor, name in facets_in(parsed(text or "")):
+            form = plain_form(descriptor)
+            if form == country:
+                yield (0 if "country" in parameter.lower() else 2), parameter, name
+            elif form in states:
+                yield 1, parameter, name
+
+    @pandas_udf(T.StructType([T.StructField("parameter", T.StringType()), T.StructField("id", T.StringType())]))
+    def first(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([min(ranked(text), default=(3, None, None))[1:] for text in texts], columns=["parameter", "id"], dtype=object)
+
+    return let(first(facets), lambda x: F.when(x["parameter"].isNotNull(), x))
 
 
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
