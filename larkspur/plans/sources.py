@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.relational import merge_state, numbered, shared_folder
+from larkspur.operators.relational import merge_state, numbered, shared_folder, spread
 from larkspur.plans.base import Tables, query
 from larkspur.sources import files
 from larkspur.sources import payloads as S
@@ -199,13 +199,14 @@ def k3(t: Tables) -> DataFrame:
 def k4(t: Tables) -> DataFrame:
     """Titles and places beyond the limits, none to seven reasons, posted and estimated pay."""
     n, key = F.col("p_size"), F.col("p_partkey").cast("string")
-    rows = t.part.select(
+    rows = spread(t.part.select("p_partkey", "p_name", "p_brand", "p_size")).select(
         F.col("p_partkey").alias("key"), F.expr("repeat(p_name || ' ', p_size)").alias("title"), F.col("p_brand").alias("company"), F.expr("repeat('é', p_size * 50)").alias("location"), n.alias("score"),
         F.slice(F.array(*map(F.lit, "01234567")), F.lit(1), n % 8).alias("reasons"),
         F.when(n % 3 == 0, F.concat(F.lit("Pay ₹"), n.cast("string"), F.lit(" - "), (n + 2).cast("string"), F.lit(" LPA"))).otherwise("").alias("description"),
         F.when(n % 2 == 0, F.concat(F.lit("r"), key)).otherwise("").alias("requisition_id"),
     )
-    return K.alert_records(rows).select("key", *(F.get_json_object("payload", f"$.{f}").alias(f) for f in ("title", "location", "score", "reasons", "pay", "job_id")))
+    fields = ("title", "location", "score", "reasons", "pay", "job_id")
+    return K.alert_records(rows).select("key", F.json_tuple("payload", *fields).alias(*fields))  # a payload is read once
 
 
 @query(
