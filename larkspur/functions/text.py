@@ -114,11 +114,30 @@ def slugify(c: Column, default: str = "job") -> Column:
     return F.coalesce(F.nullif(F.replace(match_text(c), F.lit(" "), F.lit("-")), F.lit("")), F.lit(default))
 
 
+def ascii_form(text: str) -> str:
+    """compact_text of one value."""
+    return "".join(x for x in unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower() if x.isalnum())
+
+
+#: Characters beyond ASCII that compact_text keeps as one ASCII letter or digit, what they become, and a pattern of those that it keeps as several.
+DECOMPOSED = {c: ascii_form(c) for c in map(chr, range(0x80, 0x30000)) if unicodedata.decomposition(c)}
+ONE = {c: form for c, form in DECOMPOSED.items() if len(form) == 1}
+POINTS = sorted(ord(c) for c, form in DECOMPOSED.items() if len(form) > 1)
+SEVERAL = "[" + "".join(f"\\x{{{first:x}}}-\\x{{{last:x}}}" for first, last in zip((p for p in POINTS if p - 1 not in POINTS), (p for p in POINTS if p + 1 not in POINTS), strict=True)) + "]"
+
+
 @pandas_udf(T.StringType())
-def compact_text(s: pd.Series) -> pd.Series:
-    """Compatibility-decomposed text: ASCII letters and digits alone, in lower case."""
-    plain = s.fillna("").map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower())
-    return plain.str.replace("[^a-z0-9]+", "", regex=True)
+def ascii_forms(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else ascii_form(x))
+
+
+def compact_text(c: Column | str) -> Column:
+    """Compatibility-decomposed text: ASCII letters and digits alone, in lower case. Only texts with a character that becomes
+    several (a ligature, a fraction) are decomposed in Arrow batches; else characters are put in place of characters."""
+    text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    several = F.regexp_replace(text, "[\\x00-\\x7f]+", "").rlike(SEVERAL)
+    plain = F.when(text.rlike("[^\\x00-\\x7f]"), F.translate(text, "".join(ONE), "".join(ONE.values()))).otherwise(text)
+    return F.coalesce(ascii_forms(F.when(several, text)), F.lower(F.regexp_replace(plain, "[^a-zA-Z0-9]+", "")))
 
 
 def has_phrase(haystack: Column, needle: Column | str) -> Column:

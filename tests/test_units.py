@@ -355,3 +355,22 @@ def test_run_table(spark, tmp_path):
         sinks.record_run(df, f"{tmp_path}/{run}", f"{tmp_path}/runs", run, "n", "error")
     assert sorted(tuple(r) for r in sinks.run_table(spark, f"{tmp_path}/runs").collect()) == [("r1", 2, 1, 1, 1), ("r2", 0, 0, 0, 0)]
     assert spark.read.parquet(f"{tmp_path}/r1").count() == 2
+
+
+def test_compact_text_needs_python_for_few_texts(spark):
+    """Accents are put right without Python; only texts with characters that become several go there, and both give the standard library's forms."""
+    import unicodedata
+
+    texts = ["Crème Brûlée", "", None, "ﬁn ½ №", "Kelvin K ß ẞ İ", "e\u0301 \U0001d400\U0001d7d9", "한글 …™"] + ["".join(map(chr, range(a, a + 0x400))) for a in (*range(0x80, 0xD000, 0x400), 0x1D400, 0x1F100, 0x1FB00)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode().lower() if c.isalnum())
+    assert [r.v for r in df.select("i", T.compact_text("t").alias("v")).orderBy("i").collect()] == [plain(t) for t in texts]
+    assert [t for t in texts[:7] if t and any(len(T.DECOMPOSED.get(c, '')) > 1 for c in t)] == ["ﬁn ½ №", "한글 …™"]
+
+
+def test_page_batches_are_read_in_slices():
+    """What is found in a batch is given on by slices."""
+    import pandas as pd
+
+    slices = list(payloads.sliced(iter([pd.DataFrame({"x": range(300)}), pd.DataFrame({"x": []})]), 128))
+    assert [len(s) for s in slices] == [128, 128, 44] and [x for s in slices for x in s["x"]] == list(range(300))
