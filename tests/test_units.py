@@ -45,6 +45,15 @@ def test_greedy_dedupe_equals_the_loop(spark, seed):
     assert sorted(r.ord for r in found.collect()) == greedy(rows)
 
 
+def test_greedy_dedupe_writes_no_rejected_pairs(spark, monkeypatch):
+    """All rows share a key: the one round writes the winner's two pairs and no table of all pairs."""
+    written, stored = [], R.stored
+    monkeypatch.setattr(R, "stored", lambda d: written.append(stored(d)) or written[-1])
+    df = spark.range(1000).select("id", F.array(F.lit("k"), F.col("id").cast("string")).alias("keys"))
+    assert [r.id for r in R.greedy_dedupe(df, "keys", "id").collect()] == [0]
+    assert max(w.count() for w in written) == 2
+
+
 def test_urls(spark):
     c = lambda u, **k: value(spark, U.canonical_url(F.lit(u), **k))
     assert c("https://Example.com/en-US/jobs/12345?utm_source=feed") == c("https://example.com/jobs/12345#top") == "https://example.com/jobs/12345"
