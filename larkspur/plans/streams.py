@@ -154,22 +154,15 @@ def t4_quiet(t: Tables) -> DataFrame:
     folder = f"{R.shared_folder(t.spark)}/t4-{uuid.uuid4().hex}"
     began = F.lit("2024-02-01").cast("timestamp")
     hour = lambda k: began + F.make_interval(hours=F.lit(k))
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = t.spark.conf.get(provider)
-    t.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        for k in range(4):
-            rows = t.events.where("event_type <> 'view'").select("user_id", "event_id", "value", hour(0).alias("run"))
-            rows.where(F.lit(k == 0)).write.mode("append").parquet(f"{folder}/landed")
-            t.spark.range(1).select(hour(k).alias("run")).write.mode("append").parquet(f"{folder}/runs")
-            stream = t.spark.readStream.schema("user_id long, event_id long, value double, run timestamp").parquet(f"{folder}/landed")
-            runs = t.spark.readStream.schema("run timestamp").parquet(f"{folder}/runs")
-            sent = P.carry_over(stream, runs, "user_id", ["value", "event_id"], 5)
-            writer = sent.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-            writer.trigger(availableNow=True).start().awaitTermination()
-    finally:
-        t.spark.conf.set(provider, before)
-    out = t.spark.read.schema("user_id long, event_id long, value double, run timestamp").parquet(f"{folder}/out")
+    schema = "user_id long, event_id long, value double, run timestamp"
+    for k in range(4):
+        rows = t.events.where("event_type <> 'view'").select("user_id", "event_id", "value", hour(0).alias("run"))
+        rows.where(F.lit(k == 0)).write.mode("append").parquet(f"{folder}/landed")
+        t.spark.range(1).select(hour(k).alias("run")).write.mode("append").parquet(f"{folder}/runs")
+        stream = t.spark.readStream.schema(schema).parquet(f"{folder}/landed")
+        runs = t.spark.readStream.schema("run timestamp").parquet(f"{folder}/runs")
+        P.deliver_by_runs(stream, runs, "user_id", ["value", "event_id"], 5, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    out = P.delivered(t.spark, f"{folder}/out", schema)
     return out.select("user_id", "event_id", ((F.unix_seconds("run") - F.unix_seconds(began)) / 3600).cast("long").alias("run"))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
@@ -37,15 +38,20 @@ class Batches:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
         return self.read(batch)
 
+    def remove(self, batch: int, part: str) -> None:
+        """Removes a part (`column=value`) of a batch that no later one reads."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={batch}/{part}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def new_rows(batch: DataFrame, seen: DataFrame, keys: str, order: str) -> DataFrame:
     """Rows none of whose keys was delivered, each key once within the batch."""
     return greedy_dedupe(anti_join_seen(batch, seen, keys, order), keys, order)
 
 
-def with_runs(stream: DataFrame, runs: DataFrame) -> DataFrame:
-    """The stream with a row, marked `__run`, for each row of another one: a scheduled run then makes a batch even if nothing landed."""
-    return stream.withColumn("__run", F.lit(False)).unionByName(runs.select(F.lit(True).alias("__run")), allowMissingColumns=True)
+def with_runs(stream: DataFrame, runs: DataFrame, *keep: str) -> DataFrame:
+    """The stream with a row, marked `__run`, for each row of another one, of which it has the columns `keep`: a scheduled run then makes a batch even if nothing landed."""
+    return stream.withColumn("__run", F.lit(False)).unionByName(runs.select(*keep, F.lit(True).alias("__run")), allowMissingColumns=True)
 
 
 def alert_once(
@@ -91,6 +97,31 @@ def recent_alerts(stream: DataFrame, key: str, time: str, delay: str) -> DataFra
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def deliver_by_runs(stream: DataFrame, runs: DataFrame, key: str, rank: list[str], top: int, path: str, checkpoint: str, time: str = "run") -> StreamingQuery:
+    """`carry_over` for many keys, as tables: each batch is a run, named by the latest `time` of the rows that landed and of `runs`. It delivers at most
+    `top` of each key's new and waiting rows, in ascending order of rank (nulls first); the rest waits for the next one. `delivered` reads the result.
+
+    A run is one window over the rows that are left, written once, so it costs the same for few keys and for many; a key's rows are sorted
+    in one task and may spill. Rows without a key are those of one key; the stream has no columns `batch` and `sent`. A batch that is run again overwrites its own folder; rows that wait are kept of the last two.
+    """
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        now = F.timestamp_micros(F.lit(batch.agg(F.unix_micros(F.max(time))).first()[0]))
+        landed = batch.where("not __run").drop("__run", time)
+        batches = Batches(batch.sparkSession, path, f"{landed.schema.toDDL()}, {time} timestamp, sent boolean")
+        both = landed.unionByName(batches.read(number - 1).where("not sent").drop(time, "sent"))
+        place = F.row_number().over(W.partitionBy(key).orderBy(*rank))
+        both.select("*", now.alias(time), (place <= top).alias("sent")).write.mode("overwrite").partitionBy("sent").parquet(f"{path}/batch={number}")
+        batches.remove(number - 2, "sent=false")
+
+    return with_runs(stream, runs, time).writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def delivered(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that `deliver_by_runs` delivered, with their `batch`; schema: its stream's, with the time."""
+    return spark.read.schema(f"{schema}, batch int, sent boolean").parquet(path).where("sent").drop("sent")
+
+
 class CarryOver(StatefulProcessor):
     """The state of a key: its rows that wait. A run delivers the first `top` of new and waiting ones, by rank; what is left goes out in the next runs."""
 
@@ -132,7 +163,7 @@ def carry_over(stream: DataFrame, runs: DataFrame, key: str, rank: list[str], to
     """A stream's rows with the `run` that delivers them: at most `top` of each key in a run, in ascending order of rank, the rest in later runs.
 
     `runs` is a stream of the times of scheduled runs, by which the watermark moves and waiting rows go out on a feed where nothing
-    lands any more; `time` is when a row landed. Needs the RocksDB state store. A key's waiting rows are its state, and keys share no task; rows
+    lands any more; `time` is when a row landed. Needs the RocksDB state store, and takes some milliseconds of Python for a key in each run: `deliver_by_runs` is for many keys. A key's waiting rows are its state, and keys share no task; rows
     without a key are those of one key. Columns of rank are numbers or texts without nulls.
     """
     columns = [c for c in stream.columns if c != time]

@@ -122,6 +122,36 @@ def test_carry_over_of_many_keys(spark, tmp_path):
     assert sorted(sent, key=repr) == sorted(expected, key=repr)
 
 
+def test_deliver_by_runs(spark, tmp_path):
+    """As carry_over, without state of keys: two landings and two quiet runs, of which the last is run again; only the last two keep rows that wait."""
+    rng = random.Random(6)
+    big = 2**53 + 1
+    rows = [(rng.choice((None, *range(40))), big + i, rng.choice((None, big)), rng.choice((0.5, 1.5)), f"2024-01-01 00:00:00.{i:06d}") for i in range(400)]
+    schema = "k long, id long, note long, value double, at timestamp, run timestamp"
+    stream_of = lambda name, s: stream.posting_stream(spark, str(tmp_path / name), s, lambda d: d)
+    for k in (0, 1, 2, 3, 3):
+        now = f"2024-02-01 0{k}:00:00"
+        land(tmp_path / "in", f"{k}.json", [dict(zip(("k", "id", "note", "value", "at", "run"), (*r, now), strict=True)) for r in rows[k * 200 : k * 200 + 200]] if k < 2 else [])
+        land(tmp_path / "runs", f"{k}.json", [{"run": now}])
+        if (tmp_path / "c" / "commits" / "3").exists():  # as if it had failed at its end
+            (tmp_path / "c" / "commits" / "3").unlink()
+            (tmp_path / "c" / "commits" / ".3.crc").unlink(missing_ok=True)
+        found = stream.deliver_by_runs(stream_of("in", schema), stream_of("runs", "run timestamp"), "k", ["value", "id"], 2, str(tmp_path / "out"), str(tmp_path / "c"))
+        found.awaitTermination()
+        assert found.lastProgress is None or not found.lastProgress["stateOperators"]
+    expected, waiting = [], {}
+    for k in range(4):
+        for r in rows[k * 200 : k * 200 + 200] if k < 2 else []:
+            waiting.setdefault(r[0], []).append(r)
+        for key, of in waiting.items():
+            of.sort(key=lambda r: (r[3], r[1]))
+            expected += [(*r, f"2024-02-01 0{k}:00:00", k) for r in of[:2]]
+            waiting[key] = of[2:]
+    sent = stream.delivered(spark, str(tmp_path / "out"), schema).collect()
+    assert sorted(((r.k, r.id, r.note, r.value, r.at.strftime("%Y-%m-%d %H:%M:%S.%f"), str(r.run), r.batch) for r in sent), key=repr) == sorted(expected, key=repr)
+    assert sorted(p.parent.name for p in (tmp_path / "out").glob("batch=*/sent=false")) == ["batch=2", "batch=3"]
+
+
 def test_daily_notice_on_a_quiet_feed(spark, tmp_path):
     """A source that failed once and is silent since is reported again a day later, by the clock alone."""
     day = 86_400
