@@ -3,6 +3,7 @@
 import html
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -383,3 +384,11 @@ def test_page_batches_are_read_in_slices():
 
     slices = list(payloads.sliced(iter([pd.DataFrame({"x": range(300)}), pd.DataFrame({"x": []})]), 128))
     assert [len(s) for s in slices] == [128, 128, 44] and [x for s in slices for x in s["x"]] == list(range(300))
+
+
+def test_match_text_by_one_run(spark):
+    """Runs are found by one class without alternatives, which would be tried at every character; single spaces, tabs, digits and letters beyond ASCII come out as before."""
+    assert "|" not in T.OTHERS
+    cases = ["", "  ", "a b", "a  b", " A\tb-c ", "Straße 5,  Köln!", "x\n\ny z", "... 4+ years ...", "a" * 5000 + " - " + "b"]
+    found = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").select("i", T.match_text(F.col("c")).alias("m")).collect()
+    assert [r.m for r in sorted(found)] == [" ".join(re.findall("[a-z0-9]+", c.replace("ß", "ss").lower())) for c in cases]
