@@ -29,10 +29,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,48 +72,70 @@ class Parameters:
         return Parameters(*parts)
 
 
-def row_sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct indices and the sums of their rows."""
-    order = np.argsort(index, kind="stable")
-    index = index[order]
-    first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    return index[first], np.add.reduceat(rows[order], first)
+def row_sums(cells: np.ndarray, rows: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """The sums of the rows that go into each row of a table; cells: places of the rows' values in it."""
+    sums = np.zeros(shape, np.float32)
+    np.add.at(sums.reshape(-1), cells.reshape(-1), rows.reshape(-1))
+    return sums
 
 
 class Trainer:
-    """Noise-contrastive steps with Adagrad; the noise samples of a batch are shared by its tokens."""
+    """Noise-contrastive steps with Adagrad; the noise samples of a batch are shared by its tokens. A unit's vector and bias are a row of one table,
+    whose context has a one for the bias, and tables are updated whole: rows without a gradient stay as they are."""
 
     def __init__(self, start: Parameters, noise: np.ndarray, seed: int, rate: float = 0.1, samples: int = 64) -> None:
-        self.p = Parameters(*(x.copy() for x in (start.out, start.bias, start.context, start.scale)))
-        self.squares = [np.full_like(x, 1e-2) for x in (self.p.out, self.p.bias, self.p.context, self.p.scale)]
+        self.size = start.out.shape[1]
+        self.units = np.concatenate([start.out, start.bias[:, None]], 1)
+        self.p = Parameters(self.units[:, : self.size], self.units[:, self.size], start.context.copy(), start.scale.copy())
+        self.tables = (self.units, self.p.context, self.p.scale)
+        self.squares = [np.full_like(x, 1e-2) for x in self.tables]
         self.noise = noise / noise.sum()
         self.log_noise = np.log(samples * self.noise).astype(np.float32)
         self.cdf = np.cumsum(self.noise)
-        self.rng, self.rate, self.samples = np.random.default_rng(seed), rate, samples
+        self.rng, self.rate, self.samples = np.random.default_rng(seed), np.float32(rate), samples
+        self.places = [np.arange(x.size).reshape(x.shape) for x in self.tables]
+        self.pairs = np.empty(0, np.float32)  # of a batch and its noise, used again by each step
 
-    def update(self, k: int, x: np.ndarray, at, gradient: np.ndarray) -> None:
+    def update(self, k: int, gradient: np.ndarray) -> None:
+        """A step of one table; gradient is used up."""
         s = self.squares[k]
-        s[at] += gradient**2
-        x[at] += self.rate * gradient / np.sqrt(s[at])
+        root = gradient * gradient
+        s += root
+        np.sqrt(s, out=root)
+        gradient /= root
+        gradient *= self.rate
+        x = self.tables[k]
+        x += gradient
 
     def step(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        p, n = self.p, len(target)
-        a, b = p.context[one], p.context[two]
-        q = p.scale[0] * a + p.scale[1] * b
+        p, n, size = self.p, len(target), self.size
+        a, b = p.context.take(one, 0), p.context.take(two, 0)
+        first, second = (np.tile(x, n).reshape(n, size) for x in p.scale)  # products of whole tables are quicker than row by row
+        q = np.ones((n, size + 1), np.float32)
+        q[:, :size] = first * a + second * b
         drawn = np.minimum(np.searchsorted(self.cdf, self.rng.random(self.samples)), len(self.cdf) - 1)
-        own, noise = p.out[target], p.out[drawn]
-        real = 1 / (1 + np.exp((q * own).sum(1) + p.bias[target] - self.log_noise[target]))
-        false = -1 / (1 + np.exp(self.log_noise[drawn] - (q @ noise.T + p.bias[drawn])))
-        dq = (real[:, None] * own + false @ noise) / n
-        tokens = np.concatenate([target, drawn])
-        at, gradient = row_sums(tokens, np.concatenate([real[:, None] * q, false.T @ q]) / n)
-        _, slope = row_sums(tokens, np.concatenate([real, false.sum(0)]) / n)
-        self.update(0, p.out, at, gradient)
-        self.update(1, p.bias, at, slope)
-        scale = np.stack([(a * dq).sum(0), (b * dq).sum(0)])
-        at, gradient = row_sums(np.concatenate([one, two]), np.concatenate([p.scale[0] * dq, p.scale[1] * dq]))
-        self.update(2, p.context, at, gradient)
-        self.update(3, p.scale, slice(None), scale)
+        own, noise = self.units.take(target, 0), self.units.take(drawn, 0)
+        real = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) - self.log_noise.take(target)))
+        if self.pairs.size < n * self.samples:
+            self.pairs = np.empty(n * self.samples, np.float32)
+        false = np.matmul(q, noise.T, out=self.pairs[: n * self.samples].reshape(n, self.samples))
+        np.subtract(self.log_noise.take(drawn), false, out=false)
+        np.exp(false, out=false)
+        false += 1
+        np.divide(-1, false, out=false)
+        rows = np.empty((n + self.samples, size + 1), np.float32)
+        np.multiply(real[:, None], q, out=rows[:n])
+        np.matmul(false.T, q, out=rows[n:])
+        rows /= n
+        own *= real[:, None]
+        own += false @ noise
+        dq = own[:, :size] / n
+        ones = np.ones(n, np.float32)
+        scale = np.stack([ones @ (a * dq), ones @ (b * dq)])
+        of_context = np.concatenate([first * dq, second * dq])
+        self.update(0, row_sums(self.places[0].take(np.concatenate([target, drawn]), 0), rows, self.units.shape))
+        self.update(1, row_sums(self.places[1].take(np.concatenate([one, two]), 0), of_context, p.context.shape))
+        self.update(2, scale)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -168,9 +191,29 @@ class Model:
         return self.vocabulary.n_tokens
 
 
-def count_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
-    words = F.concat(common.split_words(common.ascii_lower(F.col(text))), F.array(F.lit(END)))
-    return texts.select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+DISTINCT = 1 << 19  # tokens that a task counts before it gives its counts on
+
+
+def count_tokens(texts: DataFrame, text: str = "text", distinct: int = DISTINCT) -> DataFrame:
+    """(token, c) of all texts: each task counts its texts' tokens, the tasks' counts are summed by token."""
+    common.modest_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def given() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([t.decode() for t in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["token", "c"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            for t in batch.column(0):
+                found.update(tokens_of(t.as_py()))
+                if len(found) >= distinct:
+                    yield given()
+        yield given()
+
+    return texts.select(F.col(text)).mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def most_frequent(counts: DataFrame, most: int) -> list:
@@ -228,7 +271,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         tokens = list(chain.from_iterable(docs))
         get = head.get
-        h = np.array([get(t, -1) for t in tokens], np.int64)
+        h = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
         rare = np.flatnonzero(h < 0)
         units = np.append(head_units, 0)[h]
         units[rare] = [endings.get(tokens[i][-ENDING:], 0) for i in rare.tolist()]
@@ -288,8 +331,9 @@ def fit(coded: DataFrame, vocabulary: Vocabulary, size: int = 24, rounds: int =
                 ids, starts = units_of(frame["units"].to_list())
                 one, two = contexts(ids, starts, len(counts))
                 places = rng.permutation(len(ids))
+                ids, one, two = ids[places], one[places], two[places]
                 for i in range(0, len(places), batch):
-                    at = places[i : i + batch]
+                    at = slice(i, i + batch)
                     trainer.step(ids[at], one[at], two[at])
                 seen += len(places)
             if seen:

@@ -587,3 +587,42 @@ def test_places_of_hashes_with_equal_upper_bits(spark):
     words = "a b c a b c d e f a b c".split() * 3 + [f"w{i}" for i in range(3000)] + ["a", "b", "c"]
     text = spark.createDataFrame([(1, " ".join(words))], "doc_id int, text string")
     assert quality_rules.measure(text).first().n_repeat_words == brute_quality(" ".join(words))[4]
+
+
+def test_language_model_counts_in_parts(spark):
+    """A task that gives its counts on after a few tokens counts as one that holds all, and no row is made for each token."""
+    texts = [None, "", "A b\tb", "b c  Ä ä", "c " * 50] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    expected = collections.Counter(t for text in texts for t in [*(w.decode() for w in (text or "").encode().lower().split()), ""])
+    for distinct in (1, 3, 1000):
+        counted = lm.count_tokens(df, distinct=distinct)
+        assert {r.token: r.c for r in counted.collect()} == expected
+    assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_language_model_step():
+    """A step of whole tables is the plain one, with repeated tokens and contexts: rows without a gradient stay."""
+    rng = np.random.default_rng(3)
+    counts = np.array([9, 5, 3, 2, 1, 1, 1, 1])
+    start = lm.Parameters.start(counts, 4)
+    target, one, two = (rng.integers(0, 6, 20) for _ in range(3))
+    trainer = lm.Trainer(start, counts + 1, seed=7, samples=5)
+    trainer.step(target, one, two)
+    noise = (counts + 1) / (counts + 1).sum()
+    drawn = np.searchsorted(np.cumsum(noise), np.random.default_rng(7).random(5))
+    gradient = lm.Parameters(*(np.zeros(x.shape) for x in (start.out, start.bias, start.context, start.scale)))
+    for t, i, j in zip(target, one, two, strict=True):
+        a, b = start.context[i], start.context[j]
+        q = start.scale[0] * a + start.scale[1] * b
+        logit = lambda u: q @ start.out[u] + start.bias[u] - np.log(5 * noise[u])  # noqa: B023, E731
+        dq = np.zeros(4)
+        for u, slope in [(t, 1 / (1 + np.exp(logit(t)))), *((u, -1 / (1 + np.exp(-logit(u)))) for u in drawn)]:
+            gradient.out[u] += slope * q / 20
+            gradient.bias[u] += slope / 20
+            dq += slope * start.out[u] / 20
+        gradient.context[i] += start.scale[0] * dq
+        gradient.context[j] += start.scale[1] * dq
+        gradient.scale[0] += a * dq
+        gradient.scale[1] += b * dq
+    expected = start.flat() + 0.1 * gradient.flat() / np.sqrt(0.01 + gradient.flat() ** 2)
+    assert np.allclose(trainer.p.flat(), expected, atol=1e-5)
