@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ MAX_RULES, MAX_RULE_BYTES = 400_000, 64_000_000
 RUNS = (3, 6, 12, 24)
 #: Rules that may share a whole word of their patterns to be looked up by it; a path has few words and many runs.
 WORD_RULES = 16
+#: Addresses of a turn: what their lookups shuffle is removed before the next turn.
+TURN = 50_000_000
 
 # Hosts of the common providers, and what a source's address says about its board.
 SLUG = {"slug": "{first}", "career_site_url": "{url}"}
@@ -70,15 +75,18 @@ def words_of(text: Column) -> Column:
 
 
 def rarest(parts: DataFrame) -> DataFrame:
-    """(run, rule, rules): of parts(rule, run) each rule with the run that the fewest rules have, and how many these are; without a run both are null."""
-    counts = stored(parts.where("run is not null").groupBy("run").agg(F.count("*").alias("rules")))
+    """(run, rule, rules): of parts(rule, run, n) each rule with the run that the fewest rules have of its n, and how many these are; without a run both are null."""
+    counts = stored(parts.where("run is not null").groupBy("run").agg(F.count("*").alias("rules")), lean=True)
+    met = parts.join(counts.hint("merge"), "run", "left")
     least = F.min_by(F.struct("run", "rule", "rules"), F.struct("rules", "run")).alias("r")
-    return parts.join(counts.hint("merge"), "run", "left").groupBy("rule.priority", "rule.ats", "rule.part", F.to_json("rule.attrs")).agg(least).select("r.*")
+    chosen = met.where("n > 1").groupBy("rule.priority", "rule.ats", "rule.part", F.to_json("rule.attrs")).agg(least).select("r.*")
+    return met.where("n <= 1").select("run", "rule", "rules").union(chosen)  # one run leaves no choice
 
 
 def indexed_rules(rules: DataFrame) -> DataFrame:
-    """(__key, rule): each rule under what it is looked up by: a name, a host, or of a path rule's whole words the one that the fewest rules
-    have; where it has none or more than WORD_RULES have it, of the pattern's runs the one that the fewest of these rules have."""
+    """(__key, rule), stored: each rule under what it is looked up by: a name, a host, or of a path rule's whole words the one that the fewest rules
+    have; where it has none or more than WORD_RULES have it, of the pattern's runs the one that the fewest of these rules have. Of rules with
+    the same kind and pattern only the first is there, as the others fit nothing else."""
     rule = F.struct("priority", "ats", "attrs", F.when(F.col("kind") == "path", F.lower("pattern")).alias("part"))
     exact = rules.where("kind <> 'path'").select(F.concat("kind", F.lit(":"), F.lower("pattern")).alias("__key"), rule.alias("rule"))
     low = F.lower("pattern")
@@ -86,23 +94,52 @@ def indexed_rules(rules: DataFrame) -> DataFrame:
     for n in RUNS:
         runs = F.when(F.length(low) >= n, runs_of(low, n)).otherwise(runs)
     paths = rules.where("kind = 'path' and pattern <> ''").select(rule.alias("rule"))
-    worded = stored(rarest(paths.select("rule", F.explode_outer(words_of(F.col("rule.part"))).alias("run"))))
+    parts = lambda df, found: df.select("rule", F.size(found).alias("n"), F.explode_outer(found).alias("run"))
+    worded = stored(rarest(parts(paths, words_of(F.col("rule.part")))), lean=True)
     known = F.coalesce(F.col("rules") <= WORD_RULES, F.lit(False))
     rest = worded.where(~known).select("rule", F.col("rule.part").alias("pattern"))
-    others = rarest(rest.select("rule", F.explode(runs).alias("run")))
-    index = exact.union(worded.where(known).select(F.concat(F.lit("word:"), "run").alias("__key"), "rule"))
-    return index.union(others.select(F.concat(F.lit("path:"), "run").alias("__key"), "rule"))
-
-
-def looked_up(keys: DataFrame, index: DataFrame) -> DataFrame:
-    """keys with the rules of the stored index, which is broadcast if it is within MAX_RULES and MAX_RULE_BYTES. Else both are shuffled, of
-    keys only those that a filter of the index lets through."""
-    rows, size = index.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__key") + F.octet_length(F.to_json("rule"))), F.lit(0))).first()
-    if rows <= MAX_RULES and size <= MAX_RULE_BYTES:
-        return keys.join(F.broadcast(index), "__key")
-    asked = index.select(F.col("__key").alias("key")).distinct()
-    maybe = possible(keys.withColumnRenamed("__key", "key"), *key_filter(asked)).withColumnRenamed("key", "__key")
-    return maybe.join(index.hint("merge"), "__key")
+    others = rarest(parts(rest, runs)).select(F.concat(F.lit("path:"), "run").alias("__key"), "rule")
+    by_word = worded.select(F.concat(F.lit("word:"), "run").alias("__key"), "rule", "rules")
+    shared = exact.union(others).union(by_word.where(known & (F.col("rules") > 1)).drop("rules"))
+    first = shared.groupBy("__key", "rule.part").agg(F.min_by("rule", F.struct("rule.priority", "rule.ats")).alias("rule"))
+    return by_word.where("rules = 1").drop("rules").union(stored(first.select("__key", "rule"), lean=True))
+
+
+def keys_of(low: DataFrame, name: str, url: str, kinds: set[str], lengths: list[int]) -> DataFrame:
+    """(__id, key, __path): what the rows of low are looked up by, of the kinds of keys and the lengths of runs that an index has; the path
+    where a rule's part must be in it, else null."""
+    none, path = F.lit(None).cast("string").alias("__path"), F.lower(U.path(F.col(url))).alias("__path")
+    labels = F.split(U.host(F.col(url)), r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    in_paths = low.select("__id", path)
+    sized = in_paths.select("*", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("__n")).where(F.length("__path") >= F.col("__n"))
+    spots = sized.select("*", F.explode(F.sequence(F.lit(1), F.length("__path") - F.col("__n") + 1)).alias("__at"))
+    pieces = {
+        "name": low.select("__id", F.lower(name).alias("__piece"), none),
+        "host": low.select("__id", F.explode(parents).alias("__piece"), none),
+        "word": in_paths.select("__id", F.explode(words_of(F.col("__path"))).alias("__piece"), "__path"),
+        "path": spots.select("__id", F.substring("__path", F.col("__at"), F.col("__n")).alias("__piece"), "__path"),
+    }
+    keys = [p.select("__id", F.concat(F.lit(f"{kind}:"), "__piece").alias("key"), "__path") for kind, p in pieces.items() if kind in kinds]
+    return reduce(DataFrame.union, keys or [low.select("__id", none.alias("key"), none).limit(0)]).where("key is not null")
+
+
+def is_small(index: DataFrame) -> bool:
+    """Whether the stored index is within MAX_RULES and MAX_RULE_BYTES."""
+    size = F.coalesce(F.sum(F.octet_length("__key") + F.octet_length(F.to_json("rule"))), F.lit(0))
+    return index.count() <= MAX_RULES and index.agg(size).first()[0] <= MAX_RULE_BYTES
+
+
+def looked_up(keys: DataFrame, index: DataFrame, blocks: tuple[DataFrame, int] | None) -> DataFrame:
+    """(__id, priority, ats, attrs) of the rules of the stored index that fit keys(__id, key, __path): found by a hash of the key, and held against the path, or
+    against the key where __path is null. With blocks (`key_filter` of the index) both are shuffled, of keys only those that the filter lets
+    through; without, the index is broadcast."""
+    rules = index.select(F.xxhash64("__key").alias("__hash"), F.when(F.col("rule.part").isNull(), F.col("__key")).alias("__text"), "rule")
+    rules = F.broadcast(rules) if blocks is None else rules.hint("merge")
+    keys = keys if blocks is None else possible(keys, *blocks)
+    asked = keys.select("__id", "__path", F.xxhash64("key").alias("__hash"), F.when(F.col("__path").isNull(), F.col("key")).alias("__exact"))
+    fits = F.coalesce(F.contains("__path", F.col("rule.part")), F.col("__exact") == F.col("__text"), F.lit(False))
+    return asked.join(rules, "__hash").where(fits).select("__id", "rule.priority", "rule.ats", "rule.attrs")
 
 
 def classify_sources(df: DataFrame, rules: DataFrame, name: str, url: str, default: str = "direct_job_html") -> DataFrame:
@@ -111,26 +148,23 @@ def classify_sources(df: DataFrame, rules: DataFrame, name: str, url: str, defau
     A rule (RULE_SCHEMA) fits a name exactly (kind `name`), a host or its subdomains (`host`) or a part of the path (`path`).
     All are looked up by equality, in one join: names, hosts with their parent domains, and path rules by the rarest of their whole words
     or else of their runs of characters (RUNS); only the found ones are compared with the path. The plan doesn't grow with the rules.
+    Addresses are looked up in turns of TURN, and only for kinds of keys that the index has.
     """
-    low = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__host", U.host(F.col(url))).withColumn("__path", F.lower(U.path(F.col(url))))
-    low = stored(low)  # from here on the ids hold
-    index = stored(indexed_rules(rules))
-    labels = F.split("__host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = [F.transform(parents, lambda p: F.concat(F.lit("host:"), p)), F.array(F.concat(F.lit("name:"), F.lower(name)))]
-    asked.append(F.transform(F.coalesce(words_of(F.col("__path")), F.array().cast("array<string>")), lambda w: F.concat(F.lit("word:"), w)))
-    lengths = sorted(r.n for r in index.where("rule.part is not null and startswith(__key, 'path:')").select((F.length("__key") - F.lit(len("path:"))).alias("n")).distinct().collect())  # below the least of RUNS, or one of them
-    keys = low.select("__id", "__path", F.explode(F.concat(*asked)).alias("__key"))
-    if lengths:
-        sized = low.select("__id", "__path", F.explode(F.array(*map(F.lit, lengths))).alias("__n")).where(F.length("__path") >= F.col("__n"))
-        spots = sized.select("*", F.explode(F.sequence(F.lit(1), F.length("__path") - F.col("__n") + 1)).alias("__at"))
-        keys = keys.union(spots.select("__id", "__path", F.concat(F.lit("path:"), F.substring("__path", F.col("__at"), F.col("__n")))))
-    fits = F.coalesce(F.contains("__path", F.col("rule.part")), F.lit(True))
-    hits = looked_up(keys, index).where(fits)
-    first = stored(hits.groupBy("__id").agg(F.min_by("rule", F.struct("rule.priority", "rule.ats")).alias("exact")))
-    found = low.join(first.hint("merge"), "__id", "left")
+    low = stored(df.withColumn("__id", F.monotonically_increasing_id()), lean=True)  # from here on the ids hold
+    index = indexed_rules(rules)
+    kind = F.substring_index("__key", ":", 1)
+    size = F.when(kind == "path", F.length("__key") - F.lit(len("path:")))  # below the least of RUNS, or one of them
+    parted = F.exists(F.map_values("rule.attrs"), lambda v: F.contains(v, F.lit("{")))
+    has = index.where(kind.isin("name", "host", "word", "path")).groupBy(kind.alias("kind"), size.alias("size")).agg(F.max(parted).alias("parted")).collect()
+    kinds, lengths = {r.kind for r in has}, sorted(r.size for r in has if r.kind == "path")
+    turns = max(1, math.ceil(low.count() / TURN))
+    blocks = None if is_small(index) else key_filter(index.select(F.col("__key").alias("key")))
+    keys = [keys_of(low.where(F.pmod("__id", F.lit(turns)) == t), name, url, kinds, lengths) for t in range(turns)]
+    hits = [looked_up(k, index, blocks).repartition("__id") for k in keys]
+    first = [h.groupBy("__id").agg(F.min_by(F.struct("ats", "attrs"), F.struct("priority", "ats")).alias("exact")) for h in hits]
+    found = low.join(stored(*first, lean=True).hint("merge"), "__id", "left")
     none = F.create_map().cast("map<string,string>")
-    attrs = F.coalesce(filled(F.col("exact.attrs"), F.col(url)), none)
+    attrs = F.coalesce(filled(F.col("exact.attrs"), F.col(url)) if any(r.parted for r in has) else F.col("exact.attrs"), none)
     return found.withColumn("ats", F.coalesce("exact.ats", F.lit(default))).withColumn("attrs", attrs).select(*df.columns, "ats", "attrs")
 
 

@@ -40,16 +40,18 @@ def spots_of(key: Column) -> list[Column]:
 
 
 def key_filter(keys: DataFrame) -> tuple[DataFrame, int]:
-    """Blocks (block, bits) of a Bloom filter of keys(key), and how many there may be: set by tasks, merged by block."""
+    """Blocks (block, bits as numbers of 64) of a Bloom filter of keys(key), and how many there may be: set by tasks, merged by block."""
     n_blocks = min(MAX_BLOCKS, max(1, math.ceil(keys.count() * KEY_BITS / BLOCK_BITS)))
     bits = keys.select(block_of(F.col("key"), n_blocks).alias("block"), F.explode(F.array(*spots_of(F.col("key")))).alias("spot"))
-    return stored(bits.groupBy("block").agg(F.bitmap_construct_agg("spot").alias("bits"))), n_blocks
+    blocks = bits.groupBy("block").agg(F.bitmap_construct_agg("spot").alias("bits"))
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda i: F.conv(F.hex(F.substring(F.col("bits"), i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    return stored(blocks.select("block", numbers.alias("bits")), lean=True), n_blocks
 
 
 def possible(pairs: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
     """Rows of pairs whose key may be in the filter: none whose key is in it is missing. No row of pairs is shuffled."""
-    byte = lambda spot: F.conv(F.hex(F.substring(F.col("bits"), (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = lambda spot: byte(spot).bitwiseAND(F.call_function("shiftleft", F.lit(1), (spot % 8).cast("int"))) != 0
+    place = lambda spot: spot.bitwiseAND(F.lit(63)).bitwiseXOR(F.lit(56))  # a number's first byte is its highest
+    is_set = lambda spot: F.getbit(F.get(F.col("bits"), F.shiftright(spot, 6).cast("int")), place(spot).cast("int")) != 0
     met = pairs.withColumn("block", block_of(F.col("key"), n_blocks)).join(F.broadcast(blocks), "block")  # at most MAX_BLOCKS
     for spot in spots_of(F.col("key")):
         met = met.where(is_set(spot))

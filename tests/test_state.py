@@ -3,6 +3,8 @@
 import json
 import os
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,6 +219,44 @@ def test_path_rules_have_few_lookups(spark, monkeypatch):
     assert C.classify_sources(urls, rules, "name", "url").where("ats <=> expected").count() == len(numbers)
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_path_rules_in_turns(spark, monkeypatch, most):
+    """Lookups in turns give what one turn gives, and what they shuffle is gone when they are done (but for counts)."""
+    monkeypatch.setattr(C, "MAX_RULES", most)
+    numbers = [f"{i * 7919:07}" for i in range(2000)]
+    extra = [(900, "host", "a.org", "host", {"site": "{origin}"}), (901, "name", "Acme", "name", None), (902, "path", "jobs", "jobs", None), (0, "path", f"/{numbers[1]}-", "earlier", None)]
+    rules = spark.createDataFrame([(i + 1, "path", f"/{n}-", n, None) for i, n in enumerate(numbers)] + extra, C.RULE_SCHEMA)
+    rows = [(f"https://x.org/a/{n}-1/{numbers[i - 1]}-x/apply", "q", "earlier" if 0 < i < 3 else numbers[max(0, i - 1)] if i else n) for i, n in enumerate(numbers)]
+    rows += [("https://b.a.org/x", "q", "host"), ("https://b.org/x", "ACME", "name"), ("https://b.org/jobs", "acme", "name"), ("https://b.org/jobs", None, "jobs"), ("host:a.org", "host:a.org", "direct_job_html"), (None, None, "direct_job_html")]
+    df = spark.createDataFrame(rows, "url string, name string, expected string").repartition(3)
+    local = spark.sparkContext.getConf().get("spark.local.dir")
+    files = lambda: {f: f.stat().st_size for f in Path(local).rglob("shuffle_*.data")}
+    monkeypatch.setattr(C, "stored", lambda *parts, **how: (counts.append(len(parts)), R.stored(*parts, **how))[1])
+    for turn in (5000, 500):
+        monkeypatch.setattr(C, "TURN", turn)
+        counts, before = [], files()
+        found = C.classify_sources(df, rules, "name", "url")
+        time.sleep(3)  # files are removed after the job
+        left = sum(size for f, size in files().items() if f not in before)
+        print("left", left)
+        assert left < 10_000 and max(counts) == -(-len(rows) // turn)
+        got = found.collect()
+        assert len(got) == len(rows) and [(r.url, r.name, r.ats, r.expected) for r in got if r.ats != r.expected] == []
+        assert {r.attrs["site"] for r in got if r.ats == "host"} == {"https://b.a.org"}
+
+
+def test_index_of_rules_with_one_pattern(spark):
+    """Of rules with one kind and pattern the index has the first, and addresses are looked up by the kinds of keys that it has."""
+    patterns = (("path", "/one/"), ("path", "two"), ("host", "a.org"), ("name", "Acme"))
+    rules = [(i, kind, pattern, f"r{i}", None) for kind, pattern in patterns for i in range(30, 20, -1)]
+    index = C.indexed_rules(spark.createDataFrame(rules, C.RULE_SCHEMA)).collect()
+    assert sorted((r["__key"], r.rule.priority) for r in index) == [("host:a.org", 21), ("name:acme", 21), ("path:two", 21), ("word:/one", 21)]
+    low = spark.createDataFrame([(1, "https://x.org/one/two/three", "Acme")], "__id long, url string, name string")
+    asked = lambda *kinds, lengths=(): sorted(r.key for r in C.keys_of(low, "name", "url", set(kinds), list(lengths)).collect())
+    assert asked() == [] and asked("word") == ["word:/one", "word:/two"] and asked("name", "host") == ["host:org", "host:x.org", "name:acme"]
+    assert asked("path", lengths=[12, 13]) == sorted("path:" + "/one/two/three"[i : i + n] for n in (12, 13) for i in range(15 - n))
+
+
 def test_consolidation_fails_on_conflicts(spark):
     aliases = spark.createDataFrame([("b", "A"), ("c", "C")], "alias string, canonical string")
     rows = lambda *r: spark.createDataFrame(r, "name string, ord long, identity string, terms array<string>")
